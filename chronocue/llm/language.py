@@ -183,22 +183,6 @@ def labelled_sample(documents: DataFrame, per_language: int = 300, text: str = "
     return sorted((r["__code"], r["__text"]) for r in rows.join(F.broadcast(chosen), key).select("__code", "__text").collect())
 
 
-def _unit_rows(units: list[list[str]], vocabulary: dict[str, int], idf: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows as (row, column, value), of length one where idf is given."""
-    r, c, x = [], [], []
-    for i, words in enumerate(units):
-        n = Counter(g for w in words for g in grams(w) if g in vocabulary)
-        col = np.array([vocabulary[g] for g in n], int)
-        val = np.array(list(n.values()), float)
-        if idf is not None and len(val):
-            val = val * idf[col]
-            val /= np.sqrt(val @ val) or 1.0
-        r.append(np.full(len(col), i))
-        c.append(col)
-        x.append(val)
-    return np.concatenate(r), np.concatenate(c), np.concatenate(x)
-
-
 def fit(sample: list[tuple[str, str]], clusters: int = 6, rounds: int = 5, features: int = 30_000, margin: float = 0.03, seed: int = 7) -> LanguageModel:
     """Fit centroids on labelled texts, some of whose labels are wrong.
 
@@ -216,27 +200,43 @@ def fit(sample: list[tuple[str, str]], clusters: int = 6, rounds: int = 5, featu
                 label.append(code)
     if not units:
         raise ValueError("no labelled text to fit on")
-    known = Counter(g for words in units for g in {g for w in words for g in grams(w)})
+    of_word = {w: grams(w) for words in units for w in words}
+    known = Counter(g for words in units for g in {g for w in words for g in of_word[w]})
     vocabulary = {g: i for i, (g, _) in enumerate(sorted(known.items(), key=lambda x: (-x[1], x[0]))[:features])}
     n = len(units)
     idf = np.zeros(len(vocabulary))
     for g, i in vocabulary.items():
         idf[i] = math.log((1 + n) / (1 + known[g])) + 1
-    row, col, val = _unit_rows(units, vocabulary, idf)
-    start = np.searchsorted(row, np.arange(n + 1))
+    columns_of = {w: [vocabulary[g] for g in gs if g in vocabulary] for w, gs in of_word.items()}
+    cols, vals, start = [], [], [0]
+    for words in units:
+        c, x = np.unique(np.fromiter((i for w in words for i in columns_of[w]), np.int32), return_counts=True)
+        x = x * idf[c]
+        cols.append(c)
+        vals.append((x / (math.sqrt(x @ x) or 1.0)).astype(np.float32))
+        start.append(start[-1] + len(c))
+    col, val = np.concatenate(cols), np.concatenate(vals)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
     codes = sorted(set(label))
     label_id = np.array([codes.index(x) for x in label])
     rng = np.random.default_rng(seed)
 
     def mean(which: np.ndarray) -> np.ndarray:
-        m = np.zeros(len(vocabulary))
-        for i in which:
-            m[col[start[i] : start[i + 1]]] += val[start[i] : start[i + 1]]
+        at = np.concatenate([np.arange(start[i], start[i + 1]) for i in which]) if len(which) else np.zeros(0, int)
+        m = np.bincount(col[at], val[at], minlength=len(vocabulary))
         return m / (np.sqrt(m @ m) or 1.0)
 
-    def dots(c: np.ndarray) -> np.ndarray:
-        out = np.zeros((n, c.shape[1]))
-        np.add.at(out, row, val[:, None] * c[col])
+    def dots(c: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+        """Dot products of units with the centroids, a bounded stretch of units at a time."""
+        which = np.arange(n) if which is None else which
+        out = np.zeros((len(which), c.shape[1]), np.float32)
+        narrow = c.astype(np.float32)
+        for i in range(0, len(which), 500):
+            some = [k for k in range(i, min(len(which), i + 500)) if start[which[k]] < start[which[k] + 1]]
+            if some:
+                at = np.concatenate([np.arange(start[which[k]], start[which[k] + 1]) for k in some])
+                heads = np.flatnonzero(np.diff(row[at], prepend=-1))
+                out[some] = np.add.reduceat(val[at, None] * narrow[col[at]], heads, axis=0)
         return out
 
     use = np.ones(n, bool)
@@ -251,7 +251,7 @@ def fit(sample: list[tuple[str, str]], clusters: int = 6, rounds: int = 5, featu
             if k > 1:
                 for _ in range(6):
                     c = np.stack(cents, 1)
-                    near = np.array([int(np.argmax(val[start[i] : start[i + 1]] @ c[col[start[i] : start[i + 1]]])) for i in own])
+                    near = dots(c, own).argmax(axis=1)
                     cents = [mean(own[near == j]) if (near == j).any() else cents[j] for j in range(len(cents))]
             columns += cents
             names += [code] * len(cents)
