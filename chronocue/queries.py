@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as tx
+from .functions import timecode as tc
+from .models import adapters
+from .operators import chunks, scoring, selection, speakers, topics, windows
 from .operators.intervals import merged
-from .operators.topn import best_segments
+from .operators.topn import best_segments, top_n
+from .plans import sections
+from .sinks import render
+from .sources import media, reports
 from .sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +61,727 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The three evaluated segments of highest score of every audio path."""
     return best_segments(table(spark, d, "reels_extraction_20250825_215033_complete"))
+
+
+REPORTS = "reels_extraction_20250825_215033_complete"
+
+# SQL of the segments that most queries below begin with.
+SEG = """seg as (
+  select video_id, seg_index, start_cs, end_cs, text from (
+    select *, row_number() over (partition by video_id, seg_index order by row_id) n from (
+      select row_id, video_id, seg_index, cast(round(start_time * 100) as bigint) start_cs, cast(round(end_time * 100) as bigint) end_cs,
+             replace(translate(text, chr(8234) || chr(8235) || chr(8236) || chr(8207) || chr(8206), ''), '[PAD]', '') as text
+      from results_simplified where video_id is not null and seg_index is not null and start_time is not null)) where n = 1),
+chunked as (select *, start_cs // 12000 + 1 as chunk_num, start_cs % 12000 as rel_start_cs, end_cs - start_cs // 12000 * 12000 as rel_end_cs from seg)"""
+CS = lambda c: f"({c} // 6000) || ':' || lpad(cast({c} % 6000 // 100 as varchar), 2, '0') || '.' || lpad(cast({c} % 100 as varchar), 2, '0')"
+CLOCK = lambda c, p: f"lpad(cast({c} // 360000 as varchar), cast(greatest(2, len(cast({c} // 360000 as varchar))) as int), '0') || ':' || lpad(cast({c} // 6000 % 60 as varchar), 2, '0') || ':' || lpad(cast({c} // 100 % 60 as varchar), 2, '0') || '{p}' || lpad(cast({c} % 100 * 10 as varchar), 3, '0')"
+STRIP = lambda c: f"regexp_replace({c}, '^[\\\\s\\\\pZ\\\\x0b\\\\x85]+|[\\\\s\\\\pZ\\\\x0b\\\\x85]+$', '', 'g')"
+WORDS = lambda c: f"len(list_filter(string_split_regex({c}, '[ \\n\\t\\r]+'), lambda w: w <> ''))"
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.segments(table(spark, d, "results_simplified"))
+
+
+def _chunked(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.assigned(_segments(spark, d))
+
+
+# Time codes
+
+
+@query(
+    """select line_id, case when cast(split_part(start_label, ':', 1) as int) is not null then
+         cast(round((cast(split_part(start_label, ':', 1) as int) * 60 + cast(split_part(start_label, ':', 2) as double)) * 100) as bigint) end as cs
+       from full_transcript where start_label is not null"""
+)
+def timecode_parse(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "full_transcript").where("start_label is not null").select("line_id", tc.to_cs(tc.parse_timestamp(F.col("start_label"))).alias("cs"))
+
+
+@query(f"with {SEG} select video_id, seg_index, {CS('start_cs')} as label from seg")
+def timecode_format(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).select("video_id", "seg_index", tc.format_cs(F.col("start_cs")).alias("label"))
+
+
+@query(
+    f"""with {SEG}, lists as (select video_id, chunk_num, string_agg({CS('start_cs')} || '-' || {CS('end_cs')}, ', ' order by start_cs, seg_index) l from chunked where end_cs is not null group by 1, 2),
+        parts as (select video_id, chunk_num, unnest(string_split(l, ', ')) p, unnest(range(1, len(string_split(l, ', ')) + 1)) pos from lists),
+        ab as (select *, split_part(p, '-', 1) a, split_part(p, '-', 2) b from parts),
+        n as (select *, cast(split_part(a, ':', 1) as bigint) * 6000 + cast(round(cast(split_part(a, ':', 2) as double) * 100) as bigint) x,
+              cast(split_part(b, ':', 1) as bigint) * 6000 + cast(round(cast(split_part(b, ':', 2) as double) * 100) as bigint) y from ab)
+        select video_id, chunk_num, pos, p as range_text, case when x < y then x end as from_cs, case when x < y then y end as to_cs from n"""
+)
+def range_list_explode(spark: SparkSession, d: str) -> DataFrame:
+    """Range lists, one a chunk, taken apart and read."""
+    c = _chunked(spark, d).where("end_cs is not null")
+    one = F.concat(tc.format_cs(F.col("start_cs")), F.lit("-"), tc.format_cs(F.col("end_cs")))
+    lists = c.groupBy("video_id", "chunk_num").agg(chunks.ordered_text(one, F.col("start_cs"), F.col("seg_index"), sep=", ").alias("l"))
+    x = lists.select("video_id", "chunk_num", F.explode(tc.range_list(F.col("l"))).alias("x"))
+    return x.select("video_id", "chunk_num", F.col("x.pos").cast("bigint").alias("pos"), F.col("x.text").alias("range_text"), tc.to_cs(F.col("x.start")).alias("from_cs"), tc.to_cs(F.col("x.end")).alias("to_cs"))
+
+
+@query("select row_id, replace(translate(text, chr(8234) || chr(8235) || chr(8236) || chr(8207) || chr(8206), ''), '[PAD]', '') as text from results_simplified")
+def rtl_clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "results_simplified").select("row_id", tx.clean_rtl(F.col("text")).alias("text"))
+
+
+@query("select video_id, case when duration is null or isnan(duration) then null when duration <= 120 then 1 else cast(ceil(duration / 120) as bigint) end as n_chunks, round(size_mb, 1) as size_mb from videos")
+def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "videos").select("video_id", tc.chunk_count(F.col("duration")).alias("n_chunks"), F.round("size_mb", 1).alias("size_mb"))
+
+
+# Chunks
+
+
+@query(f"with {SEG} select video_id, seg_index, chunk_num, rel_start_cs, rel_end_cs from chunked")
+def chunk_assign(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d).select("video_id", "seg_index", "chunk_num", "rel_start_cs", "rel_end_cs")
+
+
+@query(f"with {SEG} select video_id, seg_index, start_cs, end_cs from seg")
+def segment_rebase(spark: SparkSession, d: str) -> DataFrame:
+    """Times of segments after taking the chunk's start off and adding it again."""
+    c = _chunked(spark, d).select("video_id", "seg_index", "chunk_num", "rel_start_cs", "rel_end_cs")
+    return chunks.rebased(c).select("video_id", "seg_index", "start_cs", "end_cs")
+
+
+@query(
+    f"""with {SEG} select video_id, chunk_num, count(*) as n_segments, cast(sum(greatest(end_cs - start_cs, 0)) as bigint) as spoken_cs,
+        cast(sum(len(coalesce(text, ''))) as bigint) as text_length, min(start_cs) as first_cs, max(start_cs) as last_cs from chunked group by 1, 2"""
+)
+def chunk_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.rollup(_chunked(spark, d))
+
+
+@query(f"with {SEG} select video_id, chunk_num, string_agg(coalesce(text, ''), '' order by start_cs, seg_index) as text from chunked group by 1, 2")
+def chunk_text_concat(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.chunk_texts(_chunked(spark, d))
+
+
+@query(f"with {SEG}, n as (select video_id, chunk_num, sum(len(coalesce(text, ''))) + 2 l from chunked group by 1, 2) select video_id, chunk_num, cast(sum(l) over (partition by video_id order by chunk_num) as bigint) as total_length from n")
+def cumulative_text_len(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.cumulative_length(_chunked(spark, d))
+
+
+@query(
+    f"""with {SEG}, t as (select video_id, chunk_num, string_agg(coalesce(text, ''), '' order by start_cs, seg_index) t from chunked group by 1, 2)
+        select video_id, sha256(string_agg(t || chr(10) || chr(10), '' order by chunk_num)) as text_sha from t group by 1"""
+)
+def cumulative_text(spark: SparkSession, d: str) -> DataFrame:
+    """Whole text of every video as a digest."""
+    return chunks.whole_text(chunks.chunk_texts(_chunked(spark, d))).select("video_id", F.sha2("text", 256).alias("text_sha"))
+
+
+@query(
+    """with p as (select distinct video_id, chunk_num from full_transcript where video_id is not null and chunk_num is not null),
+       m as (select video_id, max(chunk_num) m from p group by 1), a as (select video_id, cast(unnest(generate_series(1, m)) as bigint) chunk_num from m)
+       select a.video_id, a.chunk_num, p.chunk_num is not null as present from a left join p on a.video_id = p.video_id and a.chunk_num = p.chunk_num"""
+)
+def chunk_gap_join(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.with_gaps(table(spark, d, "full_transcript"))
+
+
+@query(
+    f"""with {SEG}, r as (select video_id, window_no, t0 + window_no * 3500 as ws from (select video_id, min(start_cs) t0 from seg group by 1), (select unnest(range(0, 5)) window_no))
+        select s.video_id, s.seg_index, cast(r.window_no as bigint) as window_no from seg s join r on s.video_id = r.video_id and s.start_cs >= r.ws and s.start_cs < r.ws + 4500"""
+)
+def band_join(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with the ranges of variable length that hold their start."""
+    s = _segments(spark, d)
+    r = s.groupBy("video_id").agg(F.min("start_cs").alias("t0")).select("video_id", "t0", F.explode(F.expr("sequence(0L, 4L)")).alias("window_no"))
+    r = r.select("video_id", "window_no", (F.col("t0") + F.col("window_no") * 3500).alias("ws"), (F.col("t0") + F.col("window_no") * 3500 + 4500).alias("we"))
+    return chunks.range_joined(s, r, ["video_id"], "start_cs", "ws", "we", 4500).select("video_id", "seg_index", "window_no")
+
+
+@query(
+    """with l as (select video_id, line_id, text, row_number() over (partition by video_id order by updated_at desc nulls last, line_id desc) n from full_transcript where video_id is not null)
+       select video_id, line_id, text from l where n = 1"""
+)
+def latest_per_video(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.latest(table(spark, d, "full_transcript").select("video_id", "line_id", "text", "updated_at"), "video_id", "updated_at", "line_id").select("video_id", "line_id", "text")
+
+
+@query(
+    f"""with {SEG}, n as (select video_id, chunk_num, count(*) c from chunked group by 1, 2)
+        select video_id, chunk_num, grouping(video_id, chunk_num) as level, cast(sum(c) as bigint) as n_segments from n group by rollup (video_id, chunk_num)"""
+)
+def rollup_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Segment counts by chunk, by video and in all."""
+    n = _chunked(spark, d).groupBy("video_id", "chunk_num").agg(F.count("*").alias("c"))
+    return n.rollup("video_id", "chunk_num").agg(F.grouping_id().alias("level"), F.sum("c").alias("n_segments"))
+
+
+@query(
+    r"""select regexp_extract(path, '^(.*)/[^/]*$', 1) as folder, count(*) as n_media, cast(sum(case when duration is null or isnan(duration) then 0 else floor(duration) end) as bigint) as seconds
+       from videos where path is not null and regexp_matches(path, '\.(mp4|mov|avi|mkv|MP4|MOV|AVI|MKV)$') and not regexp_matches(path, '/(\.[^/]+|node_modules|venv|reels_extractor_env|__pycache__)/') group by 1"""
+)
+def media_by_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Media files of each folder that holds any."""
+    v = table(spark, d, "videos").where("path is not null").where(media.is_media(F.col("path")) & ~media.is_pruned(F.col("path")))
+    seconds = F.when(F.col("duration").isNull() | F.isnan("duration"), 0).otherwise(F.floor("duration"))
+    return v.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n_media"), F.sum(seconds).cast("bigint").alias("seconds"))
+
+
+@query(r"select video_id, replace(replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '([^.])\.[^.]*$', '\1'), ' ', '_'), '.', '-') as stem from videos")
+def sanitized_stems(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "videos").select("video_id", tx.sanitized_stem(F.col("path")).alias("stem"))
+
+
+# Replies and reports, read by section. Lines are stripped of blanks of any kind.
+
+LINES = r"""lines as (
+  select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no,
+         unnest(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g'))) as line from documents where text is not null),
+marked as (select *, case when contains(upper(line), 'SUMMARY:') then 'summary' when contains(upper(line), 'TOPICS:') then 'topics' when contains(upper(line), 'HASHTAGS:') then 'hashtags'
+                          when contains(upper(line), 'REEL') and contains(upper(line), 'SEGMENT') then 'reels' end as h from lines),
+filled as (select *, last_value(h ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding) as section from marked),
+body as (select doc_id, line_no, section, line from filled where h is null and section is not null and line <> '')"""
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+@query(f"with {LINES} select doc_id, section, count(*) as n_lines, min(line_no) as first_line, sha256(string_agg(line, chr(10) order by line_no)) as lines_sha from body group by 1, 2")
+def section_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of every section of every document that has any."""
+    s = sections.sectioned(_documents(spark, d), "doc_id", "text", sections.ANALYSIS)
+    joined = chunks.ordered_text(F.col("line"), F.col("line_no"), sep="\n")
+    return s.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.min("line_no").cast("bigint").alias("first_line"), F.sha2(joined, 256).alias("lines_sha"))
+
+
+@query(
+    f"""with {LINES}, t as (select *, regexp_replace(substr(line, 2), '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') as topic from body)
+        select doc_id, coalesce(string_agg(line, ' ' order by line_no) filter (section = 'summary'), '') as summary,
+               coalesce(string_agg(topic, '|' order by line_no) filter (section = 'topics' and substr(line, 1, 1) in ('-', '•') and topic <> ''), '') as topics,
+               coalesce(string_agg(list_aggregate(list_filter(regexp_split_to_array(line, '[\\s\\pZ]+'), lambda x: starts_with(x, '#')), 'string_agg', ' '), ' ' order by line_no)
+                 filter (section = 'hashtags' and len(list_filter(regexp_split_to_array(line, '[\\s\\pZ]+'), lambda x: starts_with(x, '#'))) > 0), '') as hashtags
+        from t group by 1"""
+)
+def section_parse_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Summary, topics and hashtags of every document with a section."""
+    p = sections.parse_analysis(_documents(spark, d), "doc_id", "text")
+    return p.select("doc_id", "summary", F.array_join("topics", "|").alias("topics"), F.array_join("hashtags", " ").alias("hashtags"))
+
+
+@query(
+    f"""with {SEG}, t as (select video_id, chunk_num, count(*) n, cast(sum(greatest(coalesce(end_cs, start_cs) - start_cs, 0)) // 100 as int) total,
+          string_agg({CS('start_cs')} || '-' || {CS('greatest(coalesce(end_cs, start_cs), start_cs)')}, '|' order by start_cs, seg_index) parts from chunked where start_cs >= 0 group by 1, 2)
+        select video_id * 100000 + chunk_num as reply_id, n as n_parts, parts as ranges, total as total_duration, 'second line of ' || n as narrative, '' as title from t"""
+)
+def section_parse_selection(spark: SparkSession, d: str) -> DataFrame:
+    """A selection reply written for every chunk and read again; text on a header's own line is dropped."""
+    c = _chunked(spark, d).where("start_cs >= 0")
+    end = F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")
+    part = F.concat(F.lit("1. ["), tc.format_cs(F.col("start_cs")), F.lit("-"), tc.format_cs(end), F.lit("] - why"))
+    g = c.groupBy("video_id", "chunk_num").agg(F.count("*").alias("n"), F.floor(F.sum(end - F.col("start_cs")) / 100).alias("total"), chunks.ordered_text(part, F.col("start_cs"), F.col("seg_index"), sep="\n").alias("parts"))
+    reply = F.concat(F.lit("Parts:\n"), "parts", F.lit("\nTotal_Duration: "), F.col("total").cast("string"), F.lit("s\nnot here\nNARRATIVE: lost\n second line of "), F.col("n").cast("string"), F.lit(" \nTITLE: lost too"))
+    texts = g.select((F.col("video_id") * 100000 + F.col("chunk_num")).alias("reply_id"), reply.alias("reply"))
+    p = sections.parse_selection(texts, "reply_id", "reply")
+    return p.select("reply_id", F.size("parts").cast("bigint").alias("n_parts"), F.array_join(F.transform("parts", lambda x: x["time_range"]), "|").alias("ranges"), "total_duration", "narrative", "title")
+
+
+REGIONS = """l as (
+  select doc_id, unnest(range(1, len(string_split(t, chr(10))) + 1)) as line_no, unnest(list_transform(string_split(t, chr(10)), lambda x: trim(x))) as line from (
+    select chunk_id as doc_id, 'head' || chr(10) || 'Best Reel Suggestions' || chr(10) || parts || chr(10) || '═══' || chr(10) || '0:01-0:02 outside' || chr(10) || 'TOP REEL SUGGESTION:' || chr(10) || '9:00 - 9:30] - again' as t from (
+      select video_id * 100000 + chunk_num as chunk_id, string_agg('[' || a || ' - ' || b || '] reason ' || seg_index, chr(10) order by start_cs, seg_index) as parts from (
+        select *, %s as a, %s as b from chunked where start_cs >= 0) group by 1))),
+m as (select *, case when contains(upper(line), 'REEL') and contains(upper(line), 'SUGGESTION') then 1 when starts_with(line, '═') then 0 end as mark from l),
+f as (select *, last_value(mark ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding) as inside, sum(case when mark = 0 then 1 else 0 end) over (partition by doc_id order by line_no rows unbounded preceding) as closed from m),
+s as (select doc_id, line_no, closed, regexp_extract(line, '([0-9]+:[0-9]+\\.?[0-9]*\\s*-\\s*[0-9]+:[0-9]+\\.?[0-9]*)', 1) as time_range, line from f where inside = 1 and mark is null)""" % (
+    CS("start_cs"),
+    CS("greatest(coalesce(end_cs, start_cs), start_cs)"),
+)
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """A summary report with two suggestion sections for every chunk."""
+    c = _chunked(spark, d).where("start_cs >= 0")
+    part = F.concat(F.lit("["), tc.format_cs(F.col("start_cs")), F.lit(" - "), tc.format_cs(F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")), F.lit("] reason "), F.col("seg_index").cast("string"))
+    g = c.groupBy((F.col("video_id") * 100000 + F.col("chunk_num")).alias("doc_id")).agg(chunks.ordered_text(part, F.col("start_cs"), F.col("seg_index"), sep="\n").alias("parts"))
+    return g.select("doc_id", F.concat(F.lit("head\nBest Reel Suggestions\n"), "parts", F.lit("\n═══\n0:01-0:02 outside\nTOP REEL SUGGESTION:\n9:00 - 9:30] - again")).alias("text"))
+
+
+@query(f"with {SEG}, {REGIONS} select doc_id, count(*) as n, min(time_range) as least, max(time_range) as greatest_range, sum(case when line_no > 0 and contains(line, 'again') then 1 else 0 end)::bigint as reopened from s where time_range <> '' group by 1")
+def region_toggle_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions of all sections of a report."""
+    s = sections.suggestions(_reports(spark, d), "doc_id", "text")
+    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("time_range").alias("least"), F.max("time_range").alias("greatest_range"), F.count_if(F.col("reason") == "] - again").alias("reopened"))
+
+
+@query(f"with {SEG}, {REGIONS} select doc_id, line_no, time_range, regexp_replace(regexp_extract(line, '\\](.*)$', 1), '^ ', '') as reason from s where time_range <> '' and closed = 0")
+def region_first_only(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions of a report's first section only."""
+    s = sections.suggestions(_reports(spark, d), "doc_id", "text", first_only=True)
+    return s.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "time_range", F.regexp_replace("reason", r"^\] ?", "").alias("reason"))
+
+
+@query(r"select doc_id, list_aggregate(regexp_extract_all(regexp_extract(text, '(?m)^(.*?#[\p{L}\p{M}\p{N}_].*)$', 1), '(#[\p{L}\p{M}\p{N}_]+)', 1), 'string_agg', ' ') as hashtags from documents where text is not null and regexp_matches(text, '#[\p{L}\p{M}\p{N}_]')")
+def hashtag_extract(spark: SparkSession, d: str) -> DataFrame:
+    h = sections.first_hashtags(_documents(spark, d), "doc_id", "text")
+    return h.where(F.size("hashtags") > 0).select("doc_id", F.array_join("hashtags", " ").alias("hashtags"))
+
+
+@query(
+    r"""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no, unnest(string_split(text, chr(10))) as raw from documents where text is not null),
+        s as (select doc_id, line_no, regexp_replace(raw, '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g') as line from l)
+        select doc_id, line_no, regexp_replace(substr(line, 2), '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g') as topic from s
+        where substr(line, 1, 1) in ('-', '•') and regexp_replace(substr(line, 2), '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g') <> ''"""
+)
+def bullet_extract(spark: SparkSession, d: str) -> DataFrame:
+    lines = sections.lines(_documents(spark, d), "doc_id", "text")
+    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), tx.bullet(F.col("line")).alias("topic")).where("topic is not null")
+
+
+@query(
+    r"""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no, unnest(string_split(text, chr(10))) as raw from documents where text is not null),
+        s as (select doc_id, line_no, regexp_replace(raw, '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g') as line from l)
+        select doc_id, line_no, regexp_extract(line, '^\[([0-9]+:[0-9.]+) - ([0-9]+:[0-9.]+)\] ?(.*)$', 1) as from_label, regexp_extract(line, '^\[([0-9]+:[0-9.]+) - ([0-9]+:[0-9.]+)\] ?(.*)$', 3) as said
+        from s where regexp_matches(line, '^\[([0-9]+:[0-9.]+) - ([0-9]+:[0-9.]+)\] ?(.*)$')"""
+)
+def segment_line_parse(spark: SparkSession, d: str) -> DataFrame:
+    s = sections.segment_lines(_documents(spark, d), "doc_id", "text")
+    return s.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), tc.format_cs(tc.to_cs(F.col("start"))).alias("from_label"), "said")
+
+
+@query(
+    r"""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no, unnest(string_split(text, chr(10))) as raw from documents where text is not null),
+        s as (select doc_id, line_no, regexp_replace(raw, '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g') as line from l)
+        select doc_id, line_no, split_part(line, ': ', 1) as name, substr(line, len(split_part(line, ': ', 1)) + 3) as value from s where contains(line, ': ')"""
+)
+def key_value_parse(spark: SparkSession, d: str) -> DataFrame:
+    return sections.key_values(_documents(spark, d), "doc_id", "text").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "name", "value")
+
+
+@query(
+    f"""with {SEG}, c as (select video_id, chunk_num, count(*) n, {CS('((chunk_num - 1) * 12000)')} as a, {CS('(chunk_num * 12000)')} as b from chunked group by 1, 2)
+        select video_id, cast(chunk_num as int) as chunk, a || ' - ' || b as time_range, case when chunk_num % 7 = 0 then repeat('x', 297) || '...' else 'Said ' || n end as summary from c where chunk_num % 5 <> 0"""
+)
+def chunk_summary_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of a report written for every video and read again; a block without a summary takes nothing of the next."""
+    c = _chunked(spark, d).groupBy("video_id", "chunk_num").agg(F.count("*").alias("n"))
+    start = tc.chunk_start_cs(F.col("chunk_num"))
+    said = F.when(F.col("chunk_num") % 7 == 0, F.repeat(F.lit("x"), F.lit(301))).otherwise(F.concat(F.lit("Said "), F.col("n").cast("string")))
+    block = F.concat(F.lit("CHUNK "), F.col("chunk_num").cast("string"), F.lit(" ANALYSIS\nTime: "), tc.format_cs(start), F.lit(" - "), tc.format_cs(start + 12_000), F.lit("\n───\n"), F.when(F.col("chunk_num") % 5 != 0, F.concat(F.lit("Summary: "), said, F.lit("\n\n"))).otherwise(""), F.lit("Topics:\n  • one\n"))
+    texts = c.withColumn("block", block).groupBy("video_id").agg(chunks.ordered_text(F.col("block"), -F.col("chunk_num")).alias("text"))
+    return sections.chunk_summaries(texts, "video_id", "text")
+
+
+@query(
+    r"""select doc_id, case when instr(text, 'TOPICS:') > 0 then trim(regexp_replace(substr(text, instr(text, 'TOPICS:') + 7), '^[ \t]*\n-*\n?', ''), ' ' || chr(9) || chr(10) || chr(13)) end as tail
+        from documents where text is not null and instr(text, 'TOPICS:') > 0 and not regexp_matches(text, '[\p{Z}\x0b\x0c\x1c-\x1f\x85]{1}$')"""
+)
+def text_after_marker(spark: SparkSession, d: str) -> DataFrame:
+    """What stands under a marker line."""
+    t = _documents(spark, d).where("text is not null and instr(text, 'TOPICS:') > 0").where(~F.col("text").rlike(r"[\p{Z}\x0b\x0c\x1c-\x1f\x85]{1}$"))
+    return sections.after_marker(t, "doc_id", "text", "TOPICS:").withColumnRenamed("transcript", "tail")
+
+
+# Selections
+
+PARTS = f"""parts as (
+  select video_id, chunk_num, seg_index, start_cs, greatest(coalesce(end_cs, start_cs), start_cs) as end_cs from chunked where start_cs >= 0 and seg_index % 4 = 0)"""
+
+
+def _selections(spark: SparkSession, d: str) -> DataFrame:
+    """As a selection of every chunk its every fourth segment."""
+    c = _chunked(spark, d).where("start_cs >= 0")
+    end = F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")
+    part = F.when(F.col("seg_index") % 4 == 0, F.struct("start_cs", "seg_index", F.struct(F.concat(tc.format_cs(F.col("start_cs")), F.lit(" - "), tc.format_cs(end)).alias("time_range")).alias("part")))
+    return c.groupBy("video_id", "chunk_num").agg(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["part"]).alias("parts"))
+
+
+@query(f"with {SEG}, {PARTS} select video_id, chunk_num, row_number() over (partition by video_id, chunk_num order by start_cs, seg_index) as part_no, {CS('start_cs')} || ' - ' || {CS('end_cs')} as time_range, case when end_cs > start_cs then end_cs - start_cs >= 500 end as long_enough from parts")
+def part_validation(spark: SparkSession, d: str) -> DataFrame:
+    p = selection.parts_of(_selections(spark, d), ["video_id", "chunk_num"])
+    return p.select("video_id", "chunk_num", F.col("part_no").cast("bigint").alias("part_no"), "time_range", (tc.to_cs(F.col("end")) - tc.to_cs(F.col("start")) >= 500).alias("long_enough"))
+
+
+@query(
+    f"""with {SEG}, {PARTS}, k as (select distinct video_id, chunk_num from chunked where start_cs >= 0),
+        t as (select video_id, chunk_num, count(*) n, bool_and(end_cs > start_cs) readable, bool_and(end_cs - start_cs >= 500) long_enough, cast(sum(end_cs - start_cs) // 100 as bigint) s from parts group by 1, 2)
+        select k.video_id, k.chunk_num, coalesce(n, 0) as n_parts, case when readable then s else 0 end as total_s,
+               coalesce(readable and long_enough and s between 10 and 30, false) as valid, coalesce(readable and s between 10 and 20, false) as in_range,
+               case when n is null then 'no parts' when not readable then 'unreadable part' when not long_enough then 'part too short' when s < 10 then 'total too short' when s > 30 then 'total too long' end as reason
+        from k left join t on k.video_id = t.video_id and k.chunk_num = t.chunk_num"""
+)
+def selection_total(spark: SparkSession, d: str) -> DataFrame:
+    v = selection.validated(_selections(spark, d), ["video_id", "chunk_num"], min_s=10, max_s=20)
+    return v
+
+
+@query(
+    """select report_id, s.start_time as from_s, s.end_time as to_s, s.start_time < 0 or s.end_time > metadata.duration as out
+       from (select report_id, metadata, unnest(segments.high_value) s from reels_extraction_20250825_215033_complete)"""
+)
+def bounds_check_theta(spark: SparkSession, d: str) -> DataFrame:
+    """Chosen ranges against their medium's duration; the duration comes with the report, so nothing is joined."""
+    r = table(spark, d, REPORTS).select("report_id", F.col("metadata.duration").alias("d"), F.explode("segments.high_value").alias("s"))
+    return r.select("report_id", F.col("s.start_time").alias("from_s"), F.col("s.end_time").alias("to_s"), ((F.col("s.start_time") < 0) | (F.col("s.end_time") > F.col("d"))).alias("out"))
+
+
+@query(
+    """select r.row_id, v.duration is not null as known, r.start_seconds < 0 or r.end_seconds > v.duration as out from results_qwen15b r left join videos v on r.video_id = v.video_id"""
+)
+def bounds_check_join(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges against the duration of their video."""
+    r = table(spark, d, "results_qwen15b").select("row_id", "video_id", F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"))
+    v = table(spark, d, "videos")
+    o = selection.out_of_bounds(r, v, "video_id")
+    return o.join(v.select("video_id", "duration"), "video_id", "left").select("row_id", F.col("duration").isNotNull().alias("known"), "out")
+
+
+@query(
+    """with a as (select video_id, chunk_num, row_number() over (partition by video_id, chunk_num order by start_time nulls last, row_id) as attempt, coalesce(value_score >= 0.5 and not isnan(value_score), false) as valid
+         from results_simplified where video_id is not null and chunk_num is not null)
+       select video_id, chunk_num, coalesce(min(attempt) filter (valid), min(attempt)) as chosen, min(attempt) filter (valid) is null as fallback from a where attempt <= 3 group by 1, 2"""
+)
+def first_valid_attempt(spark: SparkSession, d: str) -> DataFrame:
+    """Of three attempts a chunk the first valid one, else the first."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("video_id", "chunk_num").orderBy(F.asc_nulls_last("start_time"), "row_id")
+    a = table(spark, d, "results_simplified").where("video_id is not null and chunk_num is not null")
+    a = a.select("video_id", "chunk_num", F.row_number().over(w).alias("attempt"), F.coalesce((F.col("value_score") >= 0.5) & ~F.isnan("value_score"), F.lit(False)).alias("valid"))
+    return selection.first_valid(a, ["video_id", "chunk_num"]).select("video_id", "chunk_num", F.col("chosen").cast("bigint").alias("chosen"), "fallback")
+
+
+# Windows
+
+WIN = """span as (select video_id, min(start_cs) t0, max(greatest(start_cs, coalesce(end_cs, start_cs))) t1 from seg group by 1),
+win as (select video_id, window_no, t0 + window_no * 3500 as ws, least(t0 + window_no * 3500 + 4500, t1) as we from (
+  select video_id, t0, t1, cast(unnest(generate_series(0, greatest(0, cast(ceil((t1 - t0 - 4500) / 3500.0) as bigint)))) as bigint) as window_no from span))"""
+
+
+@query(f"with {SEG}, {WIN} select * from win")
+def overlap_windows(spark: SparkSession, d: str) -> DataFrame:
+    return windows.overlapping(_segments(spark, d))
+
+
+@query(
+    f"""with {SEG}, {WIN} select w.video_id, w.window_no, count(*) as n_segments, sha256(string_agg(coalesce(s.text, ''), ' ' order by s.start_cs, s.seg_index)) as text_sha
+        from win w join seg s on s.video_id = w.video_id and s.start_cs < w.we and greatest(coalesce(s.end_cs, s.start_cs), s.start_cs) > w.ws group by 1, 2"""
+)
+def window_membership(spark: SparkSession, d: str) -> DataFrame:
+    s = _segments(spark, d)
+    t = windows.window_texts(windows.members(s, windows.overlapping(s)))
+    return t.select("video_id", "window_no", "n_segments", F.sha2("text", 256).alias("text_sha"))
+
+
+# Scores
+
+
+@query(
+    f"""select row_id, n_words, 5 + case when n_words >= 10 then 2 else 0 end - case when n_words < 5 then 2 else 0 end + case when q then 1 else 0 end - case when low then 1 else 0 end as score_tenths,
+        concat_ws(', ', case when n_words >= 10 then 'good length' end, case when n_words < 5 then 'too short' end, case when q then 'engaging questions' end, case when low then 'low confidence' end) as reasons
+        from (select row_id, cast({WORDS("coalesce(text, '')")} as int) as n_words, contains(coalesce(text, ''), '?') as q, coalesce(confidence < 0.7 and not isnan(confidence), false) as low from results_qwen15b)"""
+)
+def rule_score(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.rule_score(table(spark, d, "results_qwen15b")).select("row_id", "n_words", "score_tenths", "reasons")
+
+
+@query(
+    """with s as (select video_id, cast(least(floor(round(value_score * 1000) / 200), 4) as int) b from results_qwen15b where video_id is not null and value_score is not null and not isnan(value_score)),
+       v as (select distinct video_id from s), e as (select unnest([0, 1, 2, 3, 4]) b, unnest(['0.0-0.2', '0.2-0.4', '0.4-0.6', '0.6-0.8', '0.8-1.0']) bin)
+       select v.video_id, e.bin, count(s.b) as n from v cross join e left join s on s.video_id = v.video_id and s.b = e.b group by 1, 2"""
+)
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.histogram(table(spark, d, "results_qwen15b").where("video_id is not null"), ["video_id"])
+
+
+@query("select row_id, value_score from results_qwen15b where value_score >= 0.5 and not isnan(value_score)")
+def high_value_filter(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.high_value(table(spark, d, "results_qwen15b")).select("row_id", "value_score")
+
+
+@query(
+    """with m as (select video_id, case when value_score is not null and not isnan(value_score) then cast(round(value_score * 1000) as bigint) end m from results_qwen15b where video_id is not null)
+       select video_id, count(*) as total, count(*) filter (m >= 500) as high, cast(floor(count(*) filter (m >= 500) * 1000 / count(*)) as bigint) as success_permille,
+              cast(floor(sum(m) / count(m)) as bigint) as avg_milli, min(m) as min_milli, max(m) as max_milli from m group by 1"""
+)
+def score_summary(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.summary(table(spark, d, "results_qwen15b").where("video_id is not null"), ["video_id"])
+
+
+@query(
+    """select row_id, value_score, case when len(text) > 100 then left(text, 100) || '...' else text end as text from results_qwen15b
+       where value_score >= 0.5 and not isnan(value_score) order by value_score desc, row_id limit 10"""
+)
+def top_segments(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.top_report(table(spark, d, "results_qwen15b").select("row_id", "value_score", "text"), ["row_id"])
+
+
+@query(
+    """select k as bin, cast(sum(v) as bigint) as n from (select unnest(map_keys(summaries.evaluation.score_distribution)) k, unnest(map_values(summaries.evaluation.score_distribution)) v from reels_extraction_20250825_215033_complete) group by 1"""
+)
+def reported_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Sum of the reports' own histograms."""
+    return reports.score_distribution(table(spark, d, REPORTS)).groupBy("bin").agg(F.sum("n").alias("n"))
+
+
+@query(
+    """select metadata.audio_path as audio_path, count(*) as n_segments, cast(sum(cast(round(s.duration * 100) as bigint)) as bigint) as total_cs from (
+         select metadata, unnest(segments.evaluated) s from (select distinct on (report_id) * from reels_extraction_20250825_215033_complete)) where metadata.audio_path is not null and s.duration >= 15 group by 1"""
+)
+def evaluated_by_path(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluated segments of at least 15 seconds, a report counted once."""
+    r = table(spark, d, REPORTS).select("report_id", F.col("metadata.audio_path").alias("audio_path"), F.posexplode("segments.evaluated.duration").alias("seg_no", "duration")).where("audio_path is not null and duration >= 15")
+    once = r.groupBy("report_id", "seg_no", "audio_path").agg(F.min("duration").alias("duration"))
+    return once.groupBy("audio_path").agg(F.count("*").alias("n_segments"), F.sum(F.round(F.col("duration") * 100).cast("bigint")).alias("total_cs"))
+
+
+@query(
+    """select row_id, cast(index as int) as index, start_time, end_time, duration, text, value_score from (
+         select row_id, seg_index as index, start_time, end_time, duration, text, value_score from results_qwen15b
+         union all by name select row_id, seg_index as index, cast(start_time as varchar) as start_time, null as end_time, null as duration, text, value_score from results_simplified where start_time is null)"""
+)
+def union_legacy_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Segment tables of two shapes as one."""
+    a = table(spark, d, "results_qwen15b").select("row_id", F.col("seg_index").alias("index"), "start_time", "end_time", "duration", "text", "value_score")
+    b = table(spark, d, "results_simplified").where("start_time is null").select("row_id", F.col("seg_index").alias("index"), "text", "value_score")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+# Speakers and pacing. As labels stand in: long segments are the teacher's.
+
+LABELLED = f"labelled as (select *, case when {WORDS("coalesce(text, '')")} >= 8 then 'teacher' else 'student' end as label from seg)"
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    s = _segments(spark, d)
+    return s.withColumn("label", F.when(tx.word_count(F.coalesce("text", F.lit(""))) >= 8, "teacher").otherwise("student"))
+
+
+@query(
+    f"""with {SEG}, {LABELLED}, b as (select video_id, label, count(*) n_segments, cast(sum(greatest(coalesce(end_cs - start_cs, 0), 0)) as bigint) spoken_cs, cast(sum({WORDS("coalesce(text, '')")}) as bigint) n_words from labelled group by 1, 2)
+        select *, cast(floor(spoken_cs * 1000 / greatest(sum(spoken_cs) over (partition by video_id), 1)) as bigint) as time_permille, cast(floor(n_segments * 1000 / greatest(sum(n_segments) over (partition by video_id), 1)) as bigint) as segment_permille from b"""
+)
+def speaker_share(spark: SparkSession, d: str) -> DataFrame:
+    return speakers.shares(_labelled(spark, d))
+
+
+@query(
+    f"""with {SEG}, {LABELLED}, l as (select *, lag(label) over w before, lag(text) over w said from labelled window w as (partition by video_id order by start_cs, seg_index))
+        select video_id, seg_index, label, case when before = 'teacher' and contains(said, '?') and label = 'teacher' and not contains(coalesce(text, ''), '?') and {WORDS("coalesce(text, '')")} < 10 then 'student' else label end as refined from l"""
+)
+def flow_refine_lag(spark: SparkSession, d: str) -> DataFrame:
+    return speakers.refined(_labelled(spark, d)).select("video_id", "seg_index", "label", "refined")
+
+
+@query(
+    f"""with {SEG}, {LABELLED}, c as (select *, case when lag(label) over w is distinct from label then 1 else 0 end ch from labelled window w as (partition by video_id order by start_cs, seg_index)),
+        g as (select *, sum(ch) over (partition by video_id order by start_cs, seg_index rows unbounded preceding) g from c)
+        select video_id, label, min(start_cs) as from_cs, max(end_cs) as to_cs, count(*) as n_segments from g group by video_id, label, g"""
+)
+def speaker_timeline_islands(spark: SparkSession, d: str) -> DataFrame:
+    return speakers.timeline(_labelled(spark, d))
+
+
+@query(f"with {SEG}, {LABELLED} select video_id, count(distinct label) as n_speakers from labelled group by 1")
+def speakers_counted(spark: SparkSession, d: str) -> DataFrame:
+    return speakers.speakers_counted(_labelled(spark, d))
+
+
+@query(
+    f"""with {SEG}, b as (select video_id, cast(sum({WORDS("coalesce(text, '')")}) as bigint) n_words, cast(sum(greatest(coalesce(end_cs - start_cs, 0), 0)) as bigint) spoken_cs from seg group by 1)
+        select *, case when spoken_cs > 0 then cast(floor(n_words * 6000000 / spoken_cs) as bigint) end as milli_wpm from b"""
+)
+def pacing_wpm(spark: SparkSession, d: str) -> DataFrame:
+    return speakers.pacing(_segments(spark, d))
+
+
+@query(f"with {SEG}, p as (select video_id, seg_index, start_cs - lag(end_cs) over (partition by video_id order by start_cs, seg_index) as pause_cs from seg) select * from p where pause_cs >= 1")
+def pause_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return speakers.pauses(_segments(spark, d))
+
+
+@query(
+    """with w as (select row_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\n\\t\\r]+'), lambda w: w <> '') w, lower(coalesce(text, '')) t from results_qwen15b)
+       select row_id, cast(len(w) as int) as n_words, contains(t, '?') as is_question, cast(len(string_split(t, ',')) as int) as n_clauses, cast(len(list_distinct(w)) as int) as n_distinct,
+              cast(len(array_to_string(w, '')) as int) as n_letters, cast(contains(t, 'please') as int) + cast(contains(t, 'we ') as int) - cast(contains(t, 'why') as int) as marker_score from w"""
+)
+def speaker_features(spark: SparkSession, d: str) -> DataFrame:
+    f = speakers.features(table(spark, d, "results_qwen15b").select("row_id", "text"), ["please", "we "], ["why"])
+    return f.select("row_id", "n_words", "is_question", "n_clauses", "n_distinct", "n_letters", "marker_score")
+
+
+@query()
+def speaker_kmeans(spark: SparkSession, d: str) -> DataFrame:
+    """Roles by two clusters of the features; no SQL, as the clustering is iterative."""
+    f = speakers.features(_segments(spark, d), ["please", "we "], ["why"]).withColumn("q", F.col("is_question").cast("int"))
+    r = speakers.cluster_roles(f, ["n_words", "q", "n_clauses", "n_distinct", "n_letters", "marker_score"])
+    return r.select("video_id", "seg_index", "role")
+
+
+# Captions, plans and names
+
+
+@query(
+    f"""with {SEG}, g as (select *, row_number() over (partition by video_id order by start_cs, seg_index) n from seg where {STRIP("coalesce(text, '')")} <> '' and end_cs > start_cs)
+        select video_id, n, n || chr(10) || {CLOCK('start_cs', ',')} || ' --> ' || {CLOCK('end_cs', ',')} || chr(10) || {STRIP('text')} || chr(10) as cue from g where start_cs >= 0"""
+)
+def srt_lines(spark: SparkSession, d: str) -> DataFrame:
+    return render.captions(_segments(spark, d))
+
+
+@query(
+    f"""with {SEG}, g as (select *, row_number() over (partition by video_id order by start_cs, seg_index) n from seg where {STRIP("coalesce(text, '')")} <> '' and end_cs > start_cs)
+        select video_id, n, {CLOCK('start_cs', '.')} || ' --> ' || {CLOCK('end_cs', '.')} || chr(10) || {STRIP('text')} || chr(10) as cue from g where start_cs >= 0"""
+)
+def vtt_cues(spark: SparkSession, d: str) -> DataFrame:
+    return render.captions(_segments(spark, d), "vtt")
+
+
+@query(
+    f"""with {SEG}, h as (select video_id, chunk_num from chunked group by 1, 2), lines as (
+          select video_id, chunk_num, 0 part, unnest(range(0, 7)) line_no, unnest(['CHUNK ' || chunk_num || ' TRANSCRIPT', repeat('=', 60), '', 'Time range: ' || {CS('((chunk_num - 1) * 12000)')} || ' - ' || {CS('(chunk_num * 12000)')}, '', 'Segments with timestamps:', repeat('-', 40)]) line from h
+          union all select video_id, chunk_num, 1, seg_index, '[' || {CS('start_cs')} || ' - ' || {CS('coalesce(end_cs, start_cs)')} || '] ' || {STRIP("coalesce(text, '')")} from chunked)
+        select video_id, chunk_num, cast(part as int) as part, cast(line_no as int) as line_no, line from lines"""
+)
+def chunk_file_lines(spark: SparkSession, d: str) -> DataFrame:
+    return render.chunk_files(_chunked(spark, d))
+
+
+@query(
+    f"""with {SEG}, m as (select video_id, chunk_num, count(*) n from chunked group by 1, 2)
+        select video_id, chunk_num, cast(unnest(range(0, 9)) as int) line_no, unnest(['CHUNK ' || chunk_num || ' METADATA', repeat('=', 60), '', 'Chunk number: ' || chunk_num, 'Start time: ' || {CS('((chunk_num - 1) * 12000)')},
+               'Duration: 120.0 seconds (2.0 minutes)', 'Processing time: ' || (n // 10) || '.' || (n % 10) || ' seconds (' || ((n * 2 + 60) // 120 // 10) || '.' || ((n * 2 + 60) // 120 % 10) || ' minutes)', 'Language: N/A', 'Number of segments: ' || n]) line from m"""
+)
+def chunk_metadata_lines(spark: SparkSession, d: str) -> DataFrame:
+    c = _chunked(spark, d).groupBy("video_id", "chunk_num").agg(F.count("*").alias("n_segments"))
+    return render.chunk_metadata(c.select("video_id", "chunk_num", F.lit(12_000).cast("bigint").alias("duration_cs"), F.col("n_segments").alias("processing_tenths"), F.lit(None).cast("string").alias("language"), "n_segments"))
+
+
+@query(
+    f"""with {SEG}, {PARTS}, p as (select video_id, chunk_num, start_cs, (start_cs // 100) || '.' || lpad(cast(start_cs % 100 as varchar), 2, '0') a, (end_cs // 100) || '.' || lpad(cast(end_cs % 100 as varchar), 2, '0') b, row_number() over (partition by video_id, chunk_num order by start_cs, seg_index) - 1 i from parts where end_cs > start_cs)
+        select video_id, chunk_num, string_agg('[0:v]trim=start=' || a || ':end=' || b || ',setpts=PTS-STARTPTS[v' || i || '];[0:a]atrim=start=' || a || ':end=' || b || ',asetpts=PTS-STARTPTS[a' || i || ']', ';' order by i) || ';' || string_agg('[v' || i || '][a' || i || ']', '' order by i) || 'concat=n=' || count(*) || ':v=1:a=1[outv][outa]' as graph
+        from p where start_cs < 100000000 group by 1, 2"""
+)
+def filter_graph_render(spark: SparkSession, d: str) -> DataFrame:
+    """Filter graph of every chunk's selection."""
+    p = selection.parts_of(_selections(spark, d), ["video_id", "chunk_num"]).where("start is not null and start < 1000000")
+    g = p.groupBy("video_id", "chunk_num").agg(F.transform(F.sort_array(F.collect_list(F.struct("part_no", "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("r"))
+    return g.select("video_id", "chunk_num", render.filter_graph(F.col("r")).alias("graph"))
+
+
+@query(
+    """with b as (select distinct channel as base from documents where channel is not null), taken as (select base, base as name from b where hash(base) is not null and cast(right(base, 1) as int) < 5 union all select base, base || '_2' from b where cast(right(base, 1) as int) < 3)
+       select base, base || case when cast(right(base, 1) as int) < 3 then '_3' when cast(right(base, 1) as int) < 5 then '_2' else '' end as chosen from b"""
+)
+def unique_name_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    """Output names that don't exist yet, of every channel's."""
+    b = table(spark, d, "documents").where("channel is not null").select(F.col("channel").alias("base")).distinct()
+    last = F.right("base", F.lit(1)).try_cast("int")
+    taken = b.where(last < 5).select(F.col("base").alias("name")).unionByName(b.where(last < 3).select(F.concat("base", F.lit("_2")).alias("name")))
+    # A base's own number isn't a counter: names are matched whole.
+    named = taken.select("name", F.regexp_replace("name", "(?<=[0-9])_[0-9]$", "").alias("base"))
+    tried = b.join(named, "base", "left").groupBy("base").agg(F.collect_set("name").alias("t"))
+    names = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.when(i == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), i.cast("string"))))
+    return tried.select("base", F.get(F.filter(names, lambda x: ~F.array_contains("t", x)), F.lit(0)).alias("chosen"))
+
+
+@query(
+    r"""with c as (select video_id, k, 'IMG_' || video_id || e as name from videos, (select unnest(range(0, 4)) k, unnest(['.MP4', '.MOV', '.mp4', '.mov']) e)),
+        f as (select path, regexp_extract(path, '([^/]*)$', 1) as name from videos where path is not null)
+        select video_id, arg_min(path, (k, path)) as path from c join f using (name) group by 1"""
+)
+def candidate_semijoin(spark: SparkSession, d: str) -> DataFrame:
+    """Of every video's possible file names the first that exists."""
+    v = table(spark, d, "videos")
+    runs = v.select(F.concat(F.lit("2025-01-01_000000_IMG_"), F.col("video_id").cast("string")).alias("folder"), "video_id")
+    found = media.media_of_runs(runs, v.where("path is not null"))
+    return found.select(F.regexp_extract("folder", "([0-9]+)$", 1).cast("bigint").alias("video_id"), "path")
+
+
+@query("select row_id, case when instr(reasoning, '{') > 0 and regexp_matches(reasoning, '(?s)\{.*\}') then cast(round(cast(json_extract_string(regexp_extract(reasoning, '(?s)(\{.*\})', 1), '$.score') as double) * 10) as int) end as score_tenths from results_simplified where reasoning is not null")
+def json_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Scores out of the JSON that replies wrap in text."""
+    r = table(spark, d, "results_simplified").where("reasoning is not null")
+    return r.select("row_id", F.round(F.get_json_object(tx.json_object(F.col("reasoning")), "$.score").try_cast("double") * 10).cast("int").alias("score_tenths"))
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as int) as k from events")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("select doc_id, case when len(text) <= 200 then text else left(text, 100) || chr(10) || '...' || chr(10) || right(text, 100) end as cut, case when len(text) > 60 then left(text, 57) || '...' else text end as within from documents")
+def truncate_smart(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", tx.smart_cut(F.col("text"), 200).alias("cut"), tx.cut_within(F.col("text"), 60).alias("within"))
+
+
+@query("select doc_id, left(sha256(concat_ws('_', text, 'summary', 'model-a')), 16) as cache_key from documents")
+def cache_key(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", tx.cache_key(F.col("text"), "summary", "model-a").alias("cache_key"))
+
+
+# Topics
+
+
+@query(
+    """with t as (select row_id, list_sort(list_distinct(technical_terms)) l from results_simplified where technical_terms is not null), p as (select row_id, unnest(l) a, l from t),
+       q as (select row_id, a, unnest(l) b from p) select a as topic_a, b as topic_b, count(distinct row_id) as n from q where a < b group by 1, 2 having count(distinct row_id) >= 2"""
+)
+def topic_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    return topics.cooccurring(table(spark, d, "results_simplified"), "row_id", "technical_terms")
+
+
+@query("select t as topic, count(distinct video_id) as n from (select video_id, unnest(technical_terms) t from results_simplified) where t is not null and video_id is not null group by 1 having count(distinct video_id) >= 2")
+def common_topics(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "results_simplified").where("video_id is not null").select("video_id", F.explode("technical_terms").alias("topic"))
+    return topics.common(t, "video_id", "topic")
+
+
+@query(
+    """with v as (select label, vec_id, list_transform(embedding, lambda x: cast(x as double)) e, lag(list_transform(embedding, lambda x: cast(x as double))) over (partition by label order by vec_id) p from embeddings)
+       select vec_id, cast(floor(list_cosine_similarity(p, e) * 1000000 + 0.5) as bigint) as similarity_ppm from v"""
+)
+def topic_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of each embedding with the one before it of its label."""
+    s = topics.drift(table(spark, d, "embeddings"), ["label"], ["vec_id"], "embedding", width=10_000)
+    return s.select("vec_id", F.floor(F.col("similarity") * 1000000 + 0.5).alias("similarity_ppm"))
+
+
+@query(
+    """with v as (select label, vec_id, list_transform(embedding, lambda x: cast(x as double)) e, lag(list_transform(embedding, lambda x: cast(x as double))) over (partition by label order by vec_id) p from embeddings),
+       c as (select label, vec_id, case when list_cosine_similarity(p, e) < 0.05 then 1 else 0 end c from v)
+       select vec_id, cast(1 + sum(c) over (partition by label order by vec_id rows unbounded preceding) as bigint) as chapter from c"""
+)
+def chapter_markers(spark: SparkSession, d: str) -> DataFrame:
+    return topics.chapters(table(spark, d, "embeddings"), ["label"], ["vec_id"], "embedding", below=0.05, width=10_000).select("vec_id", "chapter")
+
+
+@query(
+    """with n as (select video_id, seg_index, primary_language l, count(*) v from results_simplified where video_id is not null and seg_index is not null and primary_language is not null group by 1, 2, 3)
+       select video_id, seg_index, l as primary_language, v as votes from (select *, row_number() over (partition by video_id, seg_index order by v desc, l) k from n) where k = 1"""
+)
+def ensemble_vote(spark: SparkSession, d: str) -> DataFrame:
+    """The language most deliveries of a segment name."""
+    r = table(spark, d, "results_simplified").where("video_id is not null and seg_index is not null")
+    return topics.voted(r, ["video_id", "seg_index"], "primary_language")
+
+
+@query(
+    """select user_id, event_type, event_id, k as rank_no from (select *, row_number() over (partition by user_id, event_type order by value desc, event_id) k from events
+       where user_id is not null and event_type is not null and value is not null and not isnan(value)) where k <= 2"""
+)
+def best_per_source(spark: SparkSession, d: str) -> DataFrame:
+    """The two highest events of every user and type."""
+    best = top_n(table(spark, d, "events"), ["user_id", "event_type"], "value", ["event_id"], 2, width=1.0)
+    return best.select("user_id", "event_type", "event_id", F.col("rank_no").cast("bigint").alias("rank_no"))
+
+
+# Models, dry
+
+
+@query(
+    """with v as (select video_id, duration from videos where duration is not null and not isnan(duration) and duration > 0), n as (select *, case when duration <= 120 then 1 else cast(ceil(duration / 120) as bigint) end n from v),
+       c as (select video_id, duration, cast(unnest(generate_series(1, n)) as bigint) chunk_num from n)
+       select video_id, chunk_num, cast(floor(least(120.0, duration - (chunk_num - 1) * 120.0) / 4.0) as bigint) as n_segments from c where floor(least(120.0, duration - (chunk_num - 1) * 120.0) / 4.0) > 0"""
+)
+def transcription_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of every video through the stub model."""
+    plan = adapters.plan_chunks(table(spark, d, "videos"))
+    made = adapters.transcribed(plan, [("stub", adapters.stub_transcriber)])
+    return made.groupBy("video_id", "chunk_num").agg(F.count("*").alias("n_segments"))

@@ -1,0 +1 @@
+"""The same results, incrementally."""
