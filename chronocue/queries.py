@@ -75,7 +75,7 @@ SEG = """seg as (
 chunked as (select *, start_cs // 12000 + 1 as chunk_num, start_cs % 12000 as rel_start_cs, end_cs - start_cs // 12000 * 12000 as rel_end_cs from seg)"""
 CS = lambda c: f"({c} // 6000) || ':' || lpad(cast({c} % 6000 // 100 as varchar), 2, '0') || '.' || lpad(cast({c} % 100 as varchar), 2, '0')"
 CLOCK = lambda c, p: f"lpad(cast({c} // 360000 as varchar), cast(greatest(2, len(cast({c} // 360000 as varchar))) as int), '0') || ':' || lpad(cast({c} // 6000 % 60 as varchar), 2, '0') || ':' || lpad(cast({c} // 100 % 60 as varchar), 2, '0') || '{p}' || lpad(cast({c} % 100 * 10 as varchar), 3, '0')"
-STRIP = lambda c: f"regexp_replace({c}, '^[\\\\s\\\\pZ\\\\x0b\\\\x85]+|[\\\\s\\\\pZ\\\\x0b\\\\x85]+$', '', 'g')"
+STRIP = lambda c: f"regexp_replace({c}, '^[\\s\\pZ\\x0b\\x85]+|[\\s\\pZ\\x0b\\x85]+$', '', 'g')"
 WORDS = lambda c: f"len(list_filter(string_split_regex({c}, '[ \\n\\t\\r]+'), lambda w: w <> ''))"
 
 
