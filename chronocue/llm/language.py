@@ -65,7 +65,8 @@ class LanguageModel:
     centroids: np.ndarray
     languages: list[str]
     reject_below: float = 0.12
-    change_cost: float = 0.75
+    change_cost: float = 1.0
+    settle: float = 0.2
     known: dict[str, tuple] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
@@ -108,6 +109,15 @@ class LanguageModel:
         other = max((x for i, x in enumerate(c) if i != k), default=0.0)
         return self.codes[k], float((c[k] - other) / c[k])
 
+    def _settled(self, words: list[str], code: str | None, lead: float, others: set[str]) -> tuple[str | None, float]:
+        """A stretch's language, or another one of its text if that is as near but for ``settle``: related languages share words."""
+        if code is None:
+            return code, lead
+        c = self.cosines(words)
+        own = c[self.codes.index(code)]
+        best = max((x for x in others), key=lambda x: c[self.codes.index(x)])
+        return (best, 0.0) if (own - c[self.codes.index(best)]) / own < self.settle else (code, lead)
+
     def stretches(self, words: list[str]) -> list[tuple[int, int, str]]:
         """(from, to, language) of the stretches of a text, without rejection."""
         s = np.array([self.of_word(w)[1] for w in words])
@@ -157,8 +167,11 @@ class LanguageModel:
                 long.append(words[a - loose if a == loose else a : b])
                 loose = 0
         by: dict[str, list] = {}
-        for ws in long or [words]:
-            code, lead = self.nearest(ws)
+        near = [self.nearest(ws) for ws in long] if long else [self.nearest(words)]
+        found = {code for code, _ in near if code is not None}
+        if len(found) > 1:
+            near = [self._settled(ws, *x, found - {x[0]}) for ws, x in zip(long, near)]
+        for ws, (code, lead) in zip(long or [words], near):
             if code is not None:
                 x = by.setdefault(code, [0, 0.0])
                 x[0] += len(ws)
