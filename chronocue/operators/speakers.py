@@ -81,7 +81,7 @@ def timeline(rows: DataFrame, video: str = "video_id", label: str = "label", sla
     """
     key = F.floor(F.col("start_cs") / slab_cs)
     w = Window.partitionBy(video, "slab").orderBy("start_cs", "seg_index")
-    r = rows.withColumn("slab", key).withColumn("__new", F.coalesce((~F.lag(label).over(w).eqNullSafe(F.col(label))).cast("int"), F.lit(1)))
+    r = rows.withColumn("slab", key).withColumn("__new", ((F.row_number().over(w) == 1) | ~F.lag(label).over(w).eqNullSafe(F.col(label))).cast("int"))
     runs = (
         r.withColumn("run", F.sum("__new").over(w)).groupBy(video, "slab", "run")
         .agg(F.first(label).alias(label), F.min("start_cs").alias("from_cs"), F.max("end_cs").alias("to_cs"), F.count("*").alias("n_segments"))

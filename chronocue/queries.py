@@ -694,7 +694,7 @@ def candidate_semijoin(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.regexp_extract("folder", "([0-9]+)$", 1).cast("bigint").alias("video_id"), "path")
 
 
-@query("select row_id, case when instr(reasoning, '{') > 0 and regexp_matches(reasoning, '(?s)\{.*\}') then cast(round(cast(json_extract_string(regexp_extract(reasoning, '(?s)(\{.*\})', 1), '$.score') as double) * 10) as int) end as score_tenths from results_simplified where reasoning is not null")
+@query(r"select row_id, case when instr(reasoning, '{') > 0 and regexp_matches(reasoning, '(?s)\{.*\}') then cast(round(cast(json_extract_string(regexp_extract(reasoning, '(?s)(\{.*\})', 1), '$.score') as double) * 10) as int) end as score_tenths from results_simplified where reasoning is not null")
 def json_extract(spark: SparkSession, d: str) -> DataFrame:
     """Scores out of the JSON that replies wrap in text."""
     r = table(spark, d, "results_simplified").where("reasoning is not null")

@@ -6,6 +6,7 @@ unless a probe asks for it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,8 +35,11 @@ def _folder(path: Column) -> Column:
 
 def listing(spark: SparkSession, base: str, recursive: bool = True) -> DataFrame:
     """path, modified, length of the files under a folder."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return r.load(base if recursive else f"{base}/*").select("path", F.col("modificationTime").alias("modified"), "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", F.col("modificationTime").alias("modified"), "length")
+    if recursive:
+        return files
+    own = "/" + re.sub(r"^[A-Za-z0-9]+:/*", "", base).strip("/")
+    return files.where(F.regexp_replace(_folder(F.col("path")), "^[A-Za-z0-9]+:/*", "/") == own)
 
 
 def media_info(files: DataFrame, probe: Callable[[str], float | None] | None = None) -> DataFrame:

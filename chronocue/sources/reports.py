@@ -23,7 +23,7 @@ summaries struct<
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text: one row a file."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def segment_csv(spark: SparkSession, path: str) -> DataFrame:
