@@ -14,14 +14,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import map_rows, with_key
 from .forms import form
 from .speech import Labels, pieces, words_of
 
@@ -284,22 +283,17 @@ def languages(rows: DataFrame, model: LanguageModel, key: str, text: str = "text
     count as words, nor do speaker labels that ``labels`` resolves.
     """
     shared = rows.sparkSession.sparkContext.broadcast((model, labels))
-    kind = dict(rows.dtypes)[key]
-    schema = f"`{key}` {kind}, lang string, confidence double, words int, spoken int, n_languages int, labelled string"
+    schema = with_key(rows, key, "lang string", "confidence double", "words integer", "spoken integer", "n_languages integer", "labelled string")
 
-    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         m, known = shared.value
-        for b in batches:
-            out = []
-            for k, t, label_ in zip(b[key], b["__text"], b["__label"]):
-                if not isinstance(t, str):
-                    continue
-                words = [w for _, ws in pieces(t, known) for w in ws]
-                own = m.languages_of(words, least)
-                for code, confidence, n in own:
-                    out.append((k, code, confidence, n, len(words), len(own), named_language(label_) if isinstance(label_, str) else None))
-            yield pd.DataFrame(out, columns=[key, "lang", "confidence", "words", "spoken", "n_languages", "labelled"])
 
-    picked = rows.select(key, F.col(text).alias("__text"), (F.col(label) if label else F.lit(None).cast("string")).alias("__label")).where("__text is not null")
-    return picked.mapInPandas(apart, schema)
+        def one(k, t, label_):
+            words = [w for _, ws in pieces(t, known) for w in ws]
+            own = m.languages_of(words, least)
+            return [(k, code, confidence, n, len(words), len(own), named_language(label_)) for code, confidence, n in own]
+
+        return one
 
+    picked = rows.select(key, F.col(text).alias("__text"), (F.col(label) if label else F.lit(None).cast("string")).alias("__label")).where("__text is not null")
+    return map_rows(picked, start, schema)

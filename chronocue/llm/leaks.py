@@ -20,13 +20,12 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import map_rows, with_key
 from .forms import look
 
 LEAST = 12
@@ -150,20 +149,21 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item: str
     picked = items.select(F.col(item).alias("k"), F.col(text).alias("t")).where("t is not null")
     size = picked.select(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-size // (BLOCK_WORDS * 6)))
-    kind, item_kind = dict(documents.dtypes)[key], dict(items.dtypes)[item]
-    schema = f"`{key}` {kind}, `{item}` {item_kind}, tiles int, longest int, coverage double"
+    schema = with_key(documents, key).add(item, items.schema[item].dataType).add("tiles", "integer").add("longest", "integer").add("coverage", "double")
     docs = documents.select(key, F.col(text).alias("__text")).where(F.length("__text") > 0)
     result = None
     for n in range(blocks):
         own = picked.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == n) if blocks > 1 else picked
         shared = spark.sparkContext.broadcast(Items([(r["k"], r["t"]) for r in own.orderBy("k", "t").collect()], least))
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def start(shared=shared):
             index = shared.value
-            for b in batches:
-                rows = [(d, *x) for d, t in zip(b[key], b["__text"]) for x in index.tiles(words_of(t)) if x[3] >= least_cover]
-                yield pd.DataFrame(rows, columns=[key, item, "tiles", "longest", "coverage"])
 
-        one = docs.mapInPandas(scan, schema)
+            def one(d, t):
+                return [(d, *x) for x in index.tiles(words_of(t)) if x[3] >= least_cover]
+
+            return one
+
+        one = map_rows(docs, start, schema)
         result = one if result is None else result.unionByName(one)
     return result

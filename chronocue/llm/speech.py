@@ -24,7 +24,7 @@ _WORD = re.compile(rf"{_W}+(?:['’\-]{_W}+)*")
 _TOKEN_BEFORE = re.compile(r"[^\s:>\[\]()<]+$")
 #: Hesitation sounds of the eight languages, by sound: drawn-out vowels and hums.
 _HESITATION = re.compile(
-    r"u+h*m*|u+m+|uh+m*|e+r+m*|h+m+|hu+m+|m+h*|mhm|a+h+m?|e+h+m?|e+u+h+|ä+h*m*|h[ãa]|ã+h?|a+hn+|o+h"
+    r"u+h*m*|u+m+|uh+m*|e+r+m+|er{2,}|h+m+|hu+m+|m+h*|mhm|a+h+m?|e+h+m?|e+u+h+|ä+h*m*|hã+|ã+h?|a+hn+|o+h"
     r"|э+м*|э+-э+|м+|а-а+|א+ה+|א+מ+|ה+מ+|מ{2,}|ا?آ+ه+|ا+ه+|ا+م+|ه+م+|م{2,}"
 )
 _MARK = re.compile(r"(?:>>+|-+>?|–|—|\|)$")

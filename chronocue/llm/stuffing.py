@@ -5,9 +5,9 @@ caption, hashtags and priced product entries are known by their shape. Of the
 rest, blocks of words are compressed: a block whose compression ratio lies far
 under what text of its length and script needs is redundant to a degree that
 prose isn't. As a recogniser that repeats a spoken sentence writes redundant
-blocks too, whole sentences, ended by sentence punctuation or standing alone
-on a line with no phrase repeated inside, that come again unchanged are taken
-out before and count as what their first copy counts as. Redundancy is
+blocks too, a whole sentence of five words or more, without a pair of words
+that comes twice inside, that follows itself, or with one other between, is
+taken out before and counts as what its first copy counts as. Redundancy is
 confirmed on the words: most of a stuffed line lies in short phrases that the
 block repeats in other company.
 
@@ -19,12 +19,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import map_rows, with_key
 from .forms import form
 
 LINK = re.compile(r"(?:https?://|www\.)\S+", re.IGNORECASE)
@@ -66,7 +65,7 @@ def repeated_share(words: list[str], least: int = 3) -> list[bool]:
     pairs = Counter(zip(words, words[1:]))
     often = [pairs[p] >= least for p in zip(words, words[1:])]
     single = Counter(words)
-    return [(i < len(often) and often[i]) or (i > 0 and often[i - 1]) or single[w] > max(least, len(words) // 6) for i, w in enumerate(words)]
+    return [(i < len(often) and often[i]) or (i > 0 and often[i - 1]) or single[w] > max(least, len(words) // 4) for i, w in enumerate(words)]
 
 
 def measures(text: str | None, redundant_below: float = 0.72, share: float = 0.6) -> dict[str, float]:
@@ -75,7 +74,6 @@ def measures(text: str | None, redundant_below: float = 0.72, share: float = 0.6
     if not text:
         return out
     rest: list[tuple[list[str], int, bool]] = []  # words, copies, whether a sentence
-    seen: dict[tuple[str, ...], int] = {}
     for line in re.split(r"[\n\r\u2028\u2029]+", text):
         line = _BULLET.sub("", form(line))
         if not line:
@@ -109,11 +107,10 @@ def measures(text: str | None, redundant_below: float = 0.72, share: float = 0.6
                 if not w:
                     continue
                 out["ends"] += ended
-                key = tuple(w)
-                if key in seen and len(w) >= 5:
-                    rest[seen[key]] = (w, rest[seen[key]][1] + 1, ended)
+                if w in (x[0] for x in rest[-2:]) and len(w) >= 5 and len(set(zip(w, w[1:]))) == len(w) - 1:
+                    k = -1 if rest[-1][0] == w else -2
+                    rest[k] = (w, rest[k][1] + 1, ended)
                     continue
-                seen.setdefault(key, len(rest))
                 rest.append((w, 1, ended))
     block: list[tuple[list[str], int, bool]] = []
     size = 0
@@ -158,18 +155,15 @@ def stuffed_pages(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     One pass over the documents without a shuffle; repeated rows count each.
     """
-    kind = dict(documents.dtypes)[key]
     names = ["words", "links", "hashtags", "entries", "keywords", "ends", "redundancy"]
-    schema = f"`{key}` {kind}, share double, " + ", ".join(f"{n} double" for n in names)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, t in zip(b[key], b["__text"]):
-                m = measures(t)
-                s = stuffed_share(m)
-                if s > more_than:
-                    rows.append((k, s, *(float(m[n]) for n in names)))
-            yield pd.DataFrame(rows, columns=[key, "share", *names])
-
-    return documents.select(key, F.col(text).alias("__text")).where(F.length("__text") > 0).mapInPandas(scan, schema)
+
+    def start():
+        def one(k, t):
+            m = measures(t)
+            share = stuffed_share(m)
+            return [(k, share, *(float(m[n]) for n in names))] if share > more_than else []
+
+        return one
+
+    picked = documents.select(key, F.col(text).alias("__text")).where(F.length("__text") > 0)
+    return map_rows(picked, start, with_key(documents, key, "share double", *[f"{n} double" for n in names]))
