@@ -139,3 +139,20 @@ def run_commands(commands: DataFrame, key: str, command: str, run: Callable[[lis
             yield pd.DataFrame({"key": b["key"], "code": pd.Series(codes, dtype="int32")})
 
     return commands.select(F.col(key).alias("key"), F.col(command).alias("c")).mapInPandas(each, f"key {kind}, code int").withColumnRenamed("key", key)
+
+
+def normalised_chunks(rows: DataFrame, keys: list[str], chunks: str, start: str) -> DataFrame:
+    """keys, seg_index, start, end, text of recogniser chunks (array of struct(timestamp array<double>, text)).
+
+    A chunk without both times gets the pass's start and thirty seconds; times
+    count from the pass's start.
+    """
+    r = rows.select(*keys, F.col(start).alias("__s"), F.posexplode(chunks).alias("seg_index", "c"))
+    a, b = F.get("c.timestamp", F.lit(0)), F.get("c.timestamp", F.lit(1))
+    timed = (F.size("c.timestamp") == 2) & a.isNotNull() & b.isNotNull()
+    return r.select(*keys, "seg_index", F.when(timed, F.col("__s") + a).otherwise(F.col("__s")).alias("start"), F.when(timed, F.col("__s") + b).otherwise(F.col("__s") + 30).alias("end"), F.col("c.text").alias("text"))
+
+
+def audio_command(path: Column, output: Column) -> Column:
+    """Arguments that extract a medium's sound as mono 16 kHz."""
+    return F.array(F.lit("ffmpeg"), F.lit("-y"), F.lit("-i"), path, F.lit("-vn"), F.lit("-ac"), F.lit("1"), F.lit("-ar"), F.lit("16000"), output)

@@ -59,3 +59,17 @@ def first_suggestion(suggestions: DataFrame, key: str, order: str) -> DataFrame:
     """The first suggestion of each text."""
     w = Window.partitionBy(key).orderBy(order)
     return suggestions.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def clustered(ranges: DataFrame, key: list[str], start: str = "start_cs", end: str = "end_cs", within_cs: int = 1000, slab: float = 60_000) -> DataFrame:
+    """Ranges with ``cluster``, from 1: a range starts a new one where it begins more than within_cs after all before it have ended."""
+    from .sweep import with_running_sum
+
+    # The latest end so far, by slab: within it by a window, before it from one row a slab.
+    r = ranges.where(F.col(start).isNotNull()).withColumn("__slab", F.floor(F.col(start) / slab)).withColumn("__e", F.greatest(start, end)).withColumn("__id", F.xxhash64(*ranges.columns))
+    w = Window.partitionBy(*key, "__slab").orderBy(start, "__e", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    reach = r.groupBy(*key, "__slab").agg(F.max("__e").alias("m"))
+    reach = reach.select(*key, "__slab", F.max("m").over(Window.partitionBy(*key).orderBy("__slab").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    o = r.join(reach, [*key, "__slab"]).withColumn("__ended", F.greatest(F.max("__e").over(w), "__carry"))
+    o = o.withColumn("__new", F.coalesce((F.col(start) - F.col("__ended") > within_cs).cast("int"), F.lit(1)))
+    return with_running_sum(o, key, [start, "__e", "__id"], F.col("__new"), slab, "cluster").select(*ranges.columns, "cluster")

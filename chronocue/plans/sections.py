@@ -169,3 +169,13 @@ def run_directory(name: Column) -> Column:
     return F.when(name.rlike(r"^[^_]*_[^_]*_"), F.struct(at(1).alias("run_date"), at(2).alias("run_time"), at(3).alias("video")))
 
 
+
+
+def analysis_documents(texts: DataFrame, key: str, text: str, strict: bool = True) -> DataFrame:
+    """key, document: the parsed analysis as one nested struct with counts, null where a text has no section."""
+    p = parse_analysis(texts, key, text, strict)
+    doc = F.struct(
+        F.struct(F.col("summary").alias("text"), F.length("summary").alias("n_chars")).alias("summary"), F.struct(F.col("topics").alias("items"), F.size("topics").alias("n")).alias("topics"),
+        F.struct(F.col("hashtags").alias("items"), F.size("hashtags").alias("n")).alias("hashtags"), F.struct(F.col("reels").alias("items"), F.size("reels").alias("n")).alias("reels"),
+    )
+    return texts.select(key).join(p.select(key, doc.alias("document")), key, "left")

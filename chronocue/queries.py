@@ -785,3 +785,102 @@ def transcription_plan(spark: SparkSession, d: str) -> DataFrame:
     plan = adapters.plan_chunks(table(spark, d, "videos"))
     made = adapters.transcribed(plan, [("stub", adapters.stub_transcriber)])
     return made.groupBy("video_id", "chunk_num").agg(F.count("*").alias("n_segments"))
+
+
+# Reports as lines
+
+
+@query(
+    f"""with {SEG}, t as (select video_id, chunk_num, count(*) n, max(chunk_num) over (partition by video_id) newest from chunked group by 1, 2),
+        b as (select *, ['CHUNK ' || chunk_num || ' ANALYSIS (Individual)', 'Time: ' || {CS('((chunk_num - 1) * 12000)')} || ' - ' || {CS('(chunk_num * 12000)')}, repeat('─', 70), 'Summary: ' || n || ' segments', '', 'Topics:', '  • t' || n, '', repeat('═', 70)] l from t)
+        select video_id, case when chunk_num = newest then 0 else 1 end as part, chunk_num, cast(unnest(range(0, 9)) as int) as line_no, unnest(l) as line from b"""
+)
+def progressive_summary_lines(spark: SparkSession, d: str) -> DataFrame:
+    c = _chunked(spark, d).groupBy("video_id", "chunk_num").agg(F.count("*").alias("n"))
+    n = F.col("n").cast("string")
+    return render.progressive_summary(c.select("video_id", "chunk_num", F.concat(n, F.lit(" segments")).alias("summary"), F.array(F.concat(F.lit("t"), n)).alias("topics")))
+
+
+@query(
+    f"""with {SEG}, {PARTS}, s as (select video_id, seg_index as item, {CS('start_cs')} || ' - ' || {CS('end_cs')} as r from parts),
+        l as (select *, ['SEGMENT ' || item, 'Time: ' || r, 'Why: because', '', 'Cut: --video v.mp4 --ranges "' || replace(replace(r, ' - ', '-'), ' ', '') || '"', repeat('─', 70), ''] l from s)
+        select video_id, item, cast(unnest(range(0, 7)) as int) as line_no, unnest(l) as line from l"""
+)
+def suggested_reel_lines(spark: SparkSession, d: str) -> DataFrame:
+    c = _chunked(spark, d).where("start_cs >= 0 and seg_index % 4 = 0")
+    end = F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")
+    s = c.select("video_id", F.col("seg_index").alias("item"), F.concat(tc.format_cs(F.col("start_cs")), F.lit(" - "), tc.format_cs(end)).alias("time_range"), F.lit("because").alias("reason"), F.lit("v.mp4").alias("path"))
+    return render.suggested_reels(s, "video_id")
+
+
+@query(
+    """with h as (select distinct video_id from results_qwen15b where video_id is not null and value_score is not null and not isnan(value_score)),
+       s as (select video_id, cast(least(floor(round(value_score * 1000) / 200), 4) as int) b, row_id, cast(round(value_score * 1000) as bigint) m, seg_index,
+               case when not isnan(start_seconds) and not isnan(end_seconds) then cast(round(start_seconds * 100) as bigint) end a, cast(round(case when isnan(end_seconds) then null else end_seconds end * 100) as bigint) z, text
+             from results_qwen15b where video_id is not null and value_score is not null and not isnan(value_score)),
+       bins as (select h.video_id, e.b, e.bin, count(s.b) n from h cross join (select unnest([0, 1, 2, 3, 4]) b, unnest(['0.0-0.2', '0.2-0.4', '0.4-0.6', '0.6-0.8', '0.8-1.0']) bin) e left join s on s.video_id = h.video_id and s.b = e.b group by 1, 2, 3),
+       t as (select * from (select *, row_number() over (partition by video_id order by m desc, row_id) k from s where m >= 500 and a >= 0 and z >= 0) where k <= 3),
+       lines as (
+         select video_id, 0 part, unnest([0, 1, 2]) line_no, unnest(['=== DETAILED ANALYSIS REPORT ===', '', 'SCORE DISTRIBUTION']) line from h
+         union all select video_id, 1, b * 2, '  ' || bin || ': ' || n || ' segments' from bins
+         union all select video_id, 2, unnest([0, 1]), unnest(['', 'TOP SEGMENTS']) from (select distinct video_id from t)
+         union all select video_id, 3, k * 2, k || '. Score: ' || ((m + 5) // 10 // 100) || '.' || lpad(cast((m + 5) // 10 % 100 as varchar), 2, '0') || ' | ' || (a // 6000) || ':' || lpad(cast(a % 6000 // 100 as varchar), 2, '0') || '-' || (z // 6000) || ':' || lpad(cast(z % 6000 // 100 as varchar), 2, '0') from t
+         union all select video_id, 3, k * 2 + 1, '   Text: ' || case when len(text) > 100 then left(text, 100) || '...' else coalesce(text, '') end from t)
+       select video_id, cast(part as int) as part, cast(line_no as int) as line_no, line from lines"""
+)
+def analysis_report_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Histogram and three top segments of every video, as lines."""
+    r = table(spark, d, "results_qwen15b").where("video_id is not null and value_score is not null and not isnan(value_score)")
+    s = r.select("video_id", "row_id", "text", F.round(F.col("value_score") * 1000).cast("bigint").alias("score_milli"), tc.to_cs(F.col("start_seconds")).alias("start_cs"), tc.to_cs(F.col("end_seconds")).alias("end_cs"))
+    top = top_n(s.where("score_milli >= 500 and start_cs >= 0 and end_cs >= 0").withColumn("m", F.col("score_milli").cast("double")), ["video_id"], "m", ["row_id"], 3, width=16.0)
+    return render.analysis_report(scoring.histogram(r, ["video_id"]), top, ["video_id"])
+
+
+@query(
+    """with m as (select video_id, case when value_score is not null and not isnan(value_score) then cast(round(value_score * 1000) as bigint) end m from results_qwen15b where video_id is not null),
+       s as (select video_id, count(*) t, count(*) filter (m >= 500) h, cast(floor(count(*) filter (m >= 500) * 1000 / count(*)) as bigint) p, cast(floor(sum(m) / count(m)) as bigint) a, min(m) lo, max(m) hi from m group by 1)
+       select video_id, cast(unnest([0, 1, 2, 3]) as int) as line_no, unnest(['=== CONTENT EXTRACTION SUMMARY ===', 'Total Segments: ' || t, 'High-Value Segments: ' || h, 'Success Rate: ' || (p // 10) || '.' || (p % 10) || '%']) as line from s
+       union all select video_id, 4, 'Average Score: ' || coalesce(((a + 5) // 10 // 100) || '.' || lpad(cast((a + 5) // 10 % 100 as varchar), 2, '0'), 'N/A') from s
+       union all select video_id, 5, 'Score Range: ' || coalesce(((lo + 5) // 10 // 100) || '.' || lpad(cast((lo + 5) // 10 % 100 as varchar), 2, '0'), 'N/A') || ' - ' || coalesce(((hi + 5) // 10 // 100) || '.' || lpad(cast((hi + 5) // 10 % 100 as varchar), 2, '0'), 'N/A') from s"""
+)
+def run_summary_lines(spark: SparkSession, d: str) -> DataFrame:
+    return render.run_summary(scoring.summary(table(spark, d, "results_qwen15b").where("video_id is not null"), ["video_id"]), ["video_id"])
+
+
+@query(
+    """with e as (select report_id, s.start_time a, s.end_time b, count(*) n from (select report_id, unnest(segments.evaluated) s from (select distinct on (report_id) * from reels_extraction_20250825_215033_complete)) group by 1, 2, 3),
+       h as (select report_id, s.start_time a, s.end_time b, count(*) n from (select report_id, unnest(segments.high_value) s from (select distinct on (report_id) * from reels_extraction_20250825_215033_complete)) group by 1, 2, 3)
+       select count(*) as n_missing from h left join e on h.report_id = e.report_id and h.a is not distinct from e.a and h.b is not distinct from e.b where e.n is null or e.n < h.n"""
+)
+def high_value_subset(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the reports' high-value segments aren't among their evaluated ones."""
+    r = table(spark, d, REPORTS)
+
+    def part(name: str) -> DataFrame:
+        s = r.select("report_id", F.posexplode(f"segments.{name}").alias("i", "s")).groupBy("report_id", "i").agg(F.min(F.struct("s.start_time", "s.end_time")).alias("s"))
+        return s.groupBy("report_id", F.col("s.start_time").alias("a"), F.col("s.end_time").alias("b")).agg(F.count("*").alias(name))
+
+    h, e = part("high_value"), part("evaluated")
+    both = h.join(e.withColumnsRenamed({"report_id": "r", "a": "x", "b": "y"}), (F.col("report_id") == F.col("r")) & F.col("a").eqNullSafe(F.col("x")) & F.col("b").eqNullSafe(F.col("y")), "left")
+    return both.agg(F.count_if(F.coalesce("evaluated", F.lit(0)) < F.col("high_value")).alias("n_missing"))
+
+
+@query(
+    f"""with {SEG}, c as (select *, case when start_cs - max(greatest(start_cs, coalesce(end_cs, start_cs))) over (partition by video_id order by start_cs, seg_index rows between unbounded preceding and 1 preceding) > 300 then 1 else 0 end g,
+          row_number() over (partition by video_id order by start_cs, seg_index) k from seg)
+        select video_id, count(*) filter (k = 1 or g = 1) as n_clusters from c group by 1"""
+)
+def time_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of segments with at most three seconds of silence inside."""
+    c = selection.clustered(_segments(spark, d), ["video_id"], within_cs=300)
+    return c.groupBy("video_id").agg(F.max("cluster").alias("n_clusters"))
+
+
+@query(
+    f"""with {LINES}, t as (select doc_id, count(*) filter (section = 'topics' and substr(line, 1, 1) in ('-', '•') and regexp_replace(substr(line, 2), '^[\\\\s\\\\pZ]+|[\\\\s\\\\pZ]+$', '', 'g') <> '') n_topics from body group by 1)
+        select d.doc_id, t.doc_id is not null as parsed, cast(t.n_topics as int) as n_topics from documents d left join t on d.doc_id = t.doc_id"""
+)
+def analysis_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a nested analysis where it has sections."""
+    a = sections.analysis_documents(_documents(spark, d), "doc_id", "text")
+    return a.select("doc_id", F.col("document").isNotNull().alias("parsed"), F.col("document.topics.n").alias("n_topics"))

@@ -173,3 +173,57 @@ def run_directory_name(started: Column, path: Column, collides: Column | None =
 def write_files(frame: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
     """One text file a key: lines of a key meet in one task in order. A key is one report, bounded by its medium."""
     frame.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, F.col("line").alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
+
+
+def reel_metadata(reels: DataFrame, parts: DataFrame) -> DataFrame:
+    """Lines of a reel's metadata file: reel_id, part, line_no, line of reels (reel_id, title, narrative, path, total_s) and their parts (reel_id, part_no, time_range, reason)."""
+    head = reels.select(
+        "reel_id", _lit("0").cast("int").alias("part"),
+        _numbered([
+            _lit("REEL METADATA"), _lit(HEAVY), F.concat(_lit("Source: "), F.coalesce("path", _lit(""))), F.concat(_lit("Title: "), F.coalesce("title", _lit(""))),
+            F.concat(_lit("Narrative: "), F.coalesce("narrative", _lit(""))), F.concat(_lit("Total duration: "), F.col("total_s").cast("string"), _lit("s")), _lit(""), _lit("Segments:"),
+        ]).alias("line_no", "line"),
+    )
+    body = parts.select("reel_id", _lit("1").cast("int").alias("part"), F.col("part_no").cast("int").alias("line_no"), F.concat(F.col("part_no").cast("string"), _lit(". ["), F.col("time_range"), _lit("] "), F.coalesce("reason", _lit(""))).alias("line"))
+    return head.unionByName(body)
+
+
+def hundredths(milli: Column) -> Column:
+    """Thousandths as a number of two decimals, the half up."""
+    c = F.floor((milli + 5) / 10)
+    return F.concat(F.floor(c / 100).cast("string"), _lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
+
+
+def analysis_report(histogram: DataFrame, top: DataFrame, key: list[str]) -> DataFrame:
+    """Lines of the analysis report: key, part, line_no, line of a histogram (key, bin, n) and the top segments (key, rank_no, score_milli, start_cs, end_cs, text). Without top segments their section is left out."""
+    title = histogram.select(*key).distinct().select(*key, _lit("0").cast("int").alias("part"), _numbered([_lit("=== DETAILED ANALYSIS REPORT ==="), _lit(""), _lit("SCORE DISTRIBUTION")]).alias("line_no", "line"))
+    bins = histogram.select(*key, _lit("1").cast("int").alias("part"), (F.substring("bin", 3, 1).cast("int")).alias("line_no"), F.concat(_lit("  "), "bin", _lit(": "), F.col("n").cast("string"), _lit(" segments")).alias("line"))
+    heads = top.select(*key).distinct().select(*key, _lit("2").cast("int").alias("part"), _numbered([_lit(""), _lit("TOP SEGMENTS")]).alias("line_no", "line"))
+    whole = lambda c: F.regexp_replace(format_cs(c), r"\.\d\d$", "")
+    shown = F.when(F.length("text") > 100, F.concat(F.left("text", F.lit(100)), _lit("..."))).otherwise(F.col("text"))
+    body = F.array(
+        F.concat(F.col("rank_no").cast("string"), _lit(". Score: "), hundredths(F.col("score_milli")), _lit(" | "), whole(F.col("start_cs")), _lit("-"), whole(F.col("end_cs"))),
+        F.concat(_lit("   Text: "), F.coalesce(shown, _lit(""))),
+    )
+    items = top.select(*key, _lit("3").cast("int").alias("part"), "rank_no", F.posexplode(body).alias("i", "line")).select(*key, "part", (F.col("rank_no") * 2 + F.col("i")).cast("int").alias("line_no"), "line")
+    return title.unionByName(bins).unionByName(heads).unionByName(items)
+
+
+def run_summary(summary: DataFrame, key: list[str]) -> DataFrame:
+    """Lines of the run summary of rows key, total, high, success_permille, avg_milli, min_milli, max_milli."""
+    return summary.select(
+        *key,
+        _numbered([
+            _lit("=== CONTENT EXTRACTION SUMMARY ==="), F.concat(_lit("Total Segments: "), F.col("total").cast("string")), F.concat(_lit("High-Value Segments: "), F.col("high").cast("string")),
+            F.concat(_lit("Success Rate: "), one_decimal(F.col("success_permille")), _lit("%")), F.concat(_lit("Average Score: "), F.coalesce(hundredths(F.col("avg_milli")), _lit("N/A"))),
+            F.concat(_lit("Score Range: "), F.coalesce(hundredths(F.col("min_milli")), _lit("N/A")), _lit(" - "), F.coalesce(hundredths(F.col("max_milli")), _lit("N/A"))),
+        ]).alias("line_no", "line"),
+    )
+
+
+def chunk_digest(summaries: DataFrame, key: str) -> DataFrame:
+    """key, digest: the chunks' summaries of a report in order, as a prompt takes them."""
+    from ..operators.chunks import ordered_text
+
+    one = F.concat(_lit("Chunk "), F.col("chunk").cast("string"), _lit(" ["), "time_range", _lit("]\n"), "summary", _lit("\n"))
+    return summaries.groupBy(key).agg(ordered_text(one, F.col("chunk"), F.col("time_range"), sep="\n").alias("digest"))

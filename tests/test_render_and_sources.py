@@ -125,3 +125,24 @@ def test_adapters(spark):
     q = p.select(adapters.analysis_prompt(F.col("p"), "English").alias("a"), adapters.selection_prompt(F.col("p")).alias("b")).first()
     assert "REEL SEGMENTS:" in q.a and "45 to 70 seconds" in q.b
     assert p.select(adapters.encode_command(F.lit("i"), F.lit("g"), F.lit("o")).alias("c")).first().c[-1] == "o"
+
+
+def test_reports_of_scores_and_reels(spark):
+    h = spark.createDataFrame([(1, b, n) for b, n in zip(("0.0-0.2", "0.2-0.4", "0.4-0.6", "0.6-0.8", "0.8-1.0"), (0, 1, 5, 0, 0))], "k int, bin string, n bigint")
+    t = spark.createDataFrame([(1, 1, 558, 34, 4534, "x" * 101)], "k int, rank_no int, score_milli bigint, start_cs bigint, end_cs bigint, text string")
+    lines = text_of(render.analysis_report(h, t, ["k"]), "part", "line_no").splitlines()
+    assert lines[3:8] == ["  0.0-0.2: 0 segments", "  0.2-0.4: 1 segments", "  0.4-0.6: 5 segments", "  0.6-0.8: 0 segments", "  0.8-1.0: 0 segments"]
+    assert lines[-2:] == ["1. Score: 0.56 | 0:00-0:45", "   Text: " + "x" * 100 + "..."]
+    assert "TOP SEGMENTS" not in text_of(render.analysis_report(h, t.limit(0), ["k"]), "part", "line_no")
+    s = spark.createDataFrame([(1, 6, 3, 500, 490, 400, 560)], "k int, total bigint, high bigint, success_permille bigint, avg_milli bigint, min_milli bigint, max_milli bigint")
+    assert text_of(render.run_summary(s, ["k"]), "line_no").splitlines()[3:] == ["Success Rate: 50.0%", "Average Score: 0.49", "Score Range: 0.40 - 0.56"]
+    r = spark.createDataFrame([(1, "T", None, "a.mp4", 55)], "reel_id int, title string, narrative string, path string, total_s int")
+    p = spark.createDataFrame([(1, 1, "0:10 - 0:20", "why")], "reel_id int, part_no int, time_range string, reason string")
+    assert text_of(render.reel_metadata(r, p), "part", "line_no").endswith("Segments:\n1. [0:10 - 0:20] why")
+    d = spark.createDataFrame([(1, 2, "b", "two"), (1, 1, "a", "one")], "k int, chunk int, time_range string, summary string")
+    assert render.chunk_digest(d, "k").first().digest == "Chunk 1 [a]\none\n\nChunk 2 [b]\ntwo\n"
+
+
+def test_recogniser_chunks(spark):
+    d = spark.createDataFrame([(1, 120.0, [([0.5, 2.0], "a"), ([3.0, None], "b"), (None, "c")])], "v int, s double, c array<struct<timestamp:array<double>,text:string>>")
+    assert rows(adapters.normalised_chunks(d, ["v"], "c", "s")) == [(1, 0, 120.5, 122.0, "a"), (1, 1, 120.0, 150.0, "b"), (1, 2, 120.0, 150.0, "c")]

@@ -178,3 +178,17 @@ def test_empty_tables(spark):
     labelled = e.withColumn("label", F.lit("t"))
     for df in (chunks.rollup(c), chunks.chunk_texts(c), chunks.with_gaps(c), windows.overlapping(e), windows.members(e, windows.overlapping(e)), speakers.timeline(labelled), speakers.pauses(e), speakers.refined(labelled), speakers.shares(labelled)):
         assert df.count() == 0
+
+
+def test_clusters_of_ranges(spark):
+    r = random.Random(9)
+    data = [(r.choice([1, 1, 2]), a, r.choice([None, a + r.randint(0, 4000), a - 5])) for a in (r.randint(0, 100_000) for _ in range(120))]
+    got = rows(selection.clustered(spark.createDataFrame(data, "k int, start_cs bigint, end_cs bigint"), ["k"], within_cs=500, slab=3000).groupBy("k", "cluster").count())
+    exp = {}
+    for k in (1, 2):
+        reach, n = None, 0
+        for a, e in sorted((a, max(a, e if e is not None else a)) for q, a, e in data if q == k):
+            n += reach is None or a - reach > 500
+            exp[k, n] = exp.get((k, n), 0) + 1
+            reach = e if reach is None else max(reach, e)
+    assert got == sorted([(k, c, n) for (k, c), n in exp.items()], key=repr)
