@@ -60,13 +60,23 @@ def cumulative_length(chunked: DataFrame, sep: int = 2) -> DataFrame:
     return sizes.select("video_id", "chunk_num", F.sum(F.col("n") + sep).over(w).alias("total_length"))
 
 
+def offsets(chunked: DataFrame, sep: int = 2) -> DataFrame:
+    """Segments with text_offset: the place of their text in the video's whole text, ``sep`` characters after each chunk. Swept by chunk, so a long video isn't one task."""
+    w = Window.partitionBy("video_id", "chunk_num").orderBy("start_cs", "seg_index").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("video_id").orderBy("chunk_num").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.length(F.coalesce("text", F.lit("")))
+    sizes = chunked.groupBy("video_id", "chunk_num").agg(F.sum(n).alias("n"))
+    sizes = sizes.select("video_id", "chunk_num", F.coalesce(F.sum(F.col("n") + sep).over(before), F.lit(0)).alias("__at"))
+    return chunked.join(sizes, ["video_id", "chunk_num"]).withColumn("text_offset", F.col("__at") + F.sum(n).over(w) - n).drop("__at")
+
+
 def whole_text(texts: DataFrame) -> DataFrame:
-    """video_id, text: the chunks' texts in order, an empty line after each. One ordered concatenation instead of every prefix."""
+    """video_id, text: the chunks' texts in order, an empty line after each. One ordered concatenation instead of every prefix, for media whose text fits one value; ``offsets`` is for any length."""
     return texts.groupBy("video_id").agg(F.concat(ordered_text(F.col("text"), F.col("chunk_num"), sep="\n\n"), F.lit("\n\n")).alias("text"))
 
 
 def cumulative_text(texts: DataFrame) -> DataFrame:
-    """video_id, chunk_num, so_far: every prefix of the video's text, for where each is wanted."""
+    """video_id, chunk_num, so_far: every prefix of the video's text, quadratic in its length, for where each is wanted."""
     w = Window.partitionBy("video_id").orderBy("chunk_num").rowsBetween(Window.unboundedPreceding, 0)
     return texts.select("video_id", "chunk_num", F.concat(F.array_join(F.collect_list(F.coalesce("text", F.lit(""))).over(w), "\n\n"), F.lit("\n\n")).alias("so_far"))
 

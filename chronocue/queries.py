@@ -165,12 +165,11 @@ def cumulative_text_len(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {SEG}, t as (select video_id, chunk_num, string_agg(coalesce(text, ''), '' order by start_cs, seg_index) t from chunked group by 1, 2)
-        select video_id, sha256(string_agg(t || chr(10) || chr(10), '' order by chunk_num)) as text_sha from t group by 1"""
+    f"""with {SEG} select video_id, seg_index, cast(sum(len(coalesce(text, ''))) over (partition by video_id order by start_cs, seg_index rows unbounded preceding) - len(coalesce(text, '')) + 2 * (dense_rank() over (partition by video_id order by chunk_num) - 1) as bigint) as text_offset from chunked"""
 )
-def cumulative_text(spark: SparkSession, d: str) -> DataFrame:
-    """Whole text of every video as a digest."""
-    return chunks.whole_text(chunks.chunk_texts(_chunked(spark, d))).select("video_id", F.sha2("text", 256).alias("text_sha"))
+def transcript_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where in its video's whole transcript the text of each segment begins: the transcript as a table, whatever its length."""
+    return chunks.offsets(_chunked(spark, d)).select("video_id", "seg_index", "text_offset")
 
 
 @query(
