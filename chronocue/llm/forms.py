@@ -54,7 +54,7 @@ for _c, _latin in TO_LATIN.items():
 _PROTOTYPE = {ord(k): v for k, v in TO_LATIN.items()}
 
 #: Texts of these characters only are in their form already, but for blanks at the ends.
-_PLAIN = re.compile(r"[ -~\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u00c0-\u00ff]*")
+_PLAIN = re.compile(r"[\t\n\r -~\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u00c0-\u00ff]*")
 _RUNS = re.compile(r"[A-Za-z\u00aa-\u024f\u0300-\u03ff\u0400-\u052f\u1e00-\u1fff]+")
 
 
@@ -89,6 +89,10 @@ class _Folds(dict):
 _FOLDS = _Folds()
 
 
+_BREAKS = str.maketrans("\t\n\r", "   ")
+
+
+@lru_cache(maxsize=1 << 16)
 def _resolve(run: str, context: str) -> str:
     """The spelling of a decomposed run of Latin, Greek and Cyrillic letters in one script, where there is one."""
     letters = [c for c in run if script_of(c) in FAMILY]
@@ -118,7 +122,7 @@ def form(text: str | None) -> str | None:
     if text is None:
         return None
     if _PLAIN.fullmatch(text):
-        return text.strip(" ")
+        return text.translate(_BREAKS).strip(" ")
     folded = unicodedata.normalize("NFD", text.translate(_FOLDS))
     if not folded.isascii() and any(c in TO_LATIN for c in set(folded)):
         context = _context(folded)

@@ -84,28 +84,29 @@ def measures(text: str | None, redundant_below: float = 0.72, share: float = 0.6
         tags = HASHTAG.findall(line)
         if tags:
             line = HASHTAG.sub(" ", line)
-        n = len(_words(line))
         out["links"] += len(links)
         out["hashtags"] += len(tags)
-        out["words"] += n + len(links) + len(tags)
-        if not n:
-            continue
-        if links and n <= CAPTION_WORDS * len(links) and not re.search(r"[.?!؟]\s*$", line.rstrip(" -*•")):
-            out["links"] += n
-            continue
-        line = _TIME.sub(" ", line)
-        for part in re.split(r"\s*[;|]\s+", line) if PRICE.search(line) else [line]:
-            w = _words(part)
-            if not w:
+        out["words"] += len(links) + len(tags)
+        if links:
+            n = len(_words(line))
+            if n <= CAPTION_WORDS * len(links) and not re.search(r"[.?!؟]\s*$", line.rstrip(" -*•")):
+                out["links"] += n
+                out["words"] += n
                 continue
-            if PRICE.search(part) and len(w) <= ENTRY_WORDS:
+        if ":" in line:
+            line = _TIME.sub(" ", line)
+        priced = PRICE.search(line)
+        for part in re.split(r"\s*[;|]\s+", line) if priced else [line]:
+            if priced and PRICE.search(part) and len(w := _words(part)) <= ENTRY_WORDS:
                 out["entries"] += len(w)
+                out["words"] += len(w)
                 continue
             for sentence in _ENDS.split(part):
-                ended = bool(re.search(r"[.?!؟…]$", sentence))
-                w = [x.casefold() for x in _words(sentence)]
+                w = _words(sentence.casefold())
                 if not w:
                     continue
+                ended = sentence[-1] in ".?!؟…"
+                out["words"] += len(w)
                 out["ends"] += ended
                 if w in (x[0] for x in rest[-2:]) and len(w) >= 5 and len(set(zip(w, w[1:]))) == len(w) - 1:
                     k = -1 if rest[-1][0] == w else -2
