@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,14 +69,18 @@ class LanguageModel:
     known: dict[str, tuple] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
+        # Centroids of a language stand together, so maxima over them are one reduction.
+        order = sorted(range(len(self.languages)), key=lambda k: self.languages[k])
+        self.languages = [self.languages[k] for k in order]
+        self.centroids = self.centroids[:, order]
         self.codes = sorted(set(self.languages))
-        self.of_code = [[k for k, x in enumerate(self.languages) if x == c] for c in self.codes]
+        self.heads = np.array([self.languages.index(c) for c in self.codes])
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
-    def of_word(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Dot products of the word's vector with all centroids, its cosine with the nearest centroid of each language, and the vector's columns and values."""
+    def of_word(self, word: str) -> tuple[np.ndarray, int, tuple[float, ...], np.ndarray, np.ndarray, float]:
+        """Of a word its vector's dot products with all centroids, the language nearest to it, the share that each language's cosine has of the nearest's, the vector's columns and values, and its length."""
         hit = self.known.get(word)
         if hit is None:
             if len(self.known) > 100_000:
@@ -85,57 +89,64 @@ class LanguageModel:
             col = np.fromiter(n.keys(), int, len(n))
             val = np.fromiter(n.values(), float, len(n)) * self.idf[col]
             dots = val @ self.centroids[col] if len(col) else np.zeros(len(self.languages))
-            norm = math.sqrt(val @ val) or 1.0
-            hit = self.known[word] = dots, np.array([dots[k].max() for k in self.of_code]) / norm, col, val
+            best = np.maximum.reduceat(dots, self.heads)
+            top = float(best.max())
+            # A word of no known n-gram says nothing.
+            shares = tuple((best / top).tolist()) if top > 0 else (0.5,) * len(self.codes)
+            hit = self.known[word] = dots, int(best.argmax()), shares, col, val, math.sqrt(val @ val)
         return hit
 
-    def cosines(self, words: list[str]) -> np.ndarray:
-        """Cosine of the stretch with the nearest centroid of each language."""
+    def dots(self, words: list[str]) -> np.ndarray:
+        """Of a stretch's vector the greatest dot product with the centroids of each language."""
+        return np.maximum.reduceat(np.add.reduce([self.of_word(w)[0] for w in words]), self.heads)
+
+    def length(self, words: list[str]) -> float:
         each = [self.of_word(w) for w in words]
-        total = np.bincount(np.concatenate([x[2] for x in each]), np.concatenate([x[3] for x in each])) if each else np.zeros(0)
-        norm = math.sqrt(total @ total) if len(total) else 0.0
-        if not norm:
-            return np.zeros(len(self.codes))
-        dots = np.sum([x[0] for x in each], axis=0)
-        return np.array([dots[k].max() for k in self.of_code]) / norm
+        total = np.bincount(np.concatenate([x[3] for x in each]), np.concatenate([x[4] for x in each]))
+        return math.sqrt(total @ total)
 
     def nearest(self, words: list[str]) -> tuple[str | None, float]:
         """Language of the nearest centroid, None where it is too far, and the lead over the nearest centroid of any other, as a share of the cosine."""
-        c = self.cosines(words)
-        k = int(np.argmax(c))
-        if c[k] < self.reject_below:
+        c = self.dots(words)
+        k = int(c.argmax())
+        top = float(c[k])
+        if top <= 0:
+            return None, 0.0
+        # No value is negative, so a sum's length lies between that of its parts square to each other and that of all together.
+        lengths = [self.of_word(w)[5] for w in words]
+        least = top / self.reject_below
+        if least < sum(lengths) and (least < math.sqrt(sum(x * x for x in lengths)) or least < self.length(words)):
             return None, 0.0
-        other = max((x for i, x in enumerate(c) if i != k), default=0.0)
-        return self.codes[k], float((c[k] - other) / c[k])
+        c[k] = 0.0
+        return self.codes[k], float((top - c.max()) / top)
 
     def _settled(self, words: list[str], code: str | None, lead: float, others: set[str]) -> tuple[str | None, float]:
         """A stretch's language, or another one of its text if that is as near but for ``settle``: related languages share words."""
         if code is None:
             return code, lead
-        c = self.cosines(words)
+        c = self.dots(words)
         own = c[self.codes.index(code)]
-        best = max((x for x in others), key=lambda x: c[self.codes.index(x)])
+        best = max(sorted(others), key=lambda x: c[self.codes.index(x)])
         return (best, 0.0) if (own - c[self.codes.index(best)]) / own < self.settle else (code, lead)
 
     def stretches(self, words: list[str]) -> list[tuple[int, int, str]]:
         """(from, to, language) of the stretches of a text, without rejection."""
-        s = np.array([self.of_word(w)[1] for w in words])
-        top = s.max(axis=1, keepdims=True)
-        # Words that fit no language much better than another say little.
-        s = np.where(top > 0, s / np.maximum(top, 1e-9), 0.5)
-        best = s.argmax(axis=1)
-        if (best == best[0]).all():
-            return [(0, len(words), self.codes[int(best[0])])]
+        each = [self.of_word(w) for w in words]
+        if len({x[1] for x in each}) == 1:
+            return [(0, len(words), self.codes[each[0][1]])]
         cost = self.change_cost * 2
-        total, back = s[0].copy(), np.zeros(s.shape, int)
-        for i in range(1, len(words)):
-            k = int(total.argmax())
-            change = total[k] - cost > total
-            back[i] = np.where(change, k, np.arange(s.shape[1]))
-            total = np.where(change, total[k] - cost, total) + s[i]
-        at = [int(total.argmax())]
-        for i in range(len(words) - 1, 0, -1):
-            at.append(int(back[i][at[-1]]))
+        languages = range(len(self.codes))
+        total = list(each[0][2])
+        back: list[list[int]] = []
+        for x in each[1:]:
+            shares = x[2]
+            k = max(languages, key=total.__getitem__)
+            change = total[k] - cost
+            back.append([k if change > total[j] else j for j in languages])
+            total = [(change if change > total[j] else total[j]) + shares[j] for j in languages]
+        at = [max(languages, key=total.__getitem__)]
+        for links in reversed(back):
+            at.append(links[at[-1]])
         at.reverse()
         out, start = [], 0
         for i in range(1, len(words) + 1):
