@@ -1,7 +1,7 @@
 """Encoding of texts with a public byte-level BPE vocabulary.
 
-Short texts are encoded where they lie. A long text is cut into blocks that
-are encoded in parallel tasks and joined pairwise up a tree. At a join the
+Short texts are encoded at once. A long text is cut into blocks that are
+encoded in parallel and joined pairwise up a tree. At a join the
 text is split again from the start of the left side's last split piece, as all
 splits before it stand whatever follows, until a split of the right side is
 met, as all after it stand too; where one piece spans the join, growing
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _SPACE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}++| ?\p{{N}}++| ?[^{_SPACE}\p{{L}}\p{{N}}]++|(?P<blank>[{_SPACE}]++)")
 
-LONG = 1 << 20
+_SURE = regex.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])")
+
 LEAF_BYTES = 1 << 14
 
 
@@ -55,9 +57,11 @@ def splits(text: str) -> Iterator[tuple[int, int]]:
 class Bpe:
     """Exact encoding whole or in parts. A part is (ids, tokens of its last split piece)."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], threads: int = 2):
         import tiktoken
 
+        self.threads = threads
+
         self.ranks = ranks
         self.enc = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.piece = self.enc._core_bpe.encode_single_piece
@@ -86,15 +90,17 @@ class Bpe:
         return self.join_tokens(self.long_piece(b[:half]), self.long_piece(b[half:]))
 
     def part(self, text: str) -> tuple[list[int], int]:
+        """A text's ids and how many of them its last split piece has."""
         if not text:
             return [], 0
-        ids: list[int] = []
-        n = 0
-        for a, b in splits(text):
-            one = self.long_piece(text[a:b].encode())
-            n = len(one)
-            ids += one
-        return ids, n
+        # Between a letter or digit and a blank there is always a split, so the last piece is found from the last such place.
+        at = 0
+        for m in _SURE.finditer(text, max(0, len(text) - 2000)):
+            at = m.end()
+        start, end = at, len(text)
+        for a, b in splits(text[at:]):
+            start, end = at + a, at + b
+        return self.enc.encode_ordinary(text), len(self.long_piece(text[start:end].encode()))
 
     def join(self, left: tuple[list[int], int], right: tuple[list[int], int]) -> tuple[list[int], int]:
         """The part of both texts together."""
@@ -160,8 +166,8 @@ class Bpe:
             return []
         if len(text) <= block:
             return self.enc.encode_ordinary(text)
-        parts = [self.part(text[i : i + block]) for i in range(0, len(text), block)]
-        return self.tree(parts)[0]
+        with ThreadPoolExecutor(self.threads) as pool:  # the encoder runs outside the interpreter's lock
+            return self.tree(list(pool.map(self.part, (text[i : i + block] for i in range(0, len(text), block)))))[0]
 
     def tree(self, parts: list[tuple[list[int], int]]) -> tuple[list[int], int]:
         """Parts joined pairwise until one is left."""
@@ -187,11 +193,13 @@ def _lists(rows: list[list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, long: int = LONG) -> DataFrame:
-    """key and ids of every document.
+def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, spread_over: int | None = None) -> DataFrame:
+    """key and ids of every document, in one scan and without a shuffle.
 
-    Texts of over ``long`` characters go through blocks in parallel tasks and
-    one join per text, the only shuffle; all others are encoded in place.
+    Long texts are encoded by blocks in threads of their task. For corpora
+    with texts of many millions of characters, those over ``spread_over`` go
+    through blocks in tasks of their own and one join per text instead, at the
+    price of a second scan.
     """
     shared = documents.sparkSession.sparkContext.broadcast(read_ranks(path))
     kind = dict(documents.dtypes)[key]
@@ -204,7 +212,11 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
                 c = b.slice(i, 2000)
                 yield pa.RecordBatch.from_arrays([c.column(0), _lists([bpe.encode(t) for t in c.column(1).to_pylist()])], ["key", "ids"])
 
-    whole = picked.where(F.col("text").isNull() | (F.length("text") <= long)).mapInArrow(in_place, f"key {kind}, ids array<int>")
+    long = spread_over
+    whole = picked if long is None else picked.where(F.col("text").isNull() | (F.length("text") <= long))
+    whole = whole.mapInArrow(in_place, f"key {kind}, ids array<int>")
+    if long is None:
+        return whole.select(F.col("key").alias(key), "ids")
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(shared)

@@ -52,6 +52,7 @@ def test_documents(spark, bpe):
     long = "x" * 700 + " y " + "日本" * 400 + " end"
     data = [(1, "Hello world", 7), (2, None, 7), (3, "", 7), (4, long, 7), (4, long, 7), (None, "a", 7), (5, "b" * 1001, 7), (9007199254740993, "c", 7)]
     df = spark.createDataFrame(data, "doc_id bigint, text string, ids int")
-    got = sorted(((r.doc_id, r.ids) for r in en.encoded(df, long=100).collect()), key=repr)
-    assert got == sorted(((k, bpe.enc.encode_ordinary(t) if t else []) for k, t, _ in data), key=repr)
+    exp = sorted(((k, bpe.enc.encode_ordinary(t) if t else []) for k, t, _ in data), key=repr)
+    for spread_over in (None, 100):
+        assert sorted(((r.doc_id, r.ids) for r in en.encoded(df, spread_over=spread_over).collect()), key=repr) == exp
     assert en.encoded(df.limit(0)).count() == 0
