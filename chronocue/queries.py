@@ -14,9 +14,12 @@ from .operators import chunks, scoring, selection, speakers, topics, windows
 from .operators.intervals import merged
 from .operators.topn import best_segments, top_n
 from .plans import sections
+from .session import shared_folder
 from .sinks import render
 from .sources import media, reports
-from .sources.tables import table
+from .sources.tables import table, table_stream
+from .streaming import chunks as chunk_streams
+from .streaming import intervals as interval_streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -883,3 +886,89 @@ def analysis_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a nested analysis where it has sections."""
     a = sections.analysis_documents(_documents(spark, d), "doc_id", "text")
     return a.select("doc_id", F.col("document").isNotNull().alias("parsed"), F.col("document.topics.n").alias("n_topics"))
+
+
+# Smaller pieces of reports
+
+
+@query(
+    r"""select doc_id, (len(text) - len(replace(text, 'SUMMARY:', ''))) // 8 as n_summaries, left(text, 60) || '...' as shown, upper(text) like '%TOPICS:%' as has_topics from documents"""
+)
+def text_probes(spark: SparkSession, d: str) -> DataFrame:
+    """How often a marker stands in a document, its preview, and whether a word is in it in any case."""
+    t = F.col("text")
+    return _documents(spark, d).select("doc_id", tx.occurrences(t, "SUMMARY:").alias("n_summaries"), tx.preview(t).alias("shown"), tx.has(t, "TOPICS:").alias("has_topics"))
+
+
+@query(
+    r"""select doc_id, case when instr(text, 'SUMMARY:') > 0 then regexp_replace(coalesce(string_split(substr(text, instr(text, 'SUMMARY:'), 500), chr(10))[2], ''), '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g') end as said
+        from documents where text is not null and instr(text, 'SUMMARY:' || chr(10)) > 0"""
+)
+def line_after_marker(spark: SparkSession, d: str) -> DataFrame:
+    t = _documents(spark, d).where(F.instr("text", "SUMMARY:\n") > 0)
+    return t.select("doc_id", tx.line_after(F.col("text"), "SUMMARY:").alias("said"))
+
+
+@query(
+    r"""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no, unnest(string_split(text, chr(10))) as raw from documents where text is not null),
+        s as (select doc_id, line_no, regexp_replace(raw, '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g') as line from l),
+        m as (select *, case when contains(upper(line), 'TOPICS:') then 1 when starts_with(line, '═') or starts_with(line, 'Suggested Hashtags') then 0 end as mark from s),
+        f as (select *, last_value(mark ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding) as inside from m)
+        select doc_id, count(*) as n_topics from f where inside = 1 and mark is null and starts_with(line, '•') group by 1"""
+)
+def pooled_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Bullets under any topics line of a document, up to a rule line."""
+    return sections.summary_topics(_documents(spark, d), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_topics"))
+
+
+@query(
+    """select video_id, regexp_extract(n, '^([^_]*)_([^_]*)_(.*)$', 1) as run_date, regexp_extract(n, '^([^_]*)_([^_]*)_(.*)$', 2) as run_time, regexp_extract(n, '^([^_]*)_([^_]*)_(.*)$', 3) as video
+       from (select video_id, '2025-11-17_221415_' || replace(replace(name, ' ', '_'), '.', '-') as n from videos where name is not null)"""
+)
+def run_directory_parse(spark: SparkSession, d: str) -> DataFrame:
+    n = F.concat(F.lit("2025-11-17_221415_"), F.translate("name", " .", "_-"))
+    return table(spark, d, "videos").where("name is not null").select("video_id", sections.run_directory(n).alias("r")).select("video_id", "r.*")
+
+
+@query(
+    f"""with {SEG}, t as (select video_id, count(*) n_chunks, cast(sum(n) as bigint) tenths from (select video_id, chunk_num, count(*) n from chunked group by 1, 2) group by 1), v as (select video_id, path, duration from videos),
+        lines as (
+          select video_id, 0 part, unnest(range(0, 14)) line_no, unnest(['FINAL TRANSCRIPTION SUMMARY', repeat('=', 60), '', 'Video: ' || coalesce(path, ''), 'Model used: N/A', 'Language detected: N/A',
+            'Video Length: ' || case when duration is null or isnan(duration) then 'N/A' else {CS('cast(round(duration * 100) as bigint)')} end, '', 'Full transcript:', repeat('-', 40), '', '', 'Segments with timestamps:', repeat('-', 40)]) line from v
+          union all select video_id, 1, seg_index, '[' || {CS('start_cs')} || ' - ' || {CS('coalesce(end_cs, start_cs)')} || '] ' || {STRIP("coalesce(text, '')")} from seg
+          union all select video_id, 2, unnest(range(0, 4)), unnest(['', 'PROCESSING INFORMATION', repeat('-', 40), 'Total processing time: ' || (tenths // 10) || '.' || (tenths % 10) || ' seconds']) from t
+          union all select c.video_id, 3, c.chunk_num, 'Chunk ' || c.chunk_num || ' processing time: ' || (c.n // 10) || '.' || (c.n % 10) || ' seconds' from (select video_id, chunk_num, count(*) n from chunked group by 1, 2) c join t on t.video_id = c.video_id and t.n_chunks > 1)
+        select video_id, cast(part as int) as part, cast(line_no as int) as line_no, line from lines"""
+)
+def final_summary_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Final summaries as lines; the transcript's own text stands in the segments' lines."""
+    c = _chunked(spark, d)
+    v = table(spark, d, "videos").select("video_id", "path", F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("language"), tc.to_cs(F.col("duration")).alias("duration_cs"))
+    timings = c.groupBy("video_id", "chunk_num").agg(F.count("*").alias("tenths"))
+    return render.final_summary(v, v.select("video_id", F.lit("").alias("text")), c, timings)
+
+
+# Streams over the same tables, read to their end
+
+
+@query(SQL["p3_found"])
+def stream_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Periods and gaps from interval maps kept as keyed state of a stream."""
+    folder, stream = shared_folder(spark), table_stream(spark, d, "results_qwen15b")
+    out = interval_streams.slab_periods(stream, "video_id", "start_seconds", "end_seconds", slab=360_000)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    newest = interval_streams.newest(spark.read.schema(out.schema).parquet(f"{folder}/out"))
+    both = merged(newest.select("entity", (F.col("a") / 100).alias("s"), (F.col("b") / 100).alias("e")), "entity", "s", "e")
+    return both.select(F.col("entity").alias("video_id"), "kind", "from_cs", "to_cs")
+
+
+@query(
+    """select video_id, start_cs // 12000 + 1 as chunk_num, count(*) as n_segments, cast(sum(greatest(coalesce(end_cs - start_cs, 0), 0)) as bigint) as spoken_cs from (
+         select video_id, cast(round(start_time * 100) as bigint) start_cs, cast(round(end_time * 100) as bigint) end_cs from results_simplified where video_id is not null and start_time is not null) group by 1, 2"""
+)
+def stream_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of every chunk as a keyed running aggregate of a stream of deliveries."""
+    folder, counts = shared_folder(spark), chunk_streams.chunk_counts(table_stream(spark, d, "results_simplified"))
+    write = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out")
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{folder}/out")

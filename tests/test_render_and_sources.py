@@ -120,8 +120,8 @@ def test_adapters(spark):
     assert rows(adapters.replies(p, "id", "p", ask)) == [(1, "X"), (2, None), (3, None)]
     c = p.select("id", F.array(F.lit("true")).alias("c"))
     assert rows(adapters.run_commands(c, "id", "c", lambda a: len(a))) == [(1, 1), (2, 1), (3, 1)]
-    s = spark.createDataFrame([(["aya-x:8b", "other"],)], "m array<string>")
-    assert s.select(adapters.model_served(F.col("m"), "aya")).first()[0]
+    s = spark.createDataFrame([(["model-x:8b", "other"],)], "m array<string>")
+    assert s.select(adapters.model_served(F.col("m"), "model-x")).first()[0]
     q = p.select(adapters.analysis_prompt(F.col("p"), "English").alias("a"), adapters.selection_prompt(F.col("p")).alias("b")).first()
     assert "REEL SEGMENTS:" in q.a and "45 to 70 seconds" in q.b
     assert p.select(adapters.encode_command(F.lit("i"), F.lit("g"), F.lit("o")).alias("c")).first().c[-1] == "o"
