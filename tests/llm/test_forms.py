@@ -5,6 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from tests.conftest import rows
 
+from chronocue.llm import forms
 from chronocue.llm.forms import canonical_form, form, look, look_key, same_look_pairs
 
 
@@ -74,3 +75,9 @@ def test_columns_and_empty_tables(spark):
     d = spark.createDataFrame([("muѕic",), (None,), ("",)], "t string")
     assert [(r.a, r.b) for r in d.select(canonical_form("t").alias("a"), look_key("t").alias("b")).collect()] == [("music", "music"), (None, None), ("", "")]
     assert same_look_pairs(spark.createDataFrame([], LEFT), spark.createDataFrame([], RIGHT), ["video_id", "chunk_num"], "row_id", "line_id").count() == 0
+
+
+def test_what_is_taken_as_it_is_folds_to_itself():
+    for o in range(0x110000):
+        if not 0xD800 <= o < 0xE000 and not forms._FOLDABLE.match(chr(o)):
+            assert forms._fold(chr(o)) == chr(o), hex(o)
