@@ -5,9 +5,9 @@ caption, hashtags and priced product entries are known by their shape. Of the
 rest, blocks of words are compressed: a block whose compression ratio lies far
 under what text of its length and script needs is redundant to a degree that
 prose isn't. As a recogniser that repeats a spoken sentence writes redundant
-blocks too, a whole sentence of five words or more, without a pair of words
-that comes twice inside, that follows itself, or with one other between, is
-taken out before and counts as what its first copy counts as. Redundancy is
+blocks too, a whole sentence of five words or more that follows itself is taken
+out before and counts as what its first copy counts as; so is one with another
+between, if no pair of its words comes twice in it. Redundancy is
 confirmed on the words: most of a stuffed line lies in short phrases that the
 block repeats in other company.
 
@@ -108,10 +108,11 @@ def measures(text: str | None, redundant_below: float = 0.72, share: float = 0.6
                 ended = sentence[-1] in ".?!؟…"
                 out["words"] += len(w)
                 out["ends"] += ended
-                if w in (x[0] for x in rest[-2:]) and len(w) >= 5 and len(set(zip(w, w[1:]))) == len(w) - 1:
-                    k = -1 if rest[-1][0] == w else -2
-                    rest[k] = (w, rest[k][1] + 1, ended)
-                    continue
+                if len(w) >= 5 and rest:
+                    k = -1 if rest[-1][0] == w else -2 if len(rest) > 1 and rest[-2][0] == w and len(set(zip(w, w[1:]))) == len(w) - 1 else 0
+                    if k:
+                        rest[k] = (w, rest[k][1] + 1, ended)
+                        continue
                 rest.append((w, 1, ended))
     block: list[tuple[list[str], int, bool]] = []
     size = 0

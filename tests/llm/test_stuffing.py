@@ -54,3 +54,8 @@ def test_tables(spark):
     df = spark.createDataFrame(data, "doc_id bigint, text string, share double")
     assert rows(stuffed_pages(df).select("doc_id")) == sorted([(1,), (1,), (None,), (9007199254740993,)], key=repr)
     assert stuffed_pages(df.limit(0)).count() == 0
+
+
+def test_a_sentence_with_a_pair_twice_that_a_recogniser_repeats():
+    s = "Before we go on the editor trims the random forest on the slow laptop."
+    assert stuffed_share(measures(prose(4, 9) + "\n" + " ".join([s] * 8))) <= 0.5
