@@ -55,6 +55,8 @@ _PROTOTYPE = {ord(k): v for k, v in TO_LATIN.items()}
 
 #: Texts of these characters only are in their form already, but for blanks at the ends.
 _PLAIN = re.compile(r"[\t\n\r -~\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u00c0-\u00ff]*")
+#: Letters of the scripts that share looks with Latin.
+_OTHERS = re.compile(r"[\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]")
 #: Characters that may fold to something else.
 _FOLDABLE = re.compile(r"[^ -~\u00c0-\u00ff\u0300-\u034e\u0350-\u036f\u0391-\u03c9\u0400-\u0481\u048a-\u052f\u0591-\u05f4\u0620-\u063a\u0641-\u065f]")
 _RUNS = re.compile(r"[A-Za-z\u00aa-\u024f\u0300-\u03ff\u0400-\u052f\u1e00-\u1fff]+")
@@ -131,7 +133,7 @@ def form(text: str | None) -> str | None:
     if _PLAIN.fullmatch(text):
         return text.translate(_BREAKS).strip(" ")
     folded = unicodedata.normalize("NFD", _FOLDABLE.sub(_folded, text))
-    if not folded.isascii() and any(c in TO_LATIN for c in set(folded)):
+    if _OTHERS.search(folded):
         context = _context(folded)
         folded = _RUNS.sub(lambda m: _resolve(m[0], context) if not m[0].isascii() else m[0], folded)
     return unicodedata.normalize("NFC", folded).strip(" ")

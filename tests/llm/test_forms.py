@@ -29,6 +29,7 @@ def test_looks_different(a, b):
 def test_the_form_is_of_one_script():
     assert form("muѕіс") == "music"
     assert form("пpивет мир") == "привет мир"
+    assert form("имeннo тaк") == "именно так"
     assert form("сор по городу") == "сор по городу"  # a whole-script confusable in its own script's text
     assert form("the сор ran") == "the cop ran"
     assert form("בмodel") == "בмodel".replace("м", "м")  # nothing fits all letters of the run: left as it is
