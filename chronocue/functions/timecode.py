@@ -35,14 +35,16 @@ def parse_timestamp(c: Column) -> Column:
 def parse_range(c: Column) -> Column:
     """struct(start, end) of ``a-b`` with a before b, else null."""
     parts = F.split(strip(c), r"\s*-\s*")
-    a, b = parse_timestamp(parts[0]), parse_timestamp(F.get(parts, F.lit(1)))
-    return F.when((F.size(parts) == 2) & (a < b), F.struct(a.alias("start"), b.alias("end")))
+    pair = F.struct(parse_timestamp(parts[0]).alias("start"), parse_timestamp(F.get(parts, F.lit(1))).alias("end"))
+    # As an array of one, so each bound is read once.
+    return F.when(F.size(parts) == 2, F.get(F.filter(F.array(pair), lambda p: p["start"] < p["end"]), F.lit(0)))
 
 
 def range_list(c: Column) -> Column:
     """Array of struct(pos, text, start, end) of comma-separated ranges in the order given; blank pieces are skipped, bad ones have null bounds."""
     pieces = F.filter(F.transform(F.split(c, ","), strip), lambda x: x != "")
-    return F.transform(pieces, lambda x, i: F.struct((i + 1).alias("pos"), x.alias("text"), parse_range(x)["start"].alias("start"), parse_range(x)["end"].alias("end")))
+    read = F.transform(pieces, lambda x, i: F.struct((i + 1).alias("pos"), x.alias("text"), parse_range(x).alias("r")))
+    return F.transform(read, lambda x: F.struct(x["pos"].alias("pos"), x["text"].alias("text"), x["r"]["start"].alias("start"), x["r"]["end"].alias("end")))
 
 
 def to_cs(seconds: Column) -> Column:
