@@ -223,17 +223,20 @@ def fit(sample: list[tuple[str, str]], clusters: int = 6, rounds: int = 5, featu
                 label.append(code)
     if not units:
         raise ValueError("no labelled text to fit on")
-    of_word = {w: grams(w) for words in units for w in words}
-    known = Counter(g for words in units for g in {g for w in words for g in of_word[w]})
+    of_word = {w: grams(w) for w in {w for words in units for w in words}}
+    distinct = {w: set(g) for w, g in of_word.items()}
+    known: Counter = Counter()
+    for words in units:
+        known.update(set().union(*[distinct[w] for w in words]))
     vocabulary = {g: i for i, (g, _) in enumerate(sorted(known.items(), key=lambda x: (-x[1], x[0]))[:features])}
     n = len(units)
     idf = np.zeros(len(vocabulary))
     for g, i in vocabulary.items():
         idf[i] = math.log((1 + n) / (1 + known[g])) + 1
-    columns_of = {w: [vocabulary[g] for g in gs if g in vocabulary] for w, gs in of_word.items()}
+    columns_of = {w: np.array([vocabulary[g] for g in gs if g in vocabulary], np.int32) for w, gs in of_word.items()}
     cols, vals, start = [], [], [0]
     for words in units:
-        c, x = np.unique(np.fromiter((i for w in words for i in columns_of[w]), np.int32), return_counts=True)
+        c, x = np.unique(np.concatenate([columns_of[w] for w in words]), return_counts=True)
         x = x * idf[c]
         cols.append(c)
         vals.append((x / (math.sqrt(x @ x) or 1.0)).astype(np.float32))
