@@ -10,16 +10,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_rtl
+from ..functions.text import clean_rtl, word_count
 from ..functions.timecode import chunk_of, chunk_start_cs, to_cs
 
 
-def segments(rows: DataFrame, start: str = "start_time", end: str = "end_time") -> DataFrame:
-    """Segments once each, in hundredths: rows without a video, number or start are left out, of repeated deliveries the smallest row_id counts."""
+def segments(rows: DataFrame, start: str = "start_time", end: str = "end_time", measures: bool = False) -> DataFrame:
+    """Segments once each, in hundredths: rows without a video, number or start are left out, of repeated deliveries the smallest row_id counts.
+
+    With measures also n_chars and n_words of the text, taken before the
+    deliveries are made one, so what only counts doesn't shuffle texts.
+    """
     picked = rows.select("row_id", "video_id", "seg_index", to_cs(F.col(start)).alias("start_cs"), to_cs(F.col(end)).alias("end_cs"), clean_rtl(F.col("text")).alias("text"))
     picked = picked.where("video_id is not null and seg_index is not null and start_cs is not null")
-    once = picked.groupBy("video_id", "seg_index").agg(F.min(F.struct("row_id", "start_cs", "end_cs", "text")).alias("x"))
-    return once.select("video_id", "seg_index", "x.start_cs", "x.end_cs", "x.text")
+    columns = ["start_cs", "end_cs", "text"]
+    if measures:
+        said = F.coalesce("text", F.lit(""))
+        picked = picked.withColumn("n_chars", F.length(said)).withColumn("n_words", word_count(said))
+        columns += ["n_chars", "n_words"]
+    # One aggregate a column, so columns that aren't asked for are neither aggregated nor read.
+    return picked.groupBy("video_id", "seg_index").agg(*[F.min_by(c, "row_id").alias(c) for c in columns])
+
+
+def chars(rows: DataFrame) -> Column:
+    """Characters of a segment's text, measured already or not."""
+    return F.col("n_chars") if "n_chars" in rows.columns else F.length(F.coalesce("text", F.lit("")))
+
+
+def words(rows: DataFrame) -> Column:
+    """Words of a segment's text, measured already or not."""
+    return F.col("n_words") if "n_words" in rows.columns else word_count(F.coalesce("text", F.lit("")))
 
 
 def assigned(segs: DataFrame, chunk_s: int = 120) -> DataFrame:
@@ -39,7 +58,7 @@ def rollup(chunked: DataFrame) -> DataFrame:
     """Per video and chunk: n_segments, spoken_cs, text_length, first and last start. Counts only, so map-side combined."""
     return chunked.groupBy("video_id", "chunk_num").agg(
         F.count("*").alias("n_segments"), F.sum(F.greatest(F.col("end_cs") - F.col("start_cs"), F.lit(0))).alias("spoken_cs"),
-        F.sum(F.length(F.coalesce("text", F.lit("")))).alias("text_length"), F.min("start_cs").alias("first_cs"), F.max("start_cs").alias("last_cs"),
+        F.sum(chars(chunked)).alias("text_length"), F.min("start_cs").alias("first_cs"), F.max("start_cs").alias("last_cs"),
     )
 
 
@@ -56,7 +75,7 @@ def chunk_texts(chunked: DataFrame) -> DataFrame:
 def cumulative_length(chunked: DataFrame, sep: int = 2) -> DataFrame:
     """video_id, chunk_num, total_length of the text up to and with each chunk, ``sep`` characters after each."""
     w = Window.partitionBy("video_id").orderBy("chunk_num").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = chunked.groupBy("video_id", "chunk_num").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n"))
+    sizes = chunked.groupBy("video_id", "chunk_num").agg(F.sum(chars(chunked)).alias("n"))
     return sizes.select("video_id", "chunk_num", F.sum(F.col("n") + sep).over(w).alias("total_length"))
 
 
@@ -64,7 +83,7 @@ def offsets(chunked: DataFrame, sep: int = 2) -> DataFrame:
     """Segments with text_offset: the place of their text in the video's whole text, ``sep`` characters after each chunk. Swept by chunk, so a long video isn't one task."""
     w = Window.partitionBy("video_id", "chunk_num").orderBy("start_cs", "seg_index").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("video_id").orderBy("chunk_num").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.length(F.coalesce("text", F.lit("")))
+    n = chars(chunked)
     sizes = chunked.groupBy("video_id", "chunk_num").agg(F.sum(n).alias("n"))
     sizes = sizes.select("video_id", "chunk_num", F.coalesce(F.sum(F.col("n") + sep).over(before), F.lit(0)).alias("__at"))
     return chunked.join(sizes, ["video_id", "chunk_num"]).withColumn("text_offset", F.col("__at") + F.sum(n).over(w) - n).drop("__at")

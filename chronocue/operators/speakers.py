@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from .chunks import words
 from .sweep import with_previous
 
 SLAB_CS = 60_000
@@ -63,7 +64,7 @@ def refined(rows: DataFrame, video: str = "video_id", order: tuple[str, ...] = (
 def shares(rows: DataFrame, video: str = "video_id", label: str = "label") -> DataFrame:
     """video, label, n_segments, spoken_cs, time_permille, segment_permille, n_words: the totals come from the labels' few rows."""
     length = F.greatest(F.coalesce(F.col("end_cs") - F.col("start_cs"), F.lit(0)), F.lit(0))
-    by = rows.groupBy(video, label).agg(F.count("*").alias("n_segments"), F.sum(length).alias("spoken_cs"), F.sum(word_count(F.coalesce("text", F.lit("")))).alias("n_words"))
+    by = rows.groupBy(video, label).agg(F.count("*").alias("n_segments"), F.sum(length).alias("spoken_cs"), F.sum(words(rows)).alias("n_words"))
     w = Window.partitionBy(video)
     part = lambda c: F.floor(F.col(c) * 1000 / F.greatest(F.sum(c).over(w), F.lit(1)))
     return by.withColumn("time_permille", part("spoken_cs")).withColumn("segment_permille", part("n_segments"))
@@ -96,7 +97,7 @@ def timeline(rows: DataFrame, video: str = "video_id", label: str = "label", sla
 
 def pacing(rows: DataFrame, video: str = "video_id") -> DataFrame:
     """video, n_words, spoken_cs, milli_wpm: thousandths of words a minute, null where nothing was spoken."""
-    by = rows.groupBy(video).agg(F.sum(word_count(F.coalesce("text", F.lit("")))).alias("n_words"), F.sum(F.greatest(F.coalesce(F.col("end_cs") - F.col("start_cs"), F.lit(0)), F.lit(0))).alias("spoken_cs"))
+    by = rows.groupBy(video).agg(F.sum(words(rows)).alias("n_words"), F.sum(F.greatest(F.coalesce(F.col("end_cs") - F.col("start_cs"), F.lit(0)), F.lit(0))).alias("spoken_cs"))
     return by.withColumn("milli_wpm", F.when(F.col("spoken_cs") > 0, F.floor(F.col("n_words") * 6_000_000 / F.col("spoken_cs"))))
 
 

@@ -83,7 +83,7 @@ WORDS = lambda c: f"len(list_filter(string_split_regex({c}, '[ \\n\\t\\r]+'), la
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.segments(table(spark, d, "results_simplified"))
+    return chunks.segments(table(spark, d, "results_simplified"), measures=True)
 
 
 def _chunked(spark: SparkSession, d: str) -> DataFrame:
@@ -551,8 +551,7 @@ LABELLED = f"labelled as (select *, case when {WORDS("coalesce(text, '')")} >= 8
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    s = _segments(spark, d)
-    return s.withColumn("label", F.when(tx.word_count(F.coalesce("text", F.lit(""))) >= 8, "teacher").otherwise("student"))
+    return _segments(spark, d).withColumn("label", F.when(F.col("n_words") >= 8, "teacher").otherwise("student"))
 
 
 @query(
