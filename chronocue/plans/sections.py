@@ -1,19 +1,24 @@
 """Section grammars over the lines of a text.
 
 A text becomes numbered lines; a line that is a header opens its section, the
-section is carried down to the lines under it. Headers are data: an ordered
-list of (section, needles), the first whose needles a line holds in any case
-wins. ``strict`` drops what follows a header on its own line and takes only
-the wordings the original prompts named; ``lenient`` takes the tail and the
-other wordings too.
-
-The window is over the lines of one text, so a group is never more than one
-row's text. Null texts give no rows.
+section holds for the lines under it. Headers are data: an ordered list of
+(section, needles), the first whose needles a line holds in any case wins.
+``strict`` drops what follows a header on its own line and takes only the
+wordings the original prompts named; ``lenient`` takes the tail and the other
+wordings too.
+
+All of it happens within a row, in linear time: lines get their numbers,
+header lines become marks, the text is split at the marks. Nothing is shuffled
+or collected. The control characters U+0001 to U+0004 are the marks and are
+taken out of the text before. Null texts give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bracketed, bullet, cut_within, first_range, has, hash_words, hashtags, line_after, reason_after, seconds_named
@@ -32,90 +37,147 @@ def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select(key, (F.col("line_no") + 1).alias("line_no"), strip(F.col("line")).alias("line"))
 
 
-def _header(line: Column, headers: list[tuple[str, tuple[str, ...]]]) -> Column:
-    out = F.when(has(line, *headers[0][1]), F.lit(headers[0][0]))
-    for name, needles in headers[1:]:
-        out = out.when(has(line, *needles), F.lit(name))
+OPEN, CLOSE, NUMBER, TAIL = "\u0001", "\u0002", "\u0003", "\u0004"
+
+
+#: Blanks at the ends of all lines.
+_AROUND = r"(?U)[\s&&[^\n]]*\n[\s&&[^\n]]*"
+
+
+def _lines(text: Column, numbered: bool) -> Column:
+    """The text with its lines stripped; numbered with each line's number and U+0003 before it."""
+    clean = strip(F.regexp_replace(F.concat(F.lit("|"), F.translate(text, OPEN + CLOSE + NUMBER + TAIL, "")), _AROUND, "\n"))
+    clean = strip(F.substr(clean, F.lit(2))) if not numbered else clean
+    if not numbered:
+        return clean
+    return F.array_join(F.transform(F.split(clean, "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(NUMBER), F.when(i == 0, strip(F.substr(x, F.lit(2)))).otherwise(x))), "\n")
+
+
+def _read(x: Column) -> Column:
+    """struct(line_no, line) of a numbered line."""
+    return F.struct(F.substring_index(x, NUMBER, 1).cast("int").alias("line_no"), F.substr(x, F.instr(x, NUMBER) + 1).alias("line"))
+
+
+def may_hold(text: Column, headers: list[tuple[str, tuple[str, ...]]]) -> Column:
+    """Whether a text can have a section: it holds the needles of some header that opens one."""
+    out = F.lit(False)
+    for needles in sorted({n for name, n in headers if name}):
+        out = out | has(text, *needles)
     return out
 
 
+def section_lines(text: Column, headers: list[tuple[str, tuple[str, ...]]], tails: bool = False, numbered: bool = True) -> Column:
+    """Array of struct(section, line, and line_no if numbered) of the non-blank lines inside a section; with tails also what follows a header's colon."""
+    marked = _lines(text, numbered)
+    number = f"([0-9]+{NUMBER})" if numbered else "()"
+    for name, needles in headers:
+        held = "".join(f"(?=[^\\n]*{re.escape(n)})" for n in needles)
+        # A tail is marked, so that no later header is seen in it.
+        own = f"(?!{TAIL})" if tails else ""
+        tail = f"\n{TAIL}$1$2" if tails else ""
+        marked = F.regexp_replace(marked, f"(?imud)^{own}{number}{held}[^\\n:]*:?([^\\n]*)$", f"{OPEN}{name}{CLOSE}{tail}")
+    parts = F.filter(F.slice(F.split(marked, OPEN), 2, 1 << 30), lambda p: ~F.startswith(p, F.lit(CLOSE)))
+
+    def read(p: Column) -> Column:
+        name = F.substring_index(p, CLOSE, 1)
+
+        def one(x: Column) -> Column:
+            if not numbered:
+                return F.struct(name.alias("section"), (strip(F.replace(x, F.lit(TAIL), F.lit(""))) if tails else x).alias("line"))
+            r = _read(F.replace(x, F.lit(TAIL), F.lit("")) if tails else x)
+            return F.struct(name.alias("section"), r["line_no"].alias("line_no"), (strip(r["line"]) if tails else r["line"]).alias("line"))
+
+        lines = F.filter(F.split(F.substr(p, F.instr(p, CLOSE) + 1), "\n"), lambda x: x != "")
+        return F.filter(F.transform(lines, one), lambda r: r["line"] != "")
+
+    return F.flatten(F.transform(parts, read))
+
+
 def sectioned(texts: DataFrame, key: str, text: str, headers: list[tuple[str, tuple[str, ...]]], tails: bool = False) -> DataFrame:
     """key, line_no, section, line of the non-blank lines inside a section; with tails also what follows a header's colon."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines(texts, key, text).withColumn("header", _header(F.col("line"), headers))
-    filled = marked.withColumn("section", F.last("header", True).over(w))
-    if tails:
-        tail = strip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))
-        filled = filled.withColumn("line", F.when(F.col("header").isNull(), F.col("line")).otherwise(tail))
-    else:
-        filled = filled.where(F.col("header").isNull())
-    return filled.where((F.col("section") != "") & (F.col("line") != "")).select(key, "line_no", "section", "line")
+    x = texts.where(may_hold(F.col(text), headers)).select(key, F.explode(section_lines(F.col(text), headers, tails)).alias("x"))
+    return x.select(key, "x.line_no", "x.section", "x.line")
+
 
+def _once(c: Column, holds: Callable[[Column], Column]) -> Column:
+    """A generator of the value if it holds, so it is worked out once and not again for a filter."""
+    return F.explode(F.filter(F.array(c), holds))
 
-def _in_order(c: Column, value: Column) -> Column:
-    """Values of a group in the order of their lines, null ones left out."""
-    return F.transform(F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct(c.alias("k"), value.alias("v"))))), lambda x: x["v"])
+
+def _in_section(lines: Column, name: str) -> Column:
+    return F.transform(F.filter(lines, lambda x: x["section"] == name), lambda x: x["line"])
 
 
 def parse_analysis(texts: DataFrame, key: str, text: str, strict: bool = True) -> DataFrame:
-    """key, summary, topics, hashtags, reels of analysis replies; a text without any section gives no row."""
-    s = sectioned(texts, key, text, ANALYSIS if strict else ANALYSIS_LENIENT, tails=not strict)
-    line, section = F.col("line"), F.col("section")
-    only = lambda name, value: F.when(section == name, value)
-    return s.groupBy(key).agg(
-        F.array_join(_in_order(F.col("line_no"), only("summary", line)), " ").alias("summary"),
-        _in_order(F.col("line_no"), only("topics", bullet(line))).alias("topics"),
-        F.flatten(_in_order(F.col("line_no"), only("hashtags", hash_words(line)))).alias("hashtags"),
-        _in_order(F.col("line_no"), only("reels", bracketed(line))).alias("reels"),
-    )
+    """key, summary, topics, hashtags, reels of analysis replies; a text without a line in a section gives no row."""
+    headers = ANALYSIS if strict else ANALYSIS_LENIENT
+    found = texts.where(may_hold(F.col(text), headers)).select(key, _once(section_lines(F.col(text), headers, not strict, numbered=False), lambda s: F.size(s) > 0).alias("s"))
+    s = F.col("s")
+    return found.select(
+        key, F.array_join(_in_section(s, "summary"), " ").alias("summary"), F.array_compact(F.transform(_in_section(s, "topics"), lambda x: bullet(x))).alias("topics"),
+        F.flatten(F.transform(_in_section(s, "hashtags"), lambda x: hash_words(x))).alias("hashtags"), F.array_compact(F.transform(_in_section(s, "reels"), lambda x: bracketed(x))).alias("reels"),
+    )
 
 
 def parse_selection(texts: DataFrame, key: str, text: str, strict: bool = True) -> DataFrame:
     """key, parts (array of struct(time_range, reason)), total_duration, narrative, title of selection replies; every non-null text gives a row."""
-    whole = texts.where(F.col(text).isNotNull())
-    s = sectioned(whole, key, text, SELECTION, tails=not strict)
-    line, section = F.col("line"), F.col("section")
-    rng = first_range(line)
-    part = F.when((section == "parts") & rng.isNotNull(), F.struct(rng.alias("time_range"), reason_after(line, rng, "Selected segment").alias("reason")))
-    body = s.groupBy(key).agg(
-        _in_order(F.col("line_no"), part).alias("parts"),
-        F.array_join(_in_order(F.col("line_no"), F.when(section == "narrative", line)), " ").alias("narrative"),
-        F.array_join(_in_order(F.col("line_no"), F.when(section == "title", line)), " ").alias("title"),
-    )
-    is_total = has(F.col("line"), "TOTAL_DURATION:") & ~has(F.col("line"), "PARTS:")
-    totals = lines(whole, key, text).groupBy(key).agg(F.max_by(F.when(is_total & F.col("line").rlike("[0-9]s"), seconds_named(F.col("line"))), F.when(is_total & F.col("line").rlike("[0-9]s"), F.col("line_no"))).alias("total"))
-    return totals.join(body, key, "left").select(
-        key, F.coalesce("parts", F.array().cast("array<struct<time_range:string,reason:string>>")).alias("parts"), F.coalesce("total", F.lit(0)).alias("total_duration"),
-        F.coalesce("narrative", F.lit("")).alias("narrative"), F.coalesce("title", F.lit("")).alias("title"),
+
+    def part(line: Column) -> Column:
+        rng = first_range(line)
+        return F.when(rng.isNotNull(), F.struct(rng.alias("time_range"), reason_after(line, rng, "Selected segment").alias("reason")))
+
+    c = F.col(text)
+    named = F.filter(F.split(c, "\n"), lambda x: has(x, "TOTAL_DURATION:") & ~has(x, "PARTS:") & x.rlike("[0-9]s"))
+    read = texts.where(c.isNotNull()).select(key, F.when(F.size(named) > 0, F.element_at(named, -1)).alias("t"), _once(section_lines(c, SELECTION, not strict, numbered=False), lambda s: F.lit(True)).alias("s"))
+    s = F.col("s")
+    return read.select(
+        key, F.array_compact(F.transform(_in_section(s, "parts"), part)).alias("parts"), F.coalesce(seconds_named(F.col("t")), F.lit(0)).alias("total_duration"),
+        F.array_join(_in_section(s, "narrative"), " ").alias("narrative"), F.array_join(_in_section(s, "title"), " ").alias("title"),
     )
 
 
-def regions(texts: DataFrame, key: str, text: str, opens: Column, closes: Column, first_only: bool = False) -> DataFrame:
-    """key, line_no, region, line of the lines between an opening line and the next closing one, neither included.
+def region_lines(text: Column, opens: Callable[[Column], Column], closes: Callable[[Column], Column], first_only: bool = False) -> Column:
+    """Array of struct(region, line_no, line) of the lines between an opening line and the next closing one, neither included.
 
-    opens and closes are conditions on the column ``line``; an opening line
-    inside a region goes on with it. first_only ends with the first closing.
+    An opening line inside a region goes on with it. first_only ends with the
+    first region.
     """
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    m = lines(texts, key, text).withColumn("mark", F.when(opens, F.lit(1)).when(closes, F.lit(0)))
-    m = m.withColumn("inside", F.last("mark", True).over(w)).withColumn("prev", F.coalesce(F.last("mark", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    m = m.withColumn("region", F.sum(((F.col("mark") == 1) & (F.col("prev") == 0)).cast("int")).over(w))
-    inside = m.where((F.col("inside") == 1) & F.col("mark").isNull())
-    return (inside.where("region = 1") if first_only else inside).select(key, "line_no", "region", "line")
+
+    def mark(x: Column) -> Column:
+        line = F.substr(x, F.instr(x, NUMBER) + 1)
+        return F.when(opens(line), F.lit(OPEN)).when(closes(line), F.lit(CLOSE)).otherwise(x)
+
+    marked = F.array_join(F.transform(F.split(_lines(text, True), "\n"), mark), "\n")
+    # Between two closings there is at most one region: what follows its first opening.
+    spans = F.filter(F.split(marked, CLOSE), lambda p: F.contains(p, F.lit(OPEN)))
+    if first_only:
+        spans = F.slice(spans, 1, 1)
+
+    def read(p: Column, i: Column) -> Column:
+        lines = F.filter(F.split(F.substr(p, F.instr(p, OPEN) + 1), "\n"), lambda x: F.contains(x, F.lit(NUMBER)))
+        return F.transform(lines, lambda x: F.struct((i + 1).alias("region"), _read(x)["line_no"].alias("line_no"), _read(x)["line"].alias("line")))
+
+    return F.flatten(F.transform(spans, read))
+
+
+def regions(texts: DataFrame, key: str, text: str, opens: Callable[[Column], Column], closes: Callable[[Column], Column], first_only: bool = False) -> DataFrame:
+    """key, line_no, region, line of the lines inside the regions of each text."""
+    x = texts.where(F.col(text).isNotNull()).select(key, F.explode(region_lines(F.col(text), opens, closes, first_only)).alias("x"))
+    return x.select(key, "x.line_no", "x.region", "x.line")
 
 
 def suggestions(texts: DataFrame, key: str, text: str, first_only: bool = False) -> DataFrame:
     """key, line_no, time_range, reason of the reel suggestions of a summary; with first_only of its first such section."""
     line = F.col("line")
     rng = first_range(line)
-    r = regions(texts, key, text, has(line, "REEL", "SUGGESTION"), F.startswith(line, F.lit(RULE)), first_only)
+    r = regions(texts, key, text, lambda x: has(x, "REEL", "SUGGESTION"), lambda x: F.startswith(x, F.lit(RULE)), first_only)
     return r.where(rng.isNotNull()).select(key, "line_no", rng.alias("time_range"), reason_after(line, rng, "Engaging content", bracket=False).alias("reason"))
 
 
 def summary_topics(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no, topic: the bullets under any line with ``topics:``, those of all chunks, of the whole and of the archive together."""
     line = F.col("line")
-    r = regions(texts, key, text, has(line, "TOPICS:"), F.startswith(line, F.lit(RULE)) | F.startswith(line, F.lit("Suggested Hashtags")))
+    r = regions(texts, key, text, lambda x: has(x, "TOPICS:"), lambda x: F.startswith(x, F.lit(RULE)) | F.startswith(x, F.lit("Suggested Hashtags")))
     topic = strip(F.substr(line, F.lit(2)))
     return r.where(F.startswith(line, F.lit("•"))).select(key, "line_no", topic.alias("topic"))
 

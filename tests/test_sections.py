@@ -56,3 +56,20 @@ def test_written_lines_and_names(spark):
     assert tuple(n[0].r) == ("2025-11-17", "221415", "IMG_43_14") and n[1].r is None and n[2].r is None
     m = sections.after_marker(df(spark, "a\nFull transcript so far:\n----\n text \n", "plain ", None), "id", "t").orderBy("id").collect()
     assert [r.transcript for r in m] == ["text", "plain", ""]
+
+
+def test_headers_within_headers_and_odd_characters(spark):
+    t = "SUMMARY: topics: hashtags:\n\x01 a\x02 \n\nTOPICS:\r\n- b\r\n  SUMMARY:\nc d\nhashtags: reel segment\n#x\nReel and SEGMENT\n[0:01 - 0:02] e"
+    strict = sections.parse_analysis(df(spark, t), "id", "t").first()
+    assert (strict.summary, strict.topics, strict.hashtags, [tuple(r) for r in strict.reels]) == ("a c d", ["b"], ["#x"], [("0:01 - 0:02", "e")])
+    lenient = sections.parse_analysis(df(spark, t), "id", "t", strict=False).first()
+    assert lenient.summary == "topics: hashtags: a c d"
+    lines = rows(sections.sectioned(df(spark, t), "id", "t", sections.ANALYSIS).select("line_no", "section"))
+    assert sorted(lines) == [(2, "summary"), (5, "topics"), (7, "summary"), (9, "hashtags"), (11, "reels")]
+
+
+def test_long_texts_of_headers_and_of_lines(spark):
+    d = df(spark, "SUMMARY:\nx\n" * 20_000, "TOPICS:\n" + "- y\n" * 40_000)
+    r = sections.parse_analysis(d, "id", "t").orderBy("id").collect()
+    assert len(r[0].summary) == 2 * 20_000 - 1 and len(r[1].topics) == 40_000
+    assert sections.regions(d, "id", "t", lambda x: x == "SUMMARY:", lambda x: x == "x").count() == 0
