@@ -154,10 +154,11 @@ def captions(segs: DataFrame, form: str = "srt") -> DataFrame:
     return n.select("video_id", "n", F.concat_ws("\n", *head, F.concat(clock(F.col("start_cs")), _lit(" --> "), clock(F.col("end_cs"))), strip(F.col("text")), _lit("")).alias("cue"))
 
 
-def unique_names(wanted: DataFrame, existing: DataFrame, base: str = "base", name: str = "name", tries: int = 1000) -> DataFrame:
-    """base, chosen: the base name, or with the least of _2, _3, ... that doesn't exist yet; null where all ``tries`` do."""
-    tried = wanted.where(F.col(base).isNotNull()).select(base).distinct().join(existing.select(F.regexp_extract(name, r"^(.*?)(?:_(\d{1,9}))?$", 1).alias(base), F.col(name).alias("__taken")), base, "left").groupBy(base).agg(F.collect_set("__taken").alias("__taken"))
-    names = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: F.when(i == 1, F.col(base)).otherwise(F.concat(F.col(base), _lit("_"), i.cast("string"))))
+def unique_names(wanted: DataFrame, existing: DataFrame, base: str = "base", name: str = "name") -> DataFrame:
+    """base, chosen: the base name, or with the least of _2, _3, ... that doesn't exist yet. Of one name more than are taken one is free."""
+    taken = existing.select(F.regexp_extract(name, r"^(.*?)(?:_(\d{1,9}))?$", 1).alias(base), F.col(name).alias("__taken"))
+    tried = wanted.where(F.col(base).isNotNull()).select(base).distinct().join(taken, base, "left").groupBy(base).agg(F.collect_set("__taken").alias("__taken"))
+    names = F.transform(F.sequence(F.lit(1), F.size("__taken") + 1), lambda i: F.when(i == 1, F.col(base)).otherwise(F.concat(F.col(base), _lit("_"), i.cast("string"))))
     return tried.select(base, F.get(F.filter(names, lambda x: ~F.array_contains(F.col("__taken"), x)), F.lit(0)).alias("chosen"))
 
 
