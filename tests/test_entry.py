@@ -54,3 +54,12 @@ def test_nothing_else_imports_llm():
         for n in names:
             if n.endswith(".py"):
                 assert "llm" not in open(os.path.join(folder, n)).read(), n
+
+
+def test_the_package_is_shipped_once(spark):
+    from chronocue import session
+
+    session.ship(spark)
+    before = list(spark.sparkContext._python_includes)
+    session.ship(spark)
+    assert spark.sparkContext._python_includes == before and any(n.endswith("chronocue.zip") for n in before)
