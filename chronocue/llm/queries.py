@@ -18,7 +18,10 @@ from .turns import labels_of, speaker_turns
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose language label is missing or wrong, with their language, and mixed rows with each of theirs."""
-    model = fit(labelled_sample(table(spark, d, "documents")))
+    try:
+        model = fit(labelled_sample(table(spark, d, "documents")))
+    except ValueError:  # without a labelled text no language is known, so none is missing or wrong
+        return table(spark, d, "results_simplified").select("row_id", F.lit(None).cast("string").alias("lang")).limit(0)
     rows = languages(table(spark, d, "results_simplified"), model, "row_id", label="primary_language", labels=labels_of(table(spark, d, "speaker_roster")))
     return cases(rows, "row_id").select("row_id", "lang")
 

@@ -29,3 +29,18 @@ def test_labels_of_held_out_items(spark):
     found = q.languages(items, model, "item_id", label="lang")
     right = found.where((F.col("n_languages") == 1) & (F.col("lang") == F.col("labelled"))).count()
     assert right >= 0.97 * items.count()
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("empty"))
+    for f in os.listdir(DATA):
+        spark.read.parquet(f"{DATA}/{f}").limit(0).write.parquet(f"{d}/{f}")
+    return d
+
+
+@pytest.mark.parametrize("name", list(q.QUERIES))
+def test_empty_tables(spark, empty, name):
+    df = q.QUERIES[name](spark, empty)
+    assert ", ".join(f"{n} {t}" for n, t in df.dtypes) == COLUMNS[name]
+    assert df.count() == 0
