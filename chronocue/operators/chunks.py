@@ -28,7 +28,9 @@ def segments(rows: DataFrame, start: str = "start_time", end: str = "end_time",
         picked = picked.withColumn("n_chars", F.length(said)).withColumn("n_words", word_count(said))
         columns += ["n_chars", "n_words"]
     # One aggregate a column, so columns that aren't asked for are neither aggregated nor read.
-    return picked.groupBy("video_id", "seg_index").agg(*[F.min_by(c, "row_id").alias(c) for c in columns])
+    # A delivery without a row_id comes after those with one.
+    order = F.coalesce("row_id", F.lit((1 << 63) - 1))
+    return picked.groupBy("video_id", "seg_index").agg(*[F.min_by(c, order).alias(c) for c in columns])
 
 
 def chars(rows: DataFrame) -> Column:

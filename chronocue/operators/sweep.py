@@ -16,6 +16,15 @@ def slab_of(at: str, width: float) -> Column:
     return F.floor(F.col(at) / F.lit(width)).cast("bigint")
 
 
+def _joined(rows: DataFrame, slabs: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with their slab's summary; nulls in a key or as ordering number are values of their own."""
+    named = slabs.withColumnsRenamed({c: f"__s_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
+    return rows.join(named, same).drop(*[f"__s_{c}" for c in on])
+
+
 def with_previous(rows: DataFrame, key: list[str], order: list[str], columns: list[str], width: float, prefix: str = "prev_") -> DataFrame:
     """Rows with the values of ``columns`` in the row before, in the order of ``order``, whose first is the number the slabs are cut of."""
     r = rows.withColumn("__slab", slab_of(order[0], width))
@@ -23,7 +32,7 @@ def with_previous(rows: DataFrame, key: list[str], order: list[str], columns: li
     what = F.struct(*columns)
     last = r.groupBy(*key, "__slab").agg(F.max_by(what, F.struct(*order)).alias("__last"))
     carried = last.select(*key, "__slab", F.lag("__last").over(Window.partitionBy(*key).orderBy("__slab")).alias("__carry"))
-    joined = r.join(carried, [*key, "__slab"]).withColumn("__prev", F.coalesce(F.lag(what).over(w), "__carry"))
+    joined = _joined(r, carried, [*key, "__slab"]).withColumn("__prev", F.coalesce(F.lag(what).over(w), "__carry"))
     return joined.select(*rows.columns, *[F.col(f"__prev.{c}").alias(prefix + c) for c in columns])
 
 
@@ -33,4 +42,4 @@ def with_running_sum(rows: DataFrame, key: list[str], order: list[str], value: C
     w = Window.partitionBy(*key, "__slab").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = r.groupBy(*key, "__slab").agg(F.sum("__v").alias("__s"))
     before = sums.select(*key, "__slab", F.coalesce(F.sum("__s").over(Window.partitionBy(*key).orderBy("__slab").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return r.join(before, [*key, "__slab"]).select(*rows.columns, (F.col("__before") + F.sum("__v").over(w)).alias(name))
+    return _joined(r, before, [*key, "__slab"]).select(*rows.columns, (F.col("__before") + F.sum("__v").over(w)).alias(name))

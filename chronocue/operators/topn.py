@@ -50,7 +50,7 @@ def best_segments(reports: DataFrame, n: int = 3, width: float = 1 / 64) -> Data
     """audio_path, rank_no, report_id, seg_no: the n evaluated segments of highest value_score of every audio path.
 
     Null paths, null and NaN scores and empty arrays are left out; a report
-    delivered again counts once. Each report hands on its n best, as no other
+    delivered again counts once, those of a path without an id as one. Each report hands on its n best, as no other
     can be among the path's.
     """
     rows = reports.select(F.col("metadata.audio_path").alias("audio_path"), "report_id", F.explode(best_of_array(F.col("segments.evaluated.value_score"), n)).alias("x")).where("audio_path is not null")

@@ -192,3 +192,10 @@ def test_clusters_of_ranges(spark):
             exp[k, n] = exp.get((k, n), 0) + 1
             reach = e if reach is None else max(reach, e)
     assert got == sorted([(k, c, n) for (k, c), n in exp.items()], key=repr)
+
+
+def test_null_keys_and_ids_are_kept(spark):
+    raw = [(None, 1, 0, 1.0, 2.0, "a", "x"), (5, 1, 0, 3.0, 4.0, "b", "x"), (None, 1, 1, 5.0, 6.0, "c", "x")]
+    assert rows(chunks.segments(spark.createDataFrame(raw, RAW))) == [(1, 0, 300, 400, "b"), (1, 1, 500, 600, "c")]
+    e = spark.createDataFrame([(None, 0, 1), (None, 1, 2), (1, None, 3), (1, 5, 4)], "g int, i int, v int")
+    assert rows(sweep.with_previous(e, ["g"], ["i"], ["v"], 10).select("g", "i", "v", "prev_v")) == [(1, 5, 4, 3), (1, None, 3, None), (None, 0, 1, None), (None, 1, 2, 1)]
