@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
@@ -387,19 +387,46 @@ PARTS = f"""parts as (
 
 
 def _selections(spark: SparkSession, d: str) -> DataFrame:
-    """As a selection of every chunk its every fourth segment."""
+    """As a selection of every chunk its every fourth segment; ``_all_selections`` takes every segment."""
     c = _chunked(spark, d).where("start_cs >= 0")
     end = F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")
     part = F.when(F.col("seg_index") % 4 == 0, F.struct("start_cs", "seg_index", F.struct(F.concat(tc.format_cs(F.col("start_cs")), F.lit(" - "), tc.format_cs(end)).alias("time_range")).alias("part")))
     return c.groupBy("video_id", "chunk_num").agg(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["part"]).alias("parts"))
 
 
+ALL_PARTS = """parts as (
+  select video_id, chunk_num, cast((row_number() over (partition by video_id, chunk_num order by start_cs, seg_index) - 1) // 4 + 1 as bigint) as selection_no,
+         seg_index, start_cs, greatest(coalesce(end_cs, start_cs), start_cs) as end_cs from chunked)"""
+OR_NA = lambda c: f"case when {c} >= 0 then {CS(c)} else 'N/A' end"
+
+
+def _time_range() -> Column:
+    """A segment's range in words; a bound before 0 has no time code, so it can't be read again."""
+    at = lambda c: F.when(c >= 0, tc.format_cs(c)).otherwise("N/A")
+    return F.concat(at(F.col("start_cs")), F.lit(" - "), at(F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")))
+
+
+def _all_selections(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment, in selections of four that follow each other in a chunk; the last has what is left."""
+    part = F.struct("start_cs", "seg_index", F.struct(_time_range().alias("time_range")).alias("part"))
+    c = _chunked(spark, d).groupBy("video_id", "chunk_num").agg(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["part"]).alias("all"))
+    fours = F.expr("transform(sequence(0L, cast((size(all) - 1) div 4 as bigint)), i -> struct(i + 1 as selection_no, slice(all, cast(i * 4 + 1 as int), 4) as parts))")
+    return c.select("video_id", "chunk_num", F.inline(fours))
+
+
 @query(f"with {SEG}, {PARTS} select video_id, chunk_num, row_number() over (partition by video_id, chunk_num order by start_cs, seg_index) as part_no, {CS('start_cs')} || ' - ' || {CS('end_cs')} as time_range, case when end_cs > start_cs then end_cs - start_cs >= 500 end as long_enough from parts")
 def part_validation(spark: SparkSession, d: str) -> DataFrame:
     p = selection.parts_of(_selections(spark, d), ["video_id", "chunk_num"])
     return p.select("video_id", "chunk_num", F.col("part_no").cast("bigint").alias("part_no"), "time_range", (tc.to_cs(F.col("end")) - tc.to_cs(F.col("start")) >= 500).alias("long_enough"))
 
 
+@query(f"with {SEG}, {ALL_PARTS} select video_id, chunk_num, selection_no, row_number() over (partition by video_id, chunk_num, selection_no order by start_cs, seg_index) as part_no, {OR_NA('start_cs')} || ' - ' || {OR_NA('end_cs')} as time_range, case when end_cs > start_cs and start_cs >= 0 then end_cs - start_cs >= 500 end as long_enough from parts")
+def part_validation_all(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of every selection, of all segments."""
+    p = selection.parts_of(_all_selections(spark, d), ["video_id", "chunk_num", "selection_no"])
+    return p.select("video_id", "chunk_num", "selection_no", F.col("part_no").cast("bigint").alias("part_no"), "time_range", (tc.to_cs(F.col("end")) - tc.to_cs(F.col("start")) >= 500).alias("long_enough"))
+
+
 @query(
     f"""with {SEG}, {PARTS}, k as (select distinct video_id, chunk_num from chunked where start_cs >= 0),
         t as (select video_id, chunk_num, count(*) n, bool_and(end_cs > start_cs) readable, bool_and(end_cs - start_cs >= 500) long_enough, cast(sum(end_cs - start_cs) // 100 as bigint) s from parts group by 1, 2)
@@ -413,6 +440,17 @@ def selection_total(spark: SparkSession, d: str) -> DataFrame:
     return v
 
 
+@query(
+    f"""with {SEG}, {ALL_PARTS},
+        t as (select video_id, chunk_num, selection_no, count(*) n, bool_and(end_cs > start_cs and start_cs >= 0) readable, bool_and(end_cs - start_cs >= 500) long_enough, cast(sum(end_cs - start_cs) // 100 as bigint) s from parts group by 1, 2, 3)
+        select video_id, chunk_num, selection_no, n as n_parts, case when readable then s else 0 end as total_s, readable and long_enough and s between 10 and 30 as valid, readable and s between 10 and 20 as in_range,
+               case when not readable then 'unreadable part' when not long_enough then 'part too short' when s < 10 then 'total too short' when s > 30 then 'total too long' end as reason from t"""
+)
+def selection_total_all(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of every selection, of all segments."""
+    return selection.validated(_all_selections(spark, d), ["video_id", "chunk_num", "selection_no"], min_s=10, max_s=20)
+
+
 @query(
     """select report_id, s.start_time as from_s, s.end_time as to_s, s.start_time < 0 or s.end_time > metadata.duration as out
        from (select report_id, metadata, unnest(segments.high_value) s from reels_extraction_20250825_215033_complete)"""
@@ -666,6 +704,19 @@ def filter_graph_render(spark: SparkSession, d: str) -> DataFrame:
     return g.select("video_id", "chunk_num", render.filter_graph(F.col("r")).alias("graph"))
 
 
+@query(
+    f"""with {SEG}, {ALL_PARTS}, p as (select video_id, chunk_num, selection_no, (start_cs // 100) || '.' || lpad(cast(start_cs % 100 as varchar), 2, '0') a, (end_cs // 100) || '.' || lpad(cast(end_cs % 100 as varchar), 2, '0') b, row_number() over (partition by video_id, chunk_num, selection_no order by start_cs, seg_index) - 1 i from parts where end_cs > start_cs and start_cs >= 0)
+        select video_id, chunk_num, selection_no, string_agg('[0:v]trim=start=' || a || ':end=' || b || ',setpts=PTS-STARTPTS[v' || i || '];[0:a]atrim=start=' || a || ':end=' || b || ',asetpts=PTS-STARTPTS[a' || i || ']', ';' order by i) || ';' || string_agg('[v' || i || '][a' || i || ']', '' order by i) || 'concat=n=' || count(*) || ':v=1:a=1[outv][outa]' as graph
+        from p group by 1, 2, 3"""
+)
+def filter_graph_render_all(spark: SparkSession, d: str) -> DataFrame:
+    """Filter graph of every selection of all segments, however late they start; a part without a length has nothing to trim."""
+    key = ["video_id", "chunk_num", "selection_no"]
+    p = selection.parts_of(_all_selections(spark, d), key).where("start is not null")
+    g = p.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("part_no", "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("r"))
+    return g.select(*key, render.filter_graph(F.col("r")).alias("graph"))
+
+
 @query(
     """with b as (select distinct channel as base from documents where channel is not null), taken as (select base, base as name from b where hash(base) is not null and cast(right(base, 1) as int) < 5 union all select base, base || '_2' from b where cast(right(base, 1) as int) < 3)
        select base, base || case when cast(right(base, 1) as int) < 3 then '_3' when cast(right(base, 1) as int) < 5 then '_2' else '' end as chosen from b"""
@@ -814,6 +865,17 @@ def suggested_reel_lines(spark: SparkSession, d: str) -> DataFrame:
     return render.suggested_reels(s, "video_id")
 
 
+@query(
+    f"""with {SEG}, {ALL_PARTS}, s as (select video_id, seg_index as item, {OR_NA('start_cs')} || ' - ' || {OR_NA('end_cs')} as r from parts),
+        l as (select *, ['SEGMENT ' || item, 'Time: ' || r, 'Why: because', '', 'Cut: --video v.mp4 --ranges "' || replace(replace(r, ' - ', '-'), ' ', '') || '"', repeat('─', 70), ''] l from s)
+        select video_id, item, cast(unnest(range(0, 7)) as int) as line_no, unnest(l) as line from l"""
+)
+def suggested_reel_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the suggestions file with every segment as one."""
+    s = _segments(spark, d).select("video_id", F.col("seg_index").alias("item"), _time_range().alias("time_range"), F.lit("because").alias("reason"), F.lit("v.mp4").alias("path"))
+    return render.suggested_reels(s, "video_id")
+
+
 @query(
     """with h as (select distinct video_id from results_qwen15b where video_id is not null and value_score is not null and not isnan(value_score)),
        s as (select video_id, cast(least(floor(round(value_score * 1000) / 200), 4) as int) b, row_id, cast(round(value_score * 1000) as bigint) m, seg_index,
