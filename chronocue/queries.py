@@ -571,6 +571,10 @@ def evaluated_by_path(spark: SparkSession, d: str) -> DataFrame:
     return once.groupBy("audio_path").agg(F.count("*").alias("n_segments"), F.sum(F.round(F.col("duration") * 100).cast("bigint")).alias("total_cs"))
 
 
+# Seconds as a time code, a negative one with its sign before it.
+SIGNED_CS = lambda c: f"case when isnan({c}) or abs({c}) >= 9e15 then null else case when round({c} * 100) < 0 then '-' else '' end || {CS(f'cast(abs(round({c} * 100)) as bigint)')} end"
+
+
 @query(
     """select row_id, cast(index as int) as index, start_time, end_time, duration, text, value_score from (
          select row_id, seg_index as index, start_time, end_time, duration, text, value_score from results_qwen15b
@@ -583,6 +587,23 @@ def union_legacy_shapes(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query(
+    f"""select row_id, cast(index as int) as index, start_time, end_time, duration, text, value_score from (
+         select row_id, seg_index as index, start_time, end_time, duration, text, value_score from results_qwen15b
+         union all by name select row_id, seg_index as index, {SIGNED_CS('start_time')} as start_time, {SIGNED_CS('end_time')} as end_time, null as duration, text, value_score from results_simplified)"""
+)
+def union_legacy_shapes_all(spark: SparkSession, d: str) -> DataFrame:
+    """Segment tables of two shapes as one, every row of both; the second's seconds are written as time codes from whole hundredths, NaN as null."""
+
+    def written(c: str) -> Column:
+        cs = tc.to_cs(F.col(c))
+        return F.concat(F.when(cs < 0, "-").otherwise(""), tc.format_cs(F.abs(cs)))
+
+    a = table(spark, d, "results_qwen15b").select("row_id", F.col("seg_index").alias("index"), "start_time", "end_time", "duration", "text", "value_score")
+    b = table(spark, d, "results_simplified").select("row_id", F.col("seg_index").alias("index"), written("start_time").alias("start_time"), written("end_time").alias("end_time"), "text", "value_score")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 # Speakers and pacing. As labels stand in: long segments are the teacher's.
 
 LABELLED = f"labelled as (select *, case when {WORDS("coalesce(text, '')")} >= 8 then 'teacher' else 'student' end as label from seg)"

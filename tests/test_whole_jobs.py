@@ -35,3 +35,10 @@ def test_selections_take_every_segment(spark, tables):
     graphs = dict(rows(core.QUERIES["filter_graph_render_all"](spark, d).selectExpr("struct(chunk_num, selection_no)", "graph")))
     assert {tuple(k): g.count("atrim") for k, g in graphs.items()} == {(1, 1): 4, (1, 2): 1, (16667, 1): 1} and "start=2000000.00:end=2000006.00" in graphs[(16667, 1)]
     assert [r[0] for r in rows(core.QUERIES["suggested_reel_lines_all"](spark, d).select("item").distinct())] == list(range(8))
+
+
+def test_union_takes_every_row_of_both_shapes(spark, tables):
+    tables("results_qwen15b", [(1, 0, "0:01", "0:02", "1s", "a", 0.5)], "row_id bigint, seg_index int, start_time string, end_time string, duration string, text string, value_score double")
+    d = tables("results_simplified", segments((61.5, 3600.0), (None, 2.0), (-0.5, float("nan"))), SIMPLIFIED)
+    u = core.QUERIES["union_legacy_shapes_all"](spark, d)
+    assert rows(u.select("row_id", "start_time", "end_time", "duration")) == [(0, "1:01.50", "60:00.00", None), (1, "0:01", "0:02", "1s"), (1, None, "0:02.00", None), (2, "-0:00.50", None, None)]
