@@ -196,6 +196,19 @@ def band_join(spark: SparkSession, d: str) -> DataFrame:
     return chunks.range_joined(s, r, ["video_id"], "start_cs", "ws", "we", 4500).select("video_id", "seg_index", "window_no")
 
 
+@query(
+    f"""with {SEG}, r as (select video_id, window_no, t0 + window_no * 3500 as ws from (select video_id, t0, unnest(generate_series(0, (t1 - t0) // 3500)) window_no from (select video_id, min(start_cs) t0, max(start_cs) t1 from seg group by 1)))
+        select s.video_id, s.seg_index, cast(r.window_no as bigint) as window_no from seg s join r on s.video_id = r.video_id and s.start_cs >= r.ws and s.start_cs < r.ws + 4500"""
+)
+def band_join_all(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with every range that holds their start; each video has ranges up to its last start."""
+    s = _segments(spark, d)
+    r = s.groupBy("video_id").agg(F.min("start_cs").alias("t0"), F.max("start_cs").alias("t1"))
+    r = r.select("video_id", "t0", F.explode(F.expr("sequence(0L, (t1 - t0) div 3500)")).alias("window_no"))
+    r = r.select("video_id", "window_no", (F.col("t0") + F.col("window_no") * 3500).alias("ws"), (F.col("t0") + F.col("window_no") * 3500 + 4500).alias("we"))
+    return chunks.range_joined(s, r, ["video_id"], "start_cs", "ws", "we", 4500).select("video_id", "seg_index", "window_no")
+
+
 @query(
     """with l as (select video_id, line_id, text, row_number() over (partition by video_id order by updated_at desc nulls last, line_id desc) n from full_transcript where video_id is not null)
        select video_id, line_id, text from l where n = 1"""

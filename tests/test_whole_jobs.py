@@ -42,3 +42,8 @@ def test_union_takes_every_row_of_both_shapes(spark, tables):
     d = tables("results_simplified", segments((61.5, 3600.0), (None, 2.0), (-0.5, float("nan"))), SIMPLIFIED)
     u = core.QUERIES["union_legacy_shapes_all"](spark, d)
     assert rows(u.select("row_id", "start_time", "end_time", "duration")) == [(0, "1:01.50", "60:00.00", None), (1, "0:01", "0:02", "1s"), (1, None, "0:02.00", None), (2, "-0:00.50", None, None)]
+
+
+def test_ranges_reach_the_last_start(spark, tables):
+    d = tables("results_simplified", segments((0.0, 1.0), (34.99, 36.0), (184.0, 190.0), (185.0, 190.0), (7000.0, 7001.0)), SIMPLIFIED)
+    assert rows(core.QUERIES["band_join_all"](spark, d).select("seg_index", "window_no")) == [(0, 0), (1, 0), (2, 4), (2, 5), (3, 5), (4, 199), (4, 200)]
