@@ -222,7 +222,9 @@ def after_marker(texts: DataFrame, key: str, text: str, marker: str = "Full tran
     """key, transcript: what stands under the marker line and the rule line after it, the whole text without a marker, empty for a null text."""
     c = F.col(text)
     under = F.regexp_replace(F.substr(c, F.instr(c, marker) + len(marker)), r"^[ \t]*\n-*\n?", "")
-    return texts.select(key, F.when(c.isNull(), F.lit("")).when(F.instr(c, marker) > 0, strip(under)).otherwise(strip(c)).alias("transcript"))
+    # The separators \x1c to \x1f are blanks too, as for the first programs.
+    bare = lambda x: F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return texts.select(key, F.when(c.isNull(), F.lit("")).when(F.instr(c, marker) > 0, bare(under)).otherwise(bare(c)).alias("transcript"))
 
 
 def run_directory(name: Column) -> Column:

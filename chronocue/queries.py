@@ -393,6 +393,16 @@ def text_after_marker(spark: SparkSession, d: str) -> DataFrame:
     return sections.after_marker(t, "doc_id", "text", "TOPICS:").withColumnRenamed("transcript", "tail")
 
 
+@query(
+    r"""select doc_id, regexp_replace(regexp_replace(substr(text, instr(text, 'TOPICS:') + 7), '^[ \t]*\n-*\n?', ''), '^[\s\pZ\x0b\x1c-\x1f\x85]+|[\s\pZ\x0b\x1c-\x1f\x85]+$', '', 'g') as tail
+        from documents where text is not null and instr(text, 'TOPICS:') > 0"""
+)
+def text_after_marker_all(spark: SparkSession, d: str) -> DataFrame:
+    """What stands under a marker line, of every document that has one, whatever its text ends in."""
+    t = _documents(spark, d).where("text is not null and instr(text, 'TOPICS:') > 0")
+    return sections.after_marker(t, "doc_id", "text", "TOPICS:").withColumnRenamed("transcript", "tail")
+
+
 # Selections
 
 PARTS = f"""parts as (

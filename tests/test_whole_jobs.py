@@ -47,3 +47,9 @@ def test_union_takes_every_row_of_both_shapes(spark, tables):
 def test_ranges_reach_the_last_start(spark, tables):
     d = tables("results_simplified", segments((0.0, 1.0), (34.99, 36.0), (184.0, 190.0), (185.0, 190.0), (7000.0, 7001.0)), SIMPLIFIED)
     assert rows(core.QUERIES["band_join_all"](spark, d).select("seg_index", "window_no")) == [(0, 0), (1, 0), (2, 4), (2, 5), (3, 5), (4, 199), (4, 200)]
+
+
+def test_marker_text_may_end_in_any_blank(spark, tables):
+    ends = ["", " ", " ", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "　\n"]
+    d = tables("documents", [(i, f"head TOPICS:\n---\n- one{e}") for i, e in enumerate(ends)], "doc_id bigint, text string")
+    assert rows(core.QUERIES["text_after_marker_all"](spark, d)) == [(i, "- one") for i in range(len(ends))]
