@@ -2,8 +2,9 @@
 
 Short texts are encoded at once. A long text is cut into blocks that are
 encoded in parallel and joined pairwise up a tree. At a join the
-text is split again from the start of the left side's last split piece, as all
-splits before it stand whatever follows, until a split of the right side is
+text is split again from the start of the left side's last split piece, or of
+the one before if a quote and the letter after it may yet become a contraction,
+as all splits before stand whatever follows, until a split of the right side is
 met, as all after it stand too; where one piece spans the join, growing
 windows of tokens around it are encoded again until their outer tokens are
 those of both sides. A sequence of tokens is the encoding of its text exactly
@@ -55,7 +56,7 @@ def splits(text: str) -> Iterator[tuple[int, int]]:
 
 
 class Bpe:
-    """Exact encoding whole or in parts. A part is (ids, tokens of its last split piece)."""
+    """Exact encoding whole or in parts. A part is (ids, tokens at its end that what follows may change): those of its last split piece, and of a quote before it that ``'r``, ``'v`` or ``'l`` may make a contraction."""
 
     def __init__(self, ranks: dict[bytes, int], threads: int = 2):
         import tiktoken
@@ -90,17 +91,21 @@ class Bpe:
         return self.join_tokens(self.long_piece(b[:half]), self.long_piece(b[half:]))
 
     def part(self, text: str) -> tuple[list[int], int]:
-        """A text's ids and how many of them its last split piece has."""
+        """A text's ids and how many of them are its open end."""
         if not text:
             return [], 0
         # Between a letter or digit and a blank there is always a split, so the last piece is found from the last such place.
         at = 0
         for m in _SURE.finditer(text, max(0, len(text) - 2000)):
             at = m.end()
-        start, end = at, len(text)
+        before, last = "", ""
         for a, b in splits(text[at:]):
-            start, end = at + a, at + b
-        return self.enc.encode_ordinary(text), len(self.long_piece(text[start:end].encode()))
+            before, last = last, text[at + a : at + b]
+        return self.enc.encode_ordinary(text), len(self.long_piece(last.encode())) + self._quote(before, last)
+
+    def _quote(self, before: str, last: str) -> int:
+        """Tokens of a quote that the last piece may yet take into a contraction."""
+        return len(self.piece(b"'")) if before == "'" and last in ("r", "v", "l") else 0
 
     def join(self, left: tuple[list[int], int], right: tuple[list[int], int]) -> tuple[list[int], int]:
         """The part of both texts together."""
@@ -138,7 +143,9 @@ class Bpe:
             used = self._tokens_for(b, len(new[:met].encode()))
             ids: list[int] = []
             last = 0
+            piece = before_it = ""
             for s, e in done:
+                before_it, piece = piece, text[s:e]
                 if len(done) == 1 and 0 < met <= len(new) and self._one_piece(b, used, new[:met]):
                     one = self.join_tokens(tail, b[:used])
                 elif s == 0 and e == len(before):
@@ -148,7 +155,13 @@ class Bpe:
                 last = len(one)
                 ids += one
             rest = b[used:]
-            return kept + ids + rest, (m if rest else last)
+            if not rest:
+                return kept + ids, last + self._quote(before_it, piece)
+            # The right side's open end begins at a quote that is now part of another piece, or the quote is the left side's.
+            m = min(m, len(rest))
+            if len(rest) == 1:
+                m += self._quote(piece, self.text_of(rest).decode(errors="replace"))
+            return kept + ids + rest, m
 
     def _tokens_for(self, ids: list[int], size: int) -> int:
         n = i = 0
