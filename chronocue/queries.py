@@ -1046,13 +1046,27 @@ def run_directory_parse(spark: SparkSession, d: str) -> DataFrame:
         select video_id, cast(part as int) as part, cast(line_no as int) as line_no, line from lines"""
 )
 def final_summary_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Final summaries as lines; the transcript's own text stands in the segments' lines."""
+    """Final summaries as lines; the transcript's own text stands in the segments' lines and, as a whole, in ``final_transcript_lines``."""
     c = _chunked(spark, d)
     v = table(spark, d, "videos").select("video_id", "path", F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("language"), tc.to_cs(F.col("duration")).alias("duration_cs"))
     timings = c.groupBy("video_id", "chunk_num").agg(F.count("*").alias("tenths"))
     return render.final_summary(v, v.select("video_id", F.lit("").alias("text")), c, timings)
 
 
+@query(
+    SQL["final_summary_lines"].replace(
+        "select video_id, cast(part as int) as part, cast(line_no as int) as line_no, line from lines",
+        """, texts as (select video_id, chunk_num, string_agg(coalesce(text, ''), '' order by start_cs, seg_index) as line from chunked group by 1, 2)
+        select video_id, cast(case when part > 0 then part + 2 when line_no < 10 then 0 else 2 end as int) as part, cast(case when part = 0 and line_no >= 10 then line_no - 10 else line_no end as bigint) as line_no, line from lines
+        union all select video_id, 1, chunk_num * 2, line from texts
+        union all select video_id, 1, chunk_num * 2 + 1, '' from texts""",
+    )
+)
+def final_transcript_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Final summaries with the whole transcript: the texts of a video's chunks in order, each a line of its own."""
+    return render.with_transcript(final_summary_lines(spark, d), chunks.chunk_texts(_chunked(spark, d)))
+
+
 # Streams over the same tables, read to their end
 
 

@@ -101,6 +101,19 @@ def final_summary(videos: DataFrame, texts: DataFrame, segs: DataFrame, timings:
     return head.unionByName(body).unionByName(tail).unionByName(per)
 
 
+def with_transcript(summary: DataFrame, texts: DataFrame) -> DataFrame:
+    """Lines of ``final_summary``, made with empty texts, with the transcript in its place: part 0 what stands before it, 1 the transcript, 2 to 5 the rest.
+
+    texts: video_id, chunk_num, text. Each is a line with an empty one after
+    it, numbered by chunk, so a long video's transcript is never one value.
+    """
+    part, at = F.col("part"), F.col("line_no").cast("bigint")
+    below = (part == 0) & (at >= 10)
+    rest = summary.select("video_id", F.when(part > 0, part + 2).when(below, 2).otherwise(0).cast("int").alias("part"), F.when(below, at - 10).otherwise(at).alias("line_no"), "line")
+    said = texts.select("video_id", _lit("1").cast("int").alias("part"), F.posexplode(F.array(F.coalesce("text", _lit("")), _lit(""))).alias("i", "line"), "chunk_num")
+    return rest.unionByName(said.select("video_id", "part", (F.col("chunk_num") * 2 + F.col("i")).alias("line_no"), "line"))
+
+
 def suggested_reels(suggestions: DataFrame, key: str, media: str = "path") -> DataFrame:
     """Lines of the suggestions file: key, item, line_no, line of rows key, item (from 1), time_range, reason, path. A text without suggestions has no file."""
     return suggestions.select(

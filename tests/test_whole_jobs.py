@@ -53,3 +53,12 @@ def test_marker_text_may_end_in_any_blank(spark, tables):
     ends = ["", " ", " ", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "　\n"]
     d = tables("documents", [(i, f"head TOPICS:\n---\n- one{e}") for i, e in enumerate(ends)], "doc_id bigint, text string")
     assert rows(core.QUERIES["text_after_marker_all"](spark, d)) == [(i, "- one") for i in range(len(ends))]
+
+
+def test_the_final_summary_has_the_whole_transcript(spark, tables):
+    tables("videos", [(1, "a.mp4", 300.0)], "video_id bigint, path string, duration double")
+    d = tables("results_simplified", segments((0.0, 6.0), (7.0, 13.0), (130.0, 136.0)), SIMPLIFIED)
+    lines = [r.line for r in core.QUERIES["final_transcript_lines"](spark, d).orderBy("part", "line_no").collect()]
+    at = lines.index("Full transcript:")
+    assert lines[at : at + 8] == ["Full transcript:", "-" * 40, "t0t1", "", "t2", "", "", ""] and lines[at + 8] == "Segments with timestamps:"
+    assert lines[at + 10] == "[0:00.00 - 0:06.00] t0" and lines[-1].startswith("Chunk 2 processing time")
