@@ -936,13 +936,29 @@ def suggested_reel_lines_all(spark: SparkSession, d: str) -> DataFrame:
        select video_id, cast(part as int) as part, cast(line_no as int) as line_no, line from lines"""
 )
 def analysis_report_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Histogram and three top segments of every video, as lines."""
+    """Histogram and three top segments of every video, as lines; only segments with both bounds, from 0 on, are ranked."""
+    return _analysis_report(spark, d, (F.col("start_cs") >= 0) & (F.col("end_cs") >= 0))
+
+
+def _analysis_report(spark: SparkSession, d: str, ranked: Column) -> DataFrame:
     r = table(spark, d, "results_qwen15b").where("video_id is not null and value_score is not null and not isnan(value_score)")
     s = r.select("video_id", "row_id", "text", F.round(F.col("value_score") * 1000).cast("bigint").alias("score_milli"), tc.to_cs(F.col("start_seconds")).alias("start_cs"), tc.to_cs(F.col("end_seconds")).alias("end_cs"))
-    top = top_n(s.where("score_milli >= 500 and start_cs >= 0 and end_cs >= 0").withColumn("m", F.col("score_milli").cast("double")), ["video_id"], "m", ["row_id"], 3, width=16.0)
+    top = top_n(s.where("score_milli >= 500").where(ranked).withColumn("m", F.col("score_milli").cast("double")), ["video_id"], "m", ["row_id"], 3, width=16.0)
     return render.analysis_report(scoring.histogram(r, ["video_id"]), top, ["video_id"])
 
 
+M_SS = lambda c: f"({c} // 6000) || ':' || lpad(cast({c} % 6000 // 100 as varchar), 2, '0')"
+
+
+@query(
+    SQL["analysis_report_lines"].replace("not isnan(start_seconds) and not isnan(end_seconds) then", "not isnan(start_seconds) then").replace("m >= 500 and a >= 0 and z >= 0", "m >= 500")
+    .replace(f"{M_SS('a')} || '-' || {M_SS('z')}", f"case when a >= 0 then {M_SS('a')} else 'N/A' end || '-' || case when z >= 0 then {M_SS('z')} else 'N/A' end")
+)
+def analysis_report_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    """Histogram and three top segments of every video, as lines, with or without bounds; one that is missing or before 0 is N/A."""
+    return _analysis_report(spark, d, F.lit(True))
+
+
 @query(
     """with m as (select video_id, case when value_score is not null and not isnan(value_score) then cast(round(value_score * 1000) as bigint) end m from results_qwen15b where video_id is not null),
        s as (select video_id, count(*) t, count(*) filter (m >= 500) h, cast(floor(count(*) filter (m >= 500) * 1000 / count(*)) as bigint) p, cast(floor(sum(m) / count(m)) as bigint) a, min(m) lo, max(m) hi from m group by 1)

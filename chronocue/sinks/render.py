@@ -213,7 +213,7 @@ def analysis_report(histogram: DataFrame, top: DataFrame, key: list[str]) -> Dat
     title = histogram.select(*key).distinct().select(*key, _lit("0").cast("int").alias("part"), _numbered([_lit("=== DETAILED ANALYSIS REPORT ==="), _lit(""), _lit("SCORE DISTRIBUTION")]).alias("line_no", "line"))
     bins = histogram.select(*key, _lit("1").cast("int").alias("part"), (F.substring("bin", 3, 1).cast("int")).alias("line_no"), F.concat(_lit("  "), "bin", _lit(": "), F.col("n").cast("string"), _lit(" segments")).alias("line"))
     heads = top.select(*key).distinct().select(*key, _lit("2").cast("int").alias("part"), _numbered([_lit(""), _lit("TOP SEGMENTS")]).alias("line_no", "line"))
-    whole = lambda c: F.regexp_replace(format_cs(c), r"\.\d\d$", "")
+    whole = lambda c: F.when(c >= 0, F.regexp_replace(format_cs(c), r"\.\d\d$", "")).otherwise("N/A")
     shown = F.when(F.length("text") > 100, F.concat(F.left("text", F.lit(100)), _lit("..."))).otherwise(F.col("text"))
     body = F.array(
         F.concat(F.col("rank_no").cast("string"), _lit(". Score: "), hundredths(F.col("score_milli")), _lit(" | "), whole(F.col("start_cs")), _lit("-"), whole(F.col("end_cs"))),

@@ -62,3 +62,10 @@ def test_the_final_summary_has_the_whole_transcript(spark, tables):
     at = lines.index("Full transcript:")
     assert lines[at : at + 8] == ["Full transcript:", "-" * 40, "t0t1", "", "t2", "", "", ""] and lines[at + 8] == "Segments with timestamps:"
     assert lines[at + 10] == "[0:00.00 - 0:06.00] t0" and lines[-1].startswith("Chunk 2 processing time")
+
+
+def test_top_segments_need_no_bounds(spark, tables):
+    data = [(1, 1, 0, None, 5.0, "a", 0.9), (2, 1, 1, -1.0, float("nan"), "b", 0.8), (3, 1, 2, 61.0, 65.0, "c", 0.7), (4, 1, 3, 70.0, 75.0, "d", 0.6)]
+    d = tables("results_qwen15b", data, "row_id bigint, video_id bigint, seg_index int, start_seconds double, end_seconds double, text string, value_score double")
+    lines = [r.line for r in core.QUERIES["analysis_report_lines_all"](spark, d).where("part = 3").orderBy("line_no").collect()]
+    assert lines[::2] == ["1. Score: 0.90 | N/A-0:05", "2. Score: 0.80 | N/A-N/A", "3. Score: 0.70 | 1:01-1:05"]
