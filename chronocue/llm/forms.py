@@ -11,6 +11,9 @@ from the Unicode character database.
 
 ``look_key`` is the form with every look-alike letter replaced by its
 prototype: two texts look the same to a reader exactly if their keys agree.
+``prototypes`` has them for the cased letters of all scripts, by the
+confusable skeletons of the Unicode library in Spark's JVM; without a session
+the letters named below are known.
 
 Defined results: null gives null, a text without a visible character gives the
 empty string, blanks at the ends go, blanks inside keep their number.
@@ -24,7 +27,8 @@ from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,7 +55,8 @@ for _script, _twins in (("CYRILLIC", CYRILLIC_TWINS), ("GREEK", GREEK_TWINS)):
         _OPTIONS.setdefault(_latin, {"LATIN": _latin})[_script] = _c
 for _c, _latin in TO_LATIN.items():
     _OPTIONS[_c] = _OPTIONS[_latin]
-_PROTOTYPE = {ord(k): v for k, v in TO_LATIN.items()}
+
+_LATIN, _GREEK, _CYRILLIC, _ACCENTS = r"A-Za-z\u00aa-\u024f\u1e00-\u1eff", r"\u0370-\u03ff\u1f00-\u1fff", r"\u0400-\u052f", r"\u0300-\u036f"
 
 #: Texts of these characters only are in their form already, but for blanks at the ends.
 _PLAIN = re.compile(r"[\t\n\r -~\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u00c0-\u00ff]*")
@@ -59,7 +64,10 @@ _PLAIN = re.compile(r"[\t\n\r -~\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u00c0-\u
 _OTHERS = re.compile(r"[\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]")
 #: Characters that may fold to something else.
 _FOLDABLE = re.compile(r"[^ -~\u00c0-\u00ff\u0300-\u034e\u0350-\u036f\u0391-\u03c9\u0400-\u0481\u048a-\u052f\u0591-\u05f4\u0620-\u063a\u0641-\u065f]")
-_RUNS = re.compile(r"[A-Za-z\u00aa-\u024f\u0300-\u03ff\u0400-\u052f\u1e00-\u1fff]+")
+_RUNS = re.compile(rf"[{_LATIN}{_ACCENTS}{_GREEK}{_CYRILLIC}]+")
+#: Where a text whose own script is Cyrillic may have a run to resolve.
+_NOT_CYRILLIC = re.compile(rf"[{_GREEK}]|[{_LATIN}][{_ACCENTS}]*[{_CYRILLIC}]|[{_CYRILLIC}][{_ACCENTS}]*[{_LATIN}]")
+_ACCENT = re.compile(rf"[{_ACCENTS}]")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -97,7 +105,6 @@ def _folded(m: re.Match) -> str:
     return _FOLDS[ord(m[0])]
 
 
-
 _BREAKS = str.maketrans("\t\n\r", "   ")
 
 
@@ -122,8 +129,11 @@ def _resolve(run: str, context: str) -> str:
 
 def _context(text: str) -> str:
     """The script of the letters that belong to one script only."""
-    n = Counter(s for c in text if c not in _OPTIONS and (s := script_of(c)) in FAMILY)
-    return n.most_common(1)[0][0] if n else "LATIN"
+    n: Counter = Counter()
+    for c, times in Counter(text).items():
+        if c not in _OPTIONS and (s := script_of(c)) in FAMILY:
+            n[s] += times
+    return max(n, key=n.__getitem__) if n else "LATIN"
 
 
 def form(text: str | None) -> str | None:
@@ -132,21 +142,63 @@ def form(text: str | None) -> str | None:
         return None
     if _PLAIN.fullmatch(text):
         return text.translate(_BREAKS).strip(" ")
-    folded = unicodedata.normalize("NFD", _FOLDABLE.sub(_folded, text))
+    folded = _FOLDABLE.sub(_folded, text)
     if _OTHERS.search(folded):
+        folded = unicodedata.normalize("NFD", folded)
         context = _context(folded)
-        folded = _RUNS.sub(lambda m: _resolve(m[0], context) if not m[0].isascii() else m[0], folded)
+        # A run all in the text's own script stays.
+        if context != "CYRILLIC" or _NOT_CYRILLIC.search(folded):
+            folded = _RUNS.sub(lambda m: _resolve(m[0], context) if not m[0].isascii() else m[0], folded)
     return unicodedata.normalize("NFC", folded).strip(" ")
 
 
-def look(text: str | None) -> str | None:
+class Prototypes:
+    """Prototypes of look-alike letters, those of letters with an accent by rule from those without."""
+
+    def __init__(self, plain: dict[str, str]):
+        self.plain = {ord(c): p for c, p in plain.items()}
+        self.table = dict(self.plain)
+        for o in range(0xC0, 0x2100):
+            d = unicodedata.normalize("NFD", chr(o))
+            if len(d) > 1 and ord(d[0]) in self.plain:
+                self.table[o] = unicodedata.normalize("NFC", d.translate(self.plain))
+        self.held = re.compile("[" + "".join(map(chr, sorted(self.table))) + "]")
+
+    def of(self, f: str) -> str:
+        """Of a text in its form the prototypes."""
+        if f.isascii() or not self.held.search(f):
+            return f
+        if _ACCENT.search(f):
+            return unicodedata.normalize("NFC", unicodedata.normalize("NFD", f).translate(self.plain))
+        return f.translate(self.table)
+
+
+OWN = Prototypes(TO_LATIN)
+
+
+def prototypes(spark: SparkSession) -> Prototypes:
+    """Of every cased letter beyond ASCII that is a confusable of another cased letter that letter, by the skeletons of Spark's own Unicode library (TS 39).
+
+    The standard gives I and l one skeleton; here a capital is I. Where the
+    session has no such library, the letters named in this module. Bounded by
+    the number of Unicode's letters.
+    """
+    try:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        cased = [c for o in range(0x80, 0x20000) if not 0xD800 <= o < 0xE000 and unicodedata.category(c := chr(o)) in ("Lu", "Ll")]
+        skeletons = checker.getSkeleton("\n".join(cased)).split("\n")
+    except (TypeError, AttributeError, Py4JError):
+        return OWN
+    found = {}
+    for c, s in zip(cased, skeletons):
+        if len(s) == 1 and s != c and unicodedata.category(s) in ("Lu", "Ll") and _FOLDS[ord(c)] == c and unicodedata.normalize("NFD", c) == c:
+            found[c] = "I" if s == "l" and unicodedata.category(c) == "Lu" else s
+    return Prototypes(found | TO_LATIN)
+
+
+def look(text: str | None, known: Prototypes = OWN) -> str | None:
     """The form with prototypes for all look-alike letters."""
-    if text is None:
-        return None
-    f = form(text)
-    if f.isascii():
-        return f
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", f).translate(_PROTOTYPE))
+    return None if text is None else known.of(form(text))
 
 
 @F.pandas_udf(T.StringType())
@@ -154,9 +206,12 @@ def canonical_form(s: pd.Series) -> pd.Series:
     return s.map(form, na_action="ignore").astype(object).where(s.notna(), None)
 
 
-@F.pandas_udf(T.StringType())
-def look_key(s: pd.Series) -> pd.Series:
-    return s.map(look, na_action="ignore").astype(object).where(s.notna(), None)
+def look_key(text: Column | str, known: Prototypes = OWN) -> Column:
+    @F.pandas_udf(T.StringType())
+    def key(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: look(t, known), na_action="ignore").astype(object).where(s.notna(), None)
+
+    return key(text)
 
 
 def _digest(c: Column) -> Column:
@@ -172,11 +227,13 @@ def same_look_pairs(left: DataFrame, right: DataFrame, on: list[str], left_id: s
     ``on`` spreads over all tasks.
     """
 
+    known = prototypes(left.sparkSession)
+
     def side(df: DataFrame, key: str, name: str) -> DataFrame:
         picked = df.select(*on, F.col(key).alias(name), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
         for c in on:
             picked = picked.where(F.col(c).isNotNull())
-        keyed = picked.withColumn("__look", look_key("__text")).where(F.col("__look") != "")
+        keyed = picked.withColumn("__look", look_key("__text", known)).where(F.col("__look") != "")
         return keyed.select(*on, name, _digest(F.col("__look")).alias("__look"), _digest(F.col("__text")).alias(f"__stored_{name}"))
 
     a, b = side(left, left_id, "__left"), side(right, right_id, "__right")

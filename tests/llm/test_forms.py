@@ -26,6 +26,20 @@ def test_looks_different(a, b):
     assert look(a) != look(b)
 
 
+def test_look_alikes_of_all_cased_scripts(spark):
+    known = forms.prototypes(spark)
+    for stored, same in [
+        ("ԍ", "ɢ"), ("օne", "one"), ("ɡo", "go"), ("Ꭺpple", "Apple"), ("ıt", "it"), ("ѕԛυаге", "squaге"), ("π", "п"), ("Іt", "It"), ("Ⲟn", "On"), ("ⅴ", "v"), ("о́", "ó"), ("ϳοԁ", "jod"), ("ӧ", "ö"),
+    ]:
+        assert look(stored, known) == look(same, known), stored
+    for a, b in [("l", "I"), ("Іt", "lt"), ("ס", "o"), ("ו", "l"), ("m", "rn"), ("0", "O"), ("ж", "x"), ("э", "e"), ("Ё", "E")]:
+        assert look(a, known) != look(b, known), a
+    texts = ["привет мир, ёлка", "Καλημέρα", "Ꭺɡо́ й", "ӧ́x", "שלום о"]
+    for t in texts:
+        assert look(t, known) == unicodedata.normalize("NFC", unicodedata.normalize("NFD", form(t)).translate(known.plain))
+    assert set(forms.OWN.plain.items()) <= set(known.plain.items())
+
+
 def test_the_form_is_of_one_script():
     assert form("muѕіс") == "music"
     assert form("пpивет мир") == "привет мир"
