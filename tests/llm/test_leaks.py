@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from tests.conftest import rows
 
@@ -54,6 +55,40 @@ def test_tiles_dont_overlap_and_order_is_free():
     assert Items([(1, " ".join(w))]).tiles(twice) == [(1, 1, 15, 15 / 40)]
 
 
+def test_numbers_are_those_of_the_words():
+    index = Items([(5, ITEM)])
+    for text in (ITEM, ITEM.replace("fox", "fo\x1dx"), "<b class='x y'>fox</b > fox", "＜b x＞fox", "&lt;fox&#x20;dog &nbsp;fox", "0:12.50 -> 0:13.00] fox\u2028dog\x85fox　dog\u2800fox", "fo\u200bx " * 3, "1234567:00 fox", "f" * 500 + " fox"):
+        assert index.numbered(text) == [index.numbers.get(x, 0) for x in words_of(text)], text
+
+
+def test_long_tags_are_markup():
+    tag = "<a href='" + "x y " * 300 + "'>"
+    assert Items([(5, ITEM)]).tiles(words_of(ITEM.replace("fox", "fox " + tag))) == [(5, 1, 18, 1.0)]
+    assert len(list(Items([(5, ITEM)]).of_texts([None, ITEM.replace("fox", "fox " + tag), ""]))) == 1
+
+
+def test_a_word_repeated_on_both_sides(monkeypatch):
+    import time
+
+    index = Items([(5, "spam " * 200), (6, ITEM)])
+    started = time.process_time()
+    assert list(index.of_texts(["spam " * 100_000, "no", "spam " * 11, "spam " * 40 + ITEM])) == [(0, (5, 1, 200, 1.0)), (3, (5, 1, 40, 0.2)), (3, (6, 1, 18, 1.0))]
+    assert time.process_time() - started < 20
+    monkeypatch.setattr(lk, "HITS_AT_A_TIME", 7)
+    assert list(index.of_texts(["spam " * 300])) == [(0, (5, 1, 200, 1.0))]
+
+
+def test_hashes_that_collide(monkeypatch):
+    whole = Items([(1, ITEM), (2, "spam " * 30)])
+    monkeypatch.setattr(Items, "hashes", lambda self, w: ((np.zeros(max(0, len(w) - 11), np.uint64)), np.ones(max(0, len(w) - 11), bool)))
+    flat = Items([(1, ITEM), (2, "spam " * 30)])
+    text = "spam " * 15 + "x " + ITEM + " " + " ".join(ITEM.split()[2:16])
+    monkeypatch.undo()
+    w = np.array(whole.numbered(text), np.int64)
+    at = np.repeat(np.arange(len(w) - 11), 1)
+    assert flat.tiled(w, at, np.zeros(len(at), np.int64)) == whole.tiled(w, *whole.hits(w))
+
+
 def test_tables(spark):
     docs = [(1, "a " + ITEM, "x"), (2, ITEM[:20], "x"), (3, None, "x"), (4, "", "x"), (None, ITEM, "x"), (1, "a " + ITEM, "x"), (9007199254740993, ITEM + " filler" * 100_000, "x")]
     items = [(5, ITEM, "y"), (6, None, "y"), (7, "too short", "y"), (8, ITEM, "y")]
