@@ -13,7 +13,7 @@ from .forms import same_look_pairs
 from .language import MIN_WORDS, fit, labelled_sample, languages
 from .leaks import leaks
 from .stuffing import stuffed_pages
-from .turns import labels_of, speaker_turns
+from .turns import calibrated_pause, labels_of, speaker_turns, turn_texts
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("video_id", "speaker_key", "first_seg", "last_seg")
 
 
+def p4_turns(spark: SparkSession, d: str) -> DataFrame:
+    """What was said in every turn, parted at changes of the speaker and at pauses of a calibrated length, without what rolling captions repeat."""
+    s = table(spark, d, "results_simplified")
+    return turn_texts(s, labels_of(table(spark, d, "speaker_roster")), pause_s=calibrated_pause(s))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encoded(table(spark, d, "documents"))
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
+    "p4_turns": p4_turns,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,

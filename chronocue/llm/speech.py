@@ -14,10 +14,10 @@ from collections.abc import Iterable
 
 from .forms import form, look
 
-TIME = r"\d{1,6}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
-_HEAD_TIME = re.compile(rf"^[\s\W]*?[\[(]?\s*(\d{{1,6}}):(\d{{2}})(?::(\d{{2}}))?([.,]\d{{1,3}})?")
+TIME = r"\d+:\d{2}(?::\d{2})?(?:[.,]\d+)?"
+_HEAD_TIME = re.compile(r"^\W*+(\d+):(\d{2})(?::(\d{2}))?([.,]\d+)?")
 _TIMES = re.compile(rf"[\[(]\s*{TIME}(?:\s*-+>?\s*{TIME})?\s*[\])]|(?<![\w:.]){TIME}(?![\w:])")
-_BRACKETS = re.compile(r"<v\s+([^<>]{1,60})>|<([^<>]{0,60})>|\[([^\[\]]{0,60})\]|\(([^()]{0,60})\)|\*([^*\n]{1,60})\*", re.IGNORECASE)
+_BRACKETS = re.compile(r"<v\s++([^<>]++)>|<([^<>]*+)>|\[([^\[\]]*+)\]|\(([^()]*+)\)|\*([^*\n]++)\*", re.IGNORECASE)
 _COLON = re.compile(r"\s?:(?![\d/])")
 _W = r"[\w\u0300-\u036f\u0591-\u05bd\u05bf\u05c1\u05c2\u05c4\u05c5\u05c7\u064b-\u065f\u0670]"
 _WORD = re.compile(rf"{_W}+(?:['’\-]{_W}+)*")
@@ -27,6 +27,8 @@ _HESITATION = re.compile(
     r"u+h*m*|u+m+|uh+m*|e+r+m+|er{2,}|h+m+|hu+m+|m+h*|mhm|a+h+m?|e+h+m?|e+u+h+|ä+h*m*|hã+|ã+h?|a+hn+|o+h"
     r"|э+м*|э+-э+|м+|а-а+|א+ה+|א+מ+|ה+מ+|מ{2,}|ا?آ+ه+|ا+ه+|ا+م+|ه+م+|م{2,}"
 )
+#: The letters of these sounds.
+_SOUNDS = frozenset(re.findall(r"[^\W\d_]", _HESITATION.pattern))
 _MARK = re.compile(r"(?:>>+|-+>?|–|—|\|)$")
 _LETTERS = re.compile(r"[^\W\d_]")
 
@@ -72,6 +74,8 @@ class Labels:
         #: A form that several speakers share names nobody.
         self.by_form = {f: next(iter(k)) for f, k in found.items() if len(k) == 1}
         self.by_full = {f: next(iter(k)) for f, k in full.items() if len(k) == 1 and len(f) > 5}
+        #: Words of the longest form; a label of a number has two.
+        self.most_words = max(2, *(len(f.split()) for f in found)) if found else 2
         self.known: dict[tuple[str, bool], str | None] = {}
 
     @staticmethod
@@ -91,7 +95,7 @@ class Labels:
 
     def _resolve(self, label: str, near: bool, number: bool) -> str | None:
         s = self.clean(label)
-        if m := re.fullmatch(r"(?:spk|spkr|speaker)? ?0*(\d{1,9})", s):
+        if m := re.fullmatch(r"(?:spk|spkr|speaker)? ?0*(\d{1,18})", s):
             return self.by_number.get(int(m[1])) if number or s[0] == "s" else None
         s = _squeezed(s)
         if s in self.by_form:
@@ -104,11 +108,11 @@ class Labels:
 
 
 def head_seconds(text: str | None) -> float | None:
-    """The time mark at the head of a text: minutes:seconds, minutes not rolling into hours, or hours:minutes:seconds."""
+    """The time mark at the head of a text: minutes:seconds, minutes not rolling into hours, or hours:minutes:seconds. A number of over 15 digits is no time."""
     if not text:
         return None
     m = _HEAD_TIME.match(form(text))
-    if not m:
+    if not m or len(m[1]) > 15:
         return None
     a, b, c, part = int(m[1]), int(m[2]), m[3], float("0." + m[4][1:]) if m[4] else 0.0
     return (a * 60 + b if c is None else a * 3600 + b * 60 + int(c)) + part
@@ -120,7 +124,7 @@ def words_of(s: str) -> list[str]:
     for m in _WORD.finditer(s):
         w = m[0]
         low = w.casefold()
-        if len(low) < 9 and _HESITATION.fullmatch(low):
+        if low[0] in _SOUNDS and low[-1] in _SOUNDS and _HESITATION.fullmatch(low):
             continue
         if low == "este" and s[m.end() : m.end() + 3] == "...":
             continue
@@ -151,7 +155,7 @@ def pieces(text: str | None, labels: Labels | None) -> list[tuple[str | None, li
             stripped = head.rstrip()
             end, key, start = len(stripped), None, 0
             first = end
-            for n in range(3):
+            for _ in range(labels.most_words):
                 t = _TOKEN_BEFORE.search(stripped[:first].rstrip())
                 if not t or "\x02" in t[0] or not _WORD.search(t[0]):
                     break

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from tests.conftest import rows
 
 from chronocue.llm.speech import Labels, head_seconds, pieces, words_of
-from chronocue.llm.turns import calibrated_pause, labels_of, overlap, roll_up, speaker_turns
+from chronocue.llm.turns import calibrated_pause, labels_of, overlap, roll_up, speaker_turns, turn_texts
 
 ROSTER = [("spk01", "Tamsin Orvel", "טמסין אורבל", "teacher"), ("spk02", "Kelmo Rast", "קלמו ראסט", "student"), ("spk03", "Yarit Bensul", "יארית בנסול", "student"), ("spk04", "Dovik Almer", "דוביק אלמר", "host")]
 L = Labels([(k, [a, b], r) for k, a, b, r in ROSTER])
@@ -57,13 +57,25 @@ def test_rolling_captions():
     assert roll_up(["we train the", "train the model now", "model now and", "Now and then"]) == "we train the model now and then"
 
 
+def test_sounds_noises_and_names_of_any_length():
+    assert words_of("u" + "m" * 5000 + " h" + "m" * 12 + " ммммммммммм " + "ה" * 1 + "מ" * 30) == []
+    for a, b in ("[]", "()", "<>", "**"):
+        assert pieces(f"a {a}{'loud applause ' * 500}{b} b", L) == [(None, ["a", "b"])]
+    for s in ("[" * 50_000, "<v" + " " * 50_000, "(" * 50_000, "*a" * 50_001, "<v x " * 20_000):
+        pieces(s, L)
+    long = Labels([("spk07", ["Anna Maria de la Cruz Ybarra Lopez"], "the one who asks at the end of each lesson")])
+    assert pieces("- Anna Maria de la Cruz Ybarra Lopez: hi", long) == [("spk07", ["hi"])] == pieces("The one who asks at the end of each lesson: hi", long)
+    assert head_seconds("12345678:01.12345 x") == pytest.approx(740740681.12345) and head_seconds("1" * 5000 + ":01 x") is None
+    assert pieces("[12345678:01.1234] a 1234567:02 b", L) == [(None, ["a", "b"])]
+
+
 SEG = "row_id bigint, video_id bigint, seg_index int, start_time double, end_time double, text string, speaker_id string, at string, slab int"
 
 
 def brute(data):
     segs, by = {}, {}
-    for r in data:
-        if r[1] is not None and r[2] is not None and r[5] is not None:
+    for r in sorted(data, key=lambda r: (r[0] is None, r[0] or 0)):
+        if r[1] is not None and r[2] is not None and r[5] is not None and pieces(r[5], L):
             segs.setdefault((r[1], r[2]), r)
     for (v, i), r in segs.items():
         if p := pieces(r[5], L):
@@ -101,6 +113,41 @@ def test_turns_are_as_sequential(spark, slab):
     assert turns(spark, data, slab_s=float(slab)) == brute(data)
 
 
+def test_one_delivery_counts_whole(spark):
+    a, b, c = ">> Tamsin: hello all >> Kelmo: fine", ">> Yarit: of you with me", "um"
+    data = [(3, 1, 1, 0.0, 1.0, a, None, "", 0), (2, 1, 1, 0.0, 1.0, b, None, "", 0), (1, 1, 1, 0.0, 1.0, c, None, "", 0), (None, 1, 1, 0.0, 1.0, "x", "spk04", "", 0), (7, 1, 2, 0.0, 1.0, a, None, "", 0), (None, 1, 2, 0.0, 1.0, b, None, "", 0)]
+    assert turns(spark, data) == brute(data) == [(1, "spk01", 2, 2), (1, "spk02", 2, 2), (1, "spk03", 1, 1)]
+
+
+def test_a_video_without_times(spark):
+    r = random.Random(5)
+    texts = ["hello", ">> Tamsin: yes", "um", "a >> Yarit: c"]
+    data = [(i, 1, i, None, None, r.choice(texts), "spk02" if i == 0 else None, "x", 1) for i in range(1000)] + [(2000, 1, 2000, 5.0, 6.0, "first", "spk04", "x", 1)]
+    assert turns(spark, data) == brute(data)
+    from chronocue.llm.turns import spoken_pieces
+
+    assert spoken_pieces(spark.createDataFrame(data, SEG), L).select("slab").distinct().count() > 5
+
+
+@pytest.mark.parametrize("slab", [7, 40, 10**6])
+def test_texts_of_turns(spark, slab):
+    r = random.Random(slab)
+    texts = ["we train the", "train the model", "the model now", ">> Tamsin: and now", ">> Kelmo: now and then", "hm"]
+    data = [(i, r.choice([1, 2]), i, float(i), i + 0.9, r.choice(texts), "spk03" if i < 9 else None, "x", 1) for i in range(300)]
+    df = spark.createDataFrame(data, SEG).repartition(3)
+    got = {}
+    for x in sorted(turn_texts(df, L, slab_s=float(slab)).collect(), key=lambda x: (x.video_id, x.turn_seg, x.part_no)):
+        one = got.setdefault((x.video_id, x.speaker_key, x.turn_seg), [[], None, 0])
+        assert x.part_no == one[2] + 1
+        one[0].append(x.said)
+        one[1:] = [x.last_seg, x.part_no]
+    whole = {(x.video_id, x.speaker_key, x.first_seg): (x.said, x.last_seg) for x in speaker_turns(df, L, slab_s=float(slab)).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in whole.items()}
+    # Over slabs an overlap is with the segment before only; none of these texts is longer than the one it repeats by that much.
+    same = [" ".join(filter(None, v[0])) == whole[k][0] for k, v in got.items()]
+    assert all(same) if slab > 10**5 else sum(same) >= 0.9 * len(same)
+
+
 def test_dirty_turns(spark):
     nan = float("nan")
     data = [
