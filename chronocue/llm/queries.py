@@ -13,6 +13,7 @@ from .forms import same_look_pairs
 from .language import MIN_WORDS, fit, labelled_sample, languages
 from .leaks import leaks
 from .stuffing import stuffed_pages
+from .topn import best_segments
 from .turns import calibrated_pause, labels_of, speaker_turns, turn_texts
 
 
@@ -48,6 +49,11 @@ def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     return turn_texts(s, labels_of(table(spark, d, "speaker_roster")), pause_s=calibrated_pause(s))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The three evaluated segments of highest score of every audio path."""
+    return best_segments(table(spark, d, "reels_extraction_20250825_215033_complete"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encoded(table(spark, d, "documents"))
@@ -68,10 +74,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_turns": p4_turns,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
 }
 
-#: No SQL: what these queries compute isn't expressible in it; tests/llm holds them against brute force.
-SQL: dict[str, str] = {}
+#: What the other queries compute isn't expressible in SQL; tests/llm holds them against brute force.
+SQL: dict[str, str] = {
+    "p5_found": """with r as (select distinct on (report_id) report_id, metadata.audio_path p, segments.evaluated e from reels_extraction_20250825_215033_complete where metadata.audio_path is not null),
+       x as (select p, report_id, unnest(range(0, len(e))) i, unnest(e) s from r)
+       select p as audio_path, k as rank_no, report_id, i as seg_no from (
+         select *, row_number() over (partition by p order by s.value_score desc, report_id, i) k from x
+         where s.value_score is not null and not isnan(s.value_score)) where k <= 3"""
+}

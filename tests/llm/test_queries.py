@@ -11,6 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 COLUMNS = {
     "p1_found": "row_id bigint, lang string", "p2_found": "row_id bigint, line_id bigint", "p4_found": "video_id bigint, speaker_key string, first_seg bigint, last_seg bigint",
     "p4_turns": "video_id bigint, speaker_key string, turn_seg bigint, part_no bigint, first_seg bigint, last_seg bigint, n_words bigint, said string",
+    "p5_found": "audio_path string, rank_no bigint, report_id bigint, seg_no bigint",
     "p6_ids": "doc_id bigint, ids array<int>", "p7_found": "doc_id bigint, item_id bigint", "p8_found": "doc_id bigint",
 }
 
@@ -22,6 +23,18 @@ def test_query(spark, name):
     assert df.count() > 0
 
 
+@pytest.mark.parametrize("name", list(q.SQL))
+def test_agrees_with_its_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for f in os.listdir(DATA):
+        c.execute(f"create view {f.split('.')[0]} as select * from '{DATA}/{f}'")
+    r = c.execute(q.SQL[name])
+    names = [x[0] for x in r.description]
+    assert sorted(map(tuple, q.QUERIES[name](spark, DATA).select(*names).collect()), key=repr) == sorted(r.fetchall(), key=repr)
+
+
 def test_labels_of_held_out_items(spark):
     """Language of the test items, whose labels are clean and which the fit hasn't seen."""
     d = "/root/testdata/sf0.01"
