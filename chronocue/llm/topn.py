@@ -34,7 +34,7 @@ def thresholds(rows: DataFrame, group: list[str], score: str, n: int, width: flo
 
 
 def salt_of(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
+    return F.coalesce(F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"), F.lit(0))
 
 
 def top_n(rows: DataFrame, group: list[str], score: str, ties: list[str], n: int = 3, width: float = 1 / 64, rank: str = "rank_no", salt: str | None = None) -> DataFrame:
