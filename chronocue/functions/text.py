@@ -133,6 +133,24 @@ def cache_key(text: Column, kind: str, model: str) -> Column:
     return F.left(F.sha2(F.concat_ws("_", text, F.lit(kind), F.lit(model)), 256), F.lit(16))
 
 
+def padded(number: Column, width: int = 2) -> Column:
+    """A whole number with leading zeros up to the width; a longer one stays whole."""
+    s = number.cast("string")
+    return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
+
+
+def fresh(stored_at: Column, now: Column, days: int = 7) -> Column:
+    """Whether something stored then still counts now: for so many days, the last moment not included."""
+    return (now >= stored_at) & (now < stored_at + F.make_dt_interval(F.lit(days)))
+
+
+def json_or_raw(c: Column) -> Column:
+    """struct(json, raw, parse_error): the object in a reply if it can be read, else the reply as it is and that it couldn't."""
+    found = json_object(c)
+    good = F.try_parse_json(found).isNotNull()
+    return F.when(c.isNotNull(), F.struct(F.when(good, found).alias("json"), F.when(~F.coalesce(good, F.lit(False)), c).alias("raw"), (~F.coalesce(good, F.lit(False))).alias("parse_error")))
+
+
 def json_object(c: Column) -> Column:
     """From the first ``{`` to the last ``}`` of a reply, null without them."""
     return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))

@@ -97,9 +97,26 @@ def http_client(url: str, model: str, temperature: float = 0.3, most_tokens: int
     return ask
 
 
-def model_served(served: Column, family: str) -> Column:
-    """Whether one of an array of model names holds the family's name."""
-    return F.exists(served, lambda x: F.contains(x, F.lit(family)))
+def model_served(served: Column, model: str) -> Column:
+    """Whether one of an array of model names holds the name of the model's family, what stands before its colon; false for no names."""
+    return F.coalesce(F.exists(served, lambda x: F.contains(x, F.lit(model.split(":")[0]))), F.lit(False))
+
+
+def served_names(reply: Column) -> Column:
+    """Names of the models in a service's list, ``{"models": [{"name": ...}]}``; none where it can't be read."""
+    listed = F.from_json(reply, "models array<struct<name: string>>")["models"]
+    return F.coalesce(F.filter(F.transform(listed, lambda m: m["name"]), lambda n: n.isNotNull()), F.array().cast("array<string>"))
+
+
+def model_list(url: str, timeout_s: float = 2) -> str | None:
+    """A service's list of models as it replies, None where there is no service. Asked once, by the driver."""
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(url, timeout=timeout_s) as r:
+            return r.read().decode() if r.status == 200 else None
+    except (OSError, ValueError):
+        return None
 
 
 def analysis_prompt(text: Column, language: str, most: int = 1500) -> Column:
@@ -118,6 +135,23 @@ def selection_prompt(summaries: Column, min_s: int = 45, max_s: int = 70) -> Col
     )
 
 
+def chunk_prompt(text: Column, most: int = 1500) -> Column:
+    """Prompt for one chunk as it arrives: a short summary, topics and one moment, over the head of its text."""
+    return F.concat(
+        F.lit("This is one passage of two minutes of a video. Say what THIS passage holds.\n\nPassage:\n"), F.left(text, F.lit(most)),
+        F.lit("\n\nAnswer with exactly these sections:\nSUMMARY:\n<two or three sentences>\nTOPICS:\n- <topic>\nREEL:\n[M:SS] <why this moment>\n"),
+    )
+
+
+def cumulative_prompt(text: Column, chars: Column, chunk_num: Column, total: Column, most: int = 3000) -> Column:
+    """Prompt for all chunks so far, over the head of their text; where there is more, how long the whole is (``chars``) stands under it."""
+    more = F.when(chars > most, F.concat(F.lit("... (content continues, "), chars.cast("string"), F.lit(" total chars)"))).otherwise("")
+    return F.concat(
+        F.lit("These are chunks 1-"), chunk_num.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" of a video. Say what ALL of it holds so far.\n\nTranscript:\n"), F.left(text, F.lit(most)), F.lit("\n"), more,
+        F.lit("\n\nAnswer with exactly these sections:\nSUMMARY:\n<three to five sentences>\nTOPICS:\n- <topic>\nHASHTAGS:\n#<tag> #<tag>\nTOP REELS:\n[M:SS] <why>\n"),
+    )
+
+
 def encode_command(path: Column, graph: Column, output: Column) -> Column:
     """Arguments of the encoder for a filter graph."""
     return F.array(F.lit("ffmpeg"), F.lit("-y"), F.lit("-i"), path, F.lit("-filter_complex"), graph, F.lit("-map"), F.lit("[outv]"), F.lit("-map"), F.lit("[outa]"), F.lit("-c:v"), F.lit("libx264"), F.lit("-c:a"), F.lit("aac"), output)

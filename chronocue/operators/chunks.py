@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_rtl, word_count
 from ..functions.timecode import chunk_of, chunk_start_cs, to_cs
+from .sweep import spread
 
 
 def segments(rows: DataFrame, start: str = "start_time", end: str = "end_time", measures: bool = False) -> DataFrame:
@@ -102,10 +103,23 @@ def cumulative_text(texts: DataFrame) -> DataFrame:
     return texts.select("video_id", "chunk_num", F.concat(F.array_join(F.collect_list(F.coalesce("text", F.lit(""))).over(w), "\n\n"), F.lit("\n\n")).alias("so_far"))
 
 
+def transcript(texts: DataFrame, sep: str = "\n\n") -> DataFrame:
+    """video_id, part_no (from 1), chunk_num, part: the whole text of a video as ordered parts, each chunk's text with ``sep`` after it, so no video is ever one value. Put together in order they are ``whole_text``."""
+    w = Window.partitionBy("video_id").orderBy("chunk_num")
+    numbers = texts.select("video_id", "chunk_num").withColumn("part_no", F.row_number().over(w).cast("bigint"))
+    return texts.join(numbers, ["video_id", "chunk_num"]).select("video_id", "part_no", "chunk_num", F.concat(F.coalesce("text", F.lit("")), F.lit(sep)).alias("part"))
+
+
+def first_value(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """key, value of the first row by the order that has one: the language of a video is that of its first chunk with one."""
+    return rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
+
+
 def with_gaps(present: DataFrame) -> DataFrame:
     """video_id, chunk_num, present: every chunk up to the video's last, those without a row too."""
     have = present.select("video_id", "chunk_num").where("video_id is not null and chunk_num is not null").distinct()
-    all_ = have.groupBy("video_id").agg(F.max("chunk_num").cast("bigint").alias("last")).where("last >= 1").select("video_id", F.explode(F.expr("sequence(1L, last)")).alias("chunk_num"))
+    all_ = have.groupBy("video_id").agg(F.max("chunk_num").cast("bigint").alias("last"))
+    all_ = spread(all_, "chunk_num", F.lit(1), F.col("last")).select("video_id", "chunk_num")
     return all_.join(have.withColumn("present", F.lit(True)), ["video_id", "chunk_num"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
@@ -116,8 +130,8 @@ def range_joined(points: DataFrame, ranges: DataFrame, on: list[str], at: str, s
     join is an equi join with few candidates. An end at or before the start
     holds nothing; choose a width near the usual range's.
     """
-    spread = ranges.where(F.col(end) > F.col(start)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))))
-    return points.withColumn("__b", F.floor(F.col(at) / bucket)).join(spread, [*on, "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__b")
+    wide = spread(ranges.where(F.col(end) > F.col(start)), "__b", F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))
+    return points.withColumn("__b", F.floor(F.col(at) / bucket)).join(wide, [*on, "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__b")
 
 
 def latest(rows: DataFrame, key: str, by: str, *ties: str) -> DataFrame:

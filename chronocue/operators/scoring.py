@@ -14,6 +14,7 @@ from ..functions.text import cut, word_count
 BASE, LOW_CONFIDENCE, GOOD_LENGTH, TOO_SHORT, QUESTION = 5, -1, 2, -2, 1
 REASONS = ("good length", "too short", "engaging questions", "low confidence")
 LOW_BELOW = 0.7
+SKIPPED_SCORE, FAILED_SCORE = 0.75, 0.5
 EDGES = ("0.0-0.2", "0.2-0.4", "0.4-0.6", "0.6-0.8", "0.8-1.0")
 # End of the fixed values.
 
@@ -62,6 +63,19 @@ def summary(rows: DataFrame, group: list[str], threshold: float = 0.5, score: st
     )
 
 
+def means(rows: DataFrame, group: list[str], duration: str = "duration", confidence: str = "confidence") -> DataFrame:
+    """group, n, mean_duration_cs, mean_confidence_milli: means over the values there are, as whole hundredths and thousandths, so sums are exact; null where a group has none."""
+    whole = lambda c, n: F.when(F.col(c).isNotNull() & ~F.isnan(c), F.round(F.col(c) * n).cast("bigint"))
+    mean = lambda c, n: F.floor(F.sum(whole(c, n)) / F.count(whole(c, n))).cast("bigint")
+    return rows.groupBy(*group).agg(F.count("*").alias("n"), mean(duration, 100).alias("mean_duration_cs"), mean(confidence, 1000).alias("mean_confidence_milli"))
+
+
+def with_fallback(score: Column, reasoning: Column) -> Column:
+    """The score, or where there is none the constant that stands for why: evaluation skipped, or failed."""
+    skipped = F.contains(F.lower(F.coalesce(reasoning, F.lit(""))), F.lit("skipped"))
+    return F.when(score.isNotNull() & ~F.isnan(score), score).when(skipped, F.lit(SKIPPED_SCORE)).otherwise(F.lit(FAILED_SCORE))
+
+
 def top_report(rows: DataFrame, ties: list[str], n: int = 10, threshold: float = 0.5, score: str = "value_score", text: str = "text") -> DataFrame:
     """The n best of the high-value rows, with the text cut for display. A sorted limit: each task keeps n rows."""
     return high_value(rows, threshold, score).orderBy(F.desc(score), *ties).limit(n).withColumn(text, cut(F.col(text), 100, "..."))

@@ -13,7 +13,7 @@ SLAB_CS = 60_000
 
 
 def features(rows: DataFrame, teacher: list[str], student: list[str], text: str = "text") -> DataFrame:
-    """With n_words, is_question, n_clauses, n_distinct, n_letters and marker_score (teacher's markers held less the student's; a marker named twice counts twice)."""
+    """With n_words, is_question, n_clauses, n_distinct, n_letters, distinct_permille (of the words how many are different), letters_milli (mean letters a word) and marker_score (teacher's markers held less the student's; a marker named twice counts twice). Without words the means are 0."""
     t = F.lower(F.coalesce(F.col(text), F.lit("")))
     words = F.filter(F.split(t, r"[ \n\t\r]+"), lambda x: x != "")
 
@@ -23,10 +23,12 @@ def features(rows: DataFrame, teacher: list[str], student: list[str], text: str
             out = out + F.contains(t, F.lit(m.lower())).cast("int")
         return out
 
+    per_word = lambda c: F.when(F.col("n_words") > 0, F.floor(F.col(c) * 1000 / F.col("n_words"))).otherwise(0).cast("int")
     return (
         rows.withColumn("n_words", F.size(words)).withColumn("is_question", F.contains(t, F.lit("?")))
         .withColumn("n_clauses", F.size(F.split(t, ",")).cast("int")).withColumn("n_distinct", F.size(F.array_distinct(words)))
-        .withColumn("n_letters", F.length(F.array_join(words, ""))).withColumn("marker_score", held(teacher) - held(student))
+        .withColumn("n_letters", F.length(F.array_join(words, ""))).withColumn("distinct_permille", per_word("n_distinct")).withColumn("letters_milli", per_word("n_letters"))
+        .withColumn("marker_score", held(teacher) - held(student))
     )
 
 
@@ -62,12 +64,18 @@ def refined(rows: DataFrame, video: str = "video_id", order: tuple[str, ...] = (
 
 
 def shares(rows: DataFrame, video: str = "video_id", label: str = "label") -> DataFrame:
-    """video, label, n_segments, spoken_cs, time_permille, segment_permille, n_words: the totals come from the labels' few rows."""
+    """video, label, n_segments, spoken_cs, time_permille, segment_permille, n_words, words_milli (mean words a segment): the totals come from the labels' few rows."""
     length = F.greatest(F.coalesce(F.col("end_cs") - F.col("start_cs"), F.lit(0)), F.lit(0))
     by = rows.groupBy(video, label).agg(F.count("*").alias("n_segments"), F.sum(length).alias("spoken_cs"), F.sum(words(rows)).alias("n_words"))
     w = Window.partitionBy(video)
     part = lambda c: F.floor(F.col(c) * 1000 / F.greatest(F.sum(c).over(w), F.lit(1)))
-    return by.withColumn("time_permille", part("spoken_cs")).withColumn("segment_permille", part("n_segments"))
+    return by.withColumn("time_permille", part("spoken_cs")).withColumn("segment_permille", part("n_segments")).withColumn("words_milli", F.floor(F.col("n_words") * 1000 / F.col("n_segments")))
+
+
+def labelled(rows: DataFrame, labels: DataFrame, key: list[str], label: str = "label", unknown: str = "unknown") -> DataFrame:
+    """Rows with the label that stands at the same place in ``labels`` (key, label; a place has one), ``unknown`` where none does. Labels without a row are dropped, as by a zip of two lists."""
+    at = labels.where(F.col(label).isNotNull()).groupBy(*key).agg(F.min(label).alias("__label"))
+    return rows.join(at, key, "left").select(*rows.columns, F.coalesce("__label", F.lit(unknown)).alias(label))
 
 
 def speakers_counted(rows: DataFrame, video: str = "video_id", label: str = "label") -> DataFrame:

@@ -16,7 +16,15 @@ def slab_of(at: str, width: float) -> Column:
     return F.floor(F.col(at) / F.lit(width)).cast("bigint")
 
 
-def _joined(rows: DataFrame, slabs: DataFrame, on: list[str]) -> DataFrame:
+def spread(rows: DataFrame, name: str, first: Column, last: Column, at_once: int = 10_000) -> DataFrame:
+    """Rows once for each whole number from first to last, as ``name``; none where last is smaller. In two steps, so however far a bound lies off no row holds an array of more than about the square root of it or ``at_once``."""
+    blocks = rows.withColumn("__first", first.cast("bigint")).withColumn("__last", last.cast("bigint")).where("__last >= __first")
+    blocks = blocks.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__last") - F.col("__first")) / at_once))))
+    own = F.col("__first") + F.col("__block") * at_once
+    return blocks.withColumn(name, F.explode(F.sequence(own, F.least(own + (at_once - 1), "__last")))).drop("__first", "__last", "__block")
+
+
+def joined(rows: DataFrame, slabs: DataFrame, on: list[str]) -> DataFrame:
     """Rows with their slab's summary; nulls in a key or as ordering number are values of their own."""
     named = slabs.withColumnsRenamed({c: f"__s_{c}" for c in on})
     same = F.lit(True)
@@ -32,8 +40,8 @@ def with_previous(rows: DataFrame, key: list[str], order: list[str], columns: li
     what = F.struct(*columns)
     last = r.groupBy(*key, "__slab").agg(F.max_by(what, F.struct(*order)).alias("__last"))
     carried = last.select(*key, "__slab", F.lag("__last").over(Window.partitionBy(*key).orderBy("__slab")).alias("__carry"))
-    joined = _joined(r, carried, [*key, "__slab"]).withColumn("__prev", F.coalesce(F.lag(what).over(w), "__carry"))
-    return joined.select(*rows.columns, *[F.col(f"__prev.{c}").alias(prefix + c) for c in columns])
+    both = joined(r, carried, [*key, "__slab"]).withColumn("__prev", F.coalesce(F.lag(what).over(w), "__carry"))
+    return both.select(*rows.columns, *[F.col(f"__prev.{c}").alias(prefix + c) for c in columns])
 
 
 def with_running_sum(rows: DataFrame, key: list[str], order: list[str], value: Column, width: float, name: str) -> DataFrame:
@@ -42,4 +50,4 @@ def with_running_sum(rows: DataFrame, key: list[str], order: list[str], value: C
     w = Window.partitionBy(*key, "__slab").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = r.groupBy(*key, "__slab").agg(F.sum("__v").alias("__s"))
     before = sums.select(*key, "__slab", F.coalesce(F.sum("__s").over(Window.partitionBy(*key).orderBy("__slab").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return _joined(r, before, [*key, "__slab"]).select(*rows.columns, (F.col("__before") + F.sum("__v").over(w)).alias(name))
+    return joined(r, before, [*key, "__slab"]).select(*rows.columns, (F.col("__before") + F.sum("__v").over(w)).alias(name))

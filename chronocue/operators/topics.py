@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import best_rows
 from .sweep import with_previous, with_running_sum
 
 
@@ -45,9 +46,7 @@ def chapters(rows: DataFrame, group: list[str], order: list[str], vector: str, b
 
 def best_per_source(rows: DataFrame, item: list[str], source: str, score: str, n: int, *ties: str) -> DataFrame:
     """The n best answers of every source for each item."""
-    from .topn import top_n
-
-    return top_n(rows, [*item, source], score, list(ties), n)
+    return best_rows(rows, [*item, source], score, list(ties), n)
 
 
 def voted(rows: DataFrame, item: list[str], answer: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ordered_text
+from .sweep import spread
 
 
 def overlapping(segs: DataFrame, target_cs: int = 4500, overlap_cs: int = 1000) -> DataFrame:
@@ -19,7 +20,7 @@ def overlapping(segs: DataFrame, target_cs: int = 4500, overlap_cs: int = 1000)
     step = target_cs - overlap_cs
     span = segs.groupBy("video_id").agg(F.min("start_cs").alias("t0"), F.max(F.greatest("start_cs", F.coalesce("end_cs", "start_cs"))).alias("t1"))
     last = F.greatest(F.lit(0), F.ceil((F.col("t1") - F.col("t0") - target_cs) / step)).cast("bigint")
-    w = span.select("video_id", "t0", "t1", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("window_no"))
+    w = spread(span, "window_no", F.lit(0), last)
     start = F.col("t0") + F.col("window_no") * step
     return w.select("video_id", "window_no", start.alias("ws"), F.least(start + target_cs, F.col("t1")).alias("we"))
 
@@ -30,9 +31,9 @@ def members(segs: DataFrame, windows: DataFrame, bucket_cs: int = 6000, how: str
     Both sides go to buckets of media time, so it is an equi join; a pair is
     kept in the bucket of its later start only and so comes once.
     """
-    w = windows.withColumn("b", F.explode(F.sequence(F.floor(F.col("ws") / bucket_cs), F.floor(F.greatest(F.col("ws"), F.col("we") - 1) / bucket_cs))))
+    w = spread(windows, "b", F.floor(F.col("ws") / bucket_cs), F.floor(F.greatest(F.col("ws"), F.col("we") - 1) / bucket_cs))
     end = F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")
-    s = segs.withColumn("__e", end).withColumn("b", F.explode(F.sequence(F.floor(F.col("start_cs") / bucket_cs), F.floor(F.greatest(F.col("start_cs"), F.col("__e") - 1) / bucket_cs))))
+    s = spread(segs.withColumn("__e", end), "b", F.floor(F.col("start_cs") / bucket_cs), F.floor(F.greatest(F.col("start_cs"), F.col("__e") - 1) / bucket_cs))
     near: Column = (F.col("start_cs") < F.col("we")) & (F.col("__e") > F.col("ws"))
     if how == "start":
         near = (F.col("start_cs") >= F.col("ws")) & (F.col("start_cs") < F.col("we"))

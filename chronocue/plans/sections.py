@@ -18,11 +18,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bracketed, bullet, cut_within, first_range, has, hash_words, hashtags, line_after, reason_after, seconds_named
-from ..functions.timecode import parse_timestamp, strip
+from ..functions.timecode import parse_range, parse_timestamp, strip
 
 RULE = "═"
 # Headers by section, in the order in which they are tried. An empty section name closes what is open.
@@ -233,8 +233,6 @@ def run_directory(name: Column) -> Column:
     return F.when(name.rlike(r"^[^_]*_[^_]*_"), F.struct(at(1).alias("run_date"), at(2).alias("run_time"), at(3).alias("video")))
 
 
-
-
 def analysis_documents(texts: DataFrame, key: str, text: str, strict: bool = True) -> DataFrame:
     """key, document: the parsed analysis as one nested struct with counts, null where a text has no section."""
     p = parse_analysis(texts, key, text, strict)
@@ -243,3 +241,32 @@ def analysis_documents(texts: DataFrame, key: str, text: str, strict: bool = Tru
         F.struct(F.col("hashtags").alias("items"), F.size("hashtags").alias("n")).alias("hashtags"), F.struct(F.col("reels").alias("items"), F.size("reels").alias("n")).alias("reels"),
     )
     return texts.select(key).join(p.select(key, doc.alias("document")), key, "left")
+
+
+def summary_record(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, reel_suggestions, cumulative_summary, topics, hashtags: everything a summary file says, one record of each non-null text, within the row.
+
+    reel_suggestions is an array of struct(time_range, reason) of all its
+    suggestion sections, topics the bullets under any topics line, hashtags
+    those of its first line with any.
+    """
+    c = F.col(text)
+    rng = lambda x: first_range(x["line"])
+    reels = region_lines(c, lambda x: has(x, "REEL", "SUGGESTION"), lambda x: F.startswith(x, F.lit(RULE)))
+    named = F.transform(F.filter(reels, lambda x: rng(x).isNotNull()), lambda x: F.struct(rng(x).alias("time_range"), reason_after(x["line"], rng(x), "Engaging content", bracket=False).alias("reason")))
+    topics = region_lines(c, lambda x: has(x, "TOPICS:"), lambda x: F.startswith(x, F.lit(RULE)) | F.startswith(x, F.lit("Suggested Hashtags")))
+    bulleted = F.transform(F.filter(topics, lambda x: F.startswith(x["line"], F.lit("•"))), lambda x: strip(F.substr(x["line"], F.lit(2))))
+    return texts.where(c.isNotNull()).select(
+        key, F.coalesce(named, F.array().cast("array<struct<time_range:string,reason:string>>")).alias("reel_suggestions"), F.coalesce(line_after(c, "Overall Summary:"), F.lit("")).alias("cumulative_summary"),
+        F.coalesce(bulleted, F.array().cast("array<string>")).alias("topics"), hashtags(F.regexp_extract(c, r"(?m)^(.*?#[\p{L}\p{M}\p{N}_].*)$", 1)).alias("hashtags"),
+    )
+
+
+def pasted_ranges(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line_no, pos (from 1, of the good ones), time_range, start, end: ranges pasted one a line, up to a line ``done`` in any case. Lines that are no range, and blank ones, are skipped."""
+    one = lines(texts, key, text).where(F.col("line") != "")
+    stop = one.groupBy(key).agg(F.min(F.when(F.lower("line") == "done", F.col("line_no"))).alias("__stop"))
+    r = parse_range(F.col("line"))
+    good = one.join(stop, key).where(F.col("__stop").isNull() | (F.col("line_no") < F.col("__stop"))).withColumn("r", r).where("r is not null")
+    pos = F.row_number().over(Window.partitionBy(key).orderBy("line_no"))
+    return good.select(key, "line_no", pos.alias("pos"), F.col("line").alias("time_range"), F.col("r.start").alias("start"), F.col("r.end").alias("end"))

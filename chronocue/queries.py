@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
@@ -12,7 +12,7 @@ from .functions import timecode as tc
 from .models import adapters
 from .operators import chunks, scoring, selection, speakers, topics, windows
 from .operators.intervals import merged
-from .operators.topn import best_segments, top_n
+from .operators.ranks import best_rows
 from .plans import sections
 from .session import shared_folder
 from .sinks import render
@@ -54,18 +54,6 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return merged(table(spark, d, "results_qwen15b"), "video_id", "start_seconds", "end_seconds").select("video_id", "kind", "from_cs", "to_cs")
 
 
-@query(
-    """with r as (select distinct on (report_id) report_id, metadata.audio_path p, segments.evaluated e from reels_extraction_20250825_215033_complete where metadata.audio_path is not null),
-       x as (select p, report_id, unnest(range(0, len(e))) i, unnest(e) s from r)
-       select p as audio_path, k as rank_no, report_id, i as seg_no from (
-         select *, row_number() over (partition by p order by s.value_score desc, report_id, i) k from x
-         where s.value_score is not null and not isnan(s.value_score)) where k <= 3"""
-)
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The three evaluated segments of highest score of every audio path."""
-    return best_segments(table(spark, d, "reels_extraction_20250825_215033_complete"))
-
-
 REPORTS = "reels_extraction_20250825_215033_complete"
 
 # SQL of the segments that most queries below begin with.
@@ -167,6 +155,18 @@ def cumulative_text_len(spark: SparkSession, d: str) -> DataFrame:
     return chunks.cumulative_length(_chunked(spark, d))
 
 
+@query(f"with {SEG}, t as (select video_id, chunk_num, string_agg(coalesce(text, ''), '' order by start_cs, seg_index) || chr(10) || chr(10) as part from chunked group by 1, 2) select video_id, row_number() over (partition by video_id order by chunk_num) as part_no, chunk_num, part from t")
+def transcript_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The whole text of every video as ordered parts."""
+    return chunks.transcript(chunks.chunk_texts(_chunked(spark, d)))
+
+
+@query("select video_id, arg_min(primary_language, (chunk_num, row_id)) as primary_language from results_simplified where video_id is not null and primary_language is not null and chunk_num is not null group by 1")
+def first_language(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every video: that of its first chunk that names one."""
+    return chunks.first_value(table(spark, d, "results_simplified").where("chunk_num is not null"), "video_id", "primary_language", "chunk_num", "row_id")
+
+
 @query(
     f"""with {SEG} select video_id, seg_index, cast(sum(len(coalesce(text, ''))) over (partition by video_id order by start_cs, seg_index rows unbounded preceding) - len(coalesce(text, '')) + 2 * (dense_rank() over (partition by video_id order by chunk_num) - 1) as bigint) as text_offset from chunked"""
 )
@@ -184,23 +184,11 @@ def chunk_gap_join(spark: SparkSession, d: str) -> DataFrame:
     return chunks.with_gaps(table(spark, d, "full_transcript"))
 
 
-@query(
-    f"""with {SEG}, r as (select video_id, window_no, t0 + window_no * 3500 as ws from (select video_id, min(start_cs) t0 from seg group by 1), (select unnest(range(0, 5)) window_no))
-        select s.video_id, s.seg_index, cast(r.window_no as bigint) as window_no from seg s join r on s.video_id = r.video_id and s.start_cs >= r.ws and s.start_cs < r.ws + 4500"""
-)
-def band_join(spark: SparkSession, d: str) -> DataFrame:
-    """Segments with the ranges of variable length that hold their start."""
-    s = _segments(spark, d)
-    r = s.groupBy("video_id").agg(F.min("start_cs").alias("t0")).select("video_id", "t0", F.explode(F.expr("sequence(0L, 4L)")).alias("window_no"))
-    r = r.select("video_id", "window_no", (F.col("t0") + F.col("window_no") * 3500).alias("ws"), (F.col("t0") + F.col("window_no") * 3500 + 4500).alias("we"))
-    return chunks.range_joined(s, r, ["video_id"], "start_cs", "ws", "we", 4500).select("video_id", "seg_index", "window_no")
-
-
 @query(
     f"""with {SEG}, r as (select video_id, window_no, t0 + window_no * 3500 as ws from (select video_id, t0, unnest(generate_series(0, (t1 - t0) // 3500)) window_no from (select video_id, min(start_cs) t0, max(start_cs) t1 from seg group by 1)))
         select s.video_id, s.seg_index, cast(r.window_no as bigint) as window_no from seg s join r on s.video_id = r.video_id and s.start_cs >= r.ws and s.start_cs < r.ws + 4500"""
 )
-def band_join_all(spark: SparkSession, d: str) -> DataFrame:
+def band_join(spark: SparkSession, d: str) -> DataFrame:
     """Segments with every range that holds their start; each video has ranges up to its last start."""
     s = _segments(spark, d)
     r = s.groupBy("video_id").agg(F.min("start_cs").alias("t0"), F.max("start_cs").alias("t1"))
@@ -233,9 +221,62 @@ def rollup_levels(spark: SparkSession, d: str) -> DataFrame:
 )
 def media_by_folder(spark: SparkSession, d: str) -> DataFrame:
     """Media files of each folder that holds any."""
-    v = table(spark, d, "videos").where("path is not null").where(media.is_media(F.col("path")) & ~media.is_pruned(F.col("path")))
-    seconds = F.when(F.col("duration").isNull() | F.isnan("duration"), 0).otherwise(F.floor("duration"))
-    return v.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n_media"), F.sum(seconds).cast("bigint").alias("seconds"))
+    return media.media_folders(table(spark, d, "videos").select("path", "duration"))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """The videos' files as a listing has them: path, modified, length."""
+    v = table(spark, d, "videos").where("path is not null")
+    return v.select("path", F.to_timestamp(F.col("modified_date").try_cast("date")).alias("modified"), F.round(F.col("size_mb") * 1048576).cast("bigint").alias("length"))
+
+
+@query(
+    r"""select path, regexp_extract(path, '([^/]*)$', 1) as name, cast(null as double) as duration, cast(round(size_mb * 1048576) as bigint) / 1048576 as size_mb, strftime(try_cast(modified_date as date), '%Y-%m-%d') as modified_date
+       from videos where path is not null and regexp_matches(path, '\.(mp4|mov|avi|mkv|MP4|MOV|AVI|MKV)$') and not regexp_matches(path, '/(\.[^/]+|node_modules|venv|reels_extractor_env|__pycache__)/')"""
+)
+def media_info(spark: SparkSession, d: str) -> DataFrame:
+    """Name, size and date of every media file of a listing."""
+    return media.media_info(_files(spark, d))
+
+
+@query(r"select path, regexp_extract(path, '([^/]*)$', 1) as name from videos where path like '/data/in/%' and path not like '/data/in/%/%' and regexp_matches(path, '\.(mp4|mov|avi|mkv|MP4|MOV|AVI|MKV)$')")
+def folder_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Media of one folder of a listing, not of those in it."""
+    return media.media_info(media.in_folder(_files(spark, d), "/data/in")).select("path", "name")
+
+
+@query(
+    r"""select regexp_extract(path, '^(.*)/[^/]*$', 1) as folder from videos where path is not null and try_cast(modified_date as date) is not null
+       order by cast(modified_date as date) desc, folder desc limit 1"""
+)
+def latest_run(spark: SparkSession, d: str) -> DataFrame:
+    """The folder whose files changed last."""
+    return media.latest_run(_files(spark, d).where("modified is not null")).where("folder is not null")
+
+
+@query(r"select video_id, starts_with(regexp_extract(path, '([^/]*)$', 1), 'IMG_') and ends_with(path, '.MOV') and len(regexp_extract(path, '([^/]*)$', 1)) >= 8 as chosen from videos")
+def files_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each file's name begins and ends as asked."""
+    return table(spark, d, "videos").select("video_id", media.named(F.col("path"), "IMG_", ".MOV").alias("chosen"))
+
+
+@query("select video_id, cast(case when video_id % 5 = 0 then 0 when video_id % 5 = 4 then 359 else abs(90 * (video_id % 5) - 450) % 360 end as int) as rotation from videos")
+def probed_rotations(spark: SparkSession, d: str) -> DataFrame:
+    """Rotations out of what a probe prints for each video: a number with a fraction and line end, or nothing, or words."""
+    k = F.col("video_id") % 5
+    printed = F.when(k == 0, F.when(F.col("video_id") % 2 == 0, "").otherwise("N/A")).when(k == 4, F.lit(" -359.9\n")).otherwise(F.concat((k * 90 - 450).cast("string"), F.lit(".000\n")))
+    return table(spark, d, "videos").select("video_id", media.probed_rotation(printed).alias("rotation"))
+
+
+@query(
+    """select video_id, 'ffmpeg -y -i ' || path || ' -vn -ac 1 -ar 16000 ' || path || '.wav' as audio,
+       'ffprobe -v error -select_streams v:0 -show_entries stream_side_data=rotation -of default=noprint_wrappers=1:nokey=1 ' || path as probe from videos where path is not null"""
+)
+def media_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments that extract each video's sound and print its rotation."""
+    v = table(spark, d, "videos").where("path is not null")
+    audio, probe = adapters.audio_command(F.col("path"), F.concat("path", F.lit(".wav"))), media.rotation_command(F.col("path"))
+    return v.select("video_id", F.array_join(audio, " ").alias("audio"), F.array_join(probe, " ").alias("probe"))
 
 
 @query(r"select video_id, replace(replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '([^.])\.[^.]*$', '\1'), ' ', '_'), '.', '-') as stem from videos")
@@ -267,34 +308,57 @@ def section_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {LINES}, t as (select *, regexp_replace(substr(line, 2), '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') as topic from body)
+    f"""with {LINES}, t as (select *, regexp_replace(substr(line, 2), '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') as topic,
+          regexp_extract(line, '^[^\\[\\]]*\\[([^\\]]*)\\]', 1) as inside, regexp_replace(regexp_extract(line, '^[^\\]]*\\](.*)$', 1), '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') as outside from body)
         select doc_id, coalesce(string_agg(line, ' ' order by line_no) filter (section = 'summary'), '') as summary,
                coalesce(string_agg(topic, '|' order by line_no) filter (section = 'topics' and substr(line, 1, 1) in ('-', '•') and topic <> ''), '') as topics,
                coalesce(string_agg(list_aggregate(list_filter(regexp_split_to_array(line, '[\\s\\pZ]+'), lambda x: starts_with(x, '#')), 'string_agg', ' '), ' ' order by line_no)
-                 filter (section = 'hashtags' and len(list_filter(regexp_split_to_array(line, '[\\s\\pZ]+'), lambda x: starts_with(x, '#'))) > 0), '') as hashtags
+                 filter (section = 'hashtags' and len(list_filter(regexp_split_to_array(line, '[\\s\\pZ]+'), lambda x: starts_with(x, '#'))) > 0), '') as hashtags,
+               coalesce(string_agg(regexp_replace(inside, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') || '=' || outside, '|' order by line_no) filter (section = 'reels' and len(string_split(inside, '-')) = 2), '') as reels
         from t group by 1"""
 )
 def section_parse_analysis(spark: SparkSession, d: str) -> DataFrame:
-    """Summary, topics and hashtags of every document with a section."""
+    """Summary, topics, hashtags and reels of every document with a section."""
     p = sections.parse_analysis(_documents(spark, d), "doc_id", "text")
-    return p.select("doc_id", "summary", F.array_join("topics", "|").alias("topics"), F.array_join("hashtags", " ").alias("hashtags"))
+    reels = F.array_join(F.transform("reels", lambda x: F.concat(x["time_range"], F.lit("="), x["reason"])), "|")
+    return p.select("doc_id", "summary", F.array_join("topics", "|").alias("topics"), F.array_join("hashtags", " ").alias("hashtags"), reels.alias("reels"))
+
+
+@query(
+    f"""with {SEG}, l as (select *, {CS('start_cs')} a, {CS('greatest(coalesce(end_cs, start_cs), start_cs)')} b from chunked where start_cs >= 0)
+        select video_id * 100000 + chunk_num as reply_id, count(*) as n_lines, coalesce(string_agg(case when seg_index % 4 = 0 then a || ' - ' || b || '=said ' || seg_index else a || '-' || b || '=' end, '|' order by start_cs, seg_index) filter (seg_index % 4 in (0, 1)), '') as reels from l group by 1"""
+)
+def analysis_reels(spark: SparkSession, d: str) -> DataFrame:
+    """The reel lines of an analysis reply written for every chunk and read again: in brackets with one hyphen, others are passed over."""
+    c = _chunked(spark, d).where("start_cs >= 0")
+    a, b, k = tc.format_cs(F.col("start_cs")), tc.format_cs(F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")), F.col("seg_index") % 4
+    line = (
+        F.when(k == 0, F.concat(F.lit("["), a, F.lit(" - "), b, F.lit("] said "), F.col("seg_index").cast("string"))).when(k == 1, F.concat(F.lit("  • [ "), a, F.lit("-"), b, F.lit(" ]")))
+        .when(k == 2, F.concat(a, F.lit(" - "), b, F.lit("] early ["))).otherwise(F.concat(F.lit("["), a, F.lit("-"), b, F.lit("-x] three")))
+    )
+    g = c.groupBy((F.col("video_id") * 100000 + F.col("chunk_num")).alias("reply_id")).agg(F.count("*").alias("n"), chunks.ordered_text(line, F.col("start_cs"), F.col("seg_index"), sep="\n").alias("l"))
+    replies = g.select("reply_id", "n", F.concat(F.lit("SUMMARY:\nshort\nREEL SEGMENTS:\n"), "l").alias("reply"))
+    p = sections.parse_analysis(replies, "reply_id", "reply").join(replies.select("reply_id", "n"), "reply_id")
+    return p.select("reply_id", F.col("n").alias("n_lines"), F.array_join(F.transform("reels", lambda x: F.concat(x["time_range"], F.lit("="), x["reason"])), "|").alias("reels"))
 
 
 @query(
     f"""with {SEG}, t as (select video_id, chunk_num, count(*) n, cast(sum(greatest(coalesce(end_cs, start_cs) - start_cs, 0)) // 100 as int) total,
-          string_agg({CS('start_cs')} || '-' || {CS('greatest(coalesce(end_cs, start_cs), start_cs)')}, '|' order by start_cs, seg_index) parts from chunked where start_cs >= 0 group by 1, 2)
-        select video_id * 100000 + chunk_num as reply_id, n as n_parts, parts as ranges, total as total_duration, 'second line of ' || n as narrative, '' as title from t"""
+          string_agg({CS('start_cs')} || '-' || {CS('greatest(coalesce(end_cs, start_cs), start_cs)')}, '|' order by start_cs, seg_index) parts,
+          string_agg(case seg_index % 3 when 0 then 'why ' || seg_index when 1 then 'Selected segment' else 'because' end, '|' order by start_cs, seg_index) reasons from chunked where start_cs >= 0 group by 1, 2)
+        select video_id * 100000 + chunk_num as reply_id, n as n_parts, parts as ranges, reasons, total as total_duration, 'second line of ' || n as narrative, '' as title from t"""
 )
 def section_parse_selection(spark: SparkSession, d: str) -> DataFrame:
     """A selection reply written for every chunk and read again; text on a header's own line is dropped."""
     c = _chunked(spark, d).where("start_cs >= 0")
     end = F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")
-    part = F.concat(F.lit("1. ["), tc.format_cs(F.col("start_cs")), F.lit("-"), tc.format_cs(end), F.lit("] - why"))
+    k = F.col("seg_index") % 3
+    part = F.concat(F.lit("1. ["), tc.format_cs(F.col("start_cs")), F.lit("-"), tc.format_cs(end), F.when(k == 0, F.concat(F.lit("] - why "), F.col("seg_index").cast("string"))).when(k == 1, "]").otherwise(" because"))
     g = c.groupBy("video_id", "chunk_num").agg(F.count("*").alias("n"), F.floor(F.sum(end - F.col("start_cs")) / 100).alias("total"), chunks.ordered_text(part, F.col("start_cs"), F.col("seg_index"), sep="\n").alias("parts"))
     reply = F.concat(F.lit("Parts:\n"), "parts", F.lit("\nTotal_Duration: "), F.col("total").cast("string"), F.lit("s\nnot here\nNARRATIVE: lost\n second line of "), F.col("n").cast("string"), F.lit(" \nTITLE: lost too"))
     texts = g.select((F.col("video_id") * 100000 + F.col("chunk_num")).alias("reply_id"), reply.alias("reply"))
     p = sections.parse_selection(texts, "reply_id", "reply")
-    return p.select("reply_id", F.size("parts").cast("bigint").alias("n_parts"), F.array_join(F.transform("parts", lambda x: x["time_range"]), "|").alias("ranges"), "total_duration", "narrative", "title")
+    return p.select("reply_id", F.size("parts").cast("bigint").alias("n_parts"), F.array_join(F.transform("parts", lambda x: x["time_range"]), "|").alias("ranges"), F.array_join(F.transform("parts", lambda x: x["reason"]), "|").alias("reasons"), "total_duration", "narrative", "title")
 
 
 REGIONS = """l as (
@@ -332,6 +396,55 @@ def region_first_only(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "time_range", F.regexp_replace("reason", r"^\] ?", "").alias("reason"))
 
 
+@query(f"with {SEG}, {REGIONS} select doc_id, line_no, time_range from (select *, row_number() over (partition by doc_id order by line_no) n from s where time_range <> '') where n = 1")
+def first_suggestion(spark: SparkSession, d: str) -> DataFrame:
+    """The first suggestion of every report, which is taken where no selection is valid."""
+    s = selection.first_suggestion(sections.suggestions(_reports(spark, d), "doc_id", "text"), "doc_id", "line_no")
+    return s.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "time_range")
+
+
+@query(
+    r"""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no, unnest(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g'))) as line from documents where text is not null),
+        m as (select *, case when contains(upper(line), 'TOPICS:') then 1 when starts_with(line, '═') or starts_with(line, 'Suggested Hashtags') then 0 end as t, case when contains(upper(line), 'REEL') and contains(upper(line), 'SUGGESTION') then 1 when starts_with(line, '═') then 0 end as r from l),
+        f as (select *, last_value(t ignore nulls) over w as topic, last_value(r ignore nulls) over w as reel from m window w as (partition by doc_id order by line_no rows unbounded preceding)),
+        g as (select doc_id, string_agg(regexp_replace(substr(line, 2), '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g'), '|' order by line_no) filter (topic = 1 and t is null and starts_with(line, '•')) as topics,
+              count(*) filter (reel = 1 and r is null and regexp_matches(line, '[0-9]+:[0-9]+\.?[0-9]*\s*-\s*[0-9]+:[0-9]+\.?[0-9]*')) as n_reels from f group by 1)
+        select d.doc_id, coalesce(g.topics, '') as topics, coalesce(n_reels, 0) as n_reels, coalesce(array_to_string(regexp_extract_all(regexp_extract(text, '(?m)^(.*?#[\p{L}\p{M}\p{N}_].*)$', 1), '(#[\p{L}\p{M}\p{N}_]+)', 1), ' '), '') as hashtags,
+               case when instr(text, 'Overall Summary:') > 0 then regexp_replace(coalesce(string_split(substr(text, instr(text, 'Overall Summary:'), 500), chr(10))[2], ''), '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g') else '' end as cumulative_summary
+        from documents d left join g on d.doc_id = g.doc_id where d.text is not null"""
+)
+def summary_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every document read as a summary file, as one record."""
+    r = sections.summary_record(_documents(spark, d), "doc_id", "text")
+    return r.select("doc_id", F.array_join("topics", "|").alias("topics"), F.size("reel_suggestions").cast("bigint").alias("n_reels"), F.array_join("hashtags", " ").alias("hashtags"), "cumulative_summary")
+
+
+@query(
+    f"""with {SEG}, {REGIONS} select doc_id, string_agg(time_range || '=' || regexp_replace(regexp_extract(line, '\\](.*)$', 1), '^ ', ''), '|' order by line_no) as reels from s where time_range <> '' group by 1"""
+)
+def summary_record_reels(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions in the record of a summary file written for every chunk."""
+    r = sections.summary_record(_reports(spark, d), "doc_id", "text")
+    one = F.transform("reel_suggestions", lambda x: F.concat(x["time_range"], F.lit("="), F.regexp_replace(x["reason"], r"^\] ?", "")))
+    return r.where(F.size("reel_suggestions") > 0).select("doc_id", F.array_join(one, "|").alias("reels"))
+
+
+@query(
+    f"""with {SEG}, p as (select *, row_number() over (partition by video_id, chunk_num order by start_cs, seg_index) i, max(case when seg_index % 50 = 49 then start_cs * 100000 + seg_index end) over (partition by video_id, chunk_num) as x,
+          min(case when seg_index % 50 = 49 then start_cs * 100000 + seg_index end) over (partition by video_id, chunk_num) as stop from chunked where start_cs >= 0)
+        select video_id * 100000 + chunk_num as paste_id, row_number() over (partition by video_id, chunk_num order by start_cs, seg_index) as pos, {CS('start_cs')} || '-' || {CS('end_cs')} as time_range, start_cs / 100 as start, end_cs / 100 as end
+        from p where (stop is null or start_cs * 100000 + seg_index < stop) and end_cs > start_cs and seg_index % 7 <> 0"""
+)
+def pasted_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges pasted one a line for every chunk, with bad and empty lines between and one that ends it."""
+    c = _chunked(spark, d).where("start_cs >= 0")
+    k, good = F.col("seg_index"), F.concat(tc.format_cs(F.col("start_cs")), F.lit("-"), tc.format_cs(F.coalesce("end_cs", "start_cs")))
+    line = F.when(k % 50 == 49, F.lit(" Done ")).when(k % 7 == 0, F.lit("not a range\n")).otherwise(F.concat(F.lit("  "), good))
+    g = c.groupBy((F.col("video_id") * 100000 + F.col("chunk_num")).alias("paste_id")).agg(chunks.ordered_text(line, F.col("start_cs"), F.col("seg_index"), sep="\n").alias("text"))
+    p = sections.pasted_ranges(g, "paste_id", "text")
+    return p.select("paste_id", F.col("pos").cast("bigint").alias("pos"), "time_range", "start", "end")
+
+
 @query(r"select doc_id, list_aggregate(regexp_extract_all(regexp_extract(text, '(?m)^(.*?#[\p{L}\p{M}\p{N}_].*)$', 1), '(#[\p{L}\p{M}\p{N}_]+)', 1), 'string_agg', ' ') as hashtags from documents where text is not null and regexp_matches(text, '#[\p{L}\p{M}\p{N}_]')")
 def hashtag_extract(spark: SparkSession, d: str) -> DataFrame:
     h = sections.first_hashtags(_documents(spark, d), "doc_id", "text")
@@ -384,20 +497,19 @@ def chunk_summary_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""select doc_id, case when instr(text, 'TOPICS:') > 0 then trim(regexp_replace(substr(text, instr(text, 'TOPICS:') + 7), '^[ \t]*\n-*\n?', ''), ' ' || chr(9) || chr(10) || chr(13)) end as tail
-        from documents where text is not null and instr(text, 'TOPICS:') > 0 and not regexp_matches(text, '[\p{Z}\x0b\x0c\x1c-\x1f\x85]{1}$')"""
+    f"""with {SEG}, c as (select video_id, chunk_num, count(*) n, {CS('((chunk_num - 1) * 12000)')} as a, {CS('(chunk_num * 12000)')} as b from chunked group by 1, 2)
+        select video_id, cast(chunk_num as int) as chunk, 'Chunk ' || chunk_num || ' [' || a || ' - ' || b || ']' || chr(10) || case when chunk_num % 7 = 0 then repeat('x', 297) || '...' else 'Said ' || n end || chr(10) as entry from c where chunk_num % 5 <> 0"""
 )
-def text_after_marker(spark: SparkSession, d: str) -> DataFrame:
-    """What stands under a marker line."""
-    t = _documents(spark, d).where("text is not null and instr(text, 'TOPICS:') > 0").where(~F.col("text").rlike(r"[\p{Z}\x0b\x0c\x1c-\x1f\x85]{1}$"))
-    return sections.after_marker(t, "doc_id", "text", "TOPICS:").withColumnRenamed("transcript", "tail")
+def chunk_digest_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The summaries of every report's chunks, each as a prompt takes it."""
+    return chunk_summary_parse(spark, d).select("video_id", "chunk", render.digest_entry().alias("entry"))
 
 
 @query(
     r"""select doc_id, regexp_replace(regexp_replace(substr(text, instr(text, 'TOPICS:') + 7), '^[ \t]*\n-*\n?', ''), '^[\s\pZ\x0b\x1c-\x1f\x85]+|[\s\pZ\x0b\x1c-\x1f\x85]+$', '', 'g') as tail
         from documents where text is not null and instr(text, 'TOPICS:') > 0"""
 )
-def text_after_marker_all(spark: SparkSession, d: str) -> DataFrame:
+def text_after_marker(spark: SparkSession, d: str) -> DataFrame:
     """What stands under a marker line, of every document that has one, whatever its text ends in."""
     t = _documents(spark, d).where("text is not null and instr(text, 'TOPICS:') > 0")
     return sections.after_marker(t, "doc_id", "text", "TOPICS:").withColumnRenamed("transcript", "tail")
@@ -405,19 +517,7 @@ def text_after_marker_all(spark: SparkSession, d: str) -> DataFrame:
 
 # Selections
 
-PARTS = f"""parts as (
-  select video_id, chunk_num, seg_index, start_cs, greatest(coalesce(end_cs, start_cs), start_cs) as end_cs from chunked where start_cs >= 0 and seg_index % 4 = 0)"""
-
-
-def _selections(spark: SparkSession, d: str) -> DataFrame:
-    """As a selection of every chunk its every fourth segment; ``_all_selections`` takes every segment."""
-    c = _chunked(spark, d).where("start_cs >= 0")
-    end = F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")
-    part = F.when(F.col("seg_index") % 4 == 0, F.struct("start_cs", "seg_index", F.struct(F.concat(tc.format_cs(F.col("start_cs")), F.lit(" - "), tc.format_cs(end)).alias("time_range")).alias("part")))
-    return c.groupBy("video_id", "chunk_num").agg(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["part"]).alias("parts"))
-
-
-ALL_PARTS = """parts as (
+PARTS = """parts as (
   select video_id, chunk_num, cast((row_number() over (partition by video_id, chunk_num order by start_cs, seg_index) - 1) // 4 + 1 as bigint) as selection_no,
          seg_index, start_cs, greatest(coalesce(end_cs, start_cs), start_cs) as end_cs from chunked)"""
 OR_NA = lambda c: f"case when {c} >= 0 then {CS(c)} else 'N/A' end"
@@ -429,7 +529,7 @@ def _time_range() -> Column:
     return F.concat(at(F.col("start_cs")), F.lit(" - "), at(F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")))
 
 
-def _all_selections(spark: SparkSession, d: str) -> DataFrame:
+def _selections(spark: SparkSession, d: str) -> DataFrame:
     """Every segment, in selections of four that follow each other in a chunk; the last has what is left."""
     part = F.struct("start_cs", "seg_index", F.struct(_time_range().alias("time_range")).alias("part"))
     c = _chunked(spark, d).groupBy("video_id", "chunk_num").agg(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["part"]).alias("all"))
@@ -437,41 +537,22 @@ def _all_selections(spark: SparkSession, d: str) -> DataFrame:
     return c.select("video_id", "chunk_num", F.inline(fours))
 
 
-@query(f"with {SEG}, {PARTS} select video_id, chunk_num, row_number() over (partition by video_id, chunk_num order by start_cs, seg_index) as part_no, {CS('start_cs')} || ' - ' || {CS('end_cs')} as time_range, case when end_cs > start_cs then end_cs - start_cs >= 500 end as long_enough from parts")
+@query(f"with {SEG}, {PARTS} select video_id, chunk_num, selection_no, row_number() over (partition by video_id, chunk_num, selection_no order by start_cs, seg_index) as part_no, {OR_NA('start_cs')} || ' - ' || {OR_NA('end_cs')} as time_range, case when end_cs > start_cs and start_cs >= 0 then end_cs - start_cs >= 500 end as long_enough from parts")
 def part_validation(spark: SparkSession, d: str) -> DataFrame:
-    p = selection.parts_of(_selections(spark, d), ["video_id", "chunk_num"])
-    return p.select("video_id", "chunk_num", F.col("part_no").cast("bigint").alias("part_no"), "time_range", (tc.to_cs(F.col("end")) - tc.to_cs(F.col("start")) >= 500).alias("long_enough"))
-
-
-@query(f"with {SEG}, {ALL_PARTS} select video_id, chunk_num, selection_no, row_number() over (partition by video_id, chunk_num, selection_no order by start_cs, seg_index) as part_no, {OR_NA('start_cs')} || ' - ' || {OR_NA('end_cs')} as time_range, case when end_cs > start_cs and start_cs >= 0 then end_cs - start_cs >= 500 end as long_enough from parts")
-def part_validation_all(spark: SparkSession, d: str) -> DataFrame:
     """The parts of every selection, of all segments."""
-    p = selection.parts_of(_all_selections(spark, d), ["video_id", "chunk_num", "selection_no"])
+    p = selection.parts_of(_selections(spark, d), ["video_id", "chunk_num", "selection_no"])
     return p.select("video_id", "chunk_num", "selection_no", F.col("part_no").cast("bigint").alias("part_no"), "time_range", (tc.to_cs(F.col("end")) - tc.to_cs(F.col("start")) >= 500).alias("long_enough"))
 
 
 @query(
-    f"""with {SEG}, {PARTS}, k as (select distinct video_id, chunk_num from chunked where start_cs >= 0),
-        t as (select video_id, chunk_num, count(*) n, bool_and(end_cs > start_cs) readable, bool_and(end_cs - start_cs >= 500) long_enough, cast(sum(end_cs - start_cs) // 100 as bigint) s from parts group by 1, 2)
-        select k.video_id, k.chunk_num, coalesce(n, 0) as n_parts, case when readable then s else 0 end as total_s,
-               coalesce(readable and long_enough and s between 10 and 30, false) as valid, coalesce(readable and s between 10 and 20, false) as in_range,
-               case when n is null then 'no parts' when not readable then 'unreadable part' when not long_enough then 'part too short' when s < 10 then 'total too short' when s > 30 then 'total too long' end as reason
-        from k left join t on k.video_id = t.video_id and k.chunk_num = t.chunk_num"""
-)
-def selection_total(spark: SparkSession, d: str) -> DataFrame:
-    v = selection.validated(_selections(spark, d), ["video_id", "chunk_num"], min_s=10, max_s=20)
-    return v
-
-
-@query(
-    f"""with {SEG}, {ALL_PARTS},
+    f"""with {SEG}, {PARTS},
         t as (select video_id, chunk_num, selection_no, count(*) n, bool_and(end_cs > start_cs and start_cs >= 0) readable, bool_and(end_cs - start_cs >= 500) long_enough, cast(sum(end_cs - start_cs) // 100 as bigint) s from parts group by 1, 2, 3)
         select video_id, chunk_num, selection_no, n as n_parts, case when readable then s else 0 end as total_s, readable and long_enough and s between 10 and 30 as valid, readable and s between 10 and 20 as in_range,
                case when not readable then 'unreadable part' when not long_enough then 'part too short' when s < 10 then 'total too short' when s > 30 then 'total too long' end as reason from t"""
 )
-def selection_total_all(spark: SparkSession, d: str) -> DataFrame:
+def selection_total(spark: SparkSession, d: str) -> DataFrame:
     """Totals of every selection, of all segments."""
-    return selection.validated(_all_selections(spark, d), ["video_id", "chunk_num", "selection_no"], min_s=10, max_s=20)
+    return selection.validated(_selections(spark, d), ["video_id", "chunk_num", "selection_no"], min_s=10, max_s=20)
 
 
 @query(
@@ -481,7 +562,7 @@ def selection_total_all(spark: SparkSession, d: str) -> DataFrame:
 def bounds_check_theta(spark: SparkSession, d: str) -> DataFrame:
     """Chosen ranges against their medium's duration; the duration comes with the report, so nothing is joined."""
     r = table(spark, d, REPORTS).select("report_id", F.col("metadata.duration").alias("d"), F.explode("segments.high_value").alias("s"))
-    return r.select("report_id", F.col("s.start_time").alias("from_s"), F.col("s.end_time").alias("to_s"), ((F.col("s.start_time") < 0) | (F.col("s.end_time") > F.col("d"))).alias("out"))
+    return r.select("report_id", F.col("s.start_time").alias("from_s"), F.col("s.end_time").alias("to_s"), selection.outside(F.col("s.start_time"), F.col("s.end_time"), F.col("d")).alias("out"))
 
 
 @query(
@@ -490,9 +571,31 @@ def bounds_check_theta(spark: SparkSession, d: str) -> DataFrame:
 def bounds_check_join(spark: SparkSession, d: str) -> DataFrame:
     """Ranges against the duration of their video."""
     r = table(spark, d, "results_qwen15b").select("row_id", "video_id", F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"))
-    v = table(spark, d, "videos")
-    o = selection.out_of_bounds(r, v, "video_id")
-    return o.join(v.select("video_id", "duration"), "video_id", "left").select("row_id", F.col("duration").isNotNull().alias("known"), "out")
+    return selection.out_of_bounds(r, table(spark, d, "videos"), "video_id").select("row_id", "known", "out")
+
+
+@query(
+    f"""with {SEG}, {PARTS}, p as (select p.*, row_number() over w as part_no, coalesce(start_cs >= 0 and end_cs > start_cs and not isnan(v.duration) and end_cs <= v.duration * 100, false) as ok,
+          case when start_cs >= 0 and end_cs > start_cs then end_cs - start_cs else 0 end as n from parts p left join videos v on p.video_id = v.video_id window w as (partition by p.video_id, chunk_num, selection_no order by start_cs, seg_index))
+        select video_id, chunk_num, selection_no, part_no, case when start_cs >= 0 and end_cs > start_cs then start_cs / 100 end as start, case when start_cs >= 0 and end_cs > start_cs then end_cs / 100 end as end,
+          coalesce(sum(n) over (w rows between unbounded preceding and 1 preceding), 0)::bigint / 100 as at_s, sum(n) over (partition by video_id, chunk_num, selection_no)::bigint / 100 as total_s, ok, bool_and(ok) over (partition by video_id, chunk_num, selection_no) as all_ok
+        from p window w as (partition by video_id, chunk_num, selection_no order by part_no)"""
+)
+def cut_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Cuts of every selection in their order, checked against their video's duration, with where each begins in what is made."""
+    key = ["video_id", "chunk_num", "selection_no"]
+    p = selection.parts_of(_selections(spark, d), key)
+    return selection.cut_plan(p.withColumn("part_no", F.col("part_no").cast("bigint")), table(spark, d, "videos"), key, "video_id")
+
+
+@query(
+    f"""with {SEG}, {PARTS}, k as (select distinct video_id, chunk_num, selection_no from parts), t as (select video_id, chunk_num, selection_no, count(*) n, cast(sum(case when end_cs > start_cs and start_cs >= 0 then end_cs - start_cs else 0 end) as bigint) s from parts group by 1, 2, 3)
+        select video_id, chunk_num, selection_no, n as n_parts, {CS('s')} as total from t"""
+)
+def selection_label(spark: SparkSession, d: str) -> DataFrame:
+    """The total of every selection's readable parts, as a time code."""
+    key = ["video_id", "chunk_num", "selection_no"]
+    return selection.totals(selection.parts_of(_selections(spark, d), key), key).select(*key, "n_parts", "total")
 
 
 @query(
@@ -502,8 +605,6 @@ def bounds_check_join(spark: SparkSession, d: str) -> DataFrame:
 )
 def first_valid_attempt(spark: SparkSession, d: str) -> DataFrame:
     """Of three attempts a chunk the first valid one, else the first."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("video_id", "chunk_num").orderBy(F.asc_nulls_last("start_time"), "row_id")
     a = table(spark, d, "results_simplified").where("video_id is not null and chunk_num is not null")
     a = a.select("video_id", "chunk_num", F.row_number().over(w).alias("attempt"), F.coalesce((F.col("value_score") >= 0.5) & ~F.isnan("value_score"), F.lit(False)).alias("valid"))
@@ -584,47 +685,58 @@ def reported_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select metadata.audio_path as audio_path, count(*) as n_segments, cast(sum(cast(round(s.duration * 100) as bigint)) as bigint) as total_cs from (
-         select metadata, unnest(segments.evaluated) s from (select distinct on (report_id) * from reels_extraction_20250825_215033_complete)) where metadata.audio_path is not null and s.duration >= 15 group by 1"""
+    """with s as (select metadata.audio_path p, s.* from (select metadata, unnest(segments.evaluated) s from (select distinct on (report_id) * from reels_extraction_20250825_215033_complete)) where metadata.audio_path is not null and s.duration >= 15),
+            m as (select p, case when value_score is not null and not isnan(value_score) then cast(round(value_score * 1000) as bigint) end m from s)
+       select p as audio_path, count(*) as total, count(*) filter (m >= 500) as high, cast(floor(count(*) filter (m >= 500) * 1000 / count(*)) as bigint) as success_permille, cast(floor(sum(m) / count(m)) as bigint) as avg_milli, min(m) as min_milli, max(m) as max_milli from m group by 1"""
 )
 def evaluated_by_path(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluated segments of at least 15 seconds, a report counted once."""
-    r = table(spark, d, REPORTS).select("report_id", F.col("metadata.audio_path").alias("audio_path"), F.posexplode("segments.evaluated.duration").alias("seg_no", "duration")).where("audio_path is not null and duration >= 15")
-    once = r.groupBy("report_id", "seg_no", "audio_path").agg(F.min("duration").alias("duration"))
-    return once.groupBy("audio_path").agg(F.count("*").alias("n_segments"), F.sum(F.round(F.col("duration") * 100).cast("bigint")).alias("total_cs"))
+    """Scores of the evaluated segments of at least 15 seconds, a report counted once."""
+    e = reports.evaluated_segments(table(spark, d, REPORTS), "report_id", F.col("metadata.audio_path").alias("audio_path")).where("audio_path is not null")
+    once = e.groupBy("report_id", "seg_no", "audio_path").agg(F.min(F.struct("duration", "value_score")).alias("x")).select("audio_path", "x.*")
+    return scoring.summary(once, ["audio_path"], min_duration_s=15.0)
 
 
-# Seconds as a time code, a negative one with its sign before it.
-SIGNED_CS = lambda c: f"case when isnan({c}) or abs({c}) >= 9e15 then null else case when round({c} * 100) < 0 then '-' else '' end || {CS(f'cast(abs(round({c} * 100)) as bigint)')} end"
+@query(
+    """with s as (select metadata.audio_path p, s.* from (select metadata, unnest(segments.evaluated) s from (select distinct on (report_id) * from reels_extraction_20250825_215033_complete)) where metadata.audio_path is not null),
+            m as (select p, case when not isnan(duration) then cast(round(duration * 100) as bigint) end d, case when not isnan(confidence) then cast(round(confidence * 1000) as bigint) end c from s)
+       select p as audio_path, count(*) as n, cast(floor(sum(d) / count(d)) as bigint) as mean_duration_cs, cast(floor(sum(c) / count(c)) as bigint) as mean_confidence_milli from m group by 1"""
+)
+def segment_means(spark: SparkSession, d: str) -> DataFrame:
+    """Mean duration and confidence of the evaluated segments of every path, a report counted once."""
+    e = reports.evaluated_segments(table(spark, d, REPORTS), "report_id", F.col("metadata.audio_path").alias("audio_path")).where("audio_path is not null")
+    once = e.groupBy("report_id", "seg_no", "audio_path").agg(F.min(F.struct("duration", "confidence")).alias("x")).select("audio_path", "x.*")
+    return scoring.means(once, ["audio_path"])
 
 
 @query(
-    """select row_id, cast(index as int) as index, start_time, end_time, duration, text, value_score from (
-         select row_id, seg_index as index, start_time, end_time, duration, text, value_score from results_qwen15b
-         union all by name select row_id, seg_index as index, cast(start_time as varchar) as start_time, null as end_time, null as duration, text, value_score from results_simplified where start_time is null)"""
+    """select row_id, case when value_score is not null and not isnan(value_score) then value_score when contains(lower(r), 'skipped') then 0.75 else 0.5 end as score
+       from (select row_id, value_score, case when row_id % 2 = 0 then 'Evaluation skipped for speed' else coalesce(reasoning, '') end r from results_qwen15b)"""
 )
-def union_legacy_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """Segment tables of two shapes as one."""
-    a = table(spark, d, "results_qwen15b").select("row_id", F.col("seg_index").alias("index"), "start_time", "end_time", "duration", "text", "value_score")
-    b = table(spark, d, "results_simplified").where("start_time is null").select("row_id", F.col("seg_index").alias("index"), "text", "value_score")
-    return a.unionByName(b, allowMissingColumns=True)
+def score_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    """Scores with the constants that stand for those that weren't made."""
+    why = F.when(F.col("row_id") % 2 == 0, "Evaluation skipped for speed").otherwise(F.col("reasoning"))
+    return table(spark, d, "results_qwen15b").select("row_id", scoring.with_fallback(F.col("value_score"), why).alias("score"))
+
+
+# Seconds as a time code, a negative one with its sign before it.
+SIGNED_CS = lambda c: f"case when isnan({c}) or abs({c}) >= 9e15 then null else case when round({c} * 100) < 0 then '-' else '' end || {CS(f'cast(abs(round({c} * 100)) as bigint)')} end"
 
 
 @query(
-    f"""select row_id, cast(index as int) as index, start_time, end_time, duration, text, value_score from (
-         select row_id, seg_index as index, start_time, end_time, duration, text, value_score from results_qwen15b
-         union all by name select row_id, seg_index as index, {SIGNED_CS('start_time')} as start_time, {SIGNED_CS('end_time')} as end_time, null as duration, text, value_score from results_simplified)"""
+    f"""select row_id, cast(index as int) as index, start_time, end_time, start_seconds, end_seconds, duration, text, confidence, value_score, reasoning from (
+         select row_id, seg_index as index, start_time, end_time, start_seconds, end_seconds, duration, text, confidence, value_score, reasoning from results_qwen15b
+         union all by name select row_id, seg_index as index, {SIGNED_CS('start_time')} as start_time, {SIGNED_CS('end_time')} as end_time, null as duration, text, confidence, value_score, reasoning from results_simplified)"""
 )
-def union_legacy_shapes_all(spark: SparkSession, d: str) -> DataFrame:
+def union_legacy_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Segment tables of two shapes as one, every row of both; the second's seconds are written as time codes from whole hundredths, NaN as null."""
 
     def written(c: str) -> Column:
         cs = tc.to_cs(F.col(c))
         return F.concat(F.when(cs < 0, "-").otherwise(""), tc.format_cs(F.abs(cs)))
 
-    a = table(spark, d, "results_qwen15b").select("row_id", F.col("seg_index").alias("index"), "start_time", "end_time", "duration", "text", "value_score")
-    b = table(spark, d, "results_simplified").select("row_id", F.col("seg_index").alias("index"), written("start_time").alias("start_time"), written("end_time").alias("end_time"), "text", "value_score")
-    return a.unionByName(b, allowMissingColumns=True)
+    a = table(spark, d, "results_qwen15b").withColumnRenamed("seg_index", "Index").drop("video_id", "loaded_at")
+    b = table(spark, d, "results_simplified").select("row_id", F.col("seg_index").alias("index"), written("start_time").alias("start_time"), written("end_time").alias("end_time"), "text", "confidence", "value_score", "reasoning")
+    return reports.unified(a, b, keys=["row_id"])
 
 
 # Speakers and pacing. As labels stand in: long segments are the teacher's.
@@ -638,12 +750,22 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""with {SEG}, {LABELLED}, b as (select video_id, label, count(*) n_segments, cast(sum(greatest(coalesce(end_cs - start_cs, 0), 0)) as bigint) spoken_cs, cast(sum({WORDS("coalesce(text, '')")}) as bigint) n_words from labelled group by 1, 2)
-        select *, cast(floor(spoken_cs * 1000 / greatest(sum(spoken_cs) over (partition by video_id), 1)) as bigint) as time_permille, cast(floor(n_segments * 1000 / greatest(sum(n_segments) over (partition by video_id), 1)) as bigint) as segment_permille from b"""
+        select *, cast(floor(n_words * 1000 / n_segments) as bigint) as words_milli, cast(floor(spoken_cs * 1000 / greatest(sum(spoken_cs) over (partition by video_id), 1)) as bigint) as time_permille, cast(floor(n_segments * 1000 / greatest(sum(n_segments) over (partition by video_id), 1)) as bigint) as segment_permille from b"""
 )
 def speaker_share(spark: SparkSession, d: str) -> DataFrame:
     return speakers.shares(_labelled(spark, d))
 
 
+@query(
+    f"""with {SEG}, l as (select video_id, seg_index, min(speaker_id) label from results_simplified where video_id is not null and seg_index is not null and speaker_id is not null group by 1, 2)
+        select s.video_id, s.seg_index, coalesce(l.label, 'unknown') as label from seg s left join l on s.video_id = l.video_id and s.seg_index = l.seg_index"""
+)
+def labels_zipped(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with the label that a labeller gave for their place."""
+    labels = table(spark, d, "results_simplified").select("video_id", "seg_index", F.col("speaker_id").alias("label"))
+    return speakers.labelled(_segments(spark, d).select("video_id", "seg_index"), labels, ["video_id", "seg_index"])
+
+
 @query(
     f"""with {SEG}, {LABELLED}, l as (select *, lag(label) over w before, lag(text) over w said from labelled window w as (partition by video_id order by start_cs, seg_index))
         select video_id, seg_index, label, case when before = 'teacher' and contains(said, '?') and label = 'teacher' and not contains(coalesce(text, ''), '?') and {WORDS("coalesce(text, '')")} < 10 then 'student' else label end as refined from l"""
@@ -682,11 +804,12 @@ def pause_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """with w as (select row_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\n\\t\\r]+'), lambda w: w <> '') w, lower(coalesce(text, '')) t from results_qwen15b)
        select row_id, cast(len(w) as int) as n_words, contains(t, '?') as is_question, cast(len(string_split(t, ',')) as int) as n_clauses, cast(len(list_distinct(w)) as int) as n_distinct,
-              cast(len(array_to_string(w, '')) as int) as n_letters, cast(contains(t, 'please') as int) + cast(contains(t, 'we ') as int) - cast(contains(t, 'why') as int) as marker_score from w"""
+              cast(len(array_to_string(w, '')) as int) as n_letters,
+              case when len(w) > 0 then cast(len(list_distinct(w)) * 1000 // len(w) as int) else 0 end as distinct_permille, case when len(w) > 0 then cast(len(array_to_string(w, '')) * 1000 // len(w) as int) else 0 end as letters_milli, cast(contains(t, 'please') as int) + cast(contains(t, 'we ') as int) - cast(contains(t, 'why') as int) as marker_score from w"""
 )
 def speaker_features(spark: SparkSession, d: str) -> DataFrame:
     f = speakers.features(table(spark, d, "results_qwen15b").select("row_id", "text"), ["please", "we "], ["why"])
-    return f.select("row_id", "n_words", "is_question", "n_clauses", "n_distinct", "n_letters", "marker_score")
+    return f.select("row_id", "n_words", "is_question", "n_clauses", "n_distinct", "n_letters", "distinct_permille", "letters_milli", "marker_score")
 
 
 @query()
@@ -697,6 +820,19 @@ def speaker_kmeans(spark: SparkSession, d: str) -> DataFrame:
     return r.select("video_id", "seg_index", "role")
 
 
+@query(f"with {SEG} select count(*) as n_rows, count(distinct video_id || ' ' || seg_index) as n_segments, 2::bigint as n_roles, true as teacher_speaks_longer, true as teacher_is_the_longer_cluster from seg having count(*) > 0")
+def speaker_roles_hold(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of the roles by clusters, whatever the clusters are: each segment once, two roles, the teacher's mean length the greater."""
+    f = speakers.features(_segments(spark, d), ["please", "we "], ["why"]).withColumn("q", F.col("is_question").cast("int"))
+    r = speakers.cluster_roles(f, ["n_words", "q", "n_clauses", "n_distinct", "n_letters", "marker_score"])
+    by = r.groupBy("cluster", "role").agg(F.count("*").alias("n"), F.count_distinct("video_id", "seg_index").alias("s"), F.sum("n_words").alias("w"))
+    mean = lambda role: F.sum(F.when(F.col("role") == role, F.col("w"))) / F.sum(F.when(F.col("role") == role, F.col("n")))
+    return by.agg(
+        F.sum("n").alias("n_rows"), F.sum("s").alias("n_segments"), F.count_distinct("role").alias("n_roles"), (mean("teacher") > mean("student")).alias("teacher_speaks_longer"),
+        (F.max_by("role", F.col("w") / F.col("n")) == "teacher").alias("teacher_is_the_longer_cluster"),
+    ).where("n_rows > 0")
+
+
 # Captions, plans and names
 
 
@@ -737,44 +873,78 @@ def chunk_metadata_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {SEG}, {PARTS}, p as (select video_id, chunk_num, start_cs, (start_cs // 100) || '.' || lpad(cast(start_cs % 100 as varchar), 2, '0') a, (end_cs // 100) || '.' || lpad(cast(end_cs % 100 as varchar), 2, '0') b, row_number() over (partition by video_id, chunk_num order by start_cs, seg_index) - 1 i from parts where end_cs > start_cs)
-        select video_id, chunk_num, string_agg('[0:v]trim=start=' || a || ':end=' || b || ',setpts=PTS-STARTPTS[v' || i || '];[0:a]atrim=start=' || a || ':end=' || b || ',asetpts=PTS-STARTPTS[a' || i || ']', ';' order by i) || ';' || string_agg('[v' || i || '][a' || i || ']', '' order by i) || 'concat=n=' || count(*) || ':v=1:a=1[outv][outa]' as graph
-        from p where start_cs < 100000000 group by 1, 2"""
-)
-def filter_graph_render(spark: SparkSession, d: str) -> DataFrame:
-    """Filter graph of every chunk's selection."""
-    p = selection.parts_of(_selections(spark, d), ["video_id", "chunk_num"]).where("start is not null and start < 1000000")
-    g = p.groupBy("video_id", "chunk_num").agg(F.transform(F.sort_array(F.collect_list(F.struct("part_no", "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("r"))
-    return g.select("video_id", "chunk_num", render.filter_graph(F.col("r")).alias("graph"))
-
-
-@query(
-    f"""with {SEG}, {ALL_PARTS}, p as (select video_id, chunk_num, selection_no, (start_cs // 100) || '.' || lpad(cast(start_cs % 100 as varchar), 2, '0') a, (end_cs // 100) || '.' || lpad(cast(end_cs % 100 as varchar), 2, '0') b, row_number() over (partition by video_id, chunk_num, selection_no order by start_cs, seg_index) - 1 i from parts where end_cs > start_cs and start_cs >= 0)
+    f"""with {SEG}, {PARTS}, p as (select video_id, chunk_num, selection_no, (start_cs // 100) || '.' || lpad(cast(start_cs % 100 as varchar), 2, '0') a, (end_cs // 100) || '.' || lpad(cast(end_cs % 100 as varchar), 2, '0') b, row_number() over (partition by video_id, chunk_num, selection_no order by start_cs, seg_index) - 1 i from parts where end_cs > start_cs and start_cs >= 0)
         select video_id, chunk_num, selection_no, string_agg('[0:v]trim=start=' || a || ':end=' || b || ',setpts=PTS-STARTPTS[v' || i || '];[0:a]atrim=start=' || a || ':end=' || b || ',asetpts=PTS-STARTPTS[a' || i || ']', ';' order by i) || ';' || string_agg('[v' || i || '][a' || i || ']', '' order by i) || 'concat=n=' || count(*) || ':v=1:a=1[outv][outa]' as graph
         from p group by 1, 2, 3"""
 )
-def filter_graph_render_all(spark: SparkSession, d: str) -> DataFrame:
+def filter_graph_render(spark: SparkSession, d: str) -> DataFrame:
     """Filter graph of every selection of all segments, however late they start; a part without a length has nothing to trim."""
     key = ["video_id", "chunk_num", "selection_no"]
-    p = selection.parts_of(_all_selections(spark, d), key).where("start is not null")
+    p = selection.parts_of(_selections(spark, d), key).where("start is not null")
     g = p.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("part_no", "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("r"))
     return g.select(*key, render.filter_graph(F.col("r")).alias("graph"))
 
 
 @query(
-    """with b as (select distinct channel as base from documents where channel is not null), taken as (select base, base as name from b where hash(base) is not null and cast(right(base, 1) as int) < 5 union all select base, base || '_2' from b where cast(right(base, 1) as int) < 3)
-       select base, base || case when cast(right(base, 1) as int) < 3 then '_3' when cast(right(base, 1) as int) < 5 then '_2' else '' end as chosen from b"""
+    r"""with b as (select distinct channel as base from documents where channel is not null), k as (select base, ascii(right(base, 1)) % 5 as k from b),
+         w as (select base from k union select base || '_1' from k where k = 4 union select base || '_3' from k where k = 3),
+         t as (select base as name from k where k <> 0 union all select base || '_2' from k where k = 2 or k = 3 union all select base || '_4' from k where k = 2 union all select base || '_1' from k where k = 4 union all select base || '_1_2' from k where k = 4),
+         n as (select base, cast(unnest(generate_series(1, 6)) as bigint) i from w), c as (select base, i, case when i = 1 then base else base || '_' || i end as name from n)
+       select c.base, arg_min(c.name, c.i) as chosen from c where c.name not in (select name from t) and (c.i = 1 or c.name not in (select base from w)) group by 1"""
 )
 def unique_name_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    """Output names that don't exist yet, of every channel's."""
-    b = table(spark, d, "documents").where("channel is not null").select(F.col("channel").alias("base")).distinct()
-    last = F.right("base", F.lit(1)).try_cast("int")
-    taken = b.where(last < 5).select(F.col("base").alias("name")).unionByName(b.where(last < 3).select(F.concat("base", F.lit("_2")).alias("name")))
-    # A base's own number isn't a counter: names are matched whole.
-    named = taken.select("name", F.regexp_replace("name", "(?<=[0-9])_[0-9]$", "").alias("base"))
-    tried = b.join(named, "base", "left").groupBy("base").agg(F.collect_set("name").alias("t"))
-    names = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.when(i == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), i.cast("string"))))
-    return tried.select("base", F.get(F.filter(names, lambda x: ~F.array_contains("t", x)), F.lit(0)).alias("chosen"))
+    """Output names that don't exist yet, of every channel's; some names end in a counter themselves."""
+    b = table(spark, d, "documents").where("channel is not null").select(F.col("channel").alias("base")).distinct().withColumn("k", F.ascii(F.right("base", F.lit(1))) % 5)
+    also = lambda end, *ks: b.where(F.col("k").isin(*ks)).select(F.concat("base", F.lit(end)).alias("name"))
+    wanted = b.select("base").unionByName(also("_1", 4).unionByName(also("_3", 3)).withColumnRenamed("name", "base"))
+    taken = also("", 1, 2, 3, 4).unionByName(also("_2", 2, 3)).unionByName(also("_4", 2)).unionByName(also("_1", 4)).unionByName(also("_1_2", 4))
+    return render.unique_names(wanted, taken)
+
+
+@query(f"with {SEG}, c as (select distinct video_id, chunk_num n from chunked) select video_id, n as chunk_num, 'chunk_' || case when len(n::varchar) < 2 then lpad(n::varchar, 2, '0') else n::varchar end || '.txt' as name, 'chunk_' || case when len(n::varchar) < 2 then lpad(n::varchar, 2, '0') else n::varchar end || '_metadata.txt' as metadata_name from c")
+def chunk_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of every chunk's files."""
+    c = _chunked(spark, d).select("video_id", "chunk_num").distinct()
+    return c.select("video_id", "chunk_num", render.chunk_file_name(F.col("chunk_num")).alias("name"), render.chunk_file_name(F.col("chunk_num"), "metadata").alias("metadata_name"))
+
+
+@query(
+    f"""with {SEG}, c as (select video_id, chunk_num n, count(*) + 7 k from chunked group by 1, 2)
+        select video_id || '/chunk_' || case when len(n::varchar) < 2 then lpad(n::varchar, 2, '0') else n::varchar end || '.txt' as name, k as n_lines from c"""
+)
+def chunk_files_written(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's transcript written to a file of its name, with the lines it has."""
+    lines = render.chunk_files(_chunked(spark, d))
+    name = F.concat(F.col("video_id").cast("string"), F.lit("/"), render.chunk_file_name(F.col("chunk_num")))
+    return render.write_named(lines.withColumn("name", name), shared_folder(spark), "name", ["part", "line_no"])
+
+
+@query(
+    """select line_id, strftime(updated_at, '%Y-%m-%d_%H%M%S') || case when line_id % 3 = 0 then '_' || lpad(cast(microsecond(updated_at) % 1000000 as varchar), 6, '0') else '' end || '_my_video-v2' as folder
+       from full_transcript where updated_at is not null"""
+)
+def run_directory_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of run folders of a time and a video, with microseconds where the name is taken."""
+    t = table(spark, d, "full_transcript").where("updated_at is not null")
+    return t.select("line_id", render.run_directory_name(F.col("updated_at"), F.lit("/in/my video.v2.mp4"), F.col("line_id") % 3 == 0).alias("folder"))
+
+
+@query(
+    f"""with {SEG}, {PARTS}, p as (select *, video_id || '-' || chunk_num || '-' || selection_no as reel_id, row_number() over (partition by video_id, chunk_num, selection_no order by start_cs, seg_index) i from parts),
+        r as (select reel_id, video_id, count(*) n, max(chunk_num) c from p group by 1, 2),
+        h as (select reel_id, ['AUTO-GENERATED REEL METADATA', repeat('=', 70), '', 'Source Video: ' || coalesce(v.path, ''), 'Transcription Results: runs/' || r.video_id, 'Duration: ' || r.c || 's', 'Parts: ' || n, '', 'Title: Part ' || r.c, 'Narrative: ', '', 'SEGMENTS:'] l
+              from r left join videos v on v.video_id = r.video_id)
+        select reel_id, 0::int as part, cast(unnest(range(0, 12)) as int) as line_no, unnest(l) as line from h
+        union all select reel_id, 1::int, cast(i as int), i || '. ' || {OR_NA('start_cs')} || ' - ' || {OR_NA('end_cs')} || ' - why ' || i from p"""
+)
+def reel_metadata_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata files of reels made of every selection, as lines."""
+    reel_id = F.concat_ws("-", "video_id", "chunk_num", "selection_no").alias("reel_id")
+    s = _selections(spark, d)
+    p = selection.parts_of(s, ["video_id", "chunk_num", "selection_no"]).select(reel_id, "part_no", "time_range", F.concat(F.lit("why "), F.col("part_no").cast("string")).alias("reason"))
+    r = s.join(table(spark, d, "videos").select("video_id", "path"), "video_id", "left")
+    r = r.select(reel_id, F.concat(F.lit("Part "), F.col("chunk_num").cast("string")).alias("title"), F.lit(None).cast("string").alias("narrative"), "path", F.concat(F.lit("runs/"), F.col("video_id").cast("string")).alias("run"), F.col("chunk_num").alias("total_s"))
+    return render.reel_metadata(r, p)
 
 
 @query(
@@ -802,9 +972,12 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("select doc_id, case when len(text) <= 200 then text else left(text, 100) || chr(10) || '...' || chr(10) || right(text, 100) end as cut, case when len(text) > 60 then left(text, 57) || '...' else text end as within from documents")
+@query(
+    """select doc_id, case when len(text) <= 200 then text else left(text, 100) || chr(10) || '...' || chr(10) || right(text, 100) end as cut, case when len(text) > 60 then left(text, 57) || '...' else text end as within,
+       left(text, 50) as head, right(text, 50) as tail, text as whole from documents"""
+)
 def truncate_smart(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).select("doc_id", tx.smart_cut(F.col("text"), 200).alias("cut"), tx.cut_within(F.col("text"), 60).alias("within"))
+    return _documents(spark, d).select("doc_id", tx.smart_cut(F.col("text"), 200).alias("cut"), tx.cut_within(F.col("text"), 60).alias("within"), tx.smart_cut(F.col("text"), 50, "start").alias("head"), tx.smart_cut(F.col("text"), 50, "end").alias("tail"), tx.smart_cut(F.col("text"), 50, "full").alias("whole"))
 
 
 @query("select doc_id, left(sha256(concat_ws('_', text, 'summary', 'model-a')), 16) as cache_key from documents")
@@ -812,15 +985,31 @@ def cache_key(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", tx.cache_key(F.col("text"), "summary", "model-a").alias("cache_key"))
 
 
+@query("select doc_id, crawled_at <= timestamp '2025-09-01 00:00:00' and timestamp '2025-09-01 00:00:00' < crawled_at + interval 7 days as fresh from documents")
+def cache_freshness(spark: SparkSession, d: str) -> DataFrame:
+    """Whether what was stored at a document's time would still be taken from a cache of seven days."""
+    return table(spark, d, "documents").select("doc_id", tx.fresh(F.col("crawled_at"), F.lit("2025-09-01 00:00:00").cast("timestamp_ntz")).alias("fresh"))
+
+
+@query(
+    """select event_id, case when event_id % 3 = 0 then null else props end as json, case when event_id % 3 = 0 then 'Sure: {' || props || ' }' end as raw, event_id % 3 = 0 as parse_error from events where props is not null"""
+)
+def json_or_raw(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON in a reply, or the reply as it is where there is none that can be read."""
+    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Sure: {"), "props", F.lit(" }"))).otherwise(F.concat(F.lit("Sure: "), "props", F.lit(" done")))
+    return table(spark, d, "events").where("props is not null").select("event_id", tx.json_or_raw(reply).alias("r")).select("event_id", "r.*")
+
+
 # Topics
 
 
 @query(
     """with t as (select row_id, list_sort(list_distinct(technical_terms)) l from results_simplified where technical_terms is not null), p as (select row_id, unnest(l) a, l from t),
-       q as (select row_id, a, unnest(l) b from p) select a as topic_a, b as topic_b, count(distinct row_id) as n from q where a < b group by 1, 2 having count(distinct row_id) >= 2"""
+       q as (select row_id, a, unnest(l) b from p) select a as topic_a, b as topic_b, count(distinct row_id) as n from q where a < b group by 1, 2"""
 )
 def topic_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    return topics.cooccurring(table(spark, d, "results_simplified"), "row_id", "technical_terms")
+    """Pairs of terms that a row holds together, with how many rows do."""
+    return topics.cooccurring(table(spark, d, "results_simplified"), "row_id", "technical_terms", least=1)
 
 
 @query("select t as topic, count(distinct video_id) as n from (select video_id, unnest(technical_terms) t from results_simplified) where t is not null and video_id is not null group by 1 having count(distinct video_id) >= 2")
@@ -864,7 +1053,7 @@ def ensemble_vote(spark: SparkSession, d: str) -> DataFrame:
 )
 def best_per_source(spark: SparkSession, d: str) -> DataFrame:
     """The two highest events of every user and type."""
-    best = top_n(table(spark, d, "events"), ["user_id", "event_type"], "value", ["event_id"], 2, width=1.0)
+    best = topics.best_per_source(table(spark, d, "events"), ["user_id"], "event_type", "value", 2, "event_id")
     return best.select("user_id", "event_type", "event_id", F.col("rank_no").cast("bigint").alias("rank_no"))
 
 
@@ -883,38 +1072,112 @@ def transcription_plan(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("video_id", "chunk_num").agg(F.count("*").alias("n_segments"))
 
 
+@query(
+    """with s as (select report_id, metadata.duration p, unnest(segments.evaluated) e, unnest(range(0, len(segments.evaluated))) i from reels_extraction_20250825_215033_complete)
+       select report_id, i as seg_index, case when e.start_time is not null and e.end_time is not null then p + e.start_time else p end as start, case when e.start_time is not null and e.end_time is not null then p + e.end_time else p + 30 end as end, e.text as text from s"""
+)
+def recogniser_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of a recogniser as segments: times from the pass's start, thirty seconds for one without both times."""
+    r = table(spark, d, REPORTS)
+    timed = F.transform("segments.evaluated", lambda e: F.struct(F.when(e["start_time"].isNotNull(), F.array(e["start_time"], e["end_time"])).alias("timestamp"), e["text"].alias("text")))
+    out = adapters.normalised_chunks(r.select("report_id", F.col("metadata.duration").alias("at"), timed.alias("c")), ["report_id"], "c", "at")
+    return out.select("report_id", F.col("seg_index").cast("bigint").alias("seg_index"), "start", "end", "text")
+
+
+@query("select doc_id, case when text is null or doc_id % 10 = 0 then null else 'heard ' || len(text) end as reply from documents")
+def model_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies of a stub to every document; what it can't answer is null."""
+
+    def ask():
+        def client(prompt: str) -> str | None:
+            at, _, text = prompt.partition("\n")
+            if int(at) % 10 == 0:
+                raise TimeoutError
+            return f"heard {len(text)}"
+
+        return client
+
+    prompts = _documents(spark, d).select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("prompt"))
+    return adapters.replies(prompts, "doc_id", "prompt", ask)
+
+
+@query("select row_id, coalesce(len(list_filter(technical_terms, lambda t: contains(t, 'P'))) > 0, false) as served, coalesce(len(list_filter(technical_terms, lambda t: t is not null)), 0) as n_models from results_simplified")
+def models_served(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a service's list of models, one for every row, holds the family of a model."""
+    listed = F.to_json(F.struct(F.transform("technical_terms", lambda t: F.struct(t.alias("name"))).alias("models")))
+    reply = F.when(F.col("technical_terms").isNotNull(), listed).otherwise(F.lit("no service"))
+    names = adapters.served_names(reply)
+    return table(spark, d, "results_simplified").select("row_id", adapters.model_served(names, "P:8b").alias("served"), F.size(names).cast("bigint").alias("n_models"))
+
+
+@query(
+    r"""select doc_id, 'This is one passage of two minutes of a video. Say what THIS passage holds.' || chr(10) || chr(10) || 'Passage:' || chr(10) || left(text, 1500) || chr(10) || chr(10) || 'Answer with exactly these sections:' || chr(10) || 'SUMMARY:' || chr(10) || '<two or three sentences>' || chr(10) || 'TOPICS:' || chr(10) || '- <topic>' || chr(10) || 'REEL:' || chr(10) || '[M:SS] <why this moment>' || chr(10) as chunk_prompt,
+          'These are chunks 1-' || doc_id || ' of 99 of a video. Say what ALL of it holds so far.' || chr(10) || chr(10) || 'Transcript:' || chr(10) || left(text, 3000) || chr(10) || case when len(text) > 3000 then '... (content continues, ' || len(text) || ' total chars)' else '' end || chr(10) || chr(10) || 'Answer with exactly these sections:' || chr(10) || 'SUMMARY:' || chr(10) || '<three to five sentences>' || chr(10) || 'TOPICS:' || chr(10) || '- <topic>' || chr(10) || 'HASHTAGS:' || chr(10) || '#<tag> #<tag>' || chr(10) || 'TOP REELS:' || chr(10) || '[M:SS] <why>' || chr(10) as cumulative_prompt,
+          'Analyse this passage of a lesson and answer in English.' || chr(10) || chr(10) || 'Passage:' || chr(10) || left(text, 1500) || chr(10) || chr(10) || 'Answer with exactly these sections:' || chr(10) || 'SUMMARY:' || chr(10) || '<two or three sentences>' || chr(10) || 'TOPICS:' || chr(10) || '- <topic>' || chr(10) || 'HASHTAGS:' || chr(10) || '#<tag>' || chr(10) || 'REEL SEGMENTS:' || chr(10) || '[M:SS - M:SS] <reason>' || chr(10) as analysis_prompt,
+          'Choose parts of this video for a reel of 45 to 70 seconds.' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Answer in this form:' || chr(10) || 'PARTS:' || chr(10) || '1. [M:SS - M:SS] <reason>' || chr(10) || 'TOTAL_DURATION: <n>s' || chr(10) || 'NARRATIVE:' || chr(10) || '<one paragraph>' || chr(10) || 'TITLE:' || chr(10) || '<title>' || chr(10) as selection_prompt
+       from documents where text is not null"""
+)
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of the four kinds over every document's text."""
+    t = F.col("text")
+    return _documents(spark, d).where("text is not null").select(
+        "doc_id", adapters.chunk_prompt(t).alias("chunk_prompt"), adapters.cumulative_prompt(t, F.length(t), F.col("doc_id"), F.lit(99)).alias("cumulative_prompt"),
+        adapters.analysis_prompt(t, "English").alias("analysis_prompt"), adapters.selection_prompt(t).alias("selection_prompt"),
+    )
+
+
 # Reports as lines
 
 
 @query(
     f"""with {SEG}, t as (select video_id, chunk_num, count(*) n, max(chunk_num) over (partition by video_id) newest from chunked group by 1, 2),
-        b as (select *, ['CHUNK ' || chunk_num || ' ANALYSIS (Individual)', 'Time: ' || {CS('((chunk_num - 1) * 12000)')} || ' - ' || {CS('(chunk_num * 12000)')}, repeat('─', 70), 'Summary: ' || n || ' segments', '', 'Topics:', '  • t' || n, '', repeat('═', 70)] l from t)
-        select video_id, case when chunk_num = newest then 0 else 1 end as part, chunk_num, cast(unnest(range(0, 9)) as int) as line_no, unnest(l) as line from b"""
+        b as (select *, ['CHUNK ' || chunk_num || ' ANALYSIS (Individual)', 'Time: ' || {CS('((chunk_num - 1) * 12000)')} || ' - ' || {CS('(chunk_num * 12000)')}, repeat('─', 70)]
+                || case when n % 3 <> 0 then ['Summary: ' || n || ' segments', ''] else []::varchar[] end || ['Topics:', '  • t' || n, ''] || case when n % 2 = 0 then ['Reel Suggestion:', '  0:0' || n % 10 || '-0:30 - first', ''] else []::varchar[] end
+                || case when chunk_num = newest then [repeat('═', 70), ''] else []::varchar[] end l from t),
+        v as (select video_id, max(chunk_num) newest, count(*) c, cast(sum(n) as bigint) n from t group by 1),
+        h as (select *, ['AI CONTENT ANALYSIS (Real-Time)', 'Updated after: Chunk ' || newest || ' of ' || newest + 1, 'Last update: 2025-01-02 03:04:05', 'Generated with: m', repeat('═', 70), ''] l from v),
+        w as (select *, ['CUMULATIVE ANALYSIS (Chunks 1-' || newest || ')', repeat('─', 70), 'Overall Summary:', n || ' segments in all', '', 'All Topics:', '  • a', '  • b' || c, ''] || case when c > 1 then ['Best Reel Suggestions (Top 2):', '  1. 0:01-0:02 - x', '  2. 0:03-0:04 - y', ''] else []::varchar[] end
+                || ['Suggested Hashtags:', '  #a #b' || c, '', repeat('═', 70), ''] l from v),
+        a as (select video_id, unnest([0, 1]) line_no, unnest(['PREVIOUS CHUNKS', repeat('─', 70)]) line from v where c > 1)
+        select video_id, 0::int as part, newest as chunk_num, cast(unnest(range(0, len(l))) as int) as line_no, unnest(l) as line from h
+        union all select video_id, case when chunk_num = newest then 1 else 3 end, chunk_num, cast(unnest(range(0, len(l))) as int), unnest(l) from b
+        union all select video_id, 2, newest, cast(unnest(range(0, len(l))) as int), unnest(l) from w
+        union all select video_id, 3, null, cast(line_no as int), line from a"""
 )
 def progressive_summary_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Progressive summaries as lines: head, newest chunk, analysis of the whole, archive."""
     c = _chunked(spark, d).groupBy("video_id", "chunk_num").agg(F.count("*").alias("n"))
-    n = F.col("n").cast("string")
-    return render.progressive_summary(c.select("video_id", "chunk_num", F.concat(n, F.lit(" segments")).alias("summary"), F.array(F.concat(F.lit("t"), n)).alias("topics")))
+    n, reel = F.col("n").cast("string"), lambda r, why: F.struct(r.alias("time_range"), F.lit(why).alias("reason"))
+    each = c.select(
+        "video_id", "chunk_num", F.when(F.col("n") % 3 != 0, F.concat(n, F.lit(" segments"))).alias("summary"), F.array(F.concat(F.lit("t"), n)).alias("topics"),
+        F.when(F.col("n") % 2 == 0, F.array(reel(F.concat(F.lit("0:0"), (F.col("n") % 10).cast("string"), F.lit("-0:30")), "first"), reel(F.lit("9:00-9:01"), "second"))).alias("reels"),
+        (F.max("chunk_num").over(Window.partitionBy("video_id")) + 1).alias("total_chunks"),
+    )
+    v = c.groupBy("video_id").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    k = F.col("c").cast("string")
+    whole = v.select(
+        "video_id", F.concat(n, F.lit(" segments in all")).alias("summary"), F.array(F.lit("a"), F.concat(F.lit("b"), k)).alias("topics"),
+        F.when(F.col("c") > 1, F.array(reel(F.lit("0:01-0:02"), "x"), reel(F.lit("0:03-0:04"), "y"))).alias("reels"), F.array(F.lit("#a"), F.concat(F.lit("#b"), k)).alias("hashtags"),
+    )
+    return render.progressive_summary(each, whole, F.lit("2025-01-02 03:04:05").cast("timestamp"), "m")
 
 
 @query(
-    f"""with {SEG}, {PARTS}, s as (select video_id, seg_index as item, {CS('start_cs')} || ' - ' || {CS('end_cs')} as r from parts),
-        l as (select *, ['SEGMENT ' || item, 'Time: ' || r, 'Why: because', '', 'Cut: --video v.mp4 --ranges "' || replace(replace(r, ' - ', '-'), ' ', '') || '"', repeat('─', 70), ''] l from s)
-        select video_id, item, cast(unnest(range(0, 7)) as int) as line_no, unnest(l) as line from l"""
+    f"""with {SEG}, t as (select video_id, chunk_num, string_agg(coalesce(text, ''), '' order by start_cs, seg_index) as line from chunked group by 1, 2), n as (select video_id, max(chunk_num) c from t group by 1)
+        select video_id, 0::int as part, cast(unnest(range(0, 7)) as bigint) as line_no, unnest(['CUMULATIVE FULL TRANSCRIPT', repeat('=', 60), 'Last updated: Chunk ' || c, 'Updated at: 2025-01-02 03:04:05', '', 'Full transcript so far:', repeat('-', 40)]) as line from n
+        union all select video_id, 1, chunk_num * 2, line from t union all select video_id, 1, chunk_num * 2 + 1, '' from t"""
 )
-def suggested_reel_lines(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunked(spark, d).where("start_cs >= 0 and seg_index % 4 = 0")
-    end = F.greatest(F.coalesce("end_cs", "start_cs"), "start_cs")
-    s = c.select("video_id", F.col("seg_index").alias("item"), F.concat(tc.format_cs(F.col("start_cs")), F.lit(" - "), tc.format_cs(end)).alias("time_range"), F.lit("because").alias("reason"), F.lit("v.mp4").alias("path"))
-    return render.suggested_reels(s, "video_id")
+def cumulative_report_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Cumulative transcripts as lines, every chunk's text in order."""
+    return render.cumulative_report(chunks.chunk_texts(_chunked(spark, d)), F.lit("2025-01-02 03:04:05").cast("timestamp"))
 
 
 @query(
-    f"""with {SEG}, {ALL_PARTS}, s as (select video_id, seg_index as item, {OR_NA('start_cs')} || ' - ' || {OR_NA('end_cs')} as r from parts),
+    f"""with {SEG}, {PARTS}, s as (select video_id, seg_index as item, {OR_NA('start_cs')} || ' - ' || {OR_NA('end_cs')} as r from parts),
         l as (select *, ['SEGMENT ' || item, 'Time: ' || r, 'Why: because', '', 'Cut: --video v.mp4 --ranges "' || replace(replace(r, ' - ', '-'), ' ', '') || '"', repeat('─', 70), ''] l from s)
         select video_id, item, cast(unnest(range(0, 7)) as int) as line_no, unnest(l) as line from l"""
 )
-def suggested_reel_lines_all(spark: SparkSession, d: str) -> DataFrame:
+def suggested_reel_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the suggestions file with every segment as one."""
     s = _segments(spark, d).select("video_id", F.col("seg_index").alias("item"), _time_range().alias("time_range"), F.lit("because").alias("reason"), F.lit("v.mp4").alias("path"))
     return render.suggested_reels(s, "video_id")
@@ -923,42 +1186,26 @@ def suggested_reel_lines_all(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """with h as (select distinct video_id from results_qwen15b where video_id is not null and value_score is not null and not isnan(value_score)),
        s as (select video_id, cast(least(floor(round(value_score * 1000) / 200), 4) as int) b, row_id, cast(round(value_score * 1000) as bigint) m, seg_index,
-               case when not isnan(start_seconds) and not isnan(end_seconds) then cast(round(start_seconds * 100) as bigint) end a, cast(round(case when isnan(end_seconds) then null else end_seconds end * 100) as bigint) z, text
+               case when not isnan(start_seconds) then cast(round(start_seconds * 100) as bigint) end a, cast(round(case when isnan(end_seconds) then null else end_seconds end * 100) as bigint) z, text
              from results_qwen15b where video_id is not null and value_score is not null and not isnan(value_score)),
        bins as (select h.video_id, e.b, e.bin, count(s.b) n from h cross join (select unnest([0, 1, 2, 3, 4]) b, unnest(['0.0-0.2', '0.2-0.4', '0.4-0.6', '0.6-0.8', '0.8-1.0']) bin) e left join s on s.video_id = h.video_id and s.b = e.b group by 1, 2, 3),
-       t as (select * from (select *, row_number() over (partition by video_id order by m desc, row_id) k from s where m >= 500 and a >= 0 and z >= 0) where k <= 3),
+       t as (select * from (select *, row_number() over (partition by video_id order by m desc, row_id) k from s where m >= 500) where k <= 3),
        lines as (
          select video_id, 0 part, unnest([0, 1, 2]) line_no, unnest(['=== DETAILED ANALYSIS REPORT ===', '', 'SCORE DISTRIBUTION']) line from h
          union all select video_id, 1, b * 2, '  ' || bin || ': ' || n || ' segments' from bins
          union all select video_id, 2, unnest([0, 1]), unnest(['', 'TOP SEGMENTS']) from (select distinct video_id from t)
-         union all select video_id, 3, k * 2, k || '. Score: ' || ((m + 5) // 10 // 100) || '.' || lpad(cast((m + 5) // 10 % 100 as varchar), 2, '0') || ' | ' || (a // 6000) || ':' || lpad(cast(a % 6000 // 100 as varchar), 2, '0') || '-' || (z // 6000) || ':' || lpad(cast(z % 6000 // 100 as varchar), 2, '0') from t
+         union all select video_id, 3, k * 2, k || '. Score: ' || ((m + 5) // 10 // 100) || '.' || lpad(cast((m + 5) // 10 % 100 as varchar), 2, '0') || ' | ' || case when a >= 0 then (a // 6000) || ':' || lpad(cast(a % 6000 // 100 as varchar), 2, '0') else 'N/A' end || '-' || case when z >= 0 then (z // 6000) || ':' || lpad(cast(z % 6000 // 100 as varchar), 2, '0') else 'N/A' end from t
          union all select video_id, 3, k * 2 + 1, '   Text: ' || case when len(text) > 100 then left(text, 100) || '...' else coalesce(text, '') end from t)
        select video_id, cast(part as int) as part, cast(line_no as int) as line_no, line from lines"""
 )
 def analysis_report_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Histogram and three top segments of every video, as lines; only segments with both bounds, from 0 on, are ranked."""
-    return _analysis_report(spark, d, (F.col("start_cs") >= 0) & (F.col("end_cs") >= 0))
-
-
-def _analysis_report(spark: SparkSession, d: str, ranked: Column) -> DataFrame:
+    """Histogram and three top segments of every video, as lines, with or without bounds; one that is missing or before 0 is N/A."""
     r = table(spark, d, "results_qwen15b").where("video_id is not null and value_score is not null and not isnan(value_score)")
     s = r.select("video_id", "row_id", "text", F.round(F.col("value_score") * 1000).cast("bigint").alias("score_milli"), tc.to_cs(F.col("start_seconds")).alias("start_cs"), tc.to_cs(F.col("end_seconds")).alias("end_cs"))
-    top = top_n(s.where("score_milli >= 500").where(ranked).withColumn("m", F.col("score_milli").cast("double")), ["video_id"], "m", ["row_id"], 3, width=16.0)
+    top = best_rows(s.where("score_milli >= 500"), ["video_id"], "score_milli", ["row_id"], 3)
     return render.analysis_report(scoring.histogram(r, ["video_id"]), top, ["video_id"])
 
 
-M_SS = lambda c: f"({c} // 6000) || ':' || lpad(cast({c} % 6000 // 100 as varchar), 2, '0')"
-
-
-@query(
-    SQL["analysis_report_lines"].replace("not isnan(start_seconds) and not isnan(end_seconds) then", "not isnan(start_seconds) then").replace("m >= 500 and a >= 0 and z >= 0", "m >= 500")
-    .replace(f"{M_SS('a')} || '-' || {M_SS('z')}", f"case when a >= 0 then {M_SS('a')} else 'N/A' end || '-' || case when z >= 0 then {M_SS('z')} else 'N/A' end")
-)
-def analysis_report_lines_all(spark: SparkSession, d: str) -> DataFrame:
-    """Histogram and three top segments of every video, as lines, with or without bounds; one that is missing or before 0 is N/A."""
-    return _analysis_report(spark, d, F.lit(True))
-
-
 @query(
     """with m as (select video_id, case when value_score is not null and not isnan(value_score) then cast(round(value_score * 1000) as bigint) end m from results_qwen15b where video_id is not null),
        s as (select video_id, count(*) t, count(*) filter (m >= 500) h, cast(floor(count(*) filter (m >= 500) * 1000 / count(*)) as bigint) p, cast(floor(sum(m) / count(m)) as bigint) a, min(m) lo, max(m) hi from m group by 1)
@@ -1023,10 +1270,11 @@ def text_probes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""select doc_id, case when instr(text, 'SUMMARY:') > 0 then regexp_replace(coalesce(string_split(substr(text, instr(text, 'SUMMARY:'), 500), chr(10))[2], ''), '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g') end as said
-        from documents where text is not null and instr(text, 'SUMMARY:' || chr(10)) > 0"""
+        from documents where text is not null and instr(text, 'SUMMARY:') > 0"""
 )
 def line_after_marker(spark: SparkSession, d: str) -> DataFrame:
-    t = _documents(spark, d).where(F.instr("text", "SUMMARY:\n") > 0)
+    """The line after the one that first holds a marker, of every text that holds it."""
+    t = _documents(spark, d).where(F.instr("text", "SUMMARY:") > 0)
     return t.select("doc_id", tx.line_after(F.col("text"), "SUMMARY:").alias("said"))
 
 
@@ -1052,35 +1300,25 @@ def run_directory_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {SEG}, t as (select video_id, count(*) n_chunks, cast(sum(n) as bigint) tenths from (select video_id, chunk_num, count(*) n from chunked group by 1, 2) group by 1), v as (select video_id, path, duration from videos),
+    f"""with {SEG}, t as (select video_id, count(*) n_chunks, cast(sum(n) as bigint) tenths from (select video_id, chunk_num, count(*) n from chunked group by 1, 2) group by 1), v as (select v.video_id, path, duration, l.l from videos v left join (select video_id, arg_min(primary_language, (chunk_num, row_id)) l from results_simplified where primary_language is not null and chunk_num is not null group by 1) l on l.video_id = v.video_id),
         lines as (
-          select video_id, 0 part, unnest(range(0, 14)) line_no, unnest(['FINAL TRANSCRIPTION SUMMARY', repeat('=', 60), '', 'Video: ' || coalesce(path, ''), 'Model used: N/A', 'Language detected: N/A',
+          select video_id, 0 part, unnest(range(0, 14)) line_no, unnest(['FINAL TRANSCRIPTION SUMMARY', repeat('=', 60), '', 'Video: ' || coalesce(path, ''), 'Model used: N/A', 'Language detected: ' || coalesce(l, 'N/A'),
             'Video Length: ' || case when duration is null or isnan(duration) then 'N/A' else {CS('cast(round(duration * 100) as bigint)')} end, '', 'Full transcript:', repeat('-', 40), '', '', 'Segments with timestamps:', repeat('-', 40)]) line from v
           union all select video_id, 1, seg_index, '[' || {CS('start_cs')} || ' - ' || {CS('coalesce(end_cs, start_cs)')} || '] ' || {STRIP("coalesce(text, '')")} from seg
           union all select video_id, 2, unnest(range(0, 4)), unnest(['', 'PROCESSING INFORMATION', repeat('-', 40), 'Total processing time: ' || (tenths // 10) || '.' || (tenths % 10) || ' seconds']) from t
           union all select c.video_id, 3, c.chunk_num, 'Chunk ' || c.chunk_num || ' processing time: ' || (c.n // 10) || '.' || (c.n % 10) || ' seconds' from (select video_id, chunk_num, count(*) n from chunked group by 1, 2) c join t on t.video_id = c.video_id and t.n_chunks > 1)
-        select video_id, cast(part as int) as part, cast(line_no as int) as line_no, line from lines"""
+        , texts as (select video_id, chunk_num, string_agg(coalesce(text, ''), '' order by start_cs, seg_index) as line from chunked group by 1, 2)
+        select video_id, cast(case when part > 0 then part + 2 when line_no < 10 then 0 else 2 end as int) as part, cast(case when part = 0 and line_no >= 10 then line_no - 10 else line_no end as bigint) as line_no, line from lines
+        union all select video_id, 1, chunk_num * 2, line from texts
+        union all select video_id, 1, chunk_num * 2 + 1, '' from texts"""
 )
 def final_summary_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Final summaries as lines; the transcript's own text stands in the segments' lines and, as a whole, in ``final_transcript_lines``."""
+    """Final summaries as lines, with the whole transcript: the texts of a video's chunks in order, each a line of its own."""
     c = _chunked(spark, d)
-    v = table(spark, d, "videos").select("video_id", "path", F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("language"), tc.to_cs(F.col("duration")).alias("duration_cs"))
+    v = table(spark, d, "videos").select("video_id", "path", F.lit(None).cast("string").alias("model"), tc.to_cs(F.col("duration")).alias("duration_cs"))
+    v = v.join(first_language(spark, d).withColumnRenamed("primary_language", "language"), "video_id", "left")
     timings = c.groupBy("video_id", "chunk_num").agg(F.count("*").alias("tenths"))
-    return render.final_summary(v, v.select("video_id", F.lit("").alias("text")), c, timings)
-
-
-@query(
-    SQL["final_summary_lines"].replace(
-        "select video_id, cast(part as int) as part, cast(line_no as int) as line_no, line from lines",
-        """, texts as (select video_id, chunk_num, string_agg(coalesce(text, ''), '' order by start_cs, seg_index) as line from chunked group by 1, 2)
-        select video_id, cast(case when part > 0 then part + 2 when line_no < 10 then 0 else 2 end as int) as part, cast(case when part = 0 and line_no >= 10 then line_no - 10 else line_no end as bigint) as line_no, line from lines
-        union all select video_id, 1, chunk_num * 2, line from texts
-        union all select video_id, 1, chunk_num * 2 + 1, '' from texts""",
-    )
-)
-def final_transcript_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Final summaries with the whole transcript: the texts of a video's chunks in order, each a line of its own."""
-    return render.with_transcript(final_summary_lines(spark, d), chunks.chunk_texts(_chunked(spark, d)))
+    return render.final_summary(v, chunks.chunk_texts(c), c, timings)
 
 
 # Streams over the same tables, read to their end
@@ -1107,3 +1345,23 @@ def stream_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     write = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out")
     counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{folder}/out")
+
+
+
+@query(SQL["transcript_parts"])
+def stream_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole transcripts as parts, rewritten for the videos that each batch of a stream of deliveries touches; the stream is started a second time and goes on where it was."""
+    folder, stream = shared_folder(spark), table_stream(spark, d, "results_simplified").where("video_id is not null")
+    render_ = lambda rows: chunks.transcript(chunks.chunk_texts(chunks.assigned(chunks.segments(rows))))
+    for _ in range(2):
+        chunk_streams.rewriting(stream, f"{folder}/store", f"{folder}/state", render_, f"{folder}/out").awaitTermination()
+    return spark.read.schema("video_id bigint, part_no bigint, chunk_num bigint, part string, __bucket int").parquet(f"{folder}/out").drop("__bucket")
+
+
+@query("select video_id, chunk_num, seg_index, text from results_simplified where video_id is not null and chunk_num is not null")
+def stream_append(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a stream appended to their chunk's folder as they come."""
+    folder = shared_folder(spark)
+    s = table_stream(spark, d, "results_simplified").where("video_id is not null and chunk_num is not null").select("video_id", "chunk_num", "seg_index", "text")
+    s.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(s.schema).parquet(f"{folder}/out")
\ No newline at end of file

@@ -6,14 +6,20 @@ in order. Nothing is rendered on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_range
+from ..functions.text import canonical_range, padded
 from ..functions.timecode import chunk_start_cs, format_cs, srt_time, strip, to_cs, vtt_time
+from ..session import shared_folder
 
-# The rules that part the sections of the reports.
-HEAVY, LIGHT, DOUBLE, SINGLE = "=" * 60, "-" * 40, "═" * 70, "─" * 70
+# The rules that part the sections of the reports. So are the titles and names of
+# fields in the reports below, which are formats that other programs read.
+HEAVY, WIDE, LIGHT, DOUBLE, SINGLE = "=" * 60, "=" * 70, "-" * 40, "═" * 70, "─" * 70
 # End of the fixed values.
 
 
@@ -67,51 +73,56 @@ def chunk_metadata(chunks: DataFrame, chunk_s: int = 120) -> DataFrame:
     )
 
 
-def cumulative_report(so_far: DataFrame, updated_at: Column) -> DataFrame:
-    """Lines of the cumulative transcript: video_id, line_no, line of rows video_id, chunk_num, so_far."""
-    return so_far.select(
-        "video_id", "chunk_num",
+def cumulative_report(texts: DataFrame, updated_at: Column) -> DataFrame:
+    """Lines of the cumulative transcript: video_id, part, line_no, line of rows video_id, chunk_num, text: a head that names the newest chunk, then the chunks' texts in order, as lines, so no video is one value."""
+    newest = texts.groupBy("video_id").agg(F.max("chunk_num").alias("chunk_num"))
+    head = newest.select(
+        "video_id", F.lit(0).cast("int").alias("part"),
         _numbered([
             _lit("CUMULATIVE FULL TRANSCRIPT"), _lit(HEAVY), F.concat(_lit("Last updated: Chunk "), F.col("chunk_num").cast("string")),
-            F.concat(_lit("Updated at: "), F.date_format(updated_at, "yyyy-MM-dd HH:mm:ss")), _lit(""), _lit("Full transcript so far:"), _lit(LIGHT), F.col("so_far"),
+            F.concat(_lit("Updated at: "), F.date_format(updated_at, "yyyy-MM-dd HH:mm:ss")), _lit(""), _lit("Full transcript so far:"), _lit(LIGHT),
         ]).alias("line_no", "line"),
     )
+    return head.withColumn("line_no", F.col("line_no").cast("bigint")).unionByName(_text_lines(texts, 1))
+
+
+def _line(part: int) -> Column:
+    return F.lit(part).cast("int").alias("part")
 
 
 def final_summary(videos: DataFrame, texts: DataFrame, segs: DataFrame, timings: DataFrame) -> DataFrame:
     """Lines of the final summary: video_id, part, line_no, line.
 
     videos: video_id, path, model, language, duration_cs (null: N/A); texts:
-    video_id, text; timings: video_id, chunk_num, tenths. The chunks' timings
-    stand at the end of videos that have more than one.
+    video_id, chunk_num, text, each a line with an empty one after it, numbered
+    by chunk, so a long video's transcript is never one value; timings:
+    video_id, chunk_num, tenths, which stand at the end of videos that have
+    more than one chunk. Parts: 0 head, 1 transcript, 2 its end, 3 segments, 4
+    and 5 timings.
     """
     length = F.coalesce(format_cs(F.col("duration_cs")), _lit("N/A"))
-    head = videos.join(texts, "video_id", "left").select(
-        "video_id", _lit("0").cast("int").alias("part"),
+    head = videos.select(
+        "video_id", _line(0),
         _numbered([
             _lit("FINAL TRANSCRIPTION SUMMARY"), _lit(HEAVY), _lit(""), F.concat(_lit("Video: "), F.coalesce("path", _lit(""))), F.concat(_lit("Model used: "), F.coalesce("model", _lit("N/A"))),
-            F.concat(_lit("Language detected: "), F.coalesce("language", _lit("N/A"))), F.concat(_lit("Video Length: "), length), _lit(""),
-            _lit("Full transcript:"), _lit(LIGHT), F.coalesce("text", _lit("")), _lit(""), _lit("Segments with timestamps:"), _lit(LIGHT),
+            F.concat(_lit("Language detected: "), F.coalesce("language", _lit("N/A"))), F.concat(_lit("Video Length: "), length), _lit(""), _lit("Full transcript:"), _lit(LIGHT),
         ]).alias("line_no", "line"),
     )
-    body = segs.select("video_id", _lit("1").cast("int").alias("part"), F.col("seg_index").cast("int").alias("line_no"), segment_line(F.col("start_cs"), F.coalesce("end_cs", "start_cs"), F.col("text")).alias("line"))
+    below = videos.select("video_id", _line(2), _numbered([_lit(""), _lit(""), _lit("Segments with timestamps:"), _lit(LIGHT)]).alias("line_no", "line"))
+    body = segs.select("video_id", _line(3), F.col("seg_index").alias("line_no"), segment_line(F.col("start_cs"), F.coalesce("end_cs", "start_cs"), F.col("text")).alias("line"))
     total = timings.groupBy("video_id").agg(F.sum("tenths").alias("t"), F.count("*").alias("n"))
-    tail = total.select("video_id", _lit("2").cast("int").alias("part"), _numbered([_lit(""), _lit("PROCESSING INFORMATION"), _lit(LIGHT), F.concat(_lit("Total processing time: "), one_decimal(F.col("t")), _lit(" seconds"))]).alias("line_no", "line"))
-    per = timings.join(total.where("n > 1").select("video_id"), "video_id", "left_semi").select("video_id", _lit("3").cast("int").alias("part"), F.col("chunk_num").cast("int").alias("line_no"), F.concat(_lit("Chunk "), F.col("chunk_num").cast("string"), _lit(" processing time: "), one_decimal(F.col("tenths")), _lit(" seconds")).alias("line"))
-    return head.unionByName(body).unionByName(tail).unionByName(per)
+    tail = total.select("video_id", _line(4), _numbered([_lit(""), _lit("PROCESSING INFORMATION"), _lit(LIGHT), F.concat(_lit("Total processing time: "), one_decimal(F.col("t")), _lit(" seconds"))]).alias("line_no", "line"))
+    per = timings.join(total.where("n > 1").select("video_id"), "video_id", "left_semi").select("video_id", _line(5), F.col("chunk_num").alias("line_no"), F.concat(_lit("Chunk "), F.col("chunk_num").cast("string"), _lit(" processing time: "), one_decimal(F.col("tenths")), _lit(" seconds")).alias("line"))
+    out = _text_lines(texts, 1)
+    for lines in (head, below, body, tail, per):
+        out = out.unionByName(lines.withColumn("line_no", F.col("line_no").cast("bigint")))
+    return out
 
 
-def with_transcript(summary: DataFrame, texts: DataFrame) -> DataFrame:
-    """Lines of ``final_summary``, made with empty texts, with the transcript in its place: part 0 what stands before it, 1 the transcript, 2 to 5 the rest.
-
-    texts: video_id, chunk_num, text. Each is a line with an empty one after
-    it, numbered by chunk, so a long video's transcript is never one value.
-    """
-    part, at = F.col("part"), F.col("line_no").cast("bigint")
-    below = (part == 0) & (at >= 10)
-    rest = summary.select("video_id", F.when(part > 0, part + 2).when(below, 2).otherwise(0).cast("int").alias("part"), F.when(below, at - 10).otherwise(at).alias("line_no"), "line")
-    said = texts.select("video_id", _lit("1").cast("int").alias("part"), F.posexplode(F.array(F.coalesce("text", _lit("")), _lit(""))).alias("i", "line"), "chunk_num")
-    return rest.unionByName(said.select("video_id", "part", (F.col("chunk_num") * 2 + F.col("i")).alias("line_no"), "line"))
+def _text_lines(texts: DataFrame, part: int) -> DataFrame:
+    """Each chunk's text as a line with an empty one after it, numbered by chunk."""
+    said = texts.select("video_id", "chunk_num", _line(part), F.posexplode(F.array(F.coalesce("text", _lit("")), _lit(""))).alias("i", "line"))
+    return said.select("video_id", "part", (F.col("chunk_num") * 2 + F.col("i")).cast("bigint").alias("line_no"), "line")
 
 
 def suggested_reels(suggestions: DataFrame, key: str, media: str = "path") -> DataFrame:
@@ -125,24 +136,66 @@ def suggested_reels(suggestions: DataFrame, key: str, media: str = "path") -> Da
     )
 
 
-def progressive_summary(chunks: DataFrame) -> DataFrame:
-    """Lines of the progressive summary: video_id, part, chunk_num, line_no, line of rows video_id, chunk_num, summary, topics, total_chunks.
+def _bullets(topics: str) -> Column:
+    return F.transform(F.coalesce(topics, F.array().cast("array<string>")), lambda t: F.concat(_lit("  • "), t))
 
-    The newest chunk first, then those before it, newest first, rendered from
-    rows: what was written before isn't read again.
-    """
-    from pyspark.sql import Window
 
-    newest = F.max("chunk_num").over(Window.partitionBy("video_id"))
+def _titled(title: Column, lines: Column) -> Column:
+    """A section's title, its lines and an empty line; nothing where it has no lines."""
+    return F.when(F.size(lines) > 0, F.flatten(F.array(F.array(title), lines, F.array(_lit(""))))).otherwise(F.array().cast("array<string>"))
+
+
+def _one(c: str) -> Column:
+    """A text as a list of one, an empty list where it is missing or empty."""
+    return F.when(F.coalesce(c, _lit("")) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
+
+
+def progressive_summary(chunks: DataFrame, whole: DataFrame, updated_at: Column, model: str = "model") -> DataFrame:
+    """Lines of the progressive summary: video_id, part, chunk_num, line_no, line.
+
+    chunks: video_id, chunk_num, summary, topics, reels (array of
+    struct(time_range, reason), the first is shown), total_chunks. whole:
+    video_id, summary, topics, reels, hashtags over all chunks so far. Parts: 0
+    head, 1 the newest chunk, 2 the analysis of the whole, 3 the archive: the
+    chunks before, newest first. Rendered from rows, so what was written before
+    isn't read again. A section that has nothing is left out, and so is the
+    archive of a video of one chunk.
+    """
+    tops = chunks.groupBy("video_id").agg(F.max("chunk_num").alias("newest"), F.max("total_chunks").alias("total"))
+    number = F.col("newest").cast("string")
+    out = ["video_id", "part", F.col("chunk_num").cast("bigint").alias("chunk_num"), F.posexplode("block").alias("line_no", "line")]
+    head = tops.select(
+        "video_id", _line(0), F.col("newest").alias("chunk_num"),
+        F.array(
+            _lit("AI CONTENT ANALYSIS (Real-Time)"), F.concat(_lit("Updated after: Chunk "), number, _lit(" of "), F.col("total").cast("string")),
+            F.concat(_lit("Last update: "), F.date_format(updated_at, "yyyy-MM-dd HH:mm:ss")), _lit(f"Generated with: {model}"), _lit(DOUBLE), _lit(""),
+        ).alias("block"),
+    )
     start = chunk_start_cs(F.col("chunk_num"))
-    topics = F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: F.concat(_lit("  • "), t))
+    first = F.transform(F.slice(F.coalesce("reels", F.array().cast("array<struct<time_range:string,reason:string>>")), 1, 1), lambda r: F.concat(_lit("  "), r["time_range"], _lit(" - "), r["reason"]))
     block = F.flatten(F.array(
-        F.array(
-            F.concat(_lit("CHUNK "), F.col("chunk_num").cast("string"), _lit(" ANALYSIS (Individual)")), F.concat(_lit("Time: "), format_cs(start), _lit(" - "), format_cs(start + 12_000)),
-            _lit(SINGLE), F.concat(_lit("Summary: "), F.coalesce("summary", _lit(""))), _lit(""), _lit("Topics:"),
-        ), topics, F.array(_lit(""), _lit(DOUBLE)),
+        F.array(F.concat(_lit("CHUNK "), F.col("chunk_num").cast("string"), _lit(" ANALYSIS (Individual)")), F.concat(_lit("Time: "), format_cs(start), _lit(" - "), format_cs(start + 12_000)), _lit(SINGLE)),
+        F.transform(_one("summary"), lambda x: F.concat(_lit("Summary: "), x)), F.when(F.size(_one("summary")) > 0, F.array(_lit(""))).otherwise(F.array().cast("array<string>")),
+        _titled(_lit("Topics:"), _bullets("topics")), _titled(_lit("Reel Suggestion:"), first),
     ))
-    return chunks.withColumn("newest", newest).select("video_id", F.when(F.col("chunk_num") == F.col("newest"), 0).otherwise(1).alias("part"), "chunk_num", F.posexplode(block).alias("line_no", "line"))
+    joined = chunks.join(tops, "video_id").withColumn("block", block).withColumn("part", F.when(F.col("chunk_num") == F.col("newest"), 1).otherwise(3).cast("int"))
+    rule = F.array(_lit(DOUBLE), _lit(""))
+    joined = joined.withColumn("block", F.when(F.col("part") == 1, F.concat("block", rule)).otherwise(F.col("block")))
+    reels = F.transform(F.coalesce("reels", F.array().cast("array<struct<time_range:string,reason:string>>")), lambda r, i: F.concat(_lit("  "), (i + 1).cast("string"), _lit(". "), r["time_range"], _lit(" - "), r["reason"]))
+    tags = F.coalesce("hashtags", F.array().cast("array<string>"))
+    of_all = whole.join(tops, "video_id").select(
+        "video_id", _line(2), F.col("newest").alias("chunk_num"),
+        F.concat(
+            F.array(F.concat(_lit("CUMULATIVE ANALYSIS (Chunks 1-"), number, _lit(")")), _lit(SINGLE)), _titled(_lit("Overall Summary:"), _one("summary")), _titled(_lit("All Topics:"), _bullets("topics")),
+            _titled(F.concat(_lit("Best Reel Suggestions (Top "), F.size(reels).cast("string"), _lit("):")), reels),
+            _titled(_lit("Suggested Hashtags:"), F.when(F.size(tags) > 0, F.array(F.concat(_lit("  "), F.array_join(tags, " ")))).otherwise(F.array().cast("array<string>"))), rule,
+        ).alias("block"),
+    )
+    archive = joined.where("part = 3").select("video_id").distinct().select("video_id", _line(3), F.lit(None).cast("bigint").alias("chunk_num"), F.array(_lit("PREVIOUS CHUNKS"), _lit(SINGLE)).alias("block"))
+    result = head.select(*out)
+    for lines in (joined, of_all, archive):
+        result = result.unionByName(lines.select(*out))
+    return result
 
 
 def filter_graph(ranges: Column) -> Column:
@@ -168,11 +221,22 @@ def captions(segs: DataFrame, form: str = "srt") -> DataFrame:
 
 
 def unique_names(wanted: DataFrame, existing: DataFrame, base: str = "base", name: str = "name") -> DataFrame:
-    """base, chosen: the base name, or with the least of _2, _3, ... that doesn't exist yet. Of one name more than are taken one is free."""
-    taken = existing.select(F.regexp_extract(name, r"^(.*?)(?:_(\d{1,9}))?$", 1).alias(base), F.col(name).alias("__taken"))
-    tried = wanted.where(F.col(base).isNotNull()).select(base).distinct().join(taken, base, "left").groupBy(base).agg(F.collect_set("__taken").alias("__taken"))
-    names = F.transform(F.sequence(F.lit(1), F.size("__taken") + 1), lambda i: F.when(i == 1, F.col(base)).otherwise(F.concat(F.col(base), _lit("_"), i.cast("string"))))
-    return tried.select(base, F.get(F.filter(names, lambda x: ~F.array_contains(F.col("__taken"), x)), F.lit(0)).alias("chosen"))
+    """base, chosen: the base name if it is free, else with the least of _2, _3, ... that is.
+
+    Taken are the existing names and, with a counter, the other names wanted.
+    A taken name can be in the way of two bases only: itself, and what it is
+    without a counter at its end. Repeated wanted names get one name.
+    """
+    bases = wanted.where(F.col(base).isNotNull()).select(F.col(base).alias("__base")).distinct()
+    names = existing.where(F.col(name).isNotNull()).select(F.col(name).alias("__name"))
+    counter = r"^(.*)_([1-9][0-9]{0,8})$"
+    counted = names.unionByName(bases.select(F.col("__base").alias("__name"))).select(F.regexp_extract("__name", counter, 1).alias("__base"), F.regexp_extract("__name", counter, 2).try_cast("bigint").alias("__n"))
+    taken = names.select(F.col("__name").alias("__base"), F.lit(1).cast("bigint").alias("__n")).unionByName(counted.where("__n >= 2")).distinct()
+    # The least number from 1 that isn't taken is the first that its rank among the taken ones passes by.
+    rank = F.row_number().over(Window.partitionBy("__base").orderBy("__n"))
+    free = bases.join(taken, "__base").withColumn("__r", rank).groupBy("__base").agg(F.coalesce(F.min(F.when(F.col("__n") > F.col("__r"), F.col("__r"))), F.max("__r") + 1).alias("__free"))
+    both = bases.join(free, "__base", "left")
+    return both.select(F.col("__base").alias(base), F.when(F.col("__free") > 1, F.concat("__base", _lit("_"), F.col("__free").cast("string"))).otherwise(F.col("__base")).alias("chosen"))
 
 
 def run_directory_name(started: Column, path: Column, collides: Column | None = None) -> Column:
@@ -184,21 +248,73 @@ def run_directory_name(started: Column, path: Column, collides: Column | None =
     return F.concat(stamp, _lit("_"), sanitized_stem(path))
 
 
+def chunk_file_name(chunk: Column, kind: str = "") -> Column:
+    """``chunk_NN.txt``, or ``chunk_NN_kind.txt``: two digits or more."""
+    return F.concat(_lit("chunk_"), padded(chunk), _lit(f"_{kind}.txt" if kind else ".txt"))
+
+
 def write_files(frame: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
     """One text file a key: lines of a key meet in one task in order. A key is one report, bounded by its medium."""
     frame.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, F.col("line").alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
+def write_named(frame: DataFrame, path: str, name: str, order: list[str]) -> DataFrame:
+    """One text file of each ``name`` (which may hold folders) under a folder all executors share: name, n_lines of what was written.
+
+    The lines of a name meet in one task in order and are written as they
+    come, to a file of the task's own that is moved into place when it is
+    whole, so a task that runs twice leaves one file. Null names have none.
+    """
+    kind = frame.schema[name].dataType.simpleString()
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        own, current, out, n, done = uuid.uuid4().hex, None, None, 0, []
+
+        def close() -> None:
+            out.close()
+            system.move(f"{base}/{current}.{own}", f"{base}/{current}")
+            done.append((current, n))
+
+        for b in batches:
+            for file, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if file != current:
+                    if out:
+                        close()
+                    current, n = file, 0
+                    system.create_dir(f"{base}/{file}".rpartition("/")[0], recursive=True)
+                    out = system.open_output_stream(f"{base}/{file}.{own}")
+                out.write(((line or "") + "\n").encode())
+                n += 1
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["name", "n_lines"])
+
+    if kind != "string":
+        raise ValueError("a file's name has to be a string")
+    rows = frame.where(F.col(name).isNotNull()).repartition(name).sortWithinPartitions(name, *order).select(name, "line")
+    result = rows.mapInArrow(written, "name string, n_lines bigint")
+    # Written once, here; what comes back is a table and doesn't write again.
+    at = shared_folder(frame.sparkSession)
+    result.write.parquet(at)
+    return frame.sparkSession.read.schema(result.schema).parquet(at)
+
+
 def reel_metadata(reels: DataFrame, parts: DataFrame) -> DataFrame:
-    """Lines of a reel's metadata file: reel_id, part, line_no, line of reels (reel_id, title, narrative, path, total_s) and their parts (reel_id, part_no, time_range, reason)."""
-    head = reels.select(
-        "reel_id", _lit("0").cast("int").alias("part"),
+    """Lines of a reel's metadata file: reel_id, part, line_no, line of reels (reel_id, title, narrative, path, run, total_s) and their parts (reel_id, part_no, time_range, reason)."""
+    n = parts.groupBy("reel_id").agg(F.count("*").alias("__n"))
+    text = lambda c: F.coalesce(c, _lit(""))
+    head = reels.join(n, "reel_id", "left").select(
+        "reel_id", _line(0),
         _numbered([
-            _lit("REEL METADATA"), _lit(HEAVY), F.concat(_lit("Source: "), F.coalesce("path", _lit(""))), F.concat(_lit("Title: "), F.coalesce("title", _lit(""))),
-            F.concat(_lit("Narrative: "), F.coalesce("narrative", _lit(""))), F.concat(_lit("Total duration: "), F.col("total_s").cast("string"), _lit("s")), _lit(""), _lit("Segments:"),
+            _lit("AUTO-GENERATED REEL METADATA"), _lit(WIDE), _lit(""), F.concat(_lit("Source Video: "), text("path")), F.concat(_lit("Transcription Results: "), text("run")),
+            F.concat(_lit("Duration: "), F.col("total_s").cast("string"), _lit("s")), F.concat(_lit("Parts: "), F.coalesce("__n", _lit(0)).cast("string")), _lit(""),
+            F.concat(_lit("Title: "), text("title")), F.concat(_lit("Narrative: "), text("narrative")), _lit(""), _lit("SEGMENTS:"),
         ]).alias("line_no", "line"),
     )
-    body = parts.select("reel_id", _lit("1").cast("int").alias("part"), F.col("part_no").cast("int").alias("line_no"), F.concat(F.col("part_no").cast("string"), _lit(". ["), F.col("time_range"), _lit("] "), F.coalesce("reason", _lit(""))).alias("line"))
+    body = parts.select("reel_id", _line(1), F.col("part_no").cast("int").alias("line_no"), F.concat(F.col("part_no").cast("string"), _lit(". "), F.col("time_range"), _lit(" - "), text("reason")).alias("line"))
     return head.unionByName(body)
 
 
@@ -235,9 +351,14 @@ def run_summary(summary: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def digest_entry() -> Column:
+    """A chunk's summary as a prompt takes it."""
+    return F.concat(_lit("Chunk "), F.col("chunk").cast("string"), _lit(" ["), "time_range", _lit("]\n"), "summary", _lit("\n"))
+
+
 def chunk_digest(summaries: DataFrame, key: str) -> DataFrame:
-    """key, digest: the chunks' summaries of a report in order, as a prompt takes them."""
+    """key, digest: the chunks' summaries of a report in order, as one prompt, for reports that fit one; ``digest_entry`` makes one of each row."""
     from ..operators.chunks import ordered_text
 
-    one = F.concat(_lit("Chunk "), F.col("chunk").cast("string"), _lit(" ["), "time_range", _lit("]\n"), "summary", _lit("\n"))
+    one = digest_entry()
     return summaries.groupBy(key).agg(ordered_text(one, F.col("chunk"), F.col("time_range"), sep="\n").alias("digest"))

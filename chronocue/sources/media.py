@@ -63,15 +63,34 @@ def media_info(files: DataFrame, probe: Callable[[str], float | None] | None = N
     return rows.mapInPandas(probed, "path string, name string, duration double, size_mb double, modified_date string")
 
 
+def in_folder(files: DataFrame, folder: str) -> DataFrame:
+    """Files of one folder, not of those in it."""
+    return files.where(_folder(F.col("path")) == folder.rstrip("/"))
+
+
 def scan_folder(spark: SparkSession, folder: str, probe: Callable[[str], float | None] | None = None) -> DataFrame:
     """Media of one folder, not of those in it, in order of path."""
     return media_info(listing(spark, folder, recursive=False), probe).orderBy("path")
 
 
+def media_folders(files: DataFrame) -> DataFrame:
+    """folder, n_media of the folders that hold media, and seconds, their whole seconds, if files have a duration."""
+    f = files.where(is_media(F.col("path")) & ~is_pruned(F.col("path")))
+    more = []
+    if "duration" in files.columns:
+        more = [F.sum(F.when(F.col("duration").isNull() | F.isnan("duration"), 0).otherwise(F.floor("duration"))).cast("bigint").alias("seconds")]
+    return f.groupBy(_folder(F.col("path")).alias("folder")).agg(F.count("*").alias("n_media"), *more)
+
+
 def folders_with_media(spark: SparkSession, base: str) -> DataFrame:
     """folder, n_media of all folders under base that hold media, in order."""
-    f = listing(spark, base).where(is_media(F.col("path")) & ~is_pruned(F.col("path")))
-    return f.groupBy(_folder(F.col("path")).alias("folder")).agg(F.count("*").alias("n_media")).orderBy("folder")
+    return media_folders(listing(spark, base)).orderBy("folder")
+
+
+def named(path: Column, prefix: str = "", suffix: str = "") -> Column:
+    """Whether a file's name begins and ends so."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.startswith(name, F.lit(prefix)) & F.endswith(name, F.lit(suffix)) & (F.length(name) >= len(prefix) + len(suffix))
 
 
 def latest_run(files: DataFrame) -> DataFrame:
@@ -90,3 +109,14 @@ def media_of_runs(runs: DataFrame, files: DataFrame, endings: tuple[str, ...] =
 def rotation(degrees: Column) -> Column:
     """Degrees from 0 to 359; what isn't a whole number is 0."""
     return F.coalesce(F.abs(degrees.cast("string").try_cast("int")) % 360, F.lit(0))
+
+
+def rotation_command(path: Column) -> Column:
+    """Arguments that print a medium's rotation, one number or nothing."""
+    return F.array(*map(F.lit, ("ffprobe", "-v", "error", "-select_streams", "v:0", "-show_entries", "stream_side_data=rotation", "-of", "default=noprint_wrappers=1:nokey=1")), path)
+
+
+def probed_rotation(output: Column) -> Column:
+    """Degrees from 0 to 359 of what ``rotation_command`` printed: a number, its fraction cut; anything else is 0."""
+    read = F.when(output.rlike(r"(?U)^\s*[+-]?([0-9]{1,9}(\.[0-9]*)?|\.[0-9]+)\s*$"), F.regexp_replace(output, r"(?U)\s", "").try_cast("double"))
+    return F.coalesce(F.abs(read.cast("int")) % 360, F.lit(0))

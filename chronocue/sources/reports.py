@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEGMENT_COLUMNS = {
@@ -31,12 +31,12 @@ def segment_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').csv(path)
 
 
-def unified(*shapes: DataFrame) -> DataFrame:
-    """Segment files of several shapes as one table with all of SEGMENT_COLUMNS; what a shape lacks is null, what can't be cast too."""
+def unified(*shapes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Segment files of several shapes as one table with all of SEGMENT_COLUMNS, after ``keys`` that all shapes have; what a shape lacks is null, what can't be cast too. Names are told apart without case."""
     out = None
     for s in shapes:
         have = {c.lower(): c for c in s.columns}
-        one = s.select(*[(F.col(f"`{have[c]}`").try_cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in SEGMENT_COLUMNS.items()])
+        one = s.select(*(keys or []), *[(F.col(f"`{have[c]}`").try_cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in SEGMENT_COLUMNS.items()])
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -46,9 +46,10 @@ def run_reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPORT_SCHEMA).option("multiLine", "true").json(path)
 
 
-def evaluated_segments(reports: DataFrame, *keys: str) -> DataFrame:
+def evaluated_segments(reports: DataFrame, *keys: str | Column) -> DataFrame:
     """keys, seg_no (from 0) and the columns of the evaluated segments; reports without any give no row."""
-    return reports.select(*keys, F.posexplode("segments.evaluated").alias("seg_no", "s")).select(*keys, "seg_no", "s.*")
+    rows = reports.select(*keys, F.posexplode("segments.evaluated").alias("seg_no", "__s"))
+    return rows.select(*rows.columns[:-1], "__s.*")
 
 
 def score_distribution(reports: DataFrame, *keys: str) -> DataFrame:

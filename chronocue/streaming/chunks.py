@@ -2,8 +2,9 @@
 
 Chunk counts are a keyed running aggregate. Files that show the newest state
 (the cumulative transcript, the progressive summary) are rewritten from the
-stored rows by ``foreachBatch``: a batch that runs again overwrites what it
-wrote, so results are the same after a restart.
+stored rows by ``foreachBatch``, those of the videos that a batch touches: a
+batch that runs again overwrites what it wrote, so results are the same after
+a restart.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.timecode import chunk_of, to_cs
 from ..operators.chunks import chunk_texts, whole_text
@@ -44,12 +46,28 @@ def sessions(stream: DataFrame, at: str, key: str, pause: str, late: str) -> Dat
     return stream.withWatermark(at, late).groupBy(key, F.session_window(at, pause).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("from"), F.col("w.end").alias("to"), "n")
 
 
-def rewriting(stream: DataFrame, store: str, checkpoint: str, render: Callable[[DataFrame], DataFrame], out: str) -> StreamingQuery:
-    """Keep a stream's rows in ``store``, one folder a batch, and write ``render`` of all of them to ``out`` after each batch. Runs until what is there is read."""
+def rewriting(stream: DataFrame, store: str, checkpoint: str, render: Callable[[DataFrame], DataFrame], out: str, key: str = "video_id", buckets: int = 64) -> StreamingQuery:
+    """Keep a stream's rows in ``store`` and write ``render`` of all of them to ``out`` after each batch. Runs until what is there is read.
+
+    Rows are stored by a hash of ``key``; a batch reads again and rewrites the
+    buckets it touches only, so render has to work key by key. Both folders
+    are partitioned by bucket, the store by batch too: a batch that runs again
+    overwrites what it wrote, so results are the same after a restart.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        render(rows.sparkSession.read.option("recursiveFileLookup", "true").schema(rows.schema).parquet(store)).write.mode("overwrite").parquet(out)
+        spark, own = rows.sparkSession, rows.schema.fields
+        stored = StructType([*own, StructField("batch", LongType()), StructField("__bucket", IntegerType())])
+        rows.withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{store}/batch={number}")
+        # At most ``buckets`` numbers come to the driver.
+        touched = sorted(r[0] for r in spark.read.schema(StructType([*own, stored["__bucket"]])).parquet(f"{store}/batch={number}").select("__bucket").distinct().collect())
+        if not touched:
+            return
+        kept = spark.read.schema(stored).parquet(store).where(F.col("batch") <= number)
+        for_these = render(kept.where(F.col("__bucket").isin(touched)).drop("batch", "__bucket"))
+        # A bucket whose rows render to nothing keeps what it has; keys don't go.
+        for_these.withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(out)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

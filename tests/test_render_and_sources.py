@@ -26,16 +26,27 @@ def test_metadata_and_summaries(spark):
     t = text_of(render.chunk_metadata(m), "line_no")
     assert "Duration: 120.0 seconds (2.0 minutes)" in t and "Processing time: 198.3 seconds (3.3 minutes)" in t and "Language: N/A" in t
     v = spark.createDataFrame([(1, "a.mp4", None, "he", None)], "video_id bigint, path string, model string, language string, duration_cs bigint")
-    texts = spark.createDataFrame([(1, "all")], "video_id bigint, text string")
+    texts = spark.createDataFrame([(1, 1, "all"), (1, 2, None)], "video_id bigint, chunk_num bigint, text string")
     s = spark.createDataFrame([(1, 0, 0, 100, "x")], SEG)
     timings = spark.createDataFrame([(1, 1, 1766), (1, 2, 1921)], "video_id bigint, chunk_num bigint, tenths bigint")
     t = text_of(render.final_summary(v, texts, s, timings), "part", "line_no")
     assert "Video Length: N/A" in t and "Total processing time: 368.7 seconds" in t and t.endswith("Chunk 2 processing time: 192.1 seconds")
-    p = spark.createDataFrame([(1, 1, "old", ["a"]), (1, 2, "new", None)], "video_id bigint, chunk_num bigint, summary string, topics array<string>")
-    t = text_of(render.progressive_summary(p), "part", F.desc("chunk_num"), "line_no")
-    assert t.index("Summary: new") < t.index("Summary: old") and "  • a" in t
-    u = render.cumulative_report(spark.createDataFrame([(1, 2, "so far")], "video_id bigint, chunk_num bigint, so_far string"), F.lit(datetime.datetime(2025, 1, 2, 3, 4, 5)))
-    assert text_of(u, "line_no").splitlines()[2:4] == ["Last updated: Chunk 2", "Updated at: 2025-01-02 03:04:05"]
+    assert "Full transcript:\n" + "-" * 40 + "\nall\n\n\n\n\n\nSegments with timestamps:" in t
+    reels = "array<struct<time_range:string,reason:string>>"
+    p = spark.createDataFrame([(1, 1, "old", ["a"], None, 3), (1, 2, "new", None, [("0:01-0:02", "x"), ("0:03-0:04", "y")], 3)], f"video_id bigint, chunk_num bigint, summary string, topics array<string>, reels {reels}, total_chunks bigint")
+    whole = spark.createDataFrame([(1, "both", ["a", "b"], [("0:01-0:02", "x")], ["#a", "#b"])], f"video_id bigint, summary string, topics array<string>, reels {reels}, hashtags array<string>")
+    at = F.lit(datetime.datetime(2025, 1, 2, 3, 4, 5))
+    t = text_of(render.progressive_summary(p, whole, at, "m"), "part", F.desc_nulls_first("chunk_num"), "line_no").splitlines()
+    assert t[:4] == ["AI CONTENT ANALYSIS (Real-Time)", "Updated after: Chunk 2 of 3", "Last update: 2025-01-02 03:04:05", "Generated with: m"]
+    new = t.index("CHUNK 2 ANALYSIS (Individual)")
+    assert t[new + 1 : new + 9] == ["Time: 2:00.00 - 4:00.00", "─" * 70, "Summary: new", "", "Reel Suggestion:", "  0:01-0:02 - x", "", "═" * 70]
+    all_ = t.index("CUMULATIVE ANALYSIS (Chunks 1-2)")
+    assert new < all_ and t[all_ + 2 : all_ + 13] == ["Overall Summary:", "both", "", "All Topics:", "  • a", "  • b", "", "Best Reel Suggestions (Top 1):", "  1. 0:01-0:02 - x", "", "Suggested Hashtags:"]
+    old = t.index("PREVIOUS CHUNKS")
+    assert all_ < old and t[old + 2 : old + 9] == ["CHUNK 1 ANALYSIS (Individual)", "Time: 0:00.00 - 2:00.00", "─" * 70, "Summary: old", "", "Topics:", "  • a"]
+    assert "PREVIOUS CHUNKS" not in text_of(render.progressive_summary(p.where("chunk_num = 2"), whole, at), "part", "line_no")
+    u = render.cumulative_report(texts, at)
+    assert text_of(u, "part", "line_no").splitlines()[2:] == ["Last updated: Chunk 2", "Updated at: 2025-01-02 03:04:05", "", "Full transcript so far:", "-" * 40, "all", "", "", ""][:-1]
 
 
 def test_plans_and_names(spark):
@@ -45,6 +56,10 @@ def test_plans_and_names(spark):
     w = spark.createDataFrame([("reel",), ("new",), (None,)], "base string")
     e = spark.createDataFrame([("reel",), ("reel_2",), ("reel_4",), ("other",)], "name string")
     assert rows(render.unique_names(w, e)) == [("new", "new"), ("reel", "reel_3")]
+    w = spark.createDataFrame([("chan_1",), ("a",), ("a_2",), ("b_02",), ("a",)], "base string")
+    e = spark.createDataFrame([("chan_1",), ("a",), ("a_3",), ("b_02",), ("b_02_2",), (None,), ("a",)], "name string")
+    assert rows(render.unique_names(w, e)) == [("a", "a_4"), ("a_2", "a_2"), ("b_02", "b_02_3"), ("chan_1", "chan_1_2")]
+    assert rows(render.unique_names(w, e.limit(0))) == [(x, x) for x in ("a", "a_2", "b_02", "chan_1")] and render.unique_names(w.limit(0), e).count() == 0
     d = spark.createDataFrame([(datetime.datetime(2025, 11, 17, 22, 14, 15, 123456), "v/a b.c.mp4", True)], "t timestamp, p string, x boolean")
     assert d.select(render.run_directory_name(F.col("t"), F.col("p"), F.col("x")).alias("n")).first().n == "2025-11-17_221415_123456_a_b-c"
     s = spark.createDataFrame([(1, "0:10 - 0:20", "why", "a.mp4")], "item int, time_range string, reason string, path string").withColumn("k", F.lit(1))
@@ -136,13 +151,38 @@ def test_reports_of_scores_and_reels(spark):
     assert "TOP SEGMENTS" not in text_of(render.analysis_report(h, t.limit(0), ["k"]), "part", "line_no")
     s = spark.createDataFrame([(1, 6, 3, 500, 490, 400, 560)], "k int, total bigint, high bigint, success_permille bigint, avg_milli bigint, min_milli bigint, max_milli bigint")
     assert text_of(render.run_summary(s, ["k"]), "line_no").splitlines()[3:] == ["Success Rate: 50.0%", "Average Score: 0.49", "Score Range: 0.40 - 0.56"]
-    r = spark.createDataFrame([(1, "T", None, "a.mp4", 55)], "reel_id int, title string, narrative string, path string, total_s int")
+    r = spark.createDataFrame([(1, "T", None, "a.mp4", "r", 55)], "reel_id int, title string, narrative string, path string, run string, total_s int")
     p = spark.createDataFrame([(1, 1, "0:10 - 0:20", "why")], "reel_id int, part_no int, time_range string, reason string")
-    assert text_of(render.reel_metadata(r, p), "part", "line_no").endswith("Segments:\n1. [0:10 - 0:20] why")
+    assert text_of(render.reel_metadata(r, p), "part", "line_no").endswith("Title: T\nNarrative: \n\nSEGMENTS:\n1. 0:10 - 0:20 - why")
     d = spark.createDataFrame([(1, 2, "b", "two"), (1, 1, "a", "one")], "k int, chunk int, time_range string, summary string")
     assert render.chunk_digest(d, "k").first().digest == "Chunk 1 [a]\none\n\nChunk 2 [b]\ntwo\n"
 
 
+def test_named_files(spark, tmp_path):
+    c = chunks.assigned(spark.createDataFrame([(v, i, i * 900, i * 900 + 50, f"t{i}") for v in (1, 2) for i in range(50)], SEG)).repartition(8)
+    lines = render.chunk_files(c).withColumn("name", F.concat(F.col("video_id").cast("string"), F.lit("/"), render.chunk_file_name(F.col("chunk_num"))))
+    for _ in range(2):  # again: the same files
+        got = dict(rows(render.write_named(lines, str(tmp_path / "out"), "name", ["part", "line_no"])))
+    assert sorted(os.listdir(tmp_path / "out/2")) == ["chunk_01.txt", "chunk_02.txt", "chunk_03.txt", "chunk_04.txt"] and len(got) == 8
+    text = (tmp_path / "out/2/chunk_02.txt").read_text().splitlines()
+    assert text[0] == "CHUNK 2 TRANSCRIPT" and text[7].endswith("t14") and len(text) == got["2/chunk_02.txt"]
+    assert render.write_named(lines.limit(0), str(tmp_path / "none"), "name", ["part"]).count() == 0
+    n = spark.createDataFrame([(1,), (10,), (100,), (None,)], "n int").select(render.chunk_file_name(F.col("n"), "metadata").alias("x"))
+    assert [r.x for r in n.collect()] == ["chunk_01_metadata.txt", "chunk_10_metadata.txt", "chunk_100_metadata.txt", None]
+
+
+def test_probes_and_lists(spark):
+    out = ["-90", "450.7\n", " 0 ", "", "N/A", None, "1e3", "90 90", "9999999999"]
+    d = spark.createDataFrame([(x,) for x in out], "o string")
+    assert [r.r for r in d.select(media.probed_rotation(F.col("o")).alias("r")).collect()] == [90, 90, 0, 0, 0, 0, 0, 0, 0]
+    lists = ['{"models": [{"name": "m:8b"}, {"size": 1}]}', '{"models": []}', "[]", "no", None]
+    d = spark.createDataFrame([(x,) for x in lists], "o string").select(adapters.served_names(F.col("o")).alias("n"))
+    assert [(r.n, r.s) for r in d.select("n", adapters.model_served(F.col("n"), "m:1b").alias("s")).collect()] == [(["m:8b"], True)] + [([], False)] * 4
+    assert adapters.model_list("http://127.0.0.1:9/none", 0.2) is None
+    p = spark.createDataFrame([("a/IMG_1.MOV",), ("IMG_.MOV",), ("x/IMG.MOV",), (None,)], "p string")
+    assert [r.x for r in p.select(media.named(F.col("p"), "IMG_", ".MOV").alias("x")).collect()] == [True, True, False, None]
+
+
 def test_recogniser_chunks(spark):
     d = spark.createDataFrame([(1, 120.0, [([0.5, 2.0], "a"), ([3.0, None], "b"), (None, "c")])], "v int, s double, c array<struct<timestamp:array<double>,text:string>>")
     assert rows(adapters.normalised_chunks(d, ["v"], "c", "s")) == [(1, 0, 120.5, 122.0, "a"), (1, 1, 120.0, 150.0, "b"), (1, 2, 120.0, 150.0, "c")]

@@ -199,3 +199,50 @@ def test_null_keys_and_ids_are_kept(spark):
     assert rows(chunks.segments(spark.createDataFrame(raw, RAW))) == [(1, 0, 300, 400, "b"), (1, 1, 500, 600, "c")]
     e = spark.createDataFrame([(None, 0, 1), (None, 1, 2), (1, None, 3), (1, 5, 4)], "g int, i int, v int")
     assert rows(sweep.with_previous(e, ["g"], ["i"], ["v"], 10).select("g", "i", "v", "prev_v")) == [(1, 5, 4, 3), (1, None, 3, None), (None, 0, 1, None), (None, 1, 2, 1)]
+
+
+def test_clusters_of_ranges_without_a_key(spark):
+    df = spark.createDataFrame([(None, 0, 10), (1, 0, 10), (None, 5000, 5001), (None, 100_000, 100_001)], "k int, start_cs bigint, end_cs bigint")
+    assert rows(selection.clustered(df, ["k"], within_cs=100)) == sorted([(1, 0, 10, 1), (None, 0, 10, 1), (None, 5000, 5001, 2), (None, 100_000, 100_001, 3)], key=repr)
+
+
+def test_spread_is_as_a_sequence(spark):
+    from chronocue.operators.sweep import spread
+
+    df = spark.createDataFrame([(1, -3, 25), (2, 5, 5), (3, 6, 5), (4, None, 5)], "i int, a bigint, b bigint")
+    for at_once in (1, 7, 1000):
+        assert rows(spread(df, "n", F.col("a"), F.col("b"), at_once).select("i", "n")) == sorted([(1, n) for n in range(-3, 26)] + [(2, 5)], key=repr)
+    far = spark.createDataFrame([(1, 0, 30_000_000)], "i int, a bigint, b bigint")
+    assert spread(far, "n", F.col("a"), F.col("b")).agg(F.sum("n")).first()[0] == 30_000_000 * 30_000_001 // 2
+
+
+def test_cut_plans(spark):
+    nan = float("nan")
+    p = [(1, 1, 1, 0.0, 5.5), (1, 1, 2, 7.0, 9.0), (1, 2, 1, 9.0, 11.0), (1, 2, 2, None, None), (2, 3, 1, 0.0, 1.0), (3, 4, 1, 0.0, 1.0), (None, 5, 1, 0.0, 1.0), (1, 6, 1, -1.0, 2.0)]
+    parts = spark.createDataFrame(p, "v int, r int, part_no int, start double, end double")
+    m = spark.createDataFrame([(1, 10.0), (2, None), (3, nan), (None, 99.0)], "v int, duration double")
+    got = {(r.v, r.r, r.part_no): (r.at_s, r.total_s, r.ok, r.all_ok) for r in selection.cut_plan(parts, m, ["v", "r"], "v").collect()}
+    assert got == {
+        (1, 1, 1): (0.0, 7.5, True, True), (1, 1, 2): (5.5, 7.5, True, True), (1, 2, 1): (0.0, 2.0, False, False), (1, 2, 2): (2.0, 2.0, False, False), (2, 3, 1): (0.0, 1.0, False, False),
+        (3, 4, 1): (0.0, 1.0, False, False), (None, 5, 1): (0.0, 1.0, False, False), (1, 6, 1): (0.0, 3.0, False, False),
+    }
+
+
+def test_selections_without_parts(spark):
+    s = spark.createDataFrame([(1, []), (2, None), (3, [("0:00-0:50",)]), (None, [("0:00-0:50",)]), (4, [("x",), ("0:00-0:50",)])], "k int, parts array<struct<time_range:string>>")
+    assert rows(selection.validated(s, ["k"]).select("k", "n_parts", "total_s", "valid", "in_range", "reason")) == sorted(
+        [(1, 0, 0, False, False, "no parts"), (2, 0, 0, False, False, "no parts"), (3, 1, 50, True, True, None), (None, 1, 50, True, True, None), (4, 2, 0, False, False, "unreadable part")], key=repr)
+
+
+def test_labels_at_their_place(spark):
+    r = spark.createDataFrame([(1, 1), (1, 2), (None, 3)], "v int, i int")
+    l = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (1, 9, "c"), (1, 2, None)], "v int, i int, label string")
+    assert rows(speakers.labelled(r, l, ["v", "i"])) == sorted([(1, 1, "a"), (1, 2, "unknown"), (None, 3, "unknown")], key=repr)
+
+
+def test_means_and_fallbacks(spark):
+    nan = float("nan")
+    d = spark.createDataFrame([(1, 1.5, 0.5), (1, None, nan), (1, 2.5, 0.25), (2, None, None)], "k int, duration double, confidence double")
+    assert rows(scoring.means(d, ["k"])) == [(1, 3, 200, 375), (2, 1, None, None)]
+    f = spark.createDataFrame([(0.1, "x"), (None, "Evaluation skipped for speed"), (nan, None), (None, "Batch parsing failed")], "s double, r string")
+    assert [r.f for r in f.select(scoring.with_fallback(F.col("s"), F.col("r")).alias("f")).collect()] == [0.1, 0.75, 0.5, 0.5]

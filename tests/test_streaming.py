@@ -41,9 +41,23 @@ def test_chunk_counts_stream_is_as_batch(spark, tmp_path):
 def test_rewritten_transcript_is_the_batch_one(spark, tmp_path):
     seg = "video_id bigint, seg_index int, start_cs bigint, end_cs bigint, text string"
     df = spark.createDataFrame([(v, i, i * 900, i * 900 + 10, f"t{i} ") for v in (1, 2) for i in range(40)], seg)
-    render = lambda d: sc.newest_text(chunks.assigned(d))
-    q = sc.rewriting(sc.stream_of(spark, files(spark, tmp_path, df, 3), df), str(tmp_path / "store"), str(tmp_path / "cp"), render, str(tmp_path / "out"))
-    q.awaitTermination()
+    seen = []
+
+    def render(d):
+        seen.append({r[0] for r in d.select("video_id").distinct().collect()})
+        return sc.newest_text(chunks.assigned(d))
+
+    folder = files(spark, tmp_path, df, 3)
+    run = lambda: sc.rewriting(sc.stream_of(spark, folder, df), str(tmp_path / "store"), str(tmp_path / "cp"), render, str(tmp_path / "out")).awaitTermination()
+    run()
+    batches = len(seen)
+    run()  # nothing new: nothing is rendered
+    assert len(seen) == batches
+    more = spark.createDataFrame([(2, 40, 36_000, 36_010, "late")], seg)
+    more.coalesce(1).write.mode("append").parquet(folder)
+    run()
+    assert seen[-1] == {2}
+    df = df.unionByName(more)
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("video_id", "so_far")) == rows(chunks.whole_text(chunks.chunk_texts(chunks.assigned(df))))
 
 
