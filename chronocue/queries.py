@@ -1353,9 +1353,11 @@ def stream_transcripts(spark: SparkSession, d: str) -> DataFrame:
     """Whole transcripts as parts, rewritten for the videos that each batch of a stream of deliveries touches; the stream is started a second time and goes on where it was."""
     folder, stream = shared_folder(spark), table_stream(spark, d, "results_simplified").where("video_id is not null")
     render_ = lambda rows: chunks.transcript(chunks.chunk_texts(chunks.assigned(chunks.segments(rows))))
+    out = "video_id bigint, part_no bigint, chunk_num bigint, part string, __bucket int"
+    spark.createDataFrame([], out).write.partitionBy("__bucket").parquet(f"{folder}/out")  # so there is a table if the stream is empty
     for _ in range(2):
         chunk_streams.rewriting(stream, f"{folder}/store", f"{folder}/state", render_, f"{folder}/out").awaitTermination()
-    return spark.read.schema("video_id bigint, part_no bigint, chunk_num bigint, part string, __bucket int").parquet(f"{folder}/out").drop("__bucket")
+    return spark.read.schema(out).parquet(f"{folder}/out").drop("__bucket")
 
 
 @query("select video_id, chunk_num, seg_index, text from results_simplified where video_id is not null and chunk_num is not null")
