@@ -189,27 +189,44 @@ class LanguageModel:
         return sorted(((code, x[1] / x[0], x[0]) for code, x in by.items()), key=lambda x: (-x[2], x[0]))
 
 
-def labelled_sample(documents: DataFrame, per_language: int = 300, text: str = "text", label: str = "lang", key: str = "doc_id", most_words: int = 4000) -> list[tuple[str, str]]:
-    """(language, text) of at most per_language labelled documents of each language, picked by a hash of the id.
+def labelled_sample(documents: DataFrame, per_language: int = 300, text: str = "text", label: str = "lang", key: str = "doc_id", most_words: int = 4000, spare: int = 4) -> list[tuple[str, str]]:
+    """(language, text) of at most per_language labelled documents of each language, those of the least hash of their id.
 
     The bound of the sample on which the classifier is fitted; documents of
-    over most_words words are passed over, which bounds its bytes too.
+    over most_words words and those under 40 characters are passed over, which
+    bounds its bytes too. Labels are counted first, which reads no texts; the
+    counts say under which hash a language has ``spare`` times as many
+    documents as are wanted, and one scan picks those. Where more than three
+    of four of a language are passed over, its sample is the smaller for it.
     """
     code = F.lit(None).cast("string")
     name = F.lower(F.regexp_extract(F.col(label), r"^[^\p{L}]*(\p{L}+)", 1))
     for c, names in LANGUAGE_NAMES.items():
         code = F.when(name.isin(names.split()), F.lit(c)).otherwise(code)
-    rows = documents.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(text) <= 8 * most_words)).select(key, code.alias("__code"), F.col(text).alias("__text")).where("__code is not null and length(__text) > 40")
-    order = Window.partitionBy("__code").orderBy(F.xxhash64(key), key)
-    # The window keeps the first rows of a language in each task before the shuffle, ids only.
-    chosen = rows.select(key, "__code").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(key)
-    return sorted((r["__code"], r["__text"]) for r in rows.join(F.broadcast(chosen), key).select("__code", "__text").collect())
-
-
-def fit(sample: list[tuple[str, str]], clusters: int = 6, rounds: int = 5, features: int = 30_000, margin: float = 0.03, seed: int = 7) -> LanguageModel:
+    # At most a row a language comes to the driver.
+    counts = {r["c"]: r["n"] for r in documents.select(code.alias("c")).where("c is not null").groupBy("c").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
+    hashed = F.xxhash64(key)
+    chosen = F.lit(False)
+    for c, n in sorted(counts.items()):
+        share = min(1.0, per_language * spare / n)
+        # Hashes are even over all whole numbers of 64 bits.
+        least = F.lit(True) if share == 1.0 else hashed < F.lit(int(-(2**63) + share * 2**64))
+        chosen = chosen | ((code == c) & least)
+    picked = documents.where(chosen & F.col(label).isNotNull()).where((F.length(text) <= 8 * most_words) & (F.length(text) > 40))
+    rows = picked.select(code.alias("__code"), F.col(text).alias("__text"), hashed.alias("__hash"), F.col(key).alias("__key"))
+    # In each task the rank keeps the wanted number of a language, so no more than that is shuffled.
+    order = Window.partitionBy("__code").orderBy("__hash", "__key")
+    best = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    return sorted((r["__code"], r["__text"]) for r in best.select("__code", "__text").collect())
+
+
+def fit(sample: list[tuple[str, str]], clusters: int = 6, rounds: int = 5, features: int = 30_000, margin: float = 0.03, seed: int = 7, unit_words: tuple[int, int] = (4, 60)) -> LanguageModel:
     """Fit centroids on labelled texts, some of whose labels are wrong.
 
-    Each text is cut into sentences. After each round sentences that don't lie
+    Each text is cut into sentences; those of unit_words words are what is
+    fitted on, as shorter ones say little and longer ones aren't sentences. After each round sentences that don't lie
     nearer to a centroid of their label than to any other, by ``margin`` of
     cosine, are left out of the next, so wrong labels and foreign sentences
     lose their say.
@@ -218,7 +235,7 @@ def fit(sample: list[tuple[str, str]], clusters: int = 6, rounds: int = 5, featu
     for code, text in sample:
         for s in re.split(r"[.?!؟…\n]+", re.sub(r"https?://\S+|www\.\S+|#\w+|\S+\.\S+/\S*", " ", form(text))):
             words = [w for w in words_of(s) if not re.fullmatch(r"[\d\W_]+", w)]
-            if 4 <= len(words) <= 60:
+            if unit_words[0] <= len(words) <= unit_words[1]:
                 units.append(words)
                 label.append(code)
     if not units:

@@ -88,3 +88,14 @@ def test_the_sample_is_bounded(spark):
     assert len(s) == 60 and {c for c, _ in s} == {"en", "he"} and s == labelled_sample(df.repartition(5), 30)
     with pytest.raises(ValueError):
         fit([])
+
+
+def test_the_sample_is_the_same_however_rows_lie(spark):
+    r = random.Random(3)
+    data = [(i, r.choice(["", None, f"text {i} " * 12, f"other {i} " * 12, "long " * 9000]), r.choice(["en", "EN-us", "Hebrew", "he", "xx", None, ""]), "clash") for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, __key string")
+    a = labelled_sample(df.repartition(7), per_language=20)
+    assert a == labelled_sample(df.coalesce(1), per_language=20)
+    assert {c: sum(x[0] == c for x in a) for c in ("en", "he")} == {"en": 20, "he": 20} and all(40 < len(t) <= 32_000 for _, t in a)
+    assert set(labelled_sample(df, per_language=20)) <= set(labelled_sample(df, per_language=5000))
+    assert labelled_sample(df.limit(0)) == [] and labelled_sample(df.where("lang = 'xx'")) == []
