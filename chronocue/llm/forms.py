@@ -105,9 +105,6 @@ def _folded(m: re.Match) -> str:
     return _FOLDS[ord(m[0])]
 
 
-_BREAKS = str.maketrans("\t\n\r", "   ")
-
-
 @lru_cache(maxsize=1 << 16)
 def _resolve(run: str, context: str) -> str:
     """The spelling of a decomposed run of Latin, Greek and Cyrillic letters in one script, where there is one."""
@@ -141,7 +138,7 @@ def form(text: str | None) -> str | None:
     if text is None:
         return None
     if _PLAIN.fullmatch(text):
-        return text.translate(_BREAKS).strip(" ")
+        return text.replace("\t", " ").replace("\n", " ").replace("\r", " ").strip(" ")
     folded = _FOLDABLE.sub(_folded, text)
     if _OTHERS.search(folded):
         folded = unicodedata.normalize("NFD", folded)
