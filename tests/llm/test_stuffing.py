@@ -49,6 +49,19 @@ def test_not_stuffed(page):
     assert stuffed_share(measures(page)) <= 0.5
 
 
+@pytest.mark.parametrize(
+    "page, found_by",
+    [
+        (" / ".join(f"{n.upper()}-12 XL ${i}" for i, n in enumerate(NAMES[:60])), "redundant"), ("; ".join(f"{n}-{i} black {i}₪" for i, n in enumerate(NAMES[:60])), "redundant"), (LINKS, "redundant"),
+        (" ".join(f"#{n}" for n in NAMES[:80]), "redundant"), (prose(3, 8) + " " + ". ".join(f"our {r.choice(KEYS)} is {r.choice(KEYS)} for {r.choice(KEYS)}" for _ in range(60)), "redundant"),
+        (" / ".join(f"{n.upper()}-12 XL ${i}" for i, n in enumerate(NAMES[:2])), "entries"), (" ".join(f"#{n}" for n in NAMES[:6]), "hashtags"), ("\n".join(LINKS.split("\n")[:5]), "links"),
+    ],
+)
+def test_long_lists_are_found_by_compression_and_short_ones_by_shape(page, found_by):
+    m = measures(page)
+    assert m[found_by] > 0.5 * m["words"] and m["redundant"] + m["links"] + m["hashtags"] + m["entries"] <= m["words"]
+
+
 def test_tables(spark):
     data = [(1, keys(120, " "), 1.0), (2, prose(9, 7), 1.0), (3, None, 1.0), (4, "", 1.0), (None, LINKS, 1.0), (1, keys(120, " "), 1.0), (9007199254740993, keys(30_000, " "), 1.0)]
     df = spark.createDataFrame(data, "doc_id bigint, text string, share double")
