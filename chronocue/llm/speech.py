@@ -118,18 +118,26 @@ def head_seconds(text: str | None) -> float | None:
     return (a * 60 + b if c is None else a * 3600 + b * 60 + int(c)) + part
 
 
+_SAID: dict[str, bool] = {}
+
+
+def _said(w: str) -> bool:
+    """Whether a word isn't a hesitation sound."""
+    low = w.casefold()
+    known = not (low[0] in _SOUNDS and low[-1] in _SOUNDS and _HESITATION.fullmatch(low))
+    if len(w) <= 40:
+        if len(_SAID) > 200_000:
+            _SAID.clear()
+        _SAID[w] = known
+    return known
+
+
 def words_of(s: str) -> list[str]:
     """Words with a letter or digit that aren't hesitation sounds."""
-    out = []
-    for m in _WORD.finditer(s):
-        w = m[0]
-        low = w.casefold()
-        if low[0] in _SOUNDS and low[-1] in _SOUNDS and _HESITATION.fullmatch(low):
-            continue
-        if low == "este" and s[m.end() : m.end() + 3] == "...":
-            continue
-        out.append(w)
-    return out
+    get = _SAID.get
+    if "..." in s and "este..." in s.casefold():  # the Spanish word is a sound where it trails off
+        return [m[0] for m in _WORD.finditer(s) if _said(m[0]) and not (m[0].casefold() == "este" and s[m.end() : m.end() + 3] == "...")]
+    return [w for w in _WORD.findall(s) if (k := get(w)) or (k is None and _said(w))]
 
 
 def pieces(text: str | None, labels: Labels | None) -> list[tuple[str | None, list[str]]]:
