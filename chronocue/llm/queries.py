@@ -64,6 +64,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p7_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the test items of which they hold two fifths or more in passages of at least six words, in any order."""
+    found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), least=6, least_cover=0.4)
+    return found.select("doc_id", "item_id", "tiles", "longest", F.floor(F.col("coverage") * 1000).alias("covered_permille"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Keyword-stuffed pages and link lists."""
     return stuffed_pages(table(spark, d, "documents")).select("doc_id")
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p7_covered": p7_covered,
     "p8_found": p8_found,
 }
 

@@ -89,6 +89,14 @@ def test_hashes_that_collide(monkeypatch):
     assert flat.tiled(w, at, np.zeros(len(at), np.int64)) == whole.tiled(w, *whole.hits(w))
 
 
+def test_reordered_passages_are_found_by_coverage(spark):
+    w = ITEM.split()
+    moved = " ".join([*w[12:18], "and", *w[:6], "or", *w[6:12]])
+    d, i = spark.createDataFrame([(1, moved, "x"), (2, " ".join(w[:7]), "x"), (3, ITEM, "x")], DOC), spark.createDataFrame([(5, ITEM, "y")], IT)
+    assert rows(leaks(d, i, least=6, least_cover=0.4).select("doc_id", "tiles", "longest", "coverage")) == [(1, 3, 6, 1.0), (3, 1, 18, 1.0)]
+    assert rows(leaks(d, i).select("doc_id")) == [(3,)]
+
+
 def test_tables(spark):
     docs = [(1, "a " + ITEM, "x"), (2, ITEM[:20], "x"), (3, None, "x"), (4, "", "x"), (None, ITEM, "x"), (1, "a " + ITEM, "x"), (9007199254740993, ITEM + " filler" * 100_000, "x")]
     items = [(5, ITEM, "y"), (6, None, "y"), (7, "too short", "y"), (8, ITEM, "y")]

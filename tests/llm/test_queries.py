@@ -12,7 +12,7 @@ COLUMNS = {
     "p1_found": "row_id bigint, lang string", "p2_found": "row_id bigint, line_id bigint", "p4_found": "video_id bigint, speaker_key string, first_seg bigint, last_seg bigint",
     "p4_turns": "video_id bigint, speaker_key string, turn_seg bigint, part_no bigint, first_seg bigint, last_seg bigint, n_words bigint, said string",
     "p5_found": "audio_path string, rank_no bigint, report_id bigint, seg_no bigint",
-    "p6_ids": "doc_id bigint, ids array<int>", "p7_found": "doc_id bigint, item_id bigint", "p8_found": "doc_id bigint",
+    "p6_ids": "doc_id bigint, ids array<int>", "p7_found": "doc_id bigint, item_id bigint", "p7_covered": "doc_id bigint, item_id bigint, tiles int, longest int, covered_permille bigint", "p8_found": "doc_id bigint",
 }
 
 
