@@ -94,19 +94,28 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _merge_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Merge rows that come (entity, slab) by (entity, slab); one map is kept at a time."""
+    """Merge rows that come (entity, slab) by (entity, slab), one keyed map at a time: its periods with the end of the one before each, so its gaps, and whether it is the last."""
     key, m = None, IntervalMap()
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["entity", "slab", "a", "b", "ended", "last"])
+        return out.astype({"ended": "Int64"})
+
+    def rows_of() -> list[tuple]:
+        n = len(m)
+        return [(*key, a, b, m.ends[i - 1] if i else None, i == n - 1) for i, (a, b) in enumerate(m.periods())]
+
     for p in batches:
         out = []
         for e, s, a, b in zip(p["entity"].tolist(), p["slab"].tolist(), p["a"].tolist(), p["b"].tolist()):
             if (e, s) != key:
-                out += [(*key, x, y) for x, y in m.periods()] if key is not None else []
+                out += rows_of() if key is not None else []
                 key, m = (e, s), IntervalMap()
             m.insert(a, b)
         if out:
-            yield pd.DataFrame(out, columns=["entity", "slab", "a", "b"])
+            yield table(out)
     if key is not None:
-        yield pd.DataFrame([(*key, x, y) for x, y in m.periods()], columns=["entity", "slab", "a", "b"])
+        yield table(rows_of())
 
 
 def merged(rows: DataFrame, entity: str, start: str, end: str, slab: int = SLAB) -> DataFrame:
@@ -121,17 +130,15 @@ def merged(rows: DataFrame, entity: str, start: str, end: str, slab: int = SLAB)
     schema = f"entity {kind}, slab bigint, a bigint, b bigint"
     islands = (
         clean(rows, entity, start, end, slab).mapInPandas(_combine, schema)
-        .repartition("entity", "slab").sortWithinPartitions("entity", "slab", "a").mapInPandas(_merge_sorted, schema)
+        .repartition("entity", "slab").sortWithinPartitions("entity", "slab", "a").mapInPandas(_merge_sorted, schema + ", ended bigint, last boolean")
     )
-    in_slab = Window.partitionBy("entity", "slab").orderBy("a")
     slabs = Window.partitionBy("entity").orderBy("slab")
     reach = islands.groupBy("entity", "slab").agg(F.max("b").alias("most"))
     reach = reach.select("entity", "slab", F.max("most").over(slabs.rowsBetween(Window.unboundedPreceding, -1)).alias("carry"), F.max("most").over(Window.partitionBy("entity")).alias("all_most"))
     marked = (
         islands.join(reach, ["entity", "slab"])
         .withColumn("opens", F.col("carry").isNull() | (F.col("a") > F.col("carry")))
-        .withColumn("before", F.greatest("carry", F.lag("b").over(in_slab)))
-        .withColumn("last", F.lead("a").over(in_slab).isNull())
+        .withColumn("before", F.greatest("carry", "ended"))
     )
     opening = marked.where("opens")
     # The last period that opens in a slab ends where the next slab with an opening says.
