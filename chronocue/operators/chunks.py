@@ -110,6 +110,19 @@ def transcript(texts: DataFrame, sep: str = "\n\n") -> DataFrame:
     return texts.join(numbers, ["video_id", "chunk_num"]).select("video_id", "part_no", "chunk_num", F.concat(F.coalesce("text", F.lit("")), F.lit(sep)).alias("part"))
 
 
+def so_far(texts: DataFrame, most: int = 3000, sep: str = "\n\n") -> DataFrame:
+    """video_id, chunk_num, so_far, total_length: of the video's text up to and with each chunk the first ``most`` characters, and how long it is. Of a video no more than ``most`` characters are ever collected."""
+    w = Window.partitionBy("video_id").orderBy("chunk_num").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.concat(F.coalesce("text", F.lit("")), F.lit(sep))
+    # Texts don't go through the ordered window: lengths and heads do.
+    parts = texts.select("video_id", "chunk_num", F.length(part).alias("n"), F.left(part, F.lit(most)).alias("head"))
+    placed = parts.select("video_id", "chunk_num", "n").withColumn("total_length", F.sum("n").over(w))
+    near = parts.join(placed.where(F.col("total_length") - F.col("n") < most).select("video_id", "chunk_num"), ["video_id", "chunk_num"])
+    heads = near.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("chunk_num", "head"))).alias("heads"))
+    until = F.transform(F.filter("heads", lambda h: h["chunk_num"] <= F.col("chunk_num")), lambda h: h["head"])
+    return placed.join(heads, "video_id").select("video_id", "chunk_num", F.left(F.array_join(until, ""), F.lit(most)).alias("so_far"), "total_length")
+
+
 def first_value(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     """key, value of the first row by the order that has one: the language of a video is that of its first chunk with one."""
     return rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))

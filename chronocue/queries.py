@@ -161,6 +161,15 @@ def transcript_parts(spark: SparkSession, d: str) -> DataFrame:
     return chunks.transcript(chunks.chunk_texts(_chunked(spark, d)))
 
 
+@query(
+    f"""with {SEG}, t as (select video_id, chunk_num, string_agg(coalesce(text, ''), '' order by start_cs, seg_index) || chr(10) || chr(10) as part from chunked group by 1, 2)
+        select video_id, chunk_num, left(string_agg(part, '') over w, 3000) as so_far, cast(sum(len(part)) over w as bigint) as total_length from t window w as (partition by video_id order by chunk_num rows unbounded preceding)"""
+)
+def cumulative_text(spark: SparkSession, d: str) -> DataFrame:
+    """The head of every video's text up to and with each chunk, as a prompt takes it, and its whole length."""
+    return chunks.so_far(chunks.chunk_texts(_chunked(spark, d)))
+
+
 @query("select video_id, arg_min(primary_language, (chunk_num, row_id)) as primary_language from results_simplified where video_id is not null and primary_language is not null and chunk_num is not null group by 1")
 def first_language(spark: SparkSession, d: str) -> DataFrame:
     """The language of every video: that of its first chunk that names one."""
@@ -739,6 +748,15 @@ def union_legacy_shapes(spark: SparkSession, d: str) -> DataFrame:
     return reports.unified(a, b, keys=["row_id"])
 
 
+@query("select seg_index as index, start_time, end_time, start_seconds, end_seconds, duration, text, confidence, value_score, reasoning from results_qwen15b")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Segments written as CSV, texts with line breaks and quotes inside, and read again in their shape."""
+    at = shared_folder(spark)
+    rows = table(spark, d, "results_qwen15b").withColumnRenamed("seg_index", "index").drop("row_id", "video_id", "loaded_at")
+    rows.write.option("header", "true").option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(at)
+    return reports.unified(reports.segment_csv(spark, at, rows.columns))
+
+
 # Speakers and pacing. As labels stand in: long segments are the teacher's.
 
 LABELLED = f"labelled as (select *, case when {WORDS("coalesce(text, '')")} >= 8 then 'teacher' else 'student' end as label from seg)"
@@ -1146,7 +1164,11 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
 )
 def progressive_summary_lines(spark: SparkSession, d: str) -> DataFrame:
     """Progressive summaries as lines: head, newest chunk, analysis of the whole, archive."""
-    c = _chunked(spark, d).groupBy("video_id", "chunk_num").agg(F.count("*").alias("n"))
+    return _progressive(_chunked(spark, d))
+
+
+def _progressive(chunked: DataFrame) -> DataFrame:
+    c = chunked.groupBy("video_id", "chunk_num").agg(F.count("*").alias("n"))
     n, reel = F.col("n").cast("string"), lambda r, why: F.struct(r.alias("time_range"), F.lit(why).alias("reason"))
     each = c.select(
         "video_id", "chunk_num", F.when(F.col("n") % 3 != 0, F.concat(n, F.lit(" segments"))).alias("summary"), F.array(F.concat(F.lit("t"), n)).alias("topics"),
@@ -1183,6 +1205,26 @@ def suggested_reel_lines(spark: SparkSession, d: str) -> DataFrame:
     return render.suggested_reels(s, "video_id")
 
 
+@query(
+    f"""with {SEG}, {PARTS}, c as (select video_id, chunk_num, count(*) n, list({OR_NA('start_cs')} || '-' || {OR_NA('end_cs')} order by start_cs, seg_index) r from parts where selection_no = 1 group by 1, 2),
+        k as (select video_id * 100000 + chunk_num as analysis_id, chunk_num, n, case when n % 4 = 0 then r else [] end r from c),
+        s as (select analysis_id, 'summary' as file, ['AI CONTENT ANALYSIS', 'Generated with: m', repeat('═', 70), '', 'SUMMARY', repeat('─', 70), n || ' parts', '', 'MAIN TOPICS', repeat('─', 70)] || case when n > 1 then ['• a', '• b'] else []::varchar[] end || ['', 'SUGGESTED HASHTAGS', repeat('─', 70), '#x #y' || n, ''] l from k),
+        g as (select analysis_id, 'reels' as file, ['SUGGESTED REEL SEGMENTS', 'AI-identified engaging moments for short-form content', repeat('═', 70), ''] || case when len(r) > 0 then flatten(list_transform(r, lambda x, i: ['SEGMENT ' || i, 'Time: ' || x, 'Why: ' || i, '', 'Cut: --video v.mp4 --ranges "' || x || '"', repeat('─', 70), '']))
+                else ['No specific reel segments identified.', 'Try cutting interesting moments manually.'] end l from k),
+        b as (select * from s union all select * from g)
+        select analysis_id, file, cast(unnest(range(0, len(l))) as int) as line_no, unnest(l) as line from b"""
+)
+def analysis_file_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The two files of an analysis of every chunk's first selection, as lines."""
+    s = _selections(spark, d).where("selection_no = 1").withColumn("n", F.size("parts"))
+    reels = F.transform("parts", lambda p, i: F.struct(F.replace(p["time_range"], F.lit(" - "), F.lit("-")).alias("time_range"), (i + 1).cast("string").alias("reason")))
+    a = s.select(
+        (F.col("video_id") * 100000 + F.col("chunk_num")).alias("analysis_id"), F.lit("v.mp4").alias("name"), F.concat(F.col("n").cast("string"), F.lit(" parts")).alias("summary"),
+        F.when(F.col("n") > 1, F.array(F.lit("a"), F.lit("b"))).alias("topics"), F.array(F.lit("#x"), F.concat(F.lit("#y"), F.col("n").cast("string"))).alias("hashtags"), F.when(F.col("n") % 4 == 0, reels).alias("reels"),
+    )
+    return render.analysis_files(a, "analysis_id", "m")
+
+
 @query(
     """with h as (select distinct video_id from results_qwen15b where video_id is not null and value_score is not null and not isnan(value_score)),
        s as (select video_id, cast(least(floor(round(value_score * 1000) / 200), 4) as int) b, row_id, cast(round(value_score * 1000) as bigint) m, seg_index,
@@ -1360,6 +1402,17 @@ def stream_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(out).parquet(f"{folder}/out").drop("__bucket")
 
 
+@query(SQL["progressive_summary_lines"])
+def stream_progressive_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Progressive summaries rewritten for the videos that each batch of a stream touches: the newest chunk moves to the archive when the next arrives."""
+    folder, stream = shared_folder(spark), table_stream(spark, d, "results_simplified").where("video_id is not null")
+    out = "video_id bigint, part int, chunk_num bigint, line_no int, line string, __bucket int"
+    spark.createDataFrame([], out).write.partitionBy("__bucket").parquet(f"{folder}/out")
+    render_ = lambda rows: _progressive(chunks.assigned(chunks.segments(rows)))
+    chunk_streams.rewriting(stream, f"{folder}/store", f"{folder}/state", render_, f"{folder}/out").awaitTermination()
+    return spark.read.schema(out).parquet(f"{folder}/out").drop("__bucket")
+
+
 @query("select video_id, chunk_num, seg_index, text from results_simplified where video_id is not null and chunk_num is not null")
 def stream_append(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a stream appended to their chunk's folder as they come."""

@@ -351,6 +351,26 @@ def run_summary(summary: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def analysis_files(analyses: DataFrame, key: str, model: str = "model") -> DataFrame:
+    """Lines of the two files of one analysis of a whole text: key, file ('summary' or 'reels'), part, line_no, line of rows key, name, summary, topics, hashtags, reels (array of struct(time_range, reason)). An analysis without reels says so."""
+    strings = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    reels = F.coalesce("reels", F.array().cast("array<struct<time_range:string,reason:string>>"))
+    titled = lambda title, lines: F.concat(F.array(_lit(title), _lit(SINGLE)), lines, F.array(_lit("")))
+    summary = F.concat(
+        F.array(_lit("AI CONTENT ANALYSIS"), _lit(f"Generated with: {model}"), _lit(DOUBLE), _lit("")), titled("SUMMARY", F.array(F.coalesce("summary", _lit("")))),
+        titled("MAIN TOPICS", F.transform(strings("topics"), lambda t: F.concat(_lit("• "), t))), titled("SUGGESTED HASHTAGS", F.array(F.array_join(strings("hashtags"), " "))),
+    )
+    head = F.array(_lit("SUGGESTED REEL SEGMENTS"), _lit("AI-identified engaging moments for short-form content"), _lit(DOUBLE), _lit(""))
+    one = lambda r, i: F.array(
+        F.concat(_lit("SEGMENT "), (i + 1).cast("string")), F.concat(_lit("Time: "), r["time_range"]), F.concat(_lit("Why: "), r["reason"]), _lit(""),
+        F.concat(_lit("Cut: --video "), F.coalesce("name", _lit("")), _lit(' --ranges "'), F.replace(r["time_range"], _lit(" - "), _lit("-")), _lit('"')), _lit(SINGLE), _lit(""),
+    )
+    none = F.array(_lit("No specific reel segments identified."), _lit("Try cutting interesting moments manually."))
+    suggested = F.concat(head, F.when(F.size(reels) > 0, F.flatten(F.transform(reels, one))).otherwise(none))
+    files = F.array(F.struct(_lit("summary").alias("file"), summary.alias("l")), F.struct(_lit("reels").alias("file"), suggested.alias("l")))
+    return analyses.select(key, F.explode(files).alias("f")).select(key, "f.file", F.posexplode("f.l").alias("line_no", "line"))
+
+
 def digest_entry() -> Column:
     """A chunk's summary as a prompt takes it."""
     return F.concat(_lit("Chunk "), F.col("chunk").cast("string"), _lit(" ["), "time_range", _lit("]\n"), "summary", _lit("\n"))

@@ -26,9 +26,10 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def segment_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One shape of segment CSV as it is, text and reasoning with line breaks and doubled quotes inside; all columns are strings."""
-    return spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').csv(path)
+def segment_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """One shape of segment CSV as it is, text and reasoning with line breaks and doubled quotes inside; all columns are strings. With the columns given the files' heads aren't read to find them."""
+    reader = spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"')
+    return (reader.schema(", ".join(f"`{c}` string" for c in columns)) if columns else reader).csv(path)
 
 
 def unified(*shapes: DataFrame, keys: list[str] | None = None) -> DataFrame:
