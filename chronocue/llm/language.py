@@ -39,6 +39,7 @@ LANGUAGE_NAMES = {
 
 _BY_NAME = {n: code for code, names in LANGUAGE_NAMES.items() for n in names.split()}
 MIN_WORDS = 5
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def named_language(label: str | None) -> str | None:
@@ -234,7 +235,7 @@ def fit(sample: list[tuple[str, str]], clusters: int = 6, rounds: int = 5, featu
     units, label = [], []
     for code, text in sample:
         for s in re.split(r"[.?!؟…\n]+", re.sub(r"https?://\S+|www\.\S+|#\w+|\S+\.\S+/\S*", " ", form(text))):
-            words = [w for w in words_of(s) if not re.fullmatch(r"[\d\W_]+", w)]
+            words = [w for w in words_of(s) if _LETTER.search(w)]
             if unit_words[0] <= len(words) <= unit_words[1]:
                 units.append(words)
                 label.append(code)
@@ -259,13 +260,19 @@ def fit(sample: list[tuple[str, str]], clusters: int = 6, rounds: int = 5, featu
         vals.append((x / (math.sqrt(x @ x) or 1.0)).astype(np.float32))
         start.append(start[-1] + len(c))
     col, val = np.concatenate(cols), np.concatenate(vals)
-    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
+    first, sizes = np.array(start[:-1]), np.diff(start)
     codes = sorted(set(label))
     label_id = np.array([codes.index(x) for x in label])
     rng = np.random.default_rng(seed)
 
+    def places(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values of units stand, unit by unit, and where among those each unit's begin."""
+        ends = np.cumsum(sizes[which])
+        heads = ends - sizes[which]
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - heads, sizes[which]), heads
+
     def mean(which: np.ndarray) -> np.ndarray:
-        at = np.concatenate([np.arange(start[i], start[i + 1]) for i in which]) if len(which) else np.zeros(0, int)
+        at, _ = places(which)
         m = np.bincount(col[at], val[at], minlength=len(vocabulary))
         return m / (np.sqrt(m @ m) or 1.0)
 
@@ -275,10 +282,9 @@ def fit(sample: list[tuple[str, str]], clusters: int = 6, rounds: int = 5, featu
         out = np.zeros((len(which), c.shape[1]), np.float32)
         narrow = c.astype(np.float32)
         for i in range(0, len(which), 500):
-            some = [k for k in range(i, min(len(which), i + 500)) if start[which[k]] < start[which[k] + 1]]
-            if some:
-                at = np.concatenate([np.arange(start[which[k]], start[which[k] + 1]) for k in some])
-                heads = np.flatnonzero(np.diff(row[at], prepend=-1))
+            some = i + np.flatnonzero(sizes[which[i : i + 500]])
+            if len(some):
+                at, heads = places(which[some])
                 out[some] = np.add.reduceat(val[at, None] * narrow[col[at]], heads, axis=0)
         return out
 
