@@ -46,9 +46,9 @@ def cluster_roles(rows: DataFrame, columns: list[str], length: str = "n_words",
         return data.drop("__v").withColumn("cluster", F.lit(0)).withColumn("role", F.lit("teacher"))
     scaled = StandardScaler(inputCol="__v", outputCol="__s", withMean=True).fit(data).transform(data)
     found = KMeans(k=k, seed=seed, featuresCol="__s", predictionCol="cluster").fit(scaled).transform(scaled).drop("__v", "__s")
-    # k rows, whatever the input's size.
-    means = found.groupBy("cluster").agg(F.avg(length).alias("m")).orderBy(F.desc("m"), F.desc("cluster")).limit(1).select(F.col("cluster").alias("teacher_cluster"))
-    return found.crossJoin(F.broadcast(means)).withColumn("role", F.when(F.col("cluster") == F.col("teacher_cluster"), "teacher").otherwise("student")).drop("teacher_cluster")
+    # Of at most k rows one comes to the driver.
+    teacher = found.groupBy("cluster").agg(F.avg(length).alias("m")).orderBy(F.desc("m"), F.desc("cluster")).first()["cluster"]
+    return found.withColumn("role", F.when(F.col("cluster") == teacher, "teacher").otherwise("student"))
 
 
 def refined(rows: DataFrame, video: str = "video_id", order: tuple[str, ...] = ("start_cs", "seg_index"), label: str = "label", text: str = "text") -> DataFrame:
