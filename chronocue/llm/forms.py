@@ -171,6 +171,7 @@ class Prototypes:
 
 
 OWN = Prototypes(TO_LATIN)
+_MADE: list[Prototypes] = []
 
 
 def prototypes(spark: SparkSession) -> Prototypes:
@@ -178,19 +179,24 @@ def prototypes(spark: SparkSession) -> Prototypes:
 
     The standard gives I and l one skeleton; here a capital is I. Where the
     session has no such library, the letters named in this module. Bounded by
-    the number of Unicode's letters.
+    the number of Unicode's letters, and made once a process.
     """
+    if _MADE:
+        return _MADE[0]
     try:
         checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
         cased = [c for o in range(0x80, 0x20000) if not 0xD800 <= o < 0xE000 and unicodedata.category(c := chr(o)) in ("Lu", "Ll")]
         skeletons = checker.getSkeleton("\n".join(cased)).split("\n")
     except (TypeError, AttributeError, Py4JError):
         return OWN
+    if len(skeletons) != len(cased):
+        return OWN
     found = {}
     for c, s in zip(cased, skeletons):
         if len(s) == 1 and s != c and unicodedata.category(s) in ("Lu", "Ll") and _FOLDS[ord(c)] == c and unicodedata.normalize("NFD", c) == c:
             found[c] = "I" if s == "l" and unicodedata.category(c) == "Lu" else s
-    return Prototypes(found | TO_LATIN)
+    _MADE.append(Prototypes(found | TO_LATIN))
+    return _MADE[0]
 
 
 def look(text: str | None, known: Prototypes = OWN) -> str | None:
