@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .encode import encoded
-from .forms import same_look_pairs
+from .forms import canonical_form, look_key, prototypes, same_look_pairs
 from .language import MIN_WORDS, fit, labelled_sample, languages
 from .leaks import leaks
 from .stuffing import stuffed_pages
@@ -17,16 +17,30 @@ from .topn import best_segments
 from .turns import calibrated_pause, labels_of, speaker_turns, turn_texts
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose language label is missing or wrong, with their language, and mixed rows with each of theirs."""
+def _languages(spark: SparkSession, d: str) -> DataFrame | None:
     try:
         model = fit(labelled_sample(table(spark, d, "documents")))
-    except ValueError:  # without a labelled text no language is known, so none is missing or wrong
+    except ValueError:  # without a labelled text no language is known
+        return None
+    return languages(table(spark, d, "results_simplified"), model, "row_id", label="primary_language", labels=labels_of(table(spark, d, "speaker_roster")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose language label is missing or wrong, with their language, and mixed rows with each of theirs."""
+    rows = _languages(spark, d)
+    if rows is None:  # none is missing or wrong
         return table(spark, d, "results_simplified").select("row_id", F.lit(None).cast("string").alias("lang")).limit(0)
-    rows = languages(table(spark, d, "results_simplified"), model, "row_id", label="primary_language", labels=labels_of(table(spark, d, "speaker_roster")))
     return cases(rows, "row_id").select("row_id", "lang")
 
 
+def p1_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language or languages of every row of speech, each with its confidence and words."""
+    rows = _languages(spark, d)
+    if rows is None:
+        return table(spark, d, "results_simplified").selectExpr("row_id", "'' as lang", "0D as confidence", "0 as words", "0 as n_languages").limit(0)
+    return rows.select("row_id", "lang", "confidence", "words", "n_languages")
+
+
 def cases(found: DataFrame, key: str) -> DataFrame:
     """Of the result of ``languages`` the rows of mixed texts and of texts whose label names no language or another one."""
     return found.where(F.col("spoken") >= MIN_WORDS).where((F.col("n_languages") > 1) | F.col("labelled").isNull() | (F.col("labelled") != F.col("lang")))
@@ -37,6 +51,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look_pairs(table(spark, d, "results_simplified"), table(spark, d, "full_transcript"), ["video_id", "chunk_num"], "row_id", "line_id")
 
 
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of segments and transcript lines in one form, with the digest of its look, which is equal exactly for texts that look the same."""
+    known = prototypes(spark)
+    rows = table(spark, d, "results_simplified").select(F.lit("row").alias("kind"), F.col("row_id").alias("id"), "text")
+    lines = table(spark, d, "full_transcript").select(F.lit("line").alias("kind"), F.col("line_id").alias("id"), "text")
+    return rows.unionByName(lines).select("kind", "id", canonical_form("text").alias("form"), F.md5(look_key("text", known)).alias("look"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Speaker turns of every video."""
     turns = speaker_turns(table(spark, d, "results_simplified"), labels_of(table(spark, d, "speaker_roster")), with_text=False)
@@ -77,7 +99,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_languages": p1_languages,
     "p2_found": p2_found,
+    "p2_forms": p2_forms,
     "p4_found": p4_found,
     "p4_turns": p4_turns,
     "p5_found": p5_found,
