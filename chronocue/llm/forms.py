@@ -68,6 +68,7 @@ _RUNS = re.compile(rf"[{_LATIN}{_ACCENTS}{_GREEK}{_CYRILLIC}]+")
 #: Where a text whose own script is Cyrillic may have a run to resolve.
 _NOT_CYRILLIC = re.compile(rf"[{_GREEK}]|[{_LATIN}][{_ACCENTS}]*[{_CYRILLIC}]|[{_CYRILLIC}][{_ACCENTS}]*[{_LATIN}]")
 _ACCENT = re.compile(rf"[{_ACCENTS}]")
+_LETTER_RUN = re.compile(rf"(?:[^\W\d_][{_ACCENTS}]*)+")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -160,6 +161,14 @@ class Prototypes:
             if len(d) > 1 and ord(d[0]) in self.plain:
                 self.table[o] = unicodedata.normalize("NFC", d.translate(self.plain))
         self.held = re.compile("[" + "".join(map(chr, sorted(self.table))) + "]")
+        #: Of each prototype its letters by script, itself first.
+        self.letters: dict[str, dict[str, str]] = {}
+        for o, p in sorted(self.plain.items()):
+            own = self.letters.setdefault(p, {script_of(p): p})
+            own.setdefault(script_of(chr(o)), chr(o))
+        # What ``form`` alone doesn't resolve: letters of further scripts, and Latin ones that print like a plain one.
+        rare = [chr(o) for o in sorted(self.plain) if chr(o) not in _OPTIONS and script_of(chr(o)) not in ("CYRILLIC", "GREEK")]
+        self.rare = re.compile("[" + "".join(rare) + "]") if rare else None
 
     def of(self, f: str) -> str:
         """Of a text in its form the prototypes."""
@@ -170,6 +179,33 @@ class Prototypes:
         return f.translate(self.table)
 
 
+    def resolved(self, f: str) -> str:
+        """A form with runs that hold letters of further scripts in one script, where there is one that has all their looks."""
+        if f.isascii() or self.rare is None or not self.rare.search(f):
+            return f
+        d = unicodedata.normalize("NFD", f)
+        options = lambda c: self.letters.get(self.plain.get(ord(c), c)) or {script_of(c): c}
+        n: Counter = Counter()
+        for c, times in Counter(d).items():
+            if script_of(c):
+                n[script_of(c)] += times
+        context = max(n, key=n.__getitem__) if n else "LATIN"
+
+        def one(m: re.Match) -> str:
+            run = m[0]
+            if not self.rare.search(run):
+                return run
+            each = [options(c) if script_of(c) else None for c in run]
+            possible = set.intersection(*[set(o) for o in each if o is not None])
+            if not possible:
+                return run
+            best = context if context in possible else "LATIN" if "LATIN" in possible else sorted(possible)[0]
+            # Letters of one script that look alike stay what they are, but for those that print like a plain Latin one.
+            return "".join(c if o is None or script_of(c) == best != "LATIN" else o[best] for c, o in zip(run, each))
+
+        return unicodedata.normalize("NFC", _LETTER_RUN.sub(one, d))
+
+
 OWN = Prototypes(TO_LATIN)
 _MADE: list[Prototypes] = []
 
@@ -204,9 +240,12 @@ def look(text: str | None, known: Prototypes = OWN) -> str | None:
     return None if text is None else known.of(form(text))
 
 
-@F.pandas_udf(T.StringType())
-def canonical_form(s: pd.Series) -> pd.Series:
-    return s.map(form, na_action="ignore").astype(object).where(s.notna(), None)
+def canonical_form(text: Column | str, known: Prototypes = OWN) -> Column:
+    @F.pandas_udf(T.StringType())
+    def canonical(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: known.resolved(form(t)), na_action="ignore").astype(object).where(s.notna(), None)
+
+    return canonical(text)
 
 
 def look_key(text: Column | str, known: Prototypes = OWN) -> Column:

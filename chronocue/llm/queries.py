@@ -56,7 +56,7 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     known = prototypes(spark)
     rows = table(spark, d, "results_simplified").select(F.lit("row").alias("kind"), F.col("row_id").alias("id"), "text")
     lines = table(spark, d, "full_transcript").select(F.lit("line").alias("kind"), F.col("line_id").alias("id"), "text")
-    return rows.unionByName(lines).select("kind", "id", canonical_form("text").alias("form"), F.md5(look_key("text", known)).alias("look"))
+    return rows.unionByName(lines).select("kind", "id", canonical_form("text", known).alias("form"), F.md5(look_key("text", known)).alias("look"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

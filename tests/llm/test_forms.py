@@ -40,6 +40,23 @@ def test_look_alikes_of_all_cased_scripts(spark):
     assert set(forms.OWN.plain.items()) <= set(known.plain.items())
 
 
+def test_the_form_is_of_one_script_of_all(spark):
+    known = forms.prototypes(spark)
+    for stored, same in [("օne way", "one way"), ("Ꭺpple", "Apple"), ("ɡo on", "go on"), ("ıt ıs", "it is"), ("ⲟn", "on"), ("ɡо́", "gó"), ("мир օ", "мир о"), ("muѕіс", "music")]:
+        assert known.resolved(form(stored)) == same, stored
+    for own in ("հայերեն լեզու", "ⲙⲉⲧⲣⲉⲙⲛⲭⲏⲙⲓ ⲡⲉ", "привет", "καλημέρα", "שלום", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "straße", "日本"):
+        f = known.resolved(form(own))
+        assert look(f, known) == look(own, known) and known.resolved(f) == f
+    assert known.resolved(form("հայերեն լեզու")) == "հայերեն լեզու"
+
+
+@given(st.text(max_size=40))
+def test_resolving_keeps_the_look(s):
+    known = forms._MADE[0] if forms._MADE else forms.OWN
+    f = known.resolved(form(s))
+    assert look(f, known) == look(s, known)
+
+
 def test_the_form_is_of_one_script():
     assert form("muѕіс") == "music"
     assert form("пpивет мир") == "привет мир"
