@@ -75,7 +75,7 @@ def shares(rows: DataFrame, video: str = "video_id", label: str = "label") -> Da
 def labelled(rows: DataFrame, labels: DataFrame, key: list[str], label: str = "label", unknown: str = "unknown") -> DataFrame:
     """Rows with the label that stands at the same place in ``labels`` (key, label; a place has one), ``unknown`` where none does. Labels without a row are dropped, as by a zip of two lists."""
     at = labels.where(F.col(label).isNotNull()).groupBy(*key).agg(F.min(label).alias("__label"))
-    return rows.join(at, key, "left").select(*rows.columns, F.coalesce("__label", F.lit(unknown)).alias(label))
+    return rows.join(at, key, "left").select(*[c for c in rows.columns if c != label], F.coalesce("__label", F.lit(unknown)).alias(label))
 
 
 def speakers_counted(rows: DataFrame, video: str = "video_id", label: str = "label") -> DataFrame:

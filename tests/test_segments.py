@@ -237,7 +237,8 @@ def test_selections_without_parts(spark):
 def test_labels_at_their_place(spark):
     r = spark.createDataFrame([(1, 1), (1, 2), (None, 3)], "v int, i int")
     l = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (1, 9, "c"), (1, 2, None)], "v int, i int, label string")
-    assert rows(speakers.labelled(r, l, ["v", "i"])) == sorted([(1, 1, "a"), (1, 2, "unknown"), (None, 3, "unknown")], key=repr)
+    exp = sorted([(1, 1, "a"), (1, 2, "unknown"), (None, 3, "unknown")], key=repr)
+    assert rows(speakers.labelled(r, l, ["v", "i"])) == exp == rows(speakers.labelled(r.withColumn("label", F.lit("old")), l, ["v", "i"]))
 
 
 def test_means_and_fallbacks(spark):
