@@ -14,8 +14,9 @@ MIN_PART_S, GRACE_S = 5, 10
 def parts_of(selections: DataFrame, key: list[str], parts: str = "parts", empty: bool = False) -> DataFrame:
     """key, part_no (from 1), time_range, start, end: a selection's parts in order; bounds are null where they can't be read. With empty a selection without parts has one row of nulls."""
     rows = selections.select(*key, (F.posexplode_outer if empty else F.posexplode)(parts).alias("pos", "part"))
-    r = parse_range(F.col("part.time_range"))
-    return rows.select(*key, (F.col("pos") + 1).alias("part_no"), F.col("part.time_range").alias("time_range"), r["start"].alias("start"), r["end"].alias("end"))
+    # A generator of the one value, so a range is read once and not once for each bound.
+    read = rows.select(*key, (F.col("pos") + 1).alias("part_no"), F.col("part.time_range").alias("time_range"), F.explode(F.array(parse_range(F.col("part.time_range")))).alias("r"))
+    return read.select(*key, "part_no", "time_range", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
 
 
 def totals(parts: DataFrame, key: list[str]) -> DataFrame:
