@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tests.conftest import rows
 
 from chronocue.llm.speech import Labels, head_seconds, pieces, words_of
@@ -159,6 +160,20 @@ def test_dirty_turns(spark):
     assert turns(spark, []) == []
 
 
+def test_dirty_texts_of_turns(spark):
+    nan = float("nan")
+    long = " ".join(f"w{i}" for i in range(50_000))
+    data = [
+        (1, None, 1, 0.0, 1.0, "a", "spk01", "", 0), (2, 1, None, 0.0, 1.0, "a", "spk01", "", 0), (3, 1, 3, nan, None, None, "spk01", "", 0), (4, 1, 4, 1.0, nan, "nobody yet", None, "", 0), (5, 1, 5, 2.0, 3.0, "a b", "spk01", "", 0),
+        (5, 1, 5, 2.0, 3.0, "a b", "spk01", "", 0), (6, 1, 6, None, None, "no time", "spk02", "", 0), (7, 1, 7, 3.0, 4.0, "", None, "", 0), (8, 1, 8, 400.0, 401.0, "a b " + long, None, "", 0),
+    ]
+    df = spark.createDataFrame(data, SEG).withColumn("part_no", F.lit(0)).withColumn("said", F.lit("clash"))
+    got = rows(turn_texts(df, L).select("video_id", "speaker_key", "turn_seg", "part_no", "first_seg", "last_seg", "said"))
+    # The second part repeats the end of the segment before.
+    assert got == [(1, "spk01", 5, 1, 5, 5, "a b"), (1, "spk01", 5, 2, 8, 8, long), (1, "spk02", 6, 1, 6, 6, "no time")]
+    assert turn_texts(df.limit(0), L).count() == 0
+
+
 def test_pauses_and_text(spark):
     data = [(1, 1, 1, 0.0, 1.0, "we train the", "spk01", "", 0), (2, 1, 2, 1.1, 2.0, "train the model", "spk01", "", 0), (3, 1, 3, 60.0, 61.0, "later", "spk01", "", 0), (4, 1, 4, 61.0, 62.0, "yes", "spk02", "", 0)]
     df = spark.createDataFrame(data, SEG)
