@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def segment_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """One shape of segment CSV as it is, text and reasoning with line breaks and doubled quotes inside; all columns are strings. With the columns given the files' heads aren't read to find them."""
-    reader = spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"')
+    """One shape of segment CSV as it is, text and reasoning with line breaks and doubled quotes inside; all columns are strings. Nothing between two commas is null, a pair of quotes the empty text. With the columns given the files' heads aren't read to find them."""
+    # The reader takes what reads as nullValue for null, by default the empty text too; no field holds a new name.
+    reader = spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", uuid.uuid4().hex)
     return (reader.schema(", ".join(f"`{c}` string" for c in columns)) if columns else reader).csv(path)
 
 

@@ -69,3 +69,12 @@ def test_top_segments_need_no_bounds(spark, tables):
     d = tables("results_qwen15b", data, "row_id bigint, video_id bigint, seg_index int, start_seconds double, end_seconds double, text string, value_score double")
     lines = [r.line for r in core.QUERIES["analysis_report_lines"](spark, d).where("part = 3").orderBy("line_no").collect()]
     assert lines[::2] == ["1. Score: 0.90 | N/A-0:05", "2. Score: 0.80 | N/A-N/A", "3. Score: 0.70 | 1:01-1:05"]
+
+
+def test_a_csv_round_trip_keeps_every_value(spark, tables):
+    odd = ["", None, " ", "\ta ", "\n", "\r", "a\r\nb", "\\", 'a\\"', '"', '""', '"a', 'a"b,c', '","', "#x", "NaN", "null", "\\N", "\0", "\u2028", "\ufeffx", "ש,😀", "x" * 70_000]
+    numbers = [None, 0.0, -0.0, float("nan"), float("inf"), float("-inf"), 5e-324, 1.7976931348623157e308, -7e-12, 0.1 + 0.2, 1e23]
+    at = lambda i: numbers[i % len(numbers)]
+    data = [(i, i, i, t, odd[i - 1], at(i), at(i + 1), odd[i - 2], odd[i - 3], at(i + 2), at(i + 3), odd[i - 4], None) for i, t in enumerate(odd)] + [(None,) * 13]
+    d = tables("results_qwen15b", data, "row_id bigint, video_id bigint, seg_index int, start_time string, end_time string, start_seconds double, end_seconds double, duration string, text string, confidence double, value_score double, reasoning string, loaded_at timestamp")
+    assert list(map(repr, rows(core.QUERIES["csv_round_trip"](spark, d)))) == sorted(repr(r[2:12]) for r in data)
